@@ -20,6 +20,11 @@ def ladder(branches: Sequence[tuple[Column, object]], default: object = None) ->
     return out.otherwise(_col(default))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def text(*parts: object) -> Column:
     """Concatenate literals and columns; the result is NULL only if a column is."""
     return F.concat(*[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
