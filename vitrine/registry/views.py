@@ -100,6 +100,24 @@ SELECT case_id, ground_truth, case_type, 'dhash' AS method, pred_a AS pred FROM
 UNION ALL SELECT case_id, ground_truth, case_type, 'cosine' AS method, pred_b AS pred FROM v_eval
 UNION ALL SELECT case_id, ground_truth, case_type, 'cosine_dhash' AS method, pred_c AS pred FROM v_eval
 UNION ALL SELECT case_id, ground_truth, case_type, 'full_system' AS method, pred_d AS pred FROM v_eval""",
+    # web-detection payloads, one per part; lists are '|'-separated text
+    "v_web": """
+SELECT p_partkey AS asset_id, concat('https://shop', CAST(p_partkey % 50 AS VARCHAR(20)), '.example.com/i/', CAST(p_partkey AS VARCHAR(20)), '.jpg') AS asset_url,
+  CASE WHEN p_partkey % 5 = 0 THEN 'certificate' ELSE 'product_image' END AS asset_type,
+  CASE WHEN p_partkey % 17 = 0 THEN NULL ELSE concat('shop', CAST(p_partkey % 50 AS VARCHAR(20)), '.example.com') END AS merchant_domain,
+  CASE WHEN p_partkey % 4 = 0 THEN concat('https://m.amazon.com/i/', CAST(p_partkey AS VARCHAR(20)), '|https://cdn.shop', CAST(p_partkey % 50 AS VARCHAR(20)), '.example.com/x.jpg') ELSE '' END AS full_urls,
+  CASE WHEN p_partkey % 6 = 1 THEN concat('https://rival', CAST(p_partkey % 9 AS VARCHAR(20)), '.org/p.jpg|https://rival', CAST(p_partkey % 9 AS VARCHAR(20)), '.org/p.jpg') ELSE '' END AS partial_urls,
+  CASE WHEN p_partkey % 7 = 2 THEN 'https://pin.example.net/s.jpg' ELSE '' END AS similar_urls,
+  CASE p_partkey % 8 WHEN 1 THEN concat('https://www.ebay.com/itm/', CAST(p_partkey AS VARCHAR(20)), '|https://www.ebay.com/itm/', CAST(p_partkey AS VARCHAR(20)), '|https://blog', CAST(p_partkey % 5 AS VARCHAR(20)), '.net/a')
+    WHEN 2 THEN concat('https://shop', CAST(p_partkey % 50 AS VARCHAR(20)), '.example.com/self') WHEN 3 THEN 'https://www.pexels.com/photo/1|https://unsplash.com/2' WHEN 4 THEN concat('http://a.net/1|http://b.net/2|http://c.net/3|http://d.net/4|http://e.net/5|http://f.net/', CAST(p_partkey AS VARCHAR(20)))
+    WHEN 5 THEN 'https://etsy.com/listing/7' ELSE '' END AS page_urls
+FROM part""",
+    "v_evidence": """
+SELECT l_suppkey * 200 + l_orderkey % 200 AS merchant_id, l_orderkey * 10 + l_linenumber AS item,
+  CASE (l_partkey + l_linenumber) % 4 WHEN 0 THEN 'external_image_reuse' WHEN 1 THEN 'potential_logo_mismatch' WHEN 2 THEN 'manipulation' ELSE 'cross_merchant_visual_similarity' END AS signal_type,
+  CAST(CASE WHEN l_orderkey % 3 = 0 THEN (l_partkey * 7) % 101 ELSE (l_partkey * 3) % 45 END AS INT) AS score,
+  l_orderkey % 5 < 4 AS is_marketplace_only, l_orderkey % 11 = 0 AS is_stock_only, l_orderkey % 13 = 0 AS corroborated, 'POTENTIAL_REUSE' AS asset_evidence_level
+FROM lineitem""",
     "v_page": "SELECT page_id, page_id % 25 AS merchant_id, url, html FROM pages",
     "v_doc": "SELECT doc_id, doc_id % 40 AS merchant_id, text, lang, source FROM documents",
     # one storefront page per part: header with logo, gallery, badges, structured data
@@ -163,14 +181,14 @@ JOIN embeddings a ON a.vec_id = c.asset_id JOIN embeddings b ON b.vec_id = (c.as
     # registry of verified logos: one per third merchant plus two shared brands
     "v_logo_registry": """
 SELECT CASE s_suppkey WHEN 1 THEN 'verified_brand_luxe-atelier.png' WHEN 2 THEN 'verified_brand_apex-brands.png'
-    ELSE concat('verified_brand_', lower(replace(s_name, '#', '-')), CASE WHEN s_suppkey % 2 = 0 THEN '.png' ELSE '.jpg' END) END AS filename,
+    ELSE concat('verified_brand_', lower(replace(s_name, 'Supplier#', 'maison')), CASE WHEN s_suppkey % 2 = 0 THEN '.png' ELSE '.jpg' END) END AS filename,
   CAST(e.embedding AS ARRAY<DOUBLE>) AS embedding
 FROM (SELECT s_suppkey, s_name, s_suppkey % (SELECT count(*) FROM embeddings) AS vec FROM supplier) s
 JOIN embeddings e ON e.vec_id = s.vec WHERE s_suppkey IN (1, 2) OR s_suppkey % 3 = 0""",
     "v_logo": """
 SELECT m.merchant_id, m.claimed_brand, zip_with(a.embedding, b.embedding, (x, y) -> m.w * CAST(x AS DOUBLE) + sqrt(1 - m.w * m.w) * CAST(y AS DOUBLE)) AS embedding
 FROM (SELECT s_suppkey AS merchant_id,
-        CASE s_suppkey % 4 WHEN 0 THEN 'Luxe Atelier' WHEN 1 THEN 'Apex Brands' ELSE replace(s_name, '#', ' ') END AS claimed_brand,
+        CASE s_suppkey % 4 WHEN 0 THEN 'Luxe Atelier' WHEN 1 THEN 'Apex Brands' ELSE replace(s_name, 'Supplier#', 'Maison') END AS claimed_brand,
         CASE s_suppkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE s_suppkey % n END AS va, (s_suppkey + 50) % n AS vb,
         CAST(CASE CAST(floor(s_suppkey / CAST(4 AS DOUBLE)) AS BIGINT) % 5 WHEN 0 THEN 1.0 WHEN 1 THEN 0.9 WHEN 2 THEN 0.75 WHEN 3 THEN 0.6 ELSE 0.2 END AS DOUBLE) AS w
       FROM (SELECT s_suppkey, s_name, (SELECT count(*) FROM embeddings) AS n FROM supplier) s) m
