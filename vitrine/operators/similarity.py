@@ -628,45 +628,46 @@ def identity_coherence(assets: DataFrame, merchants: DataFrame | None = None, bl
 # ---- F9: cross-merchant index -------------------------------------------------------------------------
 
 
-def index_matches(assets: DataFrame, index: DataFrame, limit: int = MATCH_LIMIT) -> DataFrame:
+def index_matches(assets: DataFrame, index: DataFrame, limit: int = MATCH_LIMIT, key: str = "asset_hash") -> DataFrame:
     """F9 (long form). Best matches of each asset among other merchants' indexed assets.
 
     Both sides: asset_hash, merchant_id, domain, embedding; the index has one row per
-    hash (A5). The asset itself, its merchant and its domain with subdomains are
+    hash (A5). ``key`` names the rows of ``assets`` where one content hash occurs at
+    several merchants. The asset itself, its merchant and its domain with subdomains are
     excluded. Assets alike in vector, merchant and domain are matched once, for one
     match more than asked, so that leaving out the asset's own hash stays exact.
     """
-    asked_all = with_vectors(assets.select("asset_hash", F.col("merchant_id").cast("string").alias("owner"), index_domain(F.col("domain")).alias("domain"), "embedding"))
+    asked_all = with_vectors(assets.select(F.col(key).alias("asset_key"), "asset_hash", F.col("merchant_id").cast("string").alias("owner"), index_domain(F.col("domain")).alias("domain"), "embedding"))
     members = with_vectors(index.select(F.col("asset_hash").alias("member"), F.col("merchant_id").cast("string").alias("owner"), index_domain(F.col("domain")).alias("domain"), "embedding"))
     asked = asked_all.groupBy("v1", "v2", "dim", "owner", "domain").agg(
         F.any_value("embedding").alias("embedding"), F.min("asset_hash").alias("row_id")
     )
     best = best_matches(asked, members, limit + 1, INDEX_MODERATE, True)
     keyed = best.withColumnRenamed("owner", "match_merchant").join(asked.select("row_id", "v1", "v2", "dim", "owner", "domain"), "row_id").drop("row_id", "match_no")
-    per_asset = asked_all.select("asset_hash", "v1", "v2", "dim", "owner", "domain").join(keyed, ["v1", "v2", "dim", "owner", "domain"])
-    order = Window.partitionBy("asset_hash").orderBy(F.col("similarity").desc(), "member")
+    per_asset = asked_all.select("asset_key", "asset_hash", "v1", "v2", "dim", "owner", "domain").join(keyed, ["v1", "v2", "dim", "owner", "domain"])
+    order = Window.partitionBy("asset_key").orderBy(F.col("similarity").desc(), "member")
     return (
         per_asset.filter(F.col("member") != F.col("asset_hash"))
         .withColumn("match_no", F.row_number().over(order))
         .filter(F.col("match_no") <= limit)
         .select(
-            "asset_hash", "match_no", F.col("member").alias("match_hash"), "match_merchant",
+            F.col("asset_key").alias(key), "match_no", F.col("member").alias("match_hash"), "match_merchant",
             mask_merchant(F.col("match_merchant")).alias("masked_merchant"), "member_domain", "similarity",
             (F.col("raw_similarity") >= INDEX_STRONG).alias("is_strong"),
         )
     )
 
 
-def index_verdicts(assets: DataFrame, matches: DataFrame) -> DataFrame:
+def index_verdicts(assets: DataFrame, matches: DataFrame, key: str = "asset_hash") -> DataFrame:
     """F9. Top similarity, provider result and the matched merchants of every asset."""
-    per = matches.groupBy("asset_hash").agg(
+    per = matches.groupBy(key).agg(
         F.max("similarity").alias("top_similarity"),
         F.array_sort(F.collect_list(F.struct("match_no", "masked_merchant", "match_merchant"))).alias("m"),
     )
     top = F.coalesce(F.col("top_similarity"), F.lit(0.0))
     keep = [c for c in assets.columns if c != "embedding"]
     none = F.array().cast("array<string>")
-    return assets.select(keep).join(per, "asset_hash", "left").select(
+    return assets.select(keep).join(per, key, "left").select(
         *keep,
         top.alias("local_similarity"),
         ladder([(top >= INDEX_STRONG, "near_duplicate_match"), (top >= INDEX_MODERATE, "similar_image")], "none").alias("local_result"),

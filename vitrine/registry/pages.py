@@ -66,9 +66,9 @@ def _(t):
 
 # images of the storefront template, one SELECT per place in the page
 _PN = "CAST(page_id AS VARCHAR)"
-_IMAGES = f"""p AS (SELECT p_partkey AS page_id, p_partkey % 40 AS merchant_id, p_name, p_type, p_size, 'https://www.shop' || CAST(p_partkey % 40 AS VARCHAR) || '.example.com' AS o FROM part),
+_IMAGES = f"""p AS (SELECT p_partkey AS page_id, p_partkey // 50 AS merchant_id, p_name, p_type, p_size, 'https://www.shop' || CAST(p_partkey // 50 AS VARCHAR) || '.example.com' AS o FROM part),
 im AS (
- SELECT merchant_id, page_id, 0 AS pos, o || '/assets/mark' || CAST(page_id % 40 AS VARCHAR) || '.png' AS src, 'home' AS alt, '' AS title, 'site-mark' AS img_class, 'logo' AS asset_type, TRUE AS is_logo_candidate, FALSE AS is_product_candidate FROM p
+ SELECT merchant_id, page_id, 0 AS pos, o || '/assets/mark' || CAST(page_id // 50 AS VARCHAR) || '.png' AS src, 'home' AS alt, '' AS title, 'site-mark' AS img_class, 'logo' AS asset_type, TRUE AS is_logo_candidate, FALSE AS is_product_candidate FROM p
  UNION ALL SELECT merchant_id, page_id, 1, o || '/media/' || CASE WHEN page_id % 9 = 0 THEN 'banner' ELSE 'top' END || CAST(page_id % 90 AS VARCHAR) || '.jpg', 'sale', '', CASE WHEN page_id % 2 = 0 THEN 'hero-slide' ELSE 'wide' END,
    CASE WHEN page_id % 2 = 0 OR page_id % 9 = 0 THEN 'banner' ELSE 'product_image' END, FALSE, NOT (page_id % 2 = 0 OR page_id % 9 = 0) FROM p
  UNION ALL SELECT merchant_id, page_id, 2, o || '/img/' || {_PN} || '.jpg', p_name, p_type, '', 'product_image', FALSE, TRUE FROM p
@@ -87,7 +87,7 @@ _BRANDED = """SELECT page_id, url, concat('<html><body>', CASE page_id % 4 WHEN
  WHEN 2 THEN concat('<img class="x header-logo" src="https://cdn.example.com/c', CAST(page_id AS VARCHAR(20)), '.png">') ELSE '<img src="/plain.png">' END, html) AS html FROM v_html"""
 
 
-@query("logo_candidates", "C7", """SELECT page_id, CASE page_id % 4 WHEN 0 THEN CASE WHEN page_id % 10 = 0 THEN NULL ELSE 'https://www.shop' || CAST(page_id % 40 AS VARCHAR) || '.example.com/a/' || CAST(page_id AS VARCHAR) || '.png' END WHEN 1 THEN 'https://cdn.example.com/i.png'
+@query("logo_candidates", "C7", """SELECT page_id, CASE page_id % 4 WHEN 0 THEN CASE WHEN page_id % 10 = 0 THEN NULL ELSE 'https://www.shop' || CAST(page_id // 50 AS VARCHAR) || '.example.com/a/' || CAST(page_id AS VARCHAR) || '.png' END WHEN 1 THEN 'https://cdn.example.com/i.png'
  WHEN 2 THEN 'https://cdn.example.com/c' || CAST(page_id AS VARCHAR) || '.png' END AS logo_url FROM v_html""")
 def _(t):
     from .core import _bind_tables, with_views
@@ -98,9 +98,9 @@ def _(t):
 
 
 _PRODUCTS = f"""pr AS (
- SELECT p_partkey % 40 AS merchant_id, p_partkey AS page_id, 0 AS pos, p_name AS name, 'A ' || p_type || ' item' AS description, CAST(p_size AS VARCHAR) || '.50' AS price, 'https://www.shop' || CAST(p_partkey % 40 AS VARCHAR) || '.example.com/img/' || CAST(p_partkey AS VARCHAR) || '.jpg' AS image_url FROM part WHERE p_partkey % 4 = 0
- UNION ALL SELECT p_partkey % 40, p_partkey, 0, p_name, '', CAST(p_size AS VARCHAR), 'https://www.shop' || CAST(p_partkey % 40 AS VARCHAR) || '.example.com/img/a' || CAST(p_partkey AS VARCHAR) || '.jpg' FROM part WHERE p_partkey % 4 = 1
- UNION ALL SELECT p_partkey % 40, p_partkey, 1, p_type || ' bundle', '', '', NULL FROM part WHERE p_partkey % 4 = 1)"""
+ SELECT p_partkey // 50 AS merchant_id, p_partkey AS page_id, 0 AS pos, p_name AS name, 'A ' || p_type || ' item' AS description, CAST(p_size AS VARCHAR) || '.50' AS price, 'https://www.shop' || CAST(p_partkey // 50 AS VARCHAR) || '.example.com/img/' || CAST(p_partkey AS VARCHAR) || '.jpg' AS image_url FROM part WHERE p_partkey % 4 = 0
+ UNION ALL SELECT p_partkey // 50, p_partkey, 0, p_name, '', CAST(p_size AS VARCHAR), 'https://www.shop' || CAST(p_partkey // 50 AS VARCHAR) || '.example.com/img/a' || CAST(p_partkey AS VARCHAR) || '.jpg' FROM part WHERE p_partkey % 4 = 1
+ UNION ALL SELECT p_partkey // 50, p_partkey, 1, p_type || ' bundle', '', '', NULL FROM part WHERE p_partkey % 4 = 1)"""
 
 
 @query("page_products", "C8", f"WITH {_PRODUCTS} SELECT * FROM pr")

@@ -59,7 +59,7 @@ def _(t):
 
 
 @query("job_elapsed_times", "K6", f"""WITH {_FINE}, ev AS (SELECT *, {_STATUS} AS status FROM ej), g AS (SELECT job_id, min(ts) AS a, min(ts) FILTER (status IN ('COMPLETED', 'FAILED')) AS d, max(ts) AS z FROM ev GROUP BY 1), s AS (SELECT job_id, d IS NOT NULL AS is_finished, CAST(floor((epoch_us(coalesce(d, z)) - epoch_us(a)) / 1e6) AS BIGINT) AS seconds FROM g)
-SELECT job_id, is_finished, seconds, lpad(CAST(seconds // 60 AS VARCHAR), greatest(2, length(CAST(seconds // 60 AS VARCHAR))), '0') || ':' || lpad(CAST(seconds % 60 AS VARCHAR), 2, '0') || 's' AS elapsed FROM s""")
+SELECT job_id, is_finished, seconds, CASE WHEN seconds // 60 < 10 THEN '0' ELSE '' END || (seconds // 60) || ':' || CASE WHEN seconds % 60 < 10 THEN '0' ELSE '' END || (seconds % 60) || 's' AS elapsed FROM s""")
 def _(t):
     return jobs.elapsed_times(fine_events(t))
 

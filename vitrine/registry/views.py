@@ -122,8 +122,8 @@ FROM lineitem""",
     "v_doc": "SELECT doc_id, doc_id % 40 AS merchant_id, text, lang, source FROM documents",
     # one storefront page per part: header with logo, gallery, badges, structured data
     "v_html": """
-SELECT p_partkey AS page_id, p_partkey % 40 AS merchant_id,
-  concat('https://www.shop', CAST(p_partkey % 40 AS VARCHAR(20)), '.example.com/products/', CAST(p_partkey AS VARCHAR(20)), '/') AS url,
+SELECT p_partkey AS page_id, CAST(floor(p_partkey / CAST(50 AS DOUBLE)) AS BIGINT) AS merchant_id,
+  concat('https://www.shop', CAST(CAST(floor(p_partkey / CAST(50 AS DOUBLE)) AS BIGINT) AS VARCHAR(20)), '.example.com/products/', CAST(p_partkey AS VARCHAR(20)), '/') AS url,
   concat('<!DOCTYPE html><html><head>',
     CASE WHEN p_partkey % 5 = 0 THEN '' ELSE concat('<title>', p_name, CASE p_partkey % 4 WHEN 0 THEN ' | Official Store | ' WHEN 1 THEN ' - ' WHEN 2 THEN ' — Shop — ' ELSE ' : ' END, p_brand, ' &amp; Co</title>') END,
     '<meta property="og:title" content="', p_brand, ' featured">',
@@ -137,7 +137,7 @@ SELECT p_partkey AS page_id, p_partkey % 40 AS merchant_id,
       WHEN 1 THEN concat('[{"@type":"Product","name":"', p_name, '","image":["/img/a', CAST(p_partkey AS VARCHAR(20)), '.jpg","/img/b.jpg"],"offers":{"price":"', CAST(p_size AS VARCHAR(20)), '"}},{"@type":"Product","name":"', p_type, ' bundle","offers":[{"price":"1"}]},{"@type":"Thing","name":"x"}]')
       WHEN 2 THEN concat('{"@type":"Product","name":"","image":"/img/none.jpg"}')
       ELSE '{"@type":"WebSite","url":"https://example.com"}' END,
-    '</script><style>.a{color:red}</style></head><body><header><a class="navbar" href="/"><img class="site-mark" src="/assets/mark', CAST(p_partkey % 40 AS VARCHAR(20)), '.png" alt="home"></a></header>',
+    '</script><style>.a{color:red}</style></head><body><header><a class="navbar" href="/"><img class="site-mark" src="/assets/mark', CAST(CAST(floor(p_partkey / CAST(50 AS DOUBLE)) AS BIGINT) AS VARCHAR(20)), '.png" alt="home"></a></header>',
     '<nav><a href="/about-us">About</a><a href="/contact">Contact</a><a href="https://www.facebook.com/', replace(p_brand, '#', ''), '">fb</a><a href="https://other.example.org/shop">ext</a><a href="/blog/', CAST(p_partkey AS VARCHAR(20)), '">Blog</a><a href="/products/', CAST((p_partkey * 7) % 911 AS VARCHAR(20)), '/">More</a></nav>',
     '<div class="hero"><img class="', CASE WHEN p_partkey % 2 = 0 THEN 'hero-slide' ELSE 'wide' END, '" src="/media/', CASE WHEN p_partkey % 9 = 0 THEN 'banner' ELSE 'top' END, CAST(p_partkey % 90 AS VARCHAR(20)), '.jpg" alt="sale"></div>',
     '<main><details><img src="/img/', CAST(p_partkey AS VARCHAR(20)), '.jpg" alt="', p_name, '" title="', p_type, '" width="', CAST(p_size * 20 AS VARCHAR(20)), '" height="300"></details>',
