@@ -6,6 +6,8 @@ import ipaddress
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .ladders import let
+
 # Networks that are never fetched.
 BLOCKED_V4 = [
     "0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24",
@@ -28,10 +30,9 @@ _V4 = rf"^{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}$"
 
 def ipv4_number(ip: Column) -> Column:
     """Dotted quad as a long; NULL when the text is not one."""
-    part = lambda i: F.regexp_extract(ip, _V4, i).try_cast("long")
-    return F.when(
-        ip.rlike(_V4), part(1) * F.lit(16777216) + part(2) * F.lit(65536) + part(3) * F.lit(256) + part(4)
-    )
+    part = lambda q, i: F.get(q, F.lit(i)).cast("long")
+    number = lambda q: ((part(q, 0) * 256 + part(q, 1)) * 256 + part(q, 2)) * 256 + part(q, 3)
+    return F.when(ip.rlike(_V4), let(F.split(ip, r"\."), number))
 
 
 def _v4_blocked(number: Column) -> Column:

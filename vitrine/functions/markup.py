@@ -34,12 +34,12 @@ COMMON_ENTITIES = [
 _SIMPLE_OR_NONE = "|".join(n[1:] for n, _ in COMMON_ENTITIES)
 
 
-def unescape(value: Column) -> Column:
+def unescape(value: Column, bulk: bool = False) -> Column:
     """Decode character references.
 
-    Text whose references are all common ones takes a chain of plain replacements
-    (``&amp;`` last, so nothing is decoded twice); any other text is split into
-    tokens and each reference is looked up or converted on its own.
+    Text is split into tokens and each reference is looked up or converted on its own.
+    With ``bulk`` (long texts), text whose references are all common ones takes a chain
+    of plain replacements instead (``&amp;`` last, so nothing is decoded twice).
     """
 
     def decode(t: Column) -> Column:
@@ -53,30 +53,25 @@ def unescape(value: Column) -> Column:
         )
 
     def body(v: Column) -> Column:
+        tokens = F.regexp_extract_all(
+            v, F.lit(r"(&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);|[^&]+|&)"), F.lit(1)
+        )
+        exact = F.array_join(F.transform(tokens, decode), "")
+        if not bulk:
+            return F.when(~v.contains("&"), v).otherwise(exact)
         simple = v
         for name, char in COMMON_ENTITIES:
             simple = F.replace(simple, F.lit(name), F.lit(char))
         other = v.rlike(rf"&(?!(?:{_SIMPLE_OR_NONE}))(?:#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);")
-        tokens = F.regexp_extract_all(
-            v, F.lit(r"(&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);|[^&]+|&)"), F.lit(1)
-        )
-        return F.when(~v.contains("&"), v).when(other, F.array_join(F.transform(tokens, decode), "")).otherwise(simple)
+        return F.when(~v.contains("&"), v).when(other, exact).otherwise(simple)
 
     return let(value, body)
 
 
 def _code_point(code: Column) -> Column:
-    """Character of a Unicode code point, built from its UTF-8 bytes."""
-    byte = lambda v: F.lpad(F.hex(v.cast("long")), 2, "0")
-    six = lambda shift: (F.lit(128) + F.pmod(F.shiftright(code, shift), F.lit(64)))
-    utf8 = (
-        F.when(code < 128, byte(code))
-        .when(code < 2048, F.concat(byte(F.lit(192) + F.shiftright(code, 6)), byte(six(0))))
-        .when(code < 65536, F.concat(byte(F.lit(224) + F.shiftright(code, 12)), byte(six(6)), byte(six(0))))
-        .otherwise(F.concat(byte(F.lit(240) + F.shiftright(code, 18)), byte(six(12)), byte(six(6)), byte(six(0))))
-    )
+    """Character of a Unicode code point."""
     bad = (code == 0) | (code > 1114111) | code.between(55296, 57343)
-    return F.when(bad, "�").otherwise(F.decode(F.unhex(utf8), "UTF-8"))
+    return F.when(bad, "�").otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
 
 
 def without_comments(html: Column) -> Column:
@@ -134,7 +129,7 @@ def visible_text(html: Column) -> Column:
     body = F.regexp_replace(without_comments(html), r"(?is)<(script|style|noscript|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|$)", " ")
     body = F.regexp_replace(body, r"(?s)<![^>]*>|<\?[^>]*>", " ")
     # markup characters inside decoded text must not look like tags: strip first, decode after
-    return collapse_space(unescape(F.regexp_replace(body, rf"</?[a-zA-Z]{_ATTRS}>", " ")))
+    return collapse_space(unescape(F.regexp_replace(body, rf"</?[a-zA-Z]{_ATTRS}>", " "), bulk=True))
 
 
 def json_ld(html: Column) -> Column:

@@ -52,11 +52,14 @@ def colour_histograms(pixels: DataFrame) -> DataFrame:
         .agg(F.count("*").cast("double").alias("n"))
     )
     rolled = counts.groupBy("asset_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("m"),
+        F.array_sort(F.collect_list(F.struct("bin", "n"))).alias("bins"),
         F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"),
     )
-    dense = F.transform(
-        F.sequence(F.lit(0), F.lit(511)),
-        lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / (F.col("norm") + F.lit(1e-9)),
+    # runs of zeros between the occupied bins, then the zeros after the last one
+    before = F.concat(F.array(F.lit(-1)), F.transform(F.slice("bins", 1, F.size("bins") - 1), lambda b: b["bin"]))
+    runs = F.zip_with(
+        "bins", before,
+        lambda b, p: F.concat(F.array_repeat(F.lit(0.0), b["bin"] - p - 1), F.array(b["n"] / (F.col("norm") + F.lit(1e-9)))),
     )
-    return rolled.select("asset_id", dense.alias("embedding"))
+    tail = F.array_repeat(F.lit(0.0), F.lit(511) - F.element_at("bins", -1)["bin"])
+    return rolled.select("asset_id", F.concat(F.flatten(runs), tail).alias("embedding"))

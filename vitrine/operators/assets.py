@@ -229,18 +229,19 @@ def _cluster_rounds(distinct: DataFrame, bits: int) -> DataFrame:
     )
 
 
-def perceptual_clusters(assets: DataFrame, group_limit: int = GROUP_LIMIT, bits: int = MAX_DUPLICATE_BITS) -> DataFrame:
+def perceptual_clusters(assets: DataFrame, group_limit: int | None = GROUP_LIMIT, bits: int = MAX_DUPLICATE_BITS) -> DataFrame:
     """E9. Greedy clustering per merchant: join the first cluster whose leader is within
     ``bits`` bits, else start a new one. Needs merchant_id, asset_ord, dhash.
 
     Equal hashes always share a cluster, so copies collapse before anything else. A
     merchant with at most ``group_limit`` distinct hashes is folded inside one task;
-    a larger one goes through parallel rounds with the same result.
+    a larger one goes through parallel rounds with the same result. ``group_limit``
+    None says that the input is already bounded per merchant (E4) and skips the check.
     """
     distinct = assets.groupBy("merchant_id", "dhash").agg(F.min("asset_ord").alias("first_ord"))
     sizes = distinct.groupBy("merchant_id").agg(F.count("*").alias("n"))
-    large = sizes.filter(F.col("n") > group_limit).select("merchant_id")
-    if large.isEmpty():
+    large = None if group_limit is None else sizes.filter(F.col("n") > group_limit).select("merchant_id")
+    if large is None or large.isEmpty():
         small_part, rounds = distinct, None
     else:
         small_part = distinct.join(large, "merchant_id", "left_anti")

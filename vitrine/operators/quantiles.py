@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import checkpoint_dir
 
@@ -30,12 +30,22 @@ def group_percentile(df: DataFrame, group: str, value: str, q: float, heavy: int
 def _by_refinement(rows: DataFrame, group: str, q: float, heavy: int) -> DataFrame:
     checkpoint_dir(rows.sparkSession)
     # equal values are counted on the map side; one value never needs more than one row
-    live = rows.groupBy(group, "v").agg(F.count("*").alias("c"), F.any_value("n").alias("n")).checkpoint()
+    counted = rows.groupBy(group, "v").agg(F.count("*").alias("c"), F.any_value("n").alias("n")).checkpoint()
     pos = F.lit(q) * (F.col("n") - 1)
-    offsets = live.select(group, "n").distinct().select(
-        group, "n", F.floor(pos).alias("lo"), F.ceil(pos).alias("hi"), pos.alias("pos"), F.lit(0).cast("long").alias("before")
-    )
-    live = live.select(group, "v", "c")
+    low = _order_statistic(counted, group, F.floor(pos), heavy).withColumnRenamed("value", "a")
+    high = _order_statistic(counted, group, F.ceil(pos), heavy).select(group, F.col("value").alias("b"))
+    mixed = (F.ceil(pos) - pos) * F.col("a") + (pos - F.floor(pos)) * F.col("b")
+    return low.join(high, group).select(group, "n", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(mixed).alias("percentile"))
+
+
+def _order_statistic(counted: DataFrame, group: str, rank: Column, heavy: int) -> DataFrame:
+    """Value at a zero-based rank per group from (group, v, c, n), by binning.
+
+    Each round keeps one bin per group; the smallest and largest value never share a
+    bin, so every round leaves fewer distinct values.
+    """
+    targets = counted.select(group, "n").distinct().select(group, "n", rank.cast("long").alias("rank"), F.lit(0).cast("long").alias("before"))
+    live = counted.select(group, "v", "c")
     while True:
         ranges = live.groupBy(group).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("k"))
         widest = ranges.agg(F.max("k")).first()[0] or 0
@@ -45,24 +55,16 @@ def _by_refinement(rows: DataFrame, group: str, q: float, heavy: int) -> DataFra
         bin_no = F.least(F.lit(BINS - 1), F.floor((F.col("v") - F.col("low")) / width * BINS))
         binned = live.join(ranges, group).withColumn("bin", F.when(width > 0, bin_no).otherwise(0)).select(group, "v", "c", "bin")
         # at most BINS rows per group from here on
-        counts = binned.groupBy(group, "bin").agg(F.sum("c").alias("c")).join(offsets, group)
+        counts = binned.groupBy(group, "bin").agg(F.sum("c").alias("c")).join(targets, group)
         upto = F.sum("c").over(Window.partitionBy(group).orderBy("bin")) + F.col("before")
         kept = counts.withColumn("upto", upto).withColumn("from", F.col("upto") - F.col("c")).filter(
-            (F.col("from") <= F.col("hi")) & (F.col("upto") > F.col("lo"))
+            (F.col("from") <= F.col("rank")) & (F.col("upto") > F.col("rank"))
         )
-        kept = kept.select(group, "bin", "from", "n", "lo", "hi", "pos").checkpoint()
+        kept = kept.select(group, "bin", "n", "rank", F.col("from").alias("before")).checkpoint()
         live = binned.join(kept.select(group, "bin"), [group, "bin"]).select(group, "v", "c").checkpoint()
-        offsets = kept.groupBy(group, "n", "lo", "hi", "pos").agg(F.min("from").alias("before"))
-    ranked = live.join(offsets, group).withColumn(
-        "upto", F.sum("c").over(Window.partitionBy(group).orderBy("v")) + F.col("before")
-    )
-    ends = ranked.groupBy(group).agg(
-        F.any_value("n").alias("n"),
-        F.any_value("pos").alias("pos"),
-        F.any_value("lo").alias("lo"),
-        F.any_value("hi").alias("hi"),
-        F.min(F.when(F.col("upto") > F.col("lo"), F.col("v"))).alias("a"),
-        F.min(F.when(F.col("upto") > F.col("hi"), F.col("v"))).alias("b"),
+        targets = kept.drop("bin")
+    upto = F.sum("c").over(Window.partitionBy(group).orderBy("v")) + F.col("before")
+    ranked = live.join(targets, group).withColumn("upto", upto)
+    return ranked.groupBy(group).agg(
+        F.any_value("n").alias("n"), F.min(F.when(F.col("upto") > F.col("rank"), F.col("v"))).alias("value")
     )
-    mixed = (F.col("hi") - F.col("pos")) * F.col("a") + (F.col("pos") - F.col("lo")) * F.col("b")
-    return ends.select(group, "n", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(mixed).alias("percentile"))

@@ -65,8 +65,8 @@ def selected_images(live_pages: DataFrame, fetched: DataFrame, names: DataFrame)
     images = pages.page_images(live_pages).withColumn("img_ord", F.struct("page_id", "pos"))
     wanted = assets.download_candidates(assets.useful_images(images.drop("width", "height")))
     downloaded = assets.size_filter(assets.download_gate(wanted.join(fetched, "src")))
-    named = downloaded.join(names, "merchant_id", "left").withColumn("asset_ord", F.col("fetch_no").cast("long"))
-    leaders = assets.perceptual_clusters(named).filter("is_leader")
+    named = downloaded.join(names, "merchant_id", "left").withColumn("asset_ord", F.col("fetch_no").cast("long")).checkpoint()
+    leaders = assets.perceptual_clusters(named, group_limit=None).filter("is_leader")
     return assets.select_representatives(leaders, SELECTED).withColumn(
         "asset_key", F.concat_ws("|", F.col("merchant_id").cast("string"), F.col("slot").cast("string"))
     )
@@ -147,7 +147,7 @@ def build_report(inputs: ReportInputs) -> MerchantReport:
             "image_count": F.coalesce("image_count", F.lit(0)),
             "source_type": F.col("top_source_type"),
         }
-    )
+    ).checkpoint()  # one narrow row per merchant; what follows is row-local
     unified = evidence.calibrate_reuse(evidence.unify_similarity(wide)).withColumns(
         {
             "local_domain": F.lit("platform-merchants"),

@@ -8,10 +8,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import prepare
+from ..session import prepare, spread
 from .views import DUCK_VIEWS, SPARK_VIEWS
 
 
+TEXT_VIEWS = {"v_html": "part", "v_page": "pages", "v_doc": "documents"}
+
+
 class Tables:
     """Lazy access to the parquet tables of one directory and to the derived views."""
 
@@ -24,6 +27,10 @@ class Tables:
     def view(self, name: str) -> DataFrame:
         """A view of :mod:`registry.views`; nested views become CTEs of one statement."""
         sql = with_views(f"SELECT * FROM {name}", SPARK_VIEWS)
+        if name in TEXT_VIEWS:  # wide text for per-row extraction: spread the source table
+            source = TEXT_VIEWS[name]
+            spread(self.table(source)).createOrReplaceTempView(f"spread_{source}")
+            return self.spark.sql(re.sub(rf"\bFROM {source}\b", f"FROM spread_{source}", sql))
         return self.spark.sql(_bind_tables(sql, self.directory))
 
 

@@ -13,8 +13,8 @@ from .core import Tables, query
 def _with_vector(df: DataFrame, t: Tables, seed: str) -> DataFrame:
     """A vector of the embeddings table per row, chosen by a hash of ``seed``."""
     vectors = t.table("embeddings").select(F.col("vec_id").alias("v"), F.col("embedding").cast("array<double>").alias("embedding"))
-    n = t.table("embeddings").agg(F.count("*").alias("n"))
-    return df.join(n, how="left").withColumn("v", F.pmod(F.xxhash64(seed), F.col("n"))).join(vectors, "v").drop("v", "n")
+    n = F.lit(t.table("embeddings").count())
+    return df.withColumn("v", F.pmod(F.xxhash64(seed), n)).join(vectors, "v").drop("v")
 
 
 def report_inputs(t: Tables) -> ReportInputs:
@@ -42,9 +42,10 @@ def report_inputs(t: Tables) -> ReportInputs:
         F.lit("https://web.example/p").alias("source_url"), F.when(close, F.col("own")).otherwise(F.col("embedding")).alias("embedding"),
     )
     index = t.view("v_asset").filter("batch_no = 0").select("asset_hash", (F.col("merchant_id") + 100000).alias("merchant_id"), F.concat(F.lit("old"), "domain").alias("domain"), "embedding")
-    cells = t.table("lineitem").select(F.col("l_suppkey").alias("g"), (F.col("l_quantity") / 10).alias("energy"), (F.col("l_extendedprice") / 1000).alias("local_std"), F.col("l_discount").alias("magnitude"), "l_linenumber", "l_partkey")
-    n_groups = t.table("supplier").agg(F.count("*").alias("n"))
-    grouped = fetched.select("asset_hash").join(n_groups, how="left").select("asset_hash", F.pmod(F.xxhash64("asset_hash"), F.col("n")).alias("g"))
+    # every line item is a cell of one image
+    n_assets = F.lit(max(1, fetched.count()))
+    cells = t.table("lineitem").select(F.pmod(F.xxhash64("l_orderkey"), n_assets).alias("g"), (F.col("l_quantity") / 10).alias("energy"), (F.col("l_extendedprice") / 1000).alias("local_std"), F.col("l_discount").alias("magnitude"), "l_linenumber", "l_partkey")
+    grouped = fetched.select("asset_hash", F.pmod(F.xxhash64("asset_hash"), n_assets).alias("g"))
     textured = grouped.join(cells, "g")
     photos = fetched.select("asset_hash", F.lit(40.0).alias("image_std"), F.lit(30.0).alias("gray_std"), (F.pmod(F.xxhash64("asset_hash"), F.lit(10)) / 10).alias("high_sat_ratio"))
     return ReportInputs(

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, SparkSession
 
-# Applied only where the caller has not chosen a value.
-RUNTIME_DEFAULTS = {
+RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -15,19 +16,35 @@ RUNTIME_DEFAULTS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # long expressions are built by the thousand: no call-site capture per column
+    "spark.sql.dataFrameQueryContext.enabled": "false",
     # Arrow batches of wide embedding rows stay a few MB
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
 }
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Set the runtime defaults above on a session that was built elsewhere."""
-    for key, value in RUNTIME_DEFAULTS.items():
-        if spark.conf.get(key, None) in (None, "false") or key.endswith(("timeZone", "maxRecordsPerBatch")):
-            spark.conf.set(key, value)
+    """Apply the settings above to a session that was built elsewhere.
+
+    Functions of this package travel to the Python workers by value, so executors need
+    no copy of the package.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules[__name__.split(".")[0]])
+    for key, value in RUNTIME_SETTINGS.items():
+        spark.conf.set(key, value)
     return spark
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a table of few file splits over all cores before costly per-row work.
+
+    Decided from the plan, without running it: where the scan already has a split per
+    core, as any large table has, the table is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; a private one only where none is named."""
     configured = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
