@@ -18,7 +18,7 @@ def brute(a, b):
 
 @pytest.fixture
 def small_blocks(monkeypatch):
-    monkeypatch.setattr(similarity, "BLOCK", 8)
+    monkeypatch.setattr(similarity, "BLOCK", 24)
     monkeypatch.setattr(similarity, "FRONT", 3)
 
 

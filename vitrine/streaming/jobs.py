@@ -43,6 +43,11 @@ def _seconds(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp")) / F.lit(1e6)
 
 
+def _watermarked(events: DataFrame, delay: str | None) -> DataFrame:
+    """Event time as a zoned timestamp with a watermark; untouched without ``delay``."""
+    return events if delay is None else events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+
+
 def with_status(events: DataFrame) -> DataFrame:
     return events.withColumn("status", step_status(F.col("step")))
 
@@ -111,7 +116,7 @@ def evictions(events: DataFrame, ttl_seconds: int = TTL_SECONDS, delay: str = "1
             state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
         yield from ()
 
-    keyed = with_status(events.withWatermark("ts", delay)).withColumn("ts_ms", F.unix_millis(F.col("ts").cast("timestamp")))
+    keyed = with_status(_watermarked(events, delay)).withColumn("ts_ms", F.unix_millis(F.col("ts").cast("timestamp")))
     out = keyed.groupBy("job_id").applyInPandasWithState(
         expire, "job_id long, status string, created_ms long", "created long, status string", "append",
         GroupStateTimeout.EventTimeTimeout,
@@ -159,7 +164,7 @@ def elapsed_times(events: DataFrame) -> DataFrame:
 
 def status_counts(events: DataFrame, window: str, slide: str | None = None, delay: str | None = "10 minutes") -> DataFrame:
     """K7. Events per status in tumbling or sliding event-time windows (our addition)."""
-    e = with_status(events if delay is None else events.withWatermark("ts", delay))
+    e = with_status(_watermarked(events, delay))
     span = F.window("ts", window, slide) if slide else F.window("ts", window)
     return e.groupBy(span.alias("w"), "status").agg(F.count("*").alias("n")).select(
         F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "status", "n"
@@ -168,7 +173,7 @@ def status_counts(events: DataFrame, window: str, slide: str | None = None, dela
 
 def job_sessions(events: DataFrame, gap: str, delay: str | None = "10 minutes") -> DataFrame:
     """K7. Activity sessions per job: events closer than ``gap`` belong together (our addition)."""
-    e = events if delay is None else events.withWatermark("ts", delay)
+    e = _watermarked(events, delay)
     return e.groupBy("job_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select(
         "job_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n"
     )
