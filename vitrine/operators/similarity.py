@@ -359,37 +359,40 @@ def _best_block(limit: int, threshold: float | None, exclude: bool):
             )
             for start in range(0, len(a), 256):
                 sims = _cosines(a[start : start + 256], b)
-                rounded = exact_round4(sims)
-                for r in range(len(sims)):
+                hits = np.ones(len(sims), dtype=bool) if threshold is None else (sims >= threshold).any(axis=1)
+                for r in np.flatnonzero(hits):
                     merchant, domain = merchants[start + r], domains[start + r]
-                    ok = np.ones(len(b), dtype=bool) if threshold is None else sims[r] >= threshold
+                    raw = sims[r]
+                    ok = np.ones(len(b), dtype=bool) if threshold is None else raw >= threshold
                     if exclude:
                         ok &= sole != merchant
                     cand = np.flatnonzero(ok)
                     if not len(cand):
                         continue
-                    score = rounded[r][cand]
-                    if len(cand) > 4 * limit:  # look at the best few groups first
-                        floor = np.partition(score, len(score) - 4 * limit)[len(score) - 4 * limit]
+                    score = raw[cand]
+                    if len(cand) > 4 * limit:
+                        # the best few groups first, with all that may round to the same similarity
+                        floor = np.partition(score, len(score) - 4 * limit)[len(score) - 4 * limit] - 1e-4
                         steps = [cand[score >= floor], cand[score < floor]]
                     else:
                         steps = [cand]
                     found: list[tuple] = []
                     for part in steps:
-                        for k in part[np.argsort(-rounded[r][part], kind="stable")]:
-                            s = rounded[r][k]
+                        rounded = exact_round4(raw[part])
+                        order = np.argsort(-rounded, kind="stable")
+                        for k, s in zip(part[order], rounded[order]):
                             if len(found) >= limit and s < found[limit - 1][0]:
                                 break
                             valid = [m for m in fronts[k] if allowed(m, merchant, domain)][:limit]
                             if cut[k] and len(valid) < limit:
-                                rows.append((qid[start + r], None, None, None, float(s), float(sims[r][k]), gid[k]))
+                                rows.append((qid[start + r], None, None, None, float(s), float(raw[k]), gid[k]))
                             for m in valid:
-                                found.append((s, m["member"], m["owner"], m["domain"], sims[r][k]))
+                                found.append((s, m["member"], m["owner"], m["domain"], raw[k]))
                             found.sort(key=lambda x: (-x[0], x[1]))
                         # every group not yet looked at is less similar than those of this step
-                        if len(found) >= limit and found[limit - 1][0] >= rounded[r][part].min():
+                        if len(found) >= limit and found[limit - 1][0] >= rounded.min():
                             break
-                    rows += [(qid[start + r], m, o, d, float(s), float(raw), None) for s, m, o, d, raw in found[:limit]]
+                    rows += [(qid[start + r], m, o, d, float(s), float(x), None) for s, m, o, d, x in found[:limit]]
         cols = list(zip(*rows)) if rows else [[]] * 7
         types = [pa.string()] * 4 + [pa.float64()] * 2 + [pa.string()]
         names = [c.split()[0] for c in _MATCH_SCHEMA.split(", ")]

@@ -27,7 +27,7 @@ def _(t):
 def _(t):
     events = t.view("v_event")
     parts = [jobs.job_state(events.filter(F.col("event_id") % 3 == i)) for i in range(3)]
-    return jobs.merge_states(jobs.merge_states(parts[0], parts[1]), parts[2]).drop("error_at")
+    return jobs.merge_states(parts[0].unionByName(parts[1]).unionByName(parts[2])).drop("error_at")
 
 
 # finer jobs, so that some are finished and some are running

@@ -70,11 +70,10 @@ def job_state(events: DataFrame) -> DataFrame:
     )
 
 
-def merge_states(old: DataFrame, new: DataFrame) -> DataFrame:
-    """K2. Combine a stored state table with the state of a new batch of events."""
-    both = old.unionByName(new)
+def merge_states(states: DataFrame) -> DataFrame:
+    """K2. One state per job from the states of several batches of events."""
     last = "updated_at"
-    return both.groupBy("job_id").agg(
+    return states.groupBy("job_id").agg(
         F.max_by("status", last).alias("status"),
         F.max_by("progress_message", last).alias("progress_message"),
         F.min("created_at").alias("created_at"),

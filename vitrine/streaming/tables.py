@@ -55,32 +55,21 @@ class IncrementalIndex:
 
 
 class JobStateTable:
-    """K2. Latest job states, kept by merging the state of each micro-batch.
+    """K2. Latest job states over micro-batches.
 
-    Versions are written beside each other (``version=<batch>``); a batch reads the
-    newest version before it, so repeating a batch gives the same result.
+    A batch writes the states of its own events only; they are mergeable, so reading
+    combines the batches and no batch ever rewrites the states of untouched jobs.
     """
 
     def __init__(self, path: str):
         self.path = path
 
-    def _version(self, spark: SparkSession, below: int | None = None) -> DataFrame | None:
-        stored = _read(spark, self.path)
-        if stored is None:
-            return None
-        versions = stored.select("batch_id").distinct()
-        if below is not None:
-            versions = versions.filter(F.col("batch_id") < below)
-        newest = versions.agg(F.max("batch_id")).first()[0]
-        return None if newest is None else stored.filter(F.col("batch_id") == newest).drop("batch_id")
-
     def process(self, events: DataFrame, batch_id: int) -> None:
-        fresh = job_state(events)
-        before = self._version(events.sparkSession, batch_id)
-        _write_batch(fresh if before is None else merge_states(before, fresh), self.path, batch_id)
+        _write_batch(job_state(events), self.path, batch_id)
 
     def current(self, spark: SparkSession) -> DataFrame | None:
-        return self._version(spark)
+        stored = _read(spark, self.path)
+        return None if stored is None else merge_states(stored.drop("batch_id"))
 
     def start(self, events: DataFrame, checkpoint: str) -> DataStreamWriter:
         return events.writeStream.foreachBatch(self.process).option("checkpointLocation", checkpoint)
