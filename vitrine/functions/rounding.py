@@ -11,21 +11,27 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .ladders import let
+
 _SPLIT = 134217729.0  # 2**27 + 1, splits a double into two 26-bit halves
 
 
 def exact_round(x: Column, digits: int) -> Column:
-    """Half-even rounding to ``digits`` decimals. Pass a plain column reference:
-    the argument appears several times in the expression."""
+    """Half-even rounding to ``digits`` decimals. ``x`` is bound once, so a filter that
+    is pushed through several rounded columns stays small."""
     scale = float(10**digits)
-    product = x * F.lit(scale)
-    high = x * F.lit(_SPLIT) - (x * F.lit(_SPLIT) - x)
-    error = (high * F.lit(scale) - product) + (x - high) * F.lit(scale)
-    base = F.floor(product).cast("double")
-    frac = product - base
-    odd = base % F.lit(2.0) != F.lit(0.0)
-    up = (frac > 0.5) | ((frac == 0.5) & ((error > 0.0) | ((error == 0.0) & odd)))
-    return (base + F.when(up, 1.0).otherwise(0.0)) / F.lit(scale)
+
+    def body(v: Column) -> Column:
+        product = v * F.lit(scale)
+        high = v * F.lit(_SPLIT) - (v * F.lit(_SPLIT) - v)
+        error = (high * F.lit(scale) - product) + (v - high) * F.lit(scale)
+        base = F.floor(product).cast("double")
+        frac = product - base
+        odd = base % F.lit(2.0) != F.lit(0.0)
+        up = (frac > 0.5) | ((frac == 0.5) & ((error > 0.0) | ((error == 0.0) & odd)))
+        return (base + F.when(up, 1.0).otherwise(0.0)) / F.lit(scale)
+
+    return let(x, body)
 
 
 def round_columns(df: DataFrame, digits: dict[str, int]) -> DataFrame:

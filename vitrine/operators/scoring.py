@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.ladders import count_true, ladder, text
+from ..functions.ladders import count_true, ladder, let, text
 from ..functions.rounding import clip, round_columns
 
 # Categories that never publish product prices.
@@ -163,20 +163,25 @@ def visual_risk(df: DataFrame) -> DataFrame:
             "second_signal": F.greatest(F.least(r, l), F.least(r, m), F.least(l, m)),
         }
     )
-    top, second, base = F.col("top_signal"), F.col("second_signal"), F.col("linear_base")
-    composite = ladder(
-        [
-            (F.col("n_severe") >= 2, F.greatest(base, F.lit(0.55) * top + F.lit(0.35) * second + F.lit(0.10) * base)),
-            (
-                (F.col("n_severe") == 1) & (F.col("n_moderate") >= 2),
-                F.greatest(base, F.lit(0.45) * top + F.lit(0.30) * second + F.lit(0.25) * base),
-            ),
-        ],
-        base,
-    )
-    df = df.withColumn("composite", composite)
-    guarded = F.when((F.col("reuse_risk") == 0.0) & (F.col("logo_in") < 50.0), F.least(F.col("composite"), F.lit(38.0)))
-    df = df.withColumn("visual_risk_score", clip(guarded.otherwise(F.col("composite")), 0.0, 100.0))
+
+    # bound once: filters pushed through these columns must not multiply their inputs
+    def composite(p: Column) -> Column:
+        top, second, base = p["top_signal"], p["second_signal"], p["linear_base"]
+        return ladder(
+            [
+                (p["n_severe"] >= 2, F.greatest(base, F.lit(0.55) * top + F.lit(0.35) * second + F.lit(0.10) * base)),
+                (
+                    (p["n_severe"] == 1) & (p["n_moderate"] >= 2),
+                    F.greatest(base, F.lit(0.45) * top + F.lit(0.30) * second + F.lit(0.25) * base),
+                ),
+            ],
+            base,
+        )
+
+    inputs = F.struct("top_signal", "second_signal", "linear_base", "n_severe", "n_moderate")
+    df = df.withColumn("composite", let(inputs, composite))
+    capped = lambda p: F.when((p["reuse_risk"] == 0.0) & (p["logo_in"] < 50.0), F.least(p["composite"], F.lit(38.0))).otherwise(p["composite"])
+    df = df.withColumn("visual_risk_score", clip(let(F.struct("reuse_risk", "logo_in", "composite"), capped), 0.0, 100.0))
     df = round_columns(df, {"visual_risk_score": 1})
     return df.withColumns(
         {
@@ -217,18 +222,19 @@ def base_fusion(df: DataFrame) -> DataFrame:
     t = F.coalesce(F.col("text_risk_score"), F.lit(18.0))
     v = F.coalesce(F.col("visual_risk_score"), F.lit(20.0))
     df = df.withColumns({"text_in": t, "visual_in": v})
-    t, v = F.col("text_in"), F.col("visual_in")
-    raw = ladder(
-        [
-            (v >= 70.0, F.greatest(v, F.lit(0.15) * t + F.lit(0.85) * v)),
-            (v >= 40.0, F.lit(0.30) * t + F.lit(0.70) * v),
-            (
-                (t >= 70.0) & ~F.col("non_retail"),
-                F.greatest(F.lit(45.0), F.lit(0.55) * t + F.lit(0.45) * v),
-            ),
-        ],
-        F.lit(0.35) * t + F.lit(0.65) * v,
-    )
+
+    def blend(p: Column) -> Column:
+        t, v = p["text_in"], p["visual_in"]
+        return ladder(
+            [
+                (v >= 70.0, F.greatest(v, F.lit(0.15) * t + F.lit(0.85) * v)),
+                (v >= 40.0, F.lit(0.30) * t + F.lit(0.70) * v),
+                ((t >= 70.0) & ~p["non_retail"], F.greatest(F.lit(45.0), F.lit(0.55) * t + F.lit(0.45) * v)),
+            ],
+            F.lit(0.35) * t + F.lit(0.65) * v,
+        )
+
+    raw = let(F.struct("text_in", "visual_in", "non_retail"), blend)
     deduction = (
         F.when(F.col("sig_contact") & F.col("sig_policy") & F.col("sig_about"), 5.0).otherwise(0.0)
         + F.when(F.col("sig_social"), 3.0).otherwise(0.0)
@@ -262,21 +268,22 @@ def severe_signals(df: DataFrame) -> DataFrame:
 
 def corroboration_gate(df: DataFrame) -> DataFrame:
     """I7. Escalate only corroborated risk; bound every isolated anomaly."""
-    fused = F.col("fused_score")
-    gated = ladder(
-        [
-            (F.col("severe_count") >= 2, F.greatest(F.lit(80.0), fused)),
-            (
-                (F.col("severe_count") == 1) & (F.col("reuse_val") >= 88.0) & ~F.col("is_supplier"),
-                F.least(F.lit(74.0), F.greatest(F.lit(55.0), fused)),
-            ),
-            (
-                (F.col("reuse_val") == 0.0) | F.col("is_supplier"),
-                F.least(fused, F.when(F.col("is_supplier"), 38.0).otherwise(32.0)),
-            ),
-        ],
-        F.least(F.lit(64.0), fused),
-    )
+
+    def gate(p: Column) -> Column:
+        fused, severe, supplier = p["fused_score"], p["severe_count"], p["is_supplier"]
+        return ladder(
+            [
+                (severe >= 2, F.greatest(F.lit(80.0), fused)),
+                (
+                    (severe == 1) & (p["reuse_val"] >= 88.0) & ~supplier,
+                    F.least(F.lit(74.0), F.greatest(F.lit(55.0), fused)),
+                ),
+                ((p["reuse_val"] == 0.0) | supplier, F.least(fused, F.when(supplier, 38.0).otherwise(32.0))),
+            ],
+            F.least(F.lit(64.0), fused),
+        )
+
+    gated = let(F.struct("fused_score", "severe_count", "is_supplier", "reuse_val"), gate)
     df = df.withColumn("final_score", clip(gated, 5.0, 100.0))
     return round_columns(df, {"final_score": 1})
 
