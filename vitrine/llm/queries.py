@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, near_duplicates, pseudonyms, toxicity
+from . import decontamination, grid_join, mixing, near_duplicates, pseudonyms, toxicity, web_archives
 from .staging import crc_of_id, ready
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,16 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     lexicon = toxicity.fit(docs.where(~held_out), table(spark, sf_dir, "labels").where(~held_out))
     scored = toxicity.score_toxicity(docs, lexicon)
     return scored.select("doc_id", held_out.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.3).cast("int").alias("predicted"), "n_hits")
+
+
+@register
+def op3_web_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as it comes back from the archives, in the order of the merged capture index."""
+    index = web_archives.archive_pages(table(spark, sf_dir, "pages"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "timestamp", "intact")
+
+
+@register
+def op10_similar_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of vectors of cosine 0.95 and more."""
+    return grid_join.similar_vectors(table(spark, sf_dir, "embeddings"), 0.95)
