@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, grid_join, mixing, near_duplicates, pseudonyms, toxicity, web_archives
+from . import decontamination, grid_join, language_id, mixing, near_duplicates, pseudonyms, toxicity, web_archives
 from .staging import crc_of_id, ready
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,12 @@ def op3_web_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_similar_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of vectors of cosine 0.95 and more."""
     return grid_join.similar_vectors(table(spark, sf_dir, "embeddings"), 0.95)
+
+
+@register
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from three quarters of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = crc_of_id("doc_id", 4) == 2
+    model = language_id.fit(docs.where(~held_out).select("text", "lang"))
+    return language_id.predict_languages(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
