@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, grid_join, language_id, mixing, near_duplicates, pseudonyms, toxicity, web_archives
+from . import class_model, decontamination, grid_join, language_id, mixing, near_duplicates, pseudonyms, toxicity, web_archives
 from .staging import crc_of_id, ready
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,9 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = crc_of_id("doc_id", 4) == 2
     model = language_id.fit(docs.where(~held_out).select("text", "lang"))
     return language_id.predict_languages(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@register
+def op9_class_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every document under a class bigram model of six sevenths of them."""
+    return class_model.score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), 7, 2)
