@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import class_model, decontamination, grid_join, language_id, mixing, near_duplicates, pseudonyms, toxicity, web_archives
+from . import class_model, decontamination, grid_join, language_id, mixing, near_duplicates, pseudonyms, repeats, toxicity, web_archives
 from .staging import crc_of_id, ready
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,9 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_class_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log10 probability of every document under a class bigram model of six sevenths of them."""
     return class_model.score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), 7, 2)
+
+
+@register
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the 50-byte strings that an earlier one has."""
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
