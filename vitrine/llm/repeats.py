@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .near_duplicates import _groups
 from .shingles import inverse_powers, mix, powers, text_bytes
-from .staging import ready, staged
+from .staging import bucketed, ready, staged
 
 MIN_LENGTH = 50
 GRAM = 20
@@ -35,7 +35,7 @@ BUCKET_KEYS, BUCKET_STRETCHES = 1 << 21, 1 << 18
 _PLACE = np.uint64(24)
 _KEY = np.uint64((1 << 40) - 1)
 _LETTER = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-_ROW = "part long, kind int, bucket int, doc_id array<long>, length array<long>, text binary, keys binary, flags binary"
+_ROW = "part long, doc_id array<long>, length array<long>, text binary, keys binary, flags binary"
 
 
 def stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,7 +107,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edge = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
         several = np.minimum.reduceat(row, edge) != np.maximum.reduceat(row, edge) if len(edge) else np.zeros(0, bool)
         yield pa.RecordBatch.from_pydict({
-            "part": pa.array([uuid.uuid4().int >> 65], pa.int64()), "kind": pa.array([0], pa.int32()), "bucket": pa.array([0], pa.int32()),
+            "part": pa.array([uuid.uuid4().int >> 65], pa.int64()),
             "doc_id": pa.array([ids.tolist()], pa.list_(pa.int64())), "length": pa.array([np.diff(offsets).tolist()], pa.list_(pa.int64())),
             "text": [zstandard.ZstdCompressor(1).compress(data.tobytes())], "keys": [_five_bytes(keys[edge])], "flags": [np.packbits(several).tobytes()],
         })
@@ -119,6 +119,22 @@ def _texts(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return data, offsets, np.array(row["doc_id"], np.int64)
 
 
+def _squeeze(*arrays: np.ndarray) -> bytes:
+    """Arrays of numbers, like bytes of all numbers side by side, packed."""
+    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() for a in arrays]
+    return zstandard.ZstdCompressor(3).compress(b"".join(planes))
+
+
+def _unsqueeze(blob: bytes, *kinds: tuple[type, int]) -> list[np.ndarray]:
+    """Arrays of the given kinds and lengths."""
+    raw, at, out = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8), 0, []
+    for kind, n in kinds:
+        width = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(raw[at : at + n * width].reshape(width, n).T).view(kind).ravel())
+        at += n * width
+    return out
+
+
 def _edges(column: np.ndarray) -> np.ndarray:
     return np.append(np.flatnonzero(np.append(True, column[1:] != column[:-1])), len(column))
 
@@ -158,28 +174,33 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _prints(data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit fingerprints of data[starts : starts + size]."""
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_LETTER[data] * powers(len(data)), out=sums[1:])
+    return mix((sums[starts + size] - sums[starts]) * inverse_powers(max(len(data), 1))[starts] + size.astype(np.uint64))
+
+
 def _send(bits: int, out_bits: int):
     """The texts of stretches whose keys are shared, by key bucket; equal texts of a part once, with all places."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _groups(batches, ["part"]):
-            edge = _edges(table.column("part").to_numpy())
-            for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
-                row = {c: table.column(c)[lo].as_py() for c in ("part", "doc_id", "length", "text", "keys")}
-                known = _keys_of(row["keys"])
-                at = np.searchsorted(known >> np.uint64(40 - bits), np.arange(2**bits + 1))
-                shared = np.zeros(len(known), bool)
-                for b, flags in zip(table.column("bucket").slice(lo + 1, hi - lo - 1).to_pylist(), table.column("flags").slice(lo + 1, hi - lo - 1).to_pylist()):
-                    shared[at[b] : at[b + 1]] = np.unpackbits(np.frombuffer(flags, np.uint8), count=at[b + 1] - at[b])
+        for batch in batches:
+            for row in batch.to_pylist():
                 data, offsets, ids = _texts(row)
                 keys, starts, windows, doc = _distinct(data, offsets, ids)
+                known = np.unique(keys)
+                at = np.searchsorted(known >> np.uint64(40 - bits), np.arange(2**bits + 1))
+                shared = np.zeros(len(known), bool)
+                for answer in row["answers"] or []:
+                    b = answer["bucket"]
+                    shared[at[b] : at[b + 1]] = np.unpackbits(np.frombuffer(answer["flags"], np.uint8), count=at[b + 1] - at[b])
                 pick = shared[np.searchsorted(known, keys)] if len(known) else np.zeros(0, bool)
                 keys, starts, windows, doc = keys[pick], starts[pick], windows[pick], doc[pick]
                 if not len(keys):
                     continue
                 size = windows + MIN_LENGTH - 1
-                sums = np.concatenate([[0], np.cumsum(_LETTER[data] * powers(len(data)), dtype=np.uint64)]).astype(np.uint64)
-                prints = mix((sums[starts + size] - sums[starts]) * inverse_powers(len(data))[starts] + size.astype(np.uint64))
+                prints = _prints(data, starts, size)
                 order = np.lexsort((ids[doc], prints, keys))
                 keys, starts, size, doc, prints = keys[order], starts[order], size[order], doc[order], prints[order]
                 new = np.append(True, (keys[1:] != keys[:-1]) | (prints[1:] != prints[:-1]))
@@ -193,16 +214,16 @@ def _send(bits: int, out_bits: int):
                     index = np.repeat(starts[texts] - begin, lengths) + np.arange(lengths.sum())
                     yield pa.RecordBatch.from_pydict({
                         "bucket": pa.array([b], pa.int32()), "part": pa.array([row["part"]], pa.int64()),
-                        "body": [zstandard.ZstdCompressor(1).compress(data[index].tobytes())], "keys": [_five_bytes(keys[texts])],
-                        "prints": [prints[texts].tobytes()], "size": [lengths.astype(np.uint8).tobytes()],
-                        "times": [np.diff(np.append(texts, q)).astype(np.uint32).tobytes()],
-                        "doc": [ids[doc[p:q]].tobytes()], "row": [doc[p:q].astype(np.uint32).tobytes()], "start": [(starts[p:q] - offsets[doc[p:q]]).astype(np.uint64).tobytes()],
+                        "n_texts": pa.array([len(texts)], pa.int64()), "n_places": pa.array([q - p], pa.int64()),
+                        "body": [zstandard.ZstdCompressor(3).compress(data[index].tobytes())],
+                        "texts": [_squeeze(np.diff(keys[texts], prepend=np.uint64(0)), lengths.astype(np.uint8), np.diff(np.append(texts, q)).astype(np.uint32))],
+                        "places": [_squeeze(ids[doc[p:q]], doc[p:q].astype(np.uint32), starts[p:q] - offsets[doc[p:q]])],
                     })
 
     return send
 
 
-_SENT = "bucket int, part long, body binary, keys binary, prints binary, size binary, times binary, doc binary, row binary, start binary"
+_SENT = "bucket int, part long, n_texts long, n_places long, body binary, texts binary, places binary"
 _FOUND = "part long, bucket int, group binary, row binary, doc binary, start binary, length binary, first_doc binary, n_docs binary"
 
 
@@ -246,14 +267,15 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _match_bucket(table: pa.Table) -> Iterator[pa.RecordBatch]:
     unpack = zstandard.ZstdDecompressor()
     part_ids, bucket = table.column("part").to_pylist(), table.column("bucket")[0].as_py()
-    blob = lambda name, kind: [np.frombuffer(b, kind) for b in table.column(name).to_pylist()]
-    keys = np.concatenate([_keys_of(b) for b in table.column("keys").to_pylist()])
-    prints, size = np.concatenate(blob("prints", np.uint64)), np.concatenate(blob("size", np.uint8)).astype(np.int64)
-    times, docs = np.concatenate(blob("times", np.uint32)).astype(np.int64), np.concatenate(blob("doc", np.int64))
-    rows = blob("row", np.uint32)
-    part = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    rows, starts = np.concatenate(rows), np.concatenate(blob("start", np.uint64)).astype(np.int64)
+    counts = list(zip(table.column("n_texts").to_pylist(), table.column("n_places").to_pylist()))
+    texts = [_unsqueeze(t, (np.uint64, n), (np.uint8, n), (np.uint32, n)) for t, (n, _) in zip(table.column("texts").to_pylist(), counts)]
+    places = [_unsqueeze(t, (np.int64, n), (np.uint32, n), (np.int64, n)) for t, (_, n) in zip(table.column("places").to_pylist(), counts)]
+    keys = np.concatenate([np.cumsum(t[0], dtype=np.uint64) for t in texts])
+    size, times = np.concatenate([t[1] for t in texts]).astype(np.int64), np.concatenate([t[2] for t in texts]).astype(np.int64)
+    docs, rows, starts = (np.concatenate([p[i] for p in places]) for i in range(3))
+    part = np.repeat(np.arange(len(places)), [len(p[0]) for p in places])
     body = np.frombuffer(b"".join(unpack.decompress(b) for b in table.column("body").to_pylist()), np.uint8)
+    prints = _prints(body, np.cumsum(size) - size, size)
     begin = np.cumsum(size) - size
     # equal texts of different parts become one; places are sorted by text
     order = np.lexsort((size, prints, keys))
@@ -390,7 +412,7 @@ def _suffix_groups(body: np.ndarray, begin: np.ndarray, size: np.ndarray, keys:
 
 def _parts(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    return staged(rows.mapInArrow(_pack, _ROW), "packed")
+    return bucketed(rows.mapInArrow(_pack, _ROW), "packed", "part")
 
 
 def _occurrences(parts: DataFrame) -> DataFrame:
@@ -400,13 +422,9 @@ def _occurrences(parts: DataFrame) -> DataFrame:
     asked = parts.select("part", "keys", "flags").mapInArrow(_ask(bits), "bucket int, part long, keys binary, flags binary")
     asked = asked.repartition(2**bits, "bucket").sortWithinPartitions("bucket", "part")
     answers = staged(asked.mapInArrow(_answer, "part long, bucket int, flags binary"), "shared")
+    answers = answers.groupBy("part").agg(F.collect_list(F.struct("bucket", "flags")).alias("answers"))
     out_bits = min(16, max(2, int(np.ceil(np.log2(max(total / BUCKET_STRETCHES / 4, 1))))))
-    empty = F.lit(None)
-    replies = answers.select(
-        "part", F.lit(1).alias("kind"), "bucket", empty.cast("array<long>").alias("doc_id"), empty.cast("array<long>").alias("length"),
-        empty.cast("binary").alias("text"), empty.cast("binary").alias("keys"), "flags",
-    )
-    met = parts.withColumn("flags", empty.cast("binary")).unionByName(replies).repartition("part").sortWithinPartitions("part", "kind", "bucket")
+    met = parts.select("part", "doc_id", "length", "text").join(answers.hint("shuffle_hash"), "part", "left")
     sent = met.mapInArrow(_send(bits, out_bits), _SENT).repartition(2**out_bits, "bucket").sortWithinPartitions("bucket", "part")
     return staged(sent.mapInArrow(_match, _FOUND), "repeats")
 
@@ -441,24 +459,21 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     ready(docs.sparkSession)
     parts = _parts(docs)
     spans = _occurrences(parts)
-    empty = F.lit(None)
     names = ["row", "start", "length", "first_doc", "doc"]
-    left = parts.select("part", F.lit(0).alias("kind"), "doc_id", "length", "text", *[empty.cast("binary").alias(f"s_{n}") for n in names])
-    right = spans.select("part", F.lit(1).alias("kind"), empty.cast("array<long>").alias("doc_id"), empty.cast("array<long>").alias("length"), empty.cast("binary").alias("text"), *[F.col(n).alias(f"s_{n}") for n in names])
-    met = left.unionByName(right).repartition("part").sortWithinPartitions("part", "kind")
+    spans = spans.groupBy("part").agg(F.collect_list(F.struct(*names)).alias("spans"))
+    met = parts.select("part", "doc_id", "length", "text").join(spans.hint("shuffle_hash"), "part", "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _groups(batches, ["part"]):
-            edge = _edges(table.column("part").to_numpy())
-            for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
-                data, offsets, ids = _texts({c: table.column(c)[lo].as_py() for c in ("doc_id", "length", "text")})
-                found = table.slice(lo + 1, hi - lo - 1)
+        for batch in batches:
+            for part in batch.to_pylist():
+                data, offsets, ids = _texts(part)
                 delta = np.zeros(len(data) + 1, np.int32)
-                for row, start, length, first, doc in zip(*(found.column(f"s_{n}").to_pylist() for n in names)):
-                    earlier = np.frombuffer(first, np.int64) < np.frombuffer(doc, np.int64)
-                    at = offsets[np.frombuffer(row, np.uint32)[earlier]] + np.frombuffer(start, np.int64)[earlier]
+                for span in part["spans"] or []:
+                    row, start, length, first, doc = (np.frombuffer(span[n], k) for n, k in zip(names, (np.uint32, np.int64, np.uint8, np.int64, np.int64)))
+                    earlier = first < doc
+                    at = offsets[row[earlier]] + start[earlier]
                     np.add.at(delta, at, 1)
-                    np.add.at(delta, at + np.frombuffer(length, np.uint8)[earlier], -1)
+                    np.add.at(delta, at + length[earlier], -1)
                 gone = np.cumsum(delta[:-1]) > 0
                 copies = _first_copies(data, offsets, ids)
                 out = []

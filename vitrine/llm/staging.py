@@ -13,6 +13,7 @@ from ..session import checkpoint_dir, prepare
 #: Arrow batches stay small for long texts; unknown to older versions, where it has no effect.
 BATCH_BYTES = 8 << 20
 _written: list[str] = []
+_tables: list[str] = []
 
 
 def ready(spark: SparkSession) -> SparkSession:
@@ -37,8 +38,20 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
+    """Like :func:`staged`, in buckets of ``column``, so that joins on it later leave the table where it is."""
+    spark = df.sparkSession
+    path, table = shared_path(spark, name), f"vitrine_{name}_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.option("compression", "zstd").option("path", path).bucketBy(n, column).saveAsTable(table)
+    _tables.append(table)
+    return spark.table(table)
+
+
 def release(spark: SparkSession) -> None:
     """Delete what this process staged; call it when the results have been written."""
+    while _tables:
+        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
     while _written:
         path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
