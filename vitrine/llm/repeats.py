@@ -29,8 +29,9 @@ MIN_LENGTH = 50
 GRAM = 20
 SPAN = MIN_LENGTH - GRAM + 1  # k-grams of a window
 #: Bytes that are hashed at a time; longer texts are cut, with an overlap that leaves every window in one cut.
-CUT = 1 << 21
-#: Minimizers, and stretches, of one bucket.
+CUT = 1 << 20
+#: Suffixes that are sorted at a time (more only for one key); minimizers, and stretches, of one bucket.
+SUFFIXES = 1 << 18
 BUCKET_KEYS, BUCKET_STRETCHES = 1 << 21, 1 << 18
 _PLACE = np.uint64(24)
 _KEY = np.uint64((1 << 40) - 1)
@@ -175,10 +176,17 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prints(data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """64-bit fingerprints of data[starts : starts + size]."""
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_LETTER[data] * powers(len(data)), out=sums[1:])
-    return mix((sums[starts + size] - sums[starts]) * inverse_powers(max(len(data), 1))[starts] + size.astype(np.uint64))
+    """64-bit fingerprints of data[starts : starts + size]; ``starts`` ascend. Done CUT bytes at a time."""
+    out, lo = np.zeros(len(starts), np.uint64), 0
+    while lo < len(starts):
+        hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + CUT)))
+        piece = data[starts[lo] : int((starts[hi - 1] + size[hi - 1]))]
+        sums = np.zeros(len(piece) + 1, np.uint64)
+        np.cumsum(_LETTER[piece] * powers(len(piece)), out=sums[1:])
+        at = starts[lo:hi] - starts[lo]
+        out[lo:hi] = mix((sums[at + size[lo:hi]] - sums[at]) * inverse_powers(len(piece))[at] + size[lo:hi].astype(np.uint64))
+        lo = hi
+    return out
 
 
 def _send(bits: int, out_bits: int):
@@ -303,7 +311,7 @@ def _match_bucket(table: pa.Table) -> Iterator[pa.RecordBatch]:
     total = np.cumsum(windows)
     lo = 0
     while lo < len(texts):
-        hi = int(np.searchsorted(total, (total[lo - 1] if lo else 0) + (1 << 20), "right"))
+        hi = int(np.searchsorted(total, (total[lo - 1] if lo else 0) + SUFFIXES, "right"))
         hi = max(hi, lo + 1)
         while hi < len(texts) and keys[texts[hi]] == keys[texts[hi - 1]]:
             hi += 1
