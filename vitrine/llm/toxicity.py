@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .staging import keep_columns, ready
+from .staging import keep_columns, ready, staged
 
 # Look-alikes of Latin letters in other scripts, then digits and signs used for letters.
 HOMOGLYPHS = "аеорсухіјѕԁһΑΒΕΖΗΙΚΜΝΟΡΤΥΧαοραν" "０１２３４５６７８９"
@@ -25,7 +25,7 @@ HOMOGLYPHS_TO = "aeopcyxijsdhabezhikmnoptyxaopav" "0123456789"
 SUBSTITUTES, SUBSTITUTES_TO = "0134578@$!|€", "oieastbasiie"
 
 #: Labelled rows that a lexicon is learned from at most: the smallest by a hash of the id.
-TRAIN_ROWS = 50_000
+TRAIN_ROWS = 12_000
 #: Entries that a learned lexicon has at most, the heaviest first.
 LEXICON_SIZE = 4_000
 PREFIX_LENGTHS = range(4, 9)
@@ -121,13 +121,18 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, size:
     ready(docs.sparkSession)
     marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.min("toxic").alias("_low"), F.max("toxic").alias("_toxic")).where("_low = _toxic")
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows).select("doc_id", "_toxic")
-    sample = docs.select("doc_id", fold(F.col("text")).alias("_folded")).join(marks, "doc_id")
-    tokens = F.array_distinct(F.regexp_extract_all("_folded", F.lit(r"[\p{L}\p{N}]+"), 0))
-    per_doc = sample.select("_toxic", F.explode(tokens).alias("word"), F.xxhash64("doc_id", "_folded").alias("_doc")).where("length(word) between 3 and 40")
+    sample = docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id")  # at most train_rows ids
+    sample = staged(sample.select("_toxic", "text"), "labelled")
+    tokens = F.array_distinct(F.filter(F.regexp_extract_all(fold(F.col("text")), F.lit(r"[\p{L}\p{N}]+"), 0), lambda w: F.length(w).between(3, 40)))
+    per_doc = sample.select("_toxic", tokens.alias("words"))
+
+    def beginnings(n: int) -> Column:
+        longer = F.filter("words", lambda w: F.length(w) > n)
+        return F.array_distinct(F.transform(longer, lambda w: F.substr(w, F.lit(1), F.lit(n))))
+
     count = [F.sum("_toxic").alias("pos"), F.sum(1 - F.col("_toxic")).alias("neg")]
-    words = per_doc.groupBy("word").agg(*count)
-    starts = per_doc.select("_doc", "_toxic", F.explode(F.array(*[F.when(F.length("word") > n, F.substr("word", F.lit(1), F.lit(n))) for n in PREFIX_LENGTHS])).alias("start")).where("start is not null")
-    starts = starts.distinct().groupBy("start").agg(*count)
+    words = staged(per_doc.select("_toxic", F.explode("words").alias("word")).groupBy("word").agg(*count), "words")
+    starts = per_doc.select("_toxic", F.explode(F.flatten(F.array(*map(beginnings, PREFIX_LENGTHS)))).alias("start")).groupBy("start").agg(*count)
     n_pos, n_neg = sample.agg(F.coalesce(F.sum("_toxic"), F.lit(0)), F.coalesce(F.sum(1 - F.col("_toxic")), F.lit(0))).first()
     ratio = F.log(((F.col("pos") + 0.5) / (n_pos + 1.0)) / ((F.col("neg") + 0.5) / (n_neg + 1.0)))
     weight = F.round(ratio - F.sqrt(1.0 / (F.col("pos") + 0.5) + 1.0 / (F.col("neg") + 0.5)), 6)
@@ -151,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, size:
         spared = words.where(under & (F.col("neg") >= 2) & (F.col("neg") * (n_pos + 1.0) >= F.col("pos") * (n_neg + 1.0)))
         exceptions = tuple(r[0] for r in spared.orderBy(F.desc("neg"), "word").limit(size).collect())
     lexicon = Lexicon(entries, prefixes, exceptions)
-    seen = _features(docs.join(F.broadcast(marks) if train_rows <= TRAIN_ROWS else marks, "doc_id"), lexicon, ["_toxic"])
+    seen = _features(sample, lexicon, ["_toxic"])
     rows = np.array([tuple(r) for r in seen.select("_toxic", "weight", "n_folded").collect()], float).reshape(-1, 3)
     return _calibrated(lexicon, rows)
 
