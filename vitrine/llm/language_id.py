@@ -196,9 +196,12 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_
     ready(docs.sparkSession)
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     hashed = labelled.select("lang", "text", F.xxhash64("text").alias("h"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    rank = lambda *keys: F.row_number().over(Window.partitionBy("lang", *keys).orderBy("h"))
     at = F.pmod(F.col("h"), F.greatest(F.length("text") - train_bytes, F.lit(1))) + 1
-    sample = hashed.select("lang", "h", F.substr("text", at.cast("int"), F.lit(train_bytes)).alias("piece")).withColumn("rank", rank).where(F.col("rank") <= train_docs)
+    pieces = hashed.select("lang", "h", F.substr("text", at.cast("int"), F.lit(train_bytes)).alias("piece"))
+    # first in 64 parts, so that the rows of a common language never meet in one task
+    pieces = pieces.withColumn("part", F.pmod("h", F.lit(64))).withColumn("rank", rank("part")).where(F.col("rank") <= train_docs)
+    sample = pieces.withColumn("rank", rank()).where(F.col("rank") <= train_docs)
     rows = sample.orderBy("lang", "rank").select("lang", "piece").collect()
     return train([r[1].encode() for r in rows], [r[0] for r in rows])
 
