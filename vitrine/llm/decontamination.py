@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shingles import distinct_per_row, mix, row_chunks, shingle_hashes, text_bytes, word_hashes
-from .staging import keep_columns, ready
+from .staging import ready
 
 SAMPLE = 64
 SMALLEST = 8
@@ -163,7 +163,6 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> Dat
 def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that hold no item of the benchmark; all columns stay, nothing is shuffled."""
     spark = ready(docs.sparkSession)
-    docs = keep_columns(docs, ["_search"])
     for block in _item_blocks(items):
         shared = spark.sparkContext.broadcast(block)
 
@@ -175,5 +174,5 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8)
                         keep[lo + row] = False
                 yield batch.filter(pa.array(keep)).select(batch.schema.names[:-1])
 
-        docs = docs.withColumn("_search", F.col("text")).mapInArrow(clean, docs.schema)
+        docs = docs.withColumn("__v_text", F.col("text")).mapInArrow(clean, docs.schema)
     return docs

@@ -34,7 +34,7 @@ def unit_rows(values: np.ndarray) -> np.ndarray:
 
 def principal_axes(units: np.ndarray, n: int = LEADING) -> np.ndarray:
     """The leading principal directions (columns)."""
-    vectors = np.linalg.eigh(np.cov(units, rowvar=False) if len(units) > 1 else np.eye(units.shape[1]))[1]
+    vectors = np.linalg.eigh(np.atleast_2d(np.cov(units, rowvar=False)) if len(units) > 1 else np.eye(units.shape[1]))[1]
     return np.ascontiguousarray(vectors[:, ::-1][:, :n])
 
 

@@ -157,6 +157,8 @@ def pooled(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Mean probabilities (rows x languages) over all positions of each row; zeros for an empty row."""
     n = len(offsets) - 1
     lengths = np.diff(offsets)
+    if not model.languages:
+        return np.zeros((n, 1))
     pieces = -(-lengths // SEGMENT)
     row = np.repeat(np.arange(n), pieces)
     begin = offsets[:-1][row] + (np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * SEGMENT

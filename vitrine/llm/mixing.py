@@ -75,7 +75,8 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, share: fl
     often as needed, and the document at the border is used in part. ``position`` and ``repeat_position`` are the
     times in [0, 1] at which the first and the second use begin (null: not used). Rows come range-sorted by
     position. Repeated rows are separate documents, null sources one source, empty texts take nothing, an
-    empty table gives no rows; columns of the names above are replaced. No text is shuffled but that of the
+    empty table gives no rows; columns of the names above are
+    replaced, others stay (names that begin with ``__v_`` are reserved). No text is shuffled but that of the
     final sort, and a source of any share of the rows is summed in ``buckets`` parts.
     """
     made = ("size", "source_size", "target", "taken", "position", "repeat_position")
@@ -83,23 +84,24 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, share: fl
     sized = docs.withColumn("size", words(F.col("text")))
     targets = source_targets(sized, weights, schedules, share, cap)
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    sized = sized.withColumn("_order", order).withColumn("_bucket", F.conv(F.substring("_order", 1, 4), 16, 10).cast("int") % buckets)
-    spans = sized.groupBy("source", "_bucket").agg(F.sum("size").alias("_words"))
-    earlier = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    spans = spans.select("source", "_bucket", F.coalesce(F.sum("_words").over(earlier), F.lit(0)).alias("_base")).join(
-        targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))
-    ).drop("_source").withColumnsRenamed({"source": "_source", "_bucket": "_part"})
-    within = Window.partitionBy("source", "_bucket").orderBy("_order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sized.withColumn("_before", F.coalesce(F.sum("size").over(within), F.lit(0))).join(
-        spans, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_bucket") == F.col("_part"))
+    sized = sized.withColumn("__v_order", order).withColumn("__v_bucket", F.conv(F.substring("__v_order", 1, 4), 16, 10).cast("int") % buckets)
+    spans = sized.groupBy("source", "__v_bucket").agg(F.sum("size").alias("words"))
+    earlier = Window.partitionBy("source").orderBy("__v_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select(F.col("source").alias("__v_source"), F.col("__v_bucket").alias("__v_part"), F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("__v_base"))
+    spans = spans.join(
+        targets.select(F.col("source").alias("__v_of"), "source_size", "target", F.col("schedule").alias("__v_schedule")), F.col("__v_source").eqNullSafe(F.col("__v_of"))
+    ).drop("__v_of")
+    within = Window.partitionBy("source", "__v_bucket").orderBy("__v_order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sized.withColumn("__v_before", F.coalesce(F.sum("size").over(within), F.lit(0))).join(
+        spans, F.col("source").eqNullSafe(F.col("__v_source")) & (F.col("__v_bucket") == F.col("__v_part"))
     )
     size, whole = F.col("size"), F.col("source_size")
     goal = F.round("target").cast("long")
-    start = F.col("_base") + F.col("_before")
+    start = F.col("__v_base") + F.col("__v_before")
     times = F.when(whole > 0, F.floor(goal / whole)).otherwise(0).cast("long")
     rest = goal - times * whole
     partial = F.greatest(F.least(rest - start, size), F.lit(0))
     placed = placed.withColumn("taken", times * size + partial)
-    share_at = lambda use: F.when(F.col("taken") > use * size, time_of((start + use * whole) / goal.cast("double"), F.col("schedule")))
+    share_at = lambda use: F.when(F.col("taken") > use * size, time_of((start + use * whole) / goal.cast("double"), F.col("__v_schedule")))
     placed = placed.withColumn("position", share_at(0)).withColumn("repeat_position", share_at(1))
-    return placed.orderBy(F.col("position").asc_nulls_last(), "source", "_order", "doc_id").select(*docs.columns, *made)
+    return placed.orderBy(F.col("position").asc_nulls_last(), "source", "__v_order", "doc_id").select(*docs.columns, *made)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .shingles import distinct_per_row, mix, row_chunks, shingle_hashes, text_bytes, word_hashes
-from .staging import keep_columns, ready, staged
+from .staging import ready, staged
 
 BANDS, BAND_ROWS = 28, 5
 SAMPLE = BANDS * BAND_ROWS
@@ -236,7 +236,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.85) -> DataFrame:
     shared = ["set_sum", "set_xor", "n_shingles"]
     classes = signed.where("n_shingles > 0").groupBy(*shared).agg(F.min("doc_id").alias("rep"))
     classes = staged(classes, "classes")
-    reps = signed.where("n_shingles > 0").join(classes, [*shared, ]).where("doc_id = rep").dropDuplicates(["rep", *shared])
+    reps = signed.where("n_shingles > 0").join(classes, shared).where("doc_id = rep").dropDuplicates(["rep", *shared])
     reps = staged(reps.select("rep", "n_shingles", "bands", "sketch"), "representatives")
 
     keyed = reps.select("rep", F.explode("bands").alias("key"))
@@ -274,8 +274,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that stay when each group of near duplicates keeps its smallest doc_id.
 
-    Documents without words all stay. Of rows that repeat one doc_id and text, each stays if that id stays.
+    Documents without words, and rows without a doc_id, all stay. Of rows that repeat one doc_id and text, each stays if that id stays.
     """
-    gone = near_duplicates(docs, threshold).where("not kept").select(F.col("doc_id").alias("_gone"))
-    clean = keep_columns(docs, ["_gone"])
-    return clean.join(gone.distinct().hint("shuffle_hash"), F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs, threshold).where("not kept").select(F.col("doc_id").alias("__v_gone"))
+    return docs.join(gone.distinct().hint("shuffle_hash"), F.col("doc_id") == F.col("__v_gone"), "left_anti")

@@ -187,7 +187,7 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     validation (Luhn sum, IBAN remainder, calendar, octets, number ranges, digits of a phone number) stays as it is.
     Mail addresses keep their domain, phone numbers their country code. A null text stays null with n_pii 0,
     repeated rows each get their result, an empty table gives no rows; input columns named ``n_pii`` or
-    ``pii_kinds`` are replaced. Runs row by row without a shuffle.
+    ``pii_kinds`` are replaced, others stay (names that begin with ``__v_`` are reserved). Runs row by row without a shuffle.
     """
     made = ("n_pii", "pii_kinds")
     docs = keep_columns(docs, made)
@@ -200,13 +200,13 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
 
     text = F.col("text")
     found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), 0)).otherwise(F.array().cast("array<string>"))
-    docs = docs.withColumn("_found", found)
-    docs = docs.withColumn("_new", F.transform("_found", replaced))
-    done = F.filter(F.transform("_new", lambda v: F.when(v["value"].isNotNull(), v["kind"])), lambda k: k.isNotNull())
+    docs = docs.withColumn("__v_found", found)
+    docs = docs.withColumn("__v_new", F.transform("__v_found", replaced))
+    done = F.filter(F.transform("__v_new", lambda v: F.when(v["value"].isNotNull(), v["kind"])), lambda k: k.isNotNull())
     between = F.split(text, ANY, -1)
-    parts = F.zip_with(F.zip_with("_found", "_new", lambda old, new: F.coalesce(new["value"], old)), between, lambda v, gap: F.concat(gap, F.coalesce(v, F.lit(""))))
-    rebuilt = F.when(F.size("_found") > 0, F.array_join(parts, "")).otherwise(text)
-    kept = [rebuilt.alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("_found", "_new")]
+    parts = F.zip_with(F.zip_with("__v_found", "__v_new", lambda old, new: F.coalesce(new["value"], old)), between, lambda v, gap: F.concat(gap, F.coalesce(v, F.lit(""))))
+    rebuilt = F.when(F.size("__v_found") > 0, F.array_join(parts, "")).otherwise(text)
+    kept = [rebuilt.alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("__v_found", "__v_new")]
     kinds = F.coalesce(done, F.array().cast("array<string>"))
     return docs.select(*kept, F.size(kinds).cast("long").alias("n_pii"), kinds.alias("pii_kinds"))
 

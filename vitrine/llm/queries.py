@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import class_model, decontamination, grid_join, language_id, mixing, near_duplicates, pseudonyms, repeats, toxicity, web_archives
+from .oracles import ORACLES
 from .staging import crc_of_id, ready
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 #: Key of the registered query; a deployment passes its own.
 DEMO_KEY = "vitrine demonstration key"
 
@@ -69,7 +69,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_web_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as it comes back from the archives, in the order of the merged capture index."""
     index = web_archives.archive_pages(table(spark, sf_dir, "pages"))
-    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "timestamp", "intact")
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "timestamp", "intact")
 
 
 @register

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .staging import keep_columns, ready, staged
+from .staging import ready, staged
 
 # Look-alikes of Latin letters in other scripts, then digits and signs used for letters.
 HOMOGLYPHS = "аеорсухіјѕԁһΑΒΕΖΗΙΚΜΝΟΡΤΥΧαοραν" "０１２３４５６７８９"
@@ -89,8 +89,8 @@ def _matches(automaton: ahocorasick.Automaton, text: str) -> tuple[int, float]:
 
 
 def _features(docs: DataFrame, lexicon: Lexicon, columns: list[str]) -> DataFrame:
-    """``columns`` with n_hits, weight and n_folded (characters)."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema) + ", n_hits long, weight double, n_folded long"
+    """``columns`` with entries found, their weight and the folded text's characters."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema) + ", __v_hits long, __v_weight double, __v_folded long"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
@@ -99,10 +99,10 @@ def _features(docs: DataFrame, lexicon: Lexicon, columns: list[str]) -> DataFram
             hits = [_matches(automaton, t) if len(automaton) else (0, 0.0) for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[: len(columns)], pa.array([h[0] for h in hits], pa.int64()), pa.array([h[1] for h in hits], pa.float64()), pa.array([len(t) for t in texts], pa.int64())],
-                names=[*columns, "n_hits", "weight", "n_folded"],
+                names=[*columns, "__v_hits", "__v_weight", "__v_folded"],
             )
 
-    return docs.select(*columns, fold(F.col("text")).alias("_folded")).mapInArrow(scan, schema)
+    return docs.select(*columns, fold(F.col("text")).alias("__v_text")).mapInArrow(scan, schema)
 
 
 def _signals(weight: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,7 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, size:
         exceptions = tuple(r[0] for r in spared.orderBy(F.desc("neg"), "word").limit(size).collect())
     lexicon = Lexicon(entries, prefixes, exceptions)
     seen = _features(sample, lexicon, ["_toxic"])
-    rows = np.array([tuple(r) for r in seen.select("_toxic", "weight", "n_folded").collect()], float).reshape(-1, 3)
+    rows = np.array([tuple(r) for r in seen.select("_toxic", "__v_weight", "__v_folded").collect()], float).reshape(-1, 3)
     return _calibrated(lexicon, rows)
 
 
@@ -186,17 +186,15 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """
     ready(docs.sparkSession)
     out = _features(docs, lexicon, ["doc_id"])
-    total = F.log1p("weight")
-    rate = F.log1p(1000.0 * F.col("weight") / F.greatest(F.col("n_folded"), F.lit(200)))
-    z = lexicon.bias + lexicon.scale_total * total + lexicon.scale_rate * rate
-    return out.select("doc_id", "n_hits", F.col("weight").alias("hit_weight"), (1.0 / (1.0 + F.exp(-z))).alias("toxicity"))
+    return out.select("doc_id", F.col("__v_hits").alias("n_hits"), F.col("__v_weight").alias("hit_weight"), _score(lexicon).alias("toxicity"))
+
+
+def _score(lexicon: Lexicon) -> Column:
+    total, rate = F.log1p("__v_weight"), F.log1p(1000.0 * F.col("__v_weight") / F.greatest(F.col("__v_folded"), F.lit(200)))
+    return 1.0 / (1.0 + F.exp(-(lexicon.bias + lexicon.scale_total * total + lexicon.scale_rate * rate)))
 
 
 def drop_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose texts score below ``threshold``; all columns stay, nothing is shuffled."""
     ready(docs.sparkSession)
-    docs = keep_columns(docs, ["n_hits", "weight", "n_folded"])
-    scored = _features(docs, lexicon, docs.columns)
-    total, rate = F.log1p("weight"), F.log1p(1000.0 * F.col("weight") / F.greatest(F.col("n_folded"), F.lit(200)))
-    z = lexicon.bias + lexicon.scale_total * total + lexicon.scale_rate * rate
-    return scored.where(1.0 / (1.0 + F.exp(-z)) < threshold).select(*docs.columns)
+    return _features(docs, lexicon, docs.columns).where(_score(lexicon) < threshold).select(*docs.columns)
