@@ -77,16 +77,16 @@ def verify_candidates(pairs: DataFrame) -> DataFrame:
     ).withColumn("is_meaningful", ~F.col("is_soft") & (F.col("similarity") >= WEAK))
 
 
-def rank_candidates(verified: DataFrame, limit: int = 5) -> DataFrame:
+def rank_candidates(verified: DataFrame, limit: int | None = None) -> DataFrame:
     """F11. External before own, meaningful before soft, then by similarity and search order.
 
-    At most ``limit`` candidates per asset are searched for, so the rank never leaves
-    that bound and is cut inside the map tasks.
+    All candidates stay; with ``limit`` only the first ones per asset, cut inside the map tasks.
     """
     order = Window.partitionBy("asset_id").orderBy(
         (~F.col("is_self")).desc(), F.col("is_meaningful").desc(), F.col("similarity").desc(), "k"
     )
-    return verified.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+    ranked = verified.withColumn("rank", F.row_number().over(order))
+    return ranked if limit is None else ranked.filter(F.col("rank") <= limit)
 
 
 _TOP = ["candidate_id", "similarity", "similarity_pct", "source_type", "source_domain", "source_url", "title", "filename",

@@ -185,7 +185,8 @@ def merchant_crawl_status(attempts: DataFrame) -> DataFrame:
     """D3. SUCCESS if any page was fetched, else the error recorded last.
 
     A robots refusal of a later page is recorded only when nothing is left to try.
-    Needs merchant_id, attempt_no, error_type (D2), is_root.
+    Needs merchant_id, attempt_no, error_type (D2), is_root. With ``error_msg`` the message
+    of the error recorded last is kept as ``crawl_error``.
     """
     refused = F.col("error_type") == "ROBOTS_DISALLOWED"
     records = F.col("error_type").isNotNull() & (~refused | F.coalesce(F.col("is_root"), F.lit(False)))
@@ -195,6 +196,7 @@ def merchant_crawl_status(attempts: DataFrame) -> DataFrame:
         F.max(F.when(refused, F.col("attempt_no"))).alias("last_refused"),
         F.max_by("error_type", F.when(records, F.col("attempt_no"))).alias("last_error"),
         F.count_if(F.col("error_type").isNull()).alias("pages_fetched"),
+        F.max_by("error_msg" if "error_msg" in attempts.columns else F.lit(None).cast("string"), F.when(records, F.col("attempt_no"))).alias("crawl_error"),
     )
     return per.select(
         "merchant_id",
@@ -206,6 +208,7 @@ def merchant_crawl_status(attempts: DataFrame) -> DataFrame:
             ],
             F.coalesce("last_error", F.lit("CRAWL_FAILED")),
         ).alias("crawl_status"),
+        F.when(~F.col("fetched"), F.col("crawl_error")).alias("crawl_error"),
     )
 
 

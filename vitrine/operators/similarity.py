@@ -80,7 +80,7 @@ def with_vectors(df: DataFrame, column: str = "embedding") -> DataFrame:
 
 def _dims(df: DataFrame) -> list[int]:
     """Distinct vector lengths: one per embedding model."""
-    return sorted(r[0] for r in df.select("dim").distinct().limit(65).collect())
+    return sorted(r[0] for r in df.select("dim").distinct().collect())
 
 
 def _in_common_space(df: DataFrame, own_first: bool, dims: list[int], other: list[int]) -> DataFrame:
@@ -89,11 +89,10 @@ def _in_common_space(df: DataFrame, own_first: bool, dims: list[int], other: lis
     With a single embedding model this only labels the rows.
     """
     if dims == other and len(dims) == 1:
-        return df.withColumn("space", F.lit(0))
-    if len(dims) > 64 or len(other) > 64:
-        raise ValueError("more than 64 different vector lengths: not embeddings of a few models")
+        return df.withColumn("space", F.lit(0).cast("long"))
     out = df.withColumn("other", F.explode(F.array(*[F.lit(d) for d in other])))
-    pair = F.col("dim") * F.lit(100_000) + F.col("other") if own_first else F.col("other") * F.lit(100_000) + F.col("dim")
+    first, second = ("dim", "other") if own_first else ("other", "dim")
+    pair = F.shiftleft(F.col(first).cast("long"), 32) + F.col(second)
     cut = F.slice("embedding", F.lit(1), F.least("dim", "other"))
     return out.withColumns({"space": pair, "embedding": cut}).drop("other")
 
@@ -170,7 +169,7 @@ def _block_join(queries: DataFrame, index: DataFrame, fn: Callable, schema: str,
         for (space, cell), n in n_i.items()
         if (space, cell) in n_q
     ]
-    blocks = F.broadcast(spark.createDataFrame(plan, "space int, cell int, na long, nb long"))
+    blocks = F.broadcast(spark.createDataFrame(plan, "space long, cell int, na long, nb long"))
     span = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
     left = (
         queries.join(blocks, ["space", "cell"])
@@ -202,7 +201,8 @@ def _prepare(queries: DataFrame, index: DataFrame, threshold: float | None) -> t
     index = queries if same else index.checkpoint()
     q_dims, i_dims = _dims(queries), _dims(index)
     if not q_dims or not i_dims:
-        return queries.withColumns({"space": F.lit(0), "cell": F.lit(0)}), index.withColumns({"space": F.lit(0), "cell": F.lit(0)})
+        one = {"space": F.lit(0).cast("long"), "cell": F.lit(0)}
+        return queries.withColumns(one), index.withColumns(one)
     queries = _in_common_space(queries, True, q_dims, i_dims)
     index = _in_common_space(index, False, i_dims, q_dims)
     n_cells = 1
@@ -305,7 +305,7 @@ def approximate_pairs(assets: DataFrame, threshold: float = MEDIUM, bands: int =
 
     signed = groups.mapInArrow(sign, _with_schema(groups, "signature array<int>"))
     celled = signed.select("*", F.posexplode("signature").alias("band", "code")).withColumns(
-        {"cell": F.col("band") * F.lit(1 << bits) + F.col("code"), "space": F.lit(0)}
+        {"cell": F.col("band") * F.lit(1 << bits) + F.col("code"), "space": F.lit(0).cast("long")}
     )
 
     verify = _pair_block(threshold)
@@ -510,7 +510,8 @@ def batch_reuse(reuse: DataFrame) -> DataFrame:
     )
     per = counted.groupBy("merchant_id").agg(
         F.max("similarity").alias("max_similarity"),
-        (F.sum(F.col("similarity") * F.col("n")) / F.sum("n")).alias("average_similarity"),
+        # similarities have four digits: whole numbers add up alike in any order
+        (F.sum(F.round(F.col("similarity") * 10000).cast("long") * F.col("n")) / (F.sum("n") * F.lit(10000.0))).alias("average_similarity"),
         F.sum(F.when(F.col("similarity") >= HIGH, F.col("n")).otherwise(0)).alias("strong_match_count"),
         F.sum(F.when(F.col("similarity") >= MEDIUM, F.col("n")).otherwise(0)).alias("moderate_match_count"),
         F.sum("n").alias("image_count"),
@@ -522,7 +523,8 @@ def batch_reuse(reuse: DataFrame) -> DataFrame:
         F.flatten(F.transform(F.slice("ranked", 1, 3), lambda r: F.array_repeat(r["similarity"], F.least(r["n"], F.lit(3)).cast("int")))), 1, 3
     )
     per = per.withColumn("top3", spread).withColumn(
-        "top_k_similarity", F.aggregate("top3", F.lit(0.0), lambda s, x: s + x) / F.size("top3")
+        "top_k_similarity",
+        F.aggregate("top3", F.lit(0).cast("long"), lambda s, x: s + F.round(x * 10000).cast("long")) / (F.size("top3") * F.lit(10000.0)),
     )
     top, best = F.col("top_k_similarity"), F.col("max_similarity")
     strong, moderate = F.col("strong_match_count"), F.col("moderate_match_count")
@@ -642,9 +644,10 @@ def index_matches(assets: DataFrame, index: DataFrame, limit: int = MATCH_LIMIT,
     """
     asked_all = with_vectors(assets.select(F.col(key).alias("asset_key"), "asset_hash", F.col("merchant_id").cast("string").alias("owner"), index_domain(F.col("domain")).alias("domain"), "embedding"))
     members = with_vectors(index.select(F.col("asset_hash").alias("member"), F.col("merchant_id").cast("string").alias("owner"), index_domain(F.col("domain")).alias("domain"), "embedding"))
-    asked = asked_all.groupBy("v1", "v2", "dim", "owner", "domain").agg(
-        F.any_value("embedding").alias("embedding"), F.min("asset_hash").alias("row_id")
-    )
+    # one content hash may be shown by several merchants: the rows to match are named by what tells them apart
+    shown = [F.coalesce(F.col(c), F.lit("")) for c in ("owner", "domain")]
+    asked = asked_all.groupBy("v1", "v2", "dim", "owner", "domain").agg(F.any_value("embedding").alias("embedding"))
+    asked = asked.withColumn("row_id", F.md5(F.concat_ws("\n", "v1", "v2", "dim", *shown)))
     best = best_matches(asked, members, limit + 1, INDEX_MODERATE, True)
     keyed = best.withColumnRenamed("owner", "match_merchant").join(asked.select("row_id", "v1", "v2", "dim", "owner", "domain"), "row_id").drop("row_id", "match_no")
     per_asset = asked_all.select("asset_key", "asset_hash", "v1", "v2", "dim", "owner", "domain").join(keyed, ["v1", "v2", "dim", "owner", "domain"])

@@ -11,9 +11,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions import urls
 from ..operators import assets, candidates, crawl, evidence, explain, forensics, logos, pages, scoring, similarity
 
 SELECTED = 5
+#: Products that a claim speaks of at most, as the list in a report is cut to so many.
+CLAIMED_PRODUCTS = 12
 
 
 @dataclass(frozen=True)
@@ -110,7 +113,7 @@ def _index_part(selected: DataFrame, index: DataFrame) -> DataFrame:
 def build_report(inputs: ReportInputs) -> MerchantReport:
     """Decisions, evidence, claims and conclusions of every merchant."""
     outcomes = crawl_outcomes(inputs).checkpoint()
-    live = outcomes.filter("crawl_status = 'SUCCESS'")
+    live = outcomes.filter("crawl_status = 'SUCCESS' OR crawl_status IS NULL")  # no crawl row: scored with neutral facts
     live_pages = pages.crawled_pages(inputs.pages.join(live.select("merchant_id"), "merchant_id", "left_semi")).drop("page_no").checkpoint()
     facts = pages.crawl_facts(live_pages).drop("crawl_status").checkpoint()
     selected = selected_images(live_pages, inputs.fetched, facts.select("merchant_id", "merchant_name", "domain")).checkpoint()
@@ -179,18 +182,16 @@ def build_report(inputs: ReportInputs) -> MerchantReport:
     found = explain.structured_evidence(evidence_input)
 
     failed = explain.unverifiable_decision(
-        outcomes.filter("crawl_status <> 'SUCCESS'").withColumns(
-            {"crawl_error": F.lit(None).cast("string"), "merchant_name": F.lit(None).cast("string")}
-        )
+        outcomes.filter("crawl_status <> 'SUCCESS'").withColumn("merchant_name", urls.domain_to_name(F.col("domain")))
     )
     columns = ["merchant_id", "merchant_name", "domain", "crawl_status", "final_score", "text_risk_score", "visual_risk_score",
-               "status", "status_tier", "status_label", "recommendation", "badge_color", "reasons", "is_unverifiable"]
+               "status", "status_tier", "status_label", "recommendation", "badge_color", "reasons", "is_unverifiable", "crawl_error"]
     scored = decided.withColumn("is_unverifiable", F.lit(False))
     extra = ["site_category", "has_contact", "has_policy", "has_about", "n_products", "risk_explanation", "match_status",
              "max_similarity", "reuse_risk_score", "e4_score", "logo_risk", "manipulation_score", "coherence_score",
              "severe_count", "image_count"]
     decisions = scored.select(columns + extra).unionByName(failed.select(columns), allowMissingColumns=True)
-    claim_rows = crawl.claim_texts(decisions.withColumn("crawl_error", F.lit(None).cast("string")))
+    claim_rows = crawl.claim_texts(decisions.withColumn("n_products", F.least("n_products", F.lit(CLAIMED_PRODUCTS))))
     claims = explain.claim_matrix(claim_rows, found)
     return MerchantReport(
         decisions=decisions,

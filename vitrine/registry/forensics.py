@@ -98,11 +98,10 @@ def manipulation(t):
         F.col("s_suppkey").alias("asset_id"),
         F.when(F.col("s_suppkey") % 19 == 0, F.lit(None)).when(F.col("s_suppkey") % 17 == 0, 3.0).otherwise(40.0).cast("double").alias("image_std"),
     )
-    few = forensics.suspicious_regions(_boxes(t)).filter(F.col("box") % 211 == 0)
-    return forensics.manipulation_scores(images, forensics.ela_scores(energies(t)), forensics.gradient_scores(local_stds(t)), few)
+    return forensics.manipulation_scores(images, forensics.ela_scores(energies(t)), forensics.gradient_scores(local_stds(t)), forensics.suspicious_regions(_boxes(t)))
 
 
-_MANIP = f"""{_ENERGY}, {_ELA.format(src='en')}, {_STD}, {_GRAD}, bx AS ({_BOXES}), rc AS (SELECT asset_id, count(*) AS n FROM bx WHERE area > 64000 * 0.005::DOUBLE AND area < 64000 * 0.40::DOUBLE AND box % 211 = 0 GROUP BY 1),
+_MANIP = f"""{_ENERGY}, {_ELA.format(src='en')}, {_STD}, {_GRAD}, bx AS ({_BOXES}), rc AS (SELECT asset_id, count(*) AS n FROM bx WHERE area > 64000 * 0.005::DOUBLE AND area < 64000 * 0.40::DOUBLE GROUP BY 1),
 im AS (SELECT s_suppkey AS asset_id, CASE WHEN s_suppkey % 19 = 0 THEN NULL WHEN s_suppkey % 17 = 0 THEN 3::DOUBLE ELSE 40::DOUBLE END AS sd FROM supplier),
 mx AS (SELECT im.asset_id, sd IS NULL OR sd < 8 AS flat, coalesce(n, 0) AS n, CASE WHEN sd IS NULL OR sd < 8 THEN 5::DOUBLE ELSE greatest(0::DOUBLE, least(100::DOUBLE, 0.55::DOUBLE * coalesce(ela_score, 0) + 0.45::DOUBLE * coalesce(gradient_score, 0) + CASE WHEN n >= 2 THEN 10 WHEN n = 1 THEN 5 ELSE 0 END)) END AS raw
  FROM im LEFT JOIN ela USING (asset_id) LEFT JOIN grad USING (asset_id) LEFT JOIN rc USING (asset_id)),

@@ -41,7 +41,7 @@ def report_inputs(t: Tables) -> ReportInputs:
         F.element_at(F.array(F.lit("rival-one.com"), F.lit("www.pinterest.com"), F.lit("rival-two.org")), F.col("k") + 1).alias("source_domain"),
         F.lit("https://web.example/p").alias("source_url"), F.when(close, F.col("own")).otherwise(F.col("embedding")).alias("embedding"),
     )
-    index = t.view("v_asset").filter("batch_no = 0").select("asset_hash", (F.col("merchant_id") + 100000).alias("merchant_id"), F.concat(F.lit("old"), "domain").alias("domain"), "embedding")
+    index = t.view("v_asset").select("asset_hash", (F.col("merchant_id") + 100000).alias("merchant_id"), F.concat(F.lit("old"), "domain").alias("domain"), "embedding")
     # every line item is a cell of one image
     n_assets = F.lit(max(1, fetched.count()))
     cells = t.table("lineitem").select(F.pmod(F.xxhash64("l_orderkey"), n_assets).alias("g"), (F.col("l_quantity") / 10).alias("energy"), (F.col("l_extendedprice") / 1000).alias("local_std"), F.col("l_discount").alias("magnitude"), "l_linenumber", "l_partkey")
@@ -58,7 +58,7 @@ def report_inputs(t: Tables) -> ReportInputs:
         registry=t.view("v_logo_registry"),
         blocks=textured.select("asset_hash", "energy"),
         stds=textured.select("asset_hash", "local_std"),
-        regions=textured.filter("l_partkey % 97 = 0").select("asset_hash", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(10).alias("w"), F.lit(10).alias("h"), F.lit(900.0).alias("area"), F.lit(320).alias("width"), F.lit(200).alias("height")),
+        regions=textured.select("asset_hash", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(10).alias("w"), F.lit(10).alias("h"), F.lit(900.0).alias("area"), F.lit(320).alias("width"), F.lit(200).alias("height")),
         photos=photos,
         rings=textured.select("asset_hash", F.when(F.col("l_linenumber") <= 3, "inner").otherwise("outer").alias("ring"), "magnitude"),
     )

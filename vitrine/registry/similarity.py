@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import domains, vectors
+from ..functions.rounding import exact_round
 from ..operators import candidates, logos, similarity
 from .core import _bind_tables, query, sql_pct, sql_round, sql_whole
 from .urls import _CLEAN, _sql_list
@@ -95,8 +96,8 @@ def _(t):
 
 
 _F7 = """b7 AS (SELECT asset_id, merchant_id, similarity, CASE asset_id % 2 WHEN 0 THEN merchant_id ELSE merchant_id * 1000 + CAST(floor(similarity * 10) AS BIGINT) END AS grp FROM top5 WHERE match_no = 1),
-g7 AS (SELECT grp AS merchant_id, max(similarity) AS mx, avg(similarity) AS av, count(*) FILTER (similarity >= 0.85) AS st, count(*) FILTER (similarity >= 0.70) AS md, count(*) AS n, list_sort(list(similarity), 'DESC')[1:3] AS t3 FROM b7 GROUP BY 1),
-h7 AS (SELECT *, list_sum(t3) / len(t3) AS tk FROM g7),
+g7 AS (SELECT grp AS merchant_id, max(similarity) AS mx, CAST(sum(CAST(round(similarity * 10000) AS BIGINT)) AS DOUBLE) / (count(*) * 10000::DOUBLE) AS av, count(*) FILTER (similarity >= 0.85) AS st, count(*) FILTER (similarity >= 0.70) AS md, count(*) AS n, list_sort(list(similarity), 'DESC')[1:3] AS t3 FROM b7 GROUP BY 1),
+h7 AS (SELECT *, CAST(list_sum(list_transform(t3, lambda x: CAST(round(x * 10000) AS BIGINT))) AS DOUBLE) / (len(t3) * 10000::DOUBLE) AS tk FROM g7),
 i7 AS (SELECT *, CASE WHEN st >= 2 AND tk >= 0.87 THEN least(100::DOUBLE, 75::DOUBLE + (tk - 0.87::DOUBLE) / 0.13::DOUBLE * 25::DOUBLE) WHEN st >= 2 THEN least(72::DOUBLE, 60::DOUBLE + (tk - 0.85::DOUBLE) / 0.02::DOUBLE * 12::DOUBLE)
  WHEN st = 1 THEN least(64::DOUBLE, 40::DOUBLE + (mx - 0.85::DOUBLE) / 0.15::DOUBLE * 24::DOUBLE) WHEN md >= 2 THEN least(50::DOUBLE, 30::DOUBLE + (tk - 0.70::DOUBLE) / 0.15::DOUBLE * 20::DOUBLE)
  WHEN md = 1 THEN least(35::DOUBLE, 20::DOUBLE + (mx - 0.70::DOUBLE) / 0.15::DOUBLE * 15::DOUBLE) ELSE CASE WHEN mx > 0 THEN mx / 0.70::DOUBLE * 20::DOUBLE ELSE 0 END END AS sc,
@@ -111,11 +112,11 @@ def batch(t):
     return similarity.batch_reuse(grouped)
 
 
-@query("batch_reuse", "F7", f"""WITH {_REF}, {_F7} SELECT merchant_id, mx AS max_similarity, round(av, 6) AS average_similarity, round(tk, 6) AS top_k_similarity, st AS strong_match_count, md AS moderate_match_count, n AS image_count, {sql_round('sc', 1)} AS reuse_risk_score, risk_level, st >= 2 AND tk >= 0.87 AS high_eligible FROM i7""")
+@query("batch_reuse", "F7", f"""WITH {_REF}, {_F7} SELECT merchant_id, mx AS max_similarity, {sql_round('av', 6)} AS average_similarity, {sql_round('tk', 6)} AS top_k_similarity, st AS strong_match_count, md AS moderate_match_count, n AS image_count, {sql_round('sc', 1)} AS reuse_risk_score, risk_level, st >= 2 AND tk >= 0.87 AS high_eligible FROM i7""")
 def _(t):
     return batch(t).select(
-        "merchant_id", "max_similarity", F.round("average_similarity", 6).alias("average_similarity"),
-        F.round("top_k_similarity", 6).alias("top_k_similarity"), "strong_match_count", "moderate_match_count", "image_count",
+        "merchant_id", "max_similarity", exact_round(F.col("average_similarity"), 6).alias("average_similarity"),
+        exact_round(F.col("top_k_similarity"), 6).alias("top_k_similarity"), "strong_match_count", "moderate_match_count", "image_count",
         "reuse_risk_score", "risk_level", "high_eligible",
     )
 

@@ -34,11 +34,11 @@ def _(t):
     return search_payloads.provider_results(spark_sql(t, _PAYLOAD + _FALLBACK))
 
 
-@query("web_candidates", "A4", f"""WITH {_ROWS}, d AS (SELECT *, regexp_extract(url, '^https?://([^/]*)', 1) AS dom, CASE WHEN img_src LIKE '//%' THEN 'https:' || img_src ELSE img_src END AS image_url FROM r WHERE idx < 4),
+@query("web_candidates", "A4", f"""WITH {_ROWS}, d AS (SELECT *, regexp_extract(url, '^https?://([^/]*)', 1) AS dom, CASE WHEN img_src LIKE '//%' THEN 'https:' || img_src ELSE img_src END AS image_url FROM r WHERE idx < 8),
 k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY idx) - 1 AS k FROM d WHERE dom <> '' AND image_url IS NOT NULL)
-SELECT q AS query_id, CAST(k AS INT) AS k, 'web_' || idx || '_' || dom AS candidate_id, url AS source_url, dom AS source_domain, coalesce(nullif(title, ''), 'Public web match on ' || dom) AS title, 'ONLINE' AS source_type, image_url FROM k WHERE k < 2""")
+SELECT q AS query_id, CAST(k AS INT) AS k, 'web_' || idx || '_' || dom AS candidate_id, url AS source_url, dom AS source_domain, coalesce(nullif(title, ''), 'Public web match on ' || dom) AS title, 'ONLINE' AS source_type, image_url FROM k WHERE k < 4""")
 def _(t):
-    return search_payloads.web_candidates(search_payloads.provider_results(spark_sql(t, _PAYLOAD + _FALLBACK)), limit=2)
+    return search_payloads.web_candidates(search_payloads.provider_results(spark_sql(t, _PAYLOAD + _FALLBACK)))
 
 
 @query("search_queries", "A4", "SELECT p_partkey, trim(CASE WHEN p_partkey % 5 = 0 THEN ' x ' ELSE p_name END) || ' shoes' AS search_query FROM part WHERE p_partkey % 5 <> 0 AND length(trim(p_name)) >= 2")

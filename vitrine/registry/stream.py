@@ -20,14 +20,14 @@ def _(t):
 
 @query("job_states", "K2", f"WITH {_ST} SELECT * FROM st")
 def _(t):
-    return jobs.job_state(t.view("v_event")).drop("error_at")
+    return jobs.job_state(t.view("v_event")).drop("error_at", "last_event")
 
 
 @query("job_states_in_batches", "K2", f"WITH {_ST} SELECT * FROM st")
 def _(t):
     events = t.view("v_event")
     parts = [jobs.job_state(events.filter(F.col("event_id") % 3 == i)) for i in range(3)]
-    return jobs.merge_states(parts[0].unionByName(parts[1]).unionByName(parts[2])).drop("error_at")
+    return jobs.merge_states(parts[0].unionByName(parts[1]).unionByName(parts[2])).drop("error_at", "last_event")
 
 
 # finer jobs, so that some are finished and some are running

@@ -246,7 +246,7 @@ def _(t):
 SELECT merchant_id, pages_fetched, CASE WHEN pages_fetched > 0 THEN 'SUCCESS' WHEN ln = lr THEN 'ROBOTS_DISALLOWED' ELSE coalesce(le, 'CRAWL_FAILED') END AS crawl_status FROM g""")
 def _(t):
     finer = typed_attempts(t).withColumn("merchant_id", F.col("merchant_id") * 40 + F.col("attempt_no") % 40)
-    return crawl.merchant_crawl_status(finer)
+    return crawl.merchant_crawl_status(finer).select("merchant_id", "pages_fetched", "crawl_status")
 
 
 _HOPS = """SELECT l_orderkey AS fetch_id, CAST(l_linenumber - 1 AS INT) AS hop_no, concat('https://r', CAST(l_suppkey AS VARCHAR(20)), '.example.com/', CAST(l_partkey AS VARCHAR(20))) AS url,

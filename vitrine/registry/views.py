@@ -178,13 +178,13 @@ FROM (SELECT t.vec_id AS asset_id, k, n,
         CAST(CASE WHEN t.vec_id % 8 = 7 THEN 0.3 ELSE CASE (t.vec_id * (1 + k)) % 5 WHEN 0 THEN 0.98 WHEN 1 THEN 0.9 WHEN 2 THEN 0.78 WHEN 3 THEN 0.62 ELSE 0.3 END END AS DOUBLE) AS w
       FROM (SELECT vec_id, (SELECT count(*) FROM embeddings) AS n, explode(array(0, 1, 2, 3)) AS k FROM embeddings) t) c
 JOIN embeddings a ON a.vec_id = c.asset_id JOIN embeddings b ON b.vec_id = (c.asset_id + 100 + c.k) % c.n""",
-    # registry of verified logos: one per third merchant plus two shared brands
+    # registry of verified logos: every third one bears its merchant's brand, two are shared brands, the rest match no name
     "v_logo_registry": """
 SELECT CASE s_suppkey WHEN 1 THEN 'verified_brand_luxe-atelier.png' WHEN 2 THEN 'verified_brand_apex-brands.png'
-    ELSE concat('verified_brand_', lower(replace(s_name, 'Supplier#', 'maison')), CASE WHEN s_suppkey % 2 = 0 THEN '.png' ELSE '.jpg' END) END AS filename,
+    ELSE concat('verified_brand_', lower(replace(s_name, 'Supplier#', CASE WHEN s_suppkey % 3 = 0 THEN 'maison' ELSE 'archive' END)), CASE WHEN s_suppkey % 2 = 0 THEN '.png' ELSE '.jpg' END) END AS filename,
   CAST(e.embedding AS ARRAY<DOUBLE>) AS embedding
 FROM (SELECT s_suppkey, s_name, s_suppkey % (SELECT count(*) FROM embeddings) AS vec FROM supplier) s
-JOIN embeddings e ON e.vec_id = s.vec WHERE s_suppkey IN (1, 2) OR s_suppkey % 3 = 0""",
+JOIN embeddings e ON e.vec_id = s.vec""",
     "v_logo": """
 SELECT m.merchant_id, m.claimed_brand, zip_with(a.embedding, b.embedding, (x, y) -> m.w * CAST(x AS DOUBLE) + sqrt(1 - m.w * m.w) * CAST(y AS DOUBLE)) AS embedding
 FROM (SELECT s_suppkey AS merchant_id,

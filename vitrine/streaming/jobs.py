@@ -65,14 +65,15 @@ def job_state(events: DataFrame) -> DataFrame:
         F.min("ts").alias("created_at"),
         F.max("ts").alias("updated_at"),
         F.max_by("message", F.when(F.col("status") == "FAILED", at)).alias("error"),
-        F.max(F.when(F.col("status") == "FAILED", F.col("ts"))).alias("error_at"),
+        F.max(F.when(F.col("status") == "FAILED", at)).alias("error_at"),
         F.count("*").alias("n_events"),
+        F.max(at).alias("last_event"),
     )
 
 
 def merge_states(states: DataFrame) -> DataFrame:
     """K2. One state per job from the states of several batches of events."""
-    last = "updated_at"
+    last = "last_event"  # time and id: events of one time are ordered as inside a batch
     return states.groupBy("job_id").agg(
         F.max_by("status", last).alias("status"),
         F.max_by("progress_message", last).alias("progress_message"),
@@ -81,6 +82,7 @@ def merge_states(states: DataFrame) -> DataFrame:
         F.max_by("error", "error_at").alias("error"),
         F.max("error_at").alias("error_at"),
         F.sum("n_events").alias("n_events"),
+        F.max("last_event").alias("last_event"),
     )
 
 
@@ -95,21 +97,23 @@ def evictions(events: DataFrame, ttl_seconds: int = TTL_SECONDS, delay: str = "1
 
     def expire(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            created, status = state.get
+            created, status, _, _ = state.get
             state.remove()
             yield pd.DataFrame({"job_id": [key[0]], "status": [status], "created_ms": [created]})
             return
-        created, last, status = None, None, None
+        created, status, newest_known = None, None, None
         if state.exists:
-            created, status = state.get
+            created, status, *newest_known = state.get
+            newest_known = tuple(newest_known)
         for batch in batches:
             if len(batch):
                 newest = batch.sort_values(["ts_ms", "event_id"]).iloc[-1]
                 first = int(batch["ts_ms"].min())
                 created = first if created is None else min(created, first)
-                if last is None or newest["ts_ms"] >= last:
-                    last, status = int(newest["ts_ms"]), newest["status"]
-        state.update((created, status))
+                order = (int(newest["ts_ms"]), int(newest["event_id"]))
+                if newest_known is None or order >= newest_known:
+                    newest_known, status = order, newest["status"]
+        state.update((created, status, *newest_known))
         if status in TERMINAL:
             due = created + ttl_seconds * 1000
             state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
@@ -117,7 +121,7 @@ def evictions(events: DataFrame, ttl_seconds: int = TTL_SECONDS, delay: str = "1
 
     keyed = with_status(_watermarked(events, delay)).withColumn("ts_ms", F.unix_millis(F.col("ts").cast("timestamp")))
     out = keyed.groupBy("job_id").applyInPandasWithState(
-        expire, "job_id long, status string, created_ms long", "created long, status string", "append",
+        expire, "job_id long, status string, created_ms long", "created long, status string, last_ms long, last_event long", "append",
         GroupStateTimeout.EventTimeTimeout,
     )
     return out.withColumn("created_at", F.timestamp_millis("created_ms")).drop("created_ms")

@@ -8,24 +8,39 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.utils import AnalysisException
 
 from ..operators.similarity import index_matches
 from ..sources.index import build_index
 from .jobs import job_state, merge_states
 
 
+def _place(spark: SparkSession, path: str):
+    """The file system of ``path`` and the path in it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
 def _read(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None  # nothing written yet
+    """The stored rows; None only where no batch has written anything yet."""
+    files, place = _place(spark, path)
+    return spark.read.parquet(path) if files.exists(place) and files.globStatus(_place(spark, f"{path}/batch_id=*/*.parquet")[1]) else None
 
 
 def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    df.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).partitionBy("batch_id").parquet(path)
+    """The batch's partition, in place of what an earlier run of the batch wrote, also where it has no rows now."""
+    files, place = _place(df.sparkSession, f"{path}/batch_id={batch_id}")
+    files.delete(place, True)
+    df.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("append").partitionBy("batch_id").parquet(path)
+
+
+def with_asset_key(assets: DataFrame) -> DataFrame:
+    """``asset_key`` names an asset where several merchants show one content hash."""
+    return assets.withColumn("asset_key", F.concat_ws("|", "asset_hash", F.col("merchant_id").cast("string"), "domain"))
+
+
+def _keyed_matches(assets: DataFrame, index: DataFrame) -> DataFrame:
+    asked = with_asset_key(assets.select("asset_hash", "merchant_id", "domain", "embedding"))
+    return index_matches(asked, index, key="asset_key").withColumn("asset_hash", F.substring_index("asset_key", "|", 1))
 
 
 class IncrementalIndex:
@@ -46,7 +61,7 @@ class IncrementalIndex:
         spark = batch.sparkSession
         index = self.index_before(spark, batch_id)
         if index is not None:
-            found = index_matches(batch.select("asset_hash", "merchant_id", "domain", "embedding"), index)
+            found = _keyed_matches(batch, index)
             _write_batch(found, self.matches_path, batch_id)
         _write_batch(batch, self.index_path, batch_id)
 
@@ -83,7 +98,7 @@ def incremental_matches(assets: DataFrame, batches: list[int]) -> DataFrame:
     out: DataFrame | None = None
     for b in batches[1:]:
         index = build_index(assets.filter(F.col("batch_no") < b))
-        found = index_matches(assets.filter(F.col("batch_no") == b), index)
+        found = _keyed_matches(assets.filter(F.col("batch_no") == b), index)
         out = found if out is None else out.unionByName(found)
     if out is None:
         raise ValueError("at least two batches are needed")
