@@ -31,14 +31,13 @@ CAPTURE = "page_id long, url string, urlkey string, timestamp string, record_typ
 
 def base32_sha1(payload: Column) -> Column:
     """SHA-1 in upper-case base32, as archives write it."""
-    letters = F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
-    digest = F.sha1(payload)
+    return _base32(F.sha1(payload))
 
-    def piece(i: Column) -> Column:  # five hex digits are four letters
-        bits = F.conv(F.substr(digest, i * 5 + 1, F.lit(5)), 16, 10).cast("int")
-        return F.concat(*[F.substr(letters, F.shiftright(bits, s).bitwiseAND(31) + 1, F.lit(1)) for s in (15, 10, 5, 0)])
 
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), piece), "")
+def _base32(digest: Column) -> Column:
+    """Ten hex digits at a time as eight digits of base 32, whose digits then become letters."""
+    pieces = [F.lpad(F.conv(F.substring(digest, 10 * i + 1, 10), 16, 32), 8, "0") for i in range(4)]
+    return F.translate(F.upper(F.concat(*pieces)), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
 def write_archives(pages: DataFrame, path: str, revisit_from: int = 0) -> None:
@@ -50,9 +49,9 @@ def write_archives(pages: DataFrame, path: str, revisit_from: int = 0) -> None:
     """
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
-    rows = rows.withColumn("bytes", F.octet_length("payload").cast("long")).withColumn("digest", base32_sha1(F.col("payload")))
-    repeated = rows.where(F.col("bytes") >= revisit_from).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    rows = rows.join(repeated.select("digest", "first").hint("shuffle_hash"), "digest", "left")
+    rows = rows.withColumn("bytes", F.octet_length("payload").cast("long")).withColumn("hash", F.sha1("payload"))
+    repeated = rows.where(F.col("bytes") >= revisit_from).groupBy("hash").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    rows = rows.join(repeated.select("hash", "first").hint("shuffle_hash"), "hash", "left").withColumn("digest", _base32(F.col("hash")))
     revisit = F.coalesce((F.col("first") != F.col("page_id")) & (F.col("bytes") >= revisit_from), F.lit(False))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit(END))
     block = F.when(revisit, http).otherwise(F.concat(http, F.col("payload")))
