@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import keep_columns, words
+from .staging import keep_columns, ready, staged, words
 
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Relative weight at equally spaced times for each of the weights above: heavy sources fade in, light ones fade out.
@@ -80,14 +80,15 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, share: fl
     final sort, and a source of any share of the rows is summed in ``buckets`` parts.
     """
     made = ("size", "source_size", "target", "taken", "position", "repeat_position")
+    ready(docs.sparkSession)
     docs = keep_columns(docs, made)
     sized = docs.withColumn("size", words(F.col("text")))
-    targets = source_targets(sized, weights, schedules, share, cap)
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     sized = sized.withColumn("__v_order", order).withColumn("__v_bucket", F.conv(F.substring("__v_order", 1, 4), 16, 10).cast("int") % buckets)
-    spans = sized.groupBy("source", "__v_bucket").agg(F.sum("size").alias("words"))
+    spans = staged(sized.groupBy("source", "__v_bucket").agg(F.sum("size").alias("size")), "spans")
+    targets = source_targets(spans, weights, schedules, share, cap)
     earlier = Window.partitionBy("source").orderBy("__v_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    spans = spans.select(F.col("source").alias("__v_source"), F.col("__v_bucket").alias("__v_part"), F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("__v_base"))
+    spans = spans.select(F.col("source").alias("__v_source"), F.col("__v_bucket").alias("__v_part"), F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("__v_base"))
     spans = spans.join(
         targets.select(F.col("source").alias("__v_of"), "source_size", "target", F.col("schedule").alias("__v_schedule")), F.col("__v_source").eqNullSafe(F.col("__v_of"))
     ).drop("__v_of")
