@@ -28,8 +28,8 @@ SUBSTITUTES, SUBSTITUTES_TO = "0134578@$!|€", "oieastbasiie"
 TRAIN_ROWS = 12_000
 #: Entries that a learned lexicon has at most, the heaviest first.
 LEXICON_SIZE = 4_000
-PREFIX_LENGTHS = range(4, 9)
-MIN_DOCS, MIN_WEIGHT = 4, 1.0
+PREFIX_LENGTHS = range(3, 9)
+MIN_DOCS, MIN_WEIGHT = 3, 1.0
 
 
 @dataclass(frozen=True)
