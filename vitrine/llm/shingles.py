@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 SHINGLE = 5
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
