@@ -189,6 +189,30 @@ def test_similar_vectors(spark):
     assert grid_join.similar_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_grid_join_over_many_blocks(spark, monkeypatch):
+    """Blocks of five rows in ranges of two blocks: the same links as brute force, and far blocks never meet."""
+    monkeypatch.setattr(grid_join, "BLOCK", 5)
+    monkeypatch.setattr(grid_join, "RANGE_BLOCKS", 2)
+    rng = np.random.default_rng(3)
+    points = np.vstack([np.eye(6)[k % 6] + rng.normal(size=6) * 0.12 for k in range(90)])
+    points[7] = points[40]
+    points[8:10] *= [[1e200], [1e-200]]
+    points[10], points[11] = points[8] / 1e200 * 3, points[9] / 1e-200
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(points)] + [(90, [1.0, 0.0]), (91, [1.0, 0.01])], "vec_id long, embedding array<double>")
+    units = grid_join.unit_rows(points)
+    links = (units @ units.T >= 0.95).sum(1) - 1
+    got = {r.vec_id: r.n_links for r in grid_join.similar_vectors(table).collect()}
+    assert got == {**{i: int(n) for i, n in enumerate(links)}, 90: 1, 91: 1}
+
+    lead = np.pad(units, ((0, 0), (0, grid_join.LEADING - 6)))
+    ordered = spark.createDataFrame([(i, 6, u.tobytes(), v.tolist()) for i, (u, v) in enumerate(zip((units > 0.5).astype("u1"), lead))], "rep long, dim int, cell binary, lead array<double>")
+    pieces, bits = grid_join._blocks(ordered)
+    sizes = {r.block: r["count"] for r in pieces.groupBy("block").count().collect()}
+    met = grid_join.near_blocks(pieces, bits, 0.95).collect()
+    assert max(sizes.values()) <= 5 and sum(sizes.values()) == 90
+    assert {(b, b) for b in sizes} <= {(r.i, r.j) for r in met} and len(met) < len(sizes) * (len(sizes) + 1) / 4
+
+
 def test_grid_join_skips_what_is_far():
     rng = np.random.default_rng(5)
     units = np.vstack([grid_join.unit_rows(np.eye(16)[k] + rng.normal(size=(256, 16)) * 0.02) for k in range(8)])

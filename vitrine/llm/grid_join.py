@@ -22,14 +22,21 @@ from .staging import ready, staged
 LEADING = 12
 #: Vectors that the principal directions are fitted on at most; they steer the work, not the result.
 FIT_ROWS = 4096
-#: Distinct vectors of one block, and the most blocks; larger tables have larger blocks.
-BLOCK, MAX_BLOCKS = 4096, 1024
+#: Distinct vectors of one block at most, and about the blocks of one sorted range; both hold for tables of any size.
+BLOCK, RANGE_BLOCKS = 4096, 8
 LEAF = 128
 
 
 def unit_rows(values: np.ndarray) -> np.ndarray:
+    """Rows of length one; rows whose squares leave the range of a double are scaled first."""
     values = values.astype(np.float64)
-    return values / np.sqrt((values * values).sum(1, keepdims=True))
+    with np.errstate(over="ignore"):
+        squares = (values * values).sum(1, keepdims=True)
+    far = ~(np.isfinite(squares) & (squares > 1e-280))
+    if far.any():
+        values = np.where(far, values / np.abs(values).max(1, keepdims=True), values)
+        squares = (values * values).sum(1, keepdims=True)
+    return values / np.sqrt(squares)
 
 
 def principal_axes(units: np.ndarray, n: int = LEADING) -> np.ndarray:
@@ -110,6 +117,48 @@ def _vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return values, np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
 
 
+def _blocks(ordered: DataFrame) -> tuple[DataFrame, int]:
+    """The rows in grid order with the ``block`` of each, and the bits of a block number.
+
+    A block is a run of at most BLOCK rows of one sorted range; the range is the upper part of its number.
+    """
+    ranges = max(1, math.ceil(ordered.count() / (BLOCK * RANGE_BLOCKS)))
+    row = F.monotonically_increasing_id()  # the range in the bits from 33 on, the row in it below
+    in_order = ordered.repartitionByRange(ranges, "dim", "cell", "rep").sortWithinPartitions("dim", "cell", "rep").withColumn("row", row)
+    run = F.floor(F.col("row").bitwiseAND((1 << 33) - 1) / BLOCK)
+    pieces = staged(in_order.withColumns({"range": F.shiftright("row", 33), "run": run}).drop("row"), "intervals")
+    last_run, last_range = pieces.agg(F.max("run"), F.max("range")).first()
+    low = (last_run or 0).bit_length()
+    numbered = pieces.withColumn("block", F.shiftleft("range", low) + F.col("run")).drop("range", "run")
+    return numbered, low + (last_range or 0).bit_length()
+
+
+def near_blocks(pieces: DataFrame, bits: int, cosine: float) -> DataFrame:
+    """(i, j), i <= j: the blocks of ``pieces`` whose bounding boxes leave room for a link.
+
+    Halves intervals of block numbers from the whole sequence down, one round for each bit, and drops two intervals with
+    all that is in them once their boxes are too far apart. Boxes and pairs are tables; none comes to the driver.
+    """
+    spark = pieces.sparkSession
+    lead = [(F.min, F.col("lead")[i], f"l{i}") for i in range(LEADING)] + [(F.max, F.col("lead")[i], f"h{i}") for i in range(LEADING)]
+    boxed = pieces.groupBy("block").agg(F.min("dim").alias("short"), F.max("dim").alias("long"), *[f(c).alias(n) for f, c, n in lead])
+    levels = boxed.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(bits)))).withColumn("node", F.expr("shiftright(block, level)"))
+    box = [F.min("short").alias("short"), F.max("long").alias("long"), *[f(n).alias(n) for f, _, n in lead]]
+    tree = staged(levels.groupBy("level", "node").agg(*box), "boxes")
+    limit = (2.0 - 2.0 * cosine) * (1 + 1e-9) + 1e-12
+    apart = [F.greatest(F.lit(0.0), F.col(f"a.l{i}") - F.col(f"b.h{i}"), F.col(f"b.l{i}") - F.col(f"a.h{i}")) for i in range(LEADING)]
+    gap = sum((d * d for d in apart[1:]), apart[0] * apart[0])
+    room = (F.col("i") == F.col("j")) | ((gap <= limit) & (F.col("a.short") <= F.col("b.long")) & (F.col("b.short") <= F.col("a.long")))
+    half = F.explode(F.array(F.lit(0), F.lit(1)))
+    pairs = spark.createDataFrame([(0, 0)], "i long, j long")
+    for level in range(bits - 1, -1, -1):
+        at = tree.where(F.col("level") == level).drop("level")
+        split = pairs.withColumn("p", half).withColumn("q", half).select((F.col("i") * 2 + F.col("p")).alias("i"), (F.col("j") * 2 + F.col("q")).alias("j"))
+        met = split.where("i <= j").alias("s").join(at.alias("a"), F.col("i") == F.col("a.node")).join(at.alias("b"), F.col("j") == F.col("b.node"))
+        pairs = staged(met.where(room).select("i", "j"), "pairs")
+    return pairs
+
+
 def similar_vectors(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors`` (``vec_id``, ``embedding``).
 
@@ -152,37 +201,12 @@ def similar_vectors(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
             )
 
     ordered = staged(distinct.mapInArrow(place, "rep long, n long, dim int, cell binary, lead array<double>, embedding array<double>"), "cells")
-    total = ordered.count()
-    parts = min(MAX_BLOCKS, max(1, math.ceil(total / BLOCK)))
-    pieces = staged(ordered.repartitionByRange(parts, "dim", "cell", "rep").withColumn("piece", F.spark_partition_id()), "intervals")
-    lows = [F.min(F.col("lead")[i]).alias(f"l{i}") for i in range(LEADING)]
-    highs = [F.max(F.col("lead")[i]).alias(f"h{i}") for i in range(LEADING)]
-    boxes = np.array([tuple(r) for r in pieces.groupBy("piece").agg(F.count("*"), F.min("dim"), F.max("dim"), *lows, *highs).orderBy("piece").collect()], float).reshape(-1, 4 + 2 * LEADING)
-    # neighbouring pieces make up blocks of about the wanted size
-    rows_of, block_of, blocks = max(BLOCK, math.ceil(total / MAX_BLOCKS)), {}, []
-    for row in boxes:
-        if not blocks or blocks[-1][0] + row[1] > 1.5 * rows_of:
-            blocks.append(row[1:].copy())
-        else:
-            b = blocks[-1]
-            b[0] += row[1]
-            b[1], b[2] = min(b[1], row[2]), max(b[2], row[3])
-            b[3 : 3 + LEADING] = np.minimum(b[3 : 3 + LEADING], row[4 : 4 + LEADING])
-            b[3 + LEADING :] = np.maximum(b[3 + LEADING :], row[4 + LEADING :])
-        block_of[int(row[0])] = len(blocks) - 1
-    limit = (2.0 - 2.0 * cosine) * (1 + 1e-9) + 1e-12
-    meetings: list[tuple[int, int, int, int]] = []
-    for i, a in enumerate(blocks):
-        rest = np.array(blocks[i:])
-        near = (_box_gap(a[3 : 3 + LEADING], a[3 + LEADING :], rest[:, 3 : 3 + LEADING], rest[:, 3 + LEADING :]) <= limit) & (rest[:, 1] <= a[2]) & (rest[:, 2] >= a[1])
-        near[0] = True
-        for j in (np.flatnonzero(near) + i).tolist():
-            meetings.append((i, i, j, 0))
-            if j != i:
-                meetings.append((j, i, j, 1))
-    named = spark.createDataFrame([(p, b) for p, b in block_of.items()], "piece int, block int")
-    meets = spark.createDataFrame(meetings, "block int, i int, j int, side int")  # at most MAX_BLOCKS squared
-    met = pieces.join(F.broadcast(named), "piece").join(F.broadcast(meets), "block")
+    pieces, bits = _blocks(ordered)
+    meets = near_blocks(pieces, bits, cosine)
+    sides = meets.select(F.col("i").alias("block"), "i", "j", F.lit(0).alias("side")).union(
+        meets.where("i <> j").select(F.col("j"), "i", "j", F.lit(1))
+    )
+    met = pieces.join(sides, "block")
     met = met.select("i", "j", "side", "dim", "cell", "rep", "n", "lead", "embedding").repartition("i", "j").sortWithinPartitions("i", "j", "dim", "side", "cell", "rep")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
