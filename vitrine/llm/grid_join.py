@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -22,7 +22,7 @@ from .staging import ready, staged
 LEADING = 12
 #: Vectors that the principal directions are fitted on at most; they steer the work, not the result.
 FIT_ROWS = 4096
-#: Distinct vectors of one block at most, and about the blocks of one sorted range; both hold for tables of any size.
+#: Distinct vectors of one block, and about the blocks of one sorted range; both hold for tables of any size.
 BLOCK, RANGE_BLOCKS = 4096, 8
 LEAF = 128
 
@@ -120,17 +120,18 @@ def _vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _blocks(ordered: DataFrame) -> tuple[DataFrame, int]:
     """The rows in grid order with the ``block`` of each, and the bits of a block number.
 
-    A block is a run of at most BLOCK rows of one sorted range; the range is the upper part of its number.
+    Block k holds the rows k * BLOCK and after of the whole order, however that order is dealt over sorted ranges.
     """
-    ranges = max(1, math.ceil(ordered.count() / (BLOCK * RANGE_BLOCKS)))
+    total = ordered.count()
+    ranges = max(1, math.ceil(total / (BLOCK * RANGE_BLOCKS)))
     row = F.monotonically_increasing_id()  # the range in the bits from 33 on, the row in it below
     in_order = ordered.repartitionByRange(ranges, "dim", "cell", "rep").sortWithinPartitions("dim", "cell", "rep").withColumn("row", row)
-    run = F.floor(F.col("row").bitwiseAND((1 << 33) - 1) / BLOCK)
-    pieces = staged(in_order.withColumns({"range": F.shiftright("row", 33), "run": run}).drop("row"), "intervals")
-    last_run, last_range = pieces.agg(F.max("run"), F.max("range")).first()
-    low = (last_run or 0).bit_length()
-    numbered = pieces.withColumn("block", F.shiftleft("range", low) + F.col("run")).drop("range", "run")
-    return numbered, low + (last_range or 0).bit_length()
+    pieces = staged(in_order.withColumns({"range": F.shiftright("row", 33), "row": F.col("row").bitwiseAND((1 << 33) - 1)}), "intervals")
+    sizes = pieces.groupBy("range").agg(F.count("*").alias("n"))  # a row for each range
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    numbered = pieces.join(starts, "range").withColumn("block", F.floor((F.col("start") + F.col("row")) / BLOCK))
+    return numbered.drop("range", "row", "start"), (max(0, total - 1) // BLOCK).bit_length()
 
 
 def near_blocks(pieces: DataFrame, bits: int, cosine: float) -> DataFrame:
