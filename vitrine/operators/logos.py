@@ -17,21 +17,13 @@ def substring_pairs(hay: DataFrame, needles: DataFrame) -> DataFrame:
     """(hay_id, needle_id) wherever ``needle`` occurs in ``hay``: a hash join on substrings.
 
     ``hay``: hay_id, hay; ``needles``: needle_id, needle. The texts are names, so a hay
-    text yields at most its length times the number of different needle lengths.
+    text yields at most its length times the number of different needle lengths. Those
+    lengths are a table, joined on the lengths that fit into the text.
     """
-    lengths = [r[0] for r in needles.select(F.length("needle")).distinct().collect()]
-    if not lengths:
-        return hay.select("hay_id").limit(0).withColumn("needle_id", F.lit(None).cast("string"))
-    cut = F.flatten(
-        F.transform(
-            F.array(*[F.lit(n) for n in lengths]),
-            lambda n: F.when(
-                n <= F.length("hay"),
-                F.transform(F.sequence(F.lit(1), F.length("hay") - n + 1), lambda i: F.substr(F.col("hay"), i, n)),
-            ).otherwise(F.array().cast("array<string>")),
-        )
-    )
-    parts = hay.select("hay_id", F.explode(F.array_distinct(cut)).alias("needle"))
+    lengths = needles.select(F.length("needle").alias("n")).distinct()
+    fitting = hay.withColumn("n", F.explode(F.sequence(F.lit(0), F.length("hay")))).join(lengths, "n")
+    cut = F.transform(F.sequence(F.lit(1), F.length("hay") - F.col("n") + 1), lambda i: F.substr(F.col("hay"), i, F.col("n")))
+    parts = fitting.select("hay_id", F.explode(F.array_distinct(cut)).alias("needle"))
     return parts.join(needles, "needle").select("hay_id", "needle_id").distinct()
 
 

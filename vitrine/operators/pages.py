@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -136,18 +138,25 @@ def social_links(html: Column, url: Column) -> Column:
 # ---- images ------------------------------------------------------------------------
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+_HEADER_TAGS = frozenset(("header", "nav"))
+_PRODUCT_TAG = re.compile(PRODUCT_PATTERN).search
 _IMAGE_SCHEMA = (
     "merchant_id long, page_id long, url string, html_logo string, pos int, raw_src string, alt string, title string, img_class string,"
-    " img_id string, width string, height string, ancestors string"
+    " img_id string, width string, height string, in_header boolean, in_product boolean"
 )
 
 
 class _ImageScan(HTMLParser):
-    """Collects images with the names of their ancestors."""
+    """Collects images and whether they stand in a header and in a product element.
+
+    Open elements of either kind are counted, so deep nesting costs an image nothing.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack: list[str] = []
+        self.open: Counter[str] = Counter()
+        self.headers = self.products = 0
         self.images: list[tuple] = []
 
     def handle_starttag(self, tag, attrs):
@@ -160,19 +169,27 @@ class _ImageScan(HTMLParser):
                 self.images.append(
                     (len(self.images), src.strip(), a.get("alt", "").strip(), a.get("title", "").strip(),
                      " ".join(a.get("class", "").split()), a.get("id", ""), a.get("width"), a.get("height"),
-                     " ".join(self.stack))
+                     self.headers > 0, self.products > 0)
                 )
         elif tag not in _VOID:
             self.stack.append(tag)
+            self._count(tag, 1)
+
+    def _count(self, tag, by):
+        self.open[tag] += by
+        self.headers += by * (tag in _HEADER_TAGS)
+        self.products += by * (_PRODUCT_TAG(tag) is not None)
 
     def handle_startendtag(self, tag, attrs):
         if tag == "img":
             self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
-        if tag in self.stack:
-            while self.stack.pop() != tag:
-                pass
+        while self.open[tag]:
+            last = self.stack.pop()
+            self._count(last, -1)
+            if last == tag:
+                break
 
 
 def _scan_images(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -218,8 +235,8 @@ def page_images(pages: DataFrame) -> DataFrame:
     scanned = base.filter(F.col("html").rlike("(?i)<img")).mapInPandas(_scan_images, _IMAGE_SCHEMA)
     full = scanned.withColumn("src", resolve_url(F.col("url"), F.col("raw_src"))).filter(F.col("src").startswith("http"))
     marks = F.concat_ws(" ", "img_class", "img_id", "alt")
-    names = F.concat_ws(" ", "ancestors", "img_class", "img_id")
-    in_header = F.concat(F.lit(" "), F.col("ancestors"), F.lit(" ")).rlike(" (header|nav) ") | F.lower("img_class").contains("header")
+    in_header = F.col("in_header") | F.lower("img_class").contains("header")
+    in_product = F.col("in_product") | F.concat_ws(" ", "img_class", "img_id").rlike(PRODUCT_PATTERN)
     is_logo = in_header | marks.rlike(LOGO_PATTERN) | F.coalesce(F.col("html_logo") == F.col("src"), F.lit(False))
     classified = full.withColumns(
         {
@@ -233,7 +250,7 @@ def page_images(pages: DataFrame) -> DataFrame:
                 "product_image",
             ),
         }
-    ).withColumn("is_product_candidate", names.rlike(PRODUCT_PATTERN) | (F.col("asset_type") == "product_image"))
+    ).withColumn("is_product_candidate", in_product | (F.col("asset_type") == "product_image"))
     cols = ["merchant_id", "page_id", "pos", "src", "alt", "title", "img_class", "asset_type", "is_logo_candidate",
             "is_product_candidate", "width", "height"]
     og = (

@@ -63,14 +63,14 @@ def crawl_outcomes(inputs: ReportInputs) -> DataFrame:
     return inputs.merchants.join(crawl.merchant_crawl_status(typed), "merchant_id", "left")
 
 
-def selected_images(live_pages: DataFrame, fetched: DataFrame, names: DataFrame) -> DataFrame:
+def selected_images(live_pages: DataFrame, fetched: DataFrame, names: DataFrame, limit: int = SELECTED) -> DataFrame:
     """The representative images of each merchant (E1-E12), with their vectors."""
     images = pages.page_images(live_pages).withColumn("img_ord", F.struct("page_id", "pos"))
     wanted = assets.download_candidates(assets.useful_images(images.drop("width", "height")))
     downloaded = assets.size_filter(assets.download_gate(wanted.join(fetched, "src")))
     named = downloaded.join(names, "merchant_id", "left").withColumn("asset_ord", F.col("fetch_no").cast("long")).checkpoint()
     leaders = assets.perceptual_clusters(named, group_limit=None).filter("is_leader")
-    return assets.select_representatives(leaders, SELECTED).withColumn(
+    return assets.select_representatives(leaders, limit).withColumn(
         "asset_key", F.concat_ws("|", F.col("merchant_id").cast("string"), F.col("slot").cast("string"))
     )
 
@@ -110,16 +110,25 @@ def _index_part(selected: DataFrame, index: DataFrame) -> DataFrame:
     ).select("merchant_id", "local_similarity", "top.masked_ids", "top.local_url", "n_platform")
 
 
-def build_report(inputs: ReportInputs) -> MerchantReport:
-    """Decisions, evidence, claims and conclusions of every merchant."""
+def build_report(
+    inputs: ReportInputs, *, primary_only: bool = True, selected_images_per_merchant: int = SELECTED, max_pages: int = pages.MAX_PAGES
+) -> MerchantReport:
+    """Decisions, evidence, claims and conclusions of every merchant.
+
+    ``primary_only`` compares web candidates with the first selected image alone, else with each one;
+    the other parameters are the images and the pages that a merchant is judged by.
+    """
     outcomes = crawl_outcomes(inputs).checkpoint()
     live = outcomes.filter("crawl_status = 'SUCCESS' OR crawl_status IS NULL")  # no crawl row: scored with neutral facts
-    live_pages = pages.crawled_pages(inputs.pages.join(live.select("merchant_id"), "merchant_id", "left_semi")).drop("page_no").checkpoint()
-    facts = pages.crawl_facts(live_pages).drop("crawl_status").checkpoint()
-    selected = selected_images(live_pages, inputs.fetched, facts.select("merchant_id", "merchant_name", "domain")).checkpoint()
-
-    # candidates for the first selected image (F10-F13)
-    primary = selected.filter("slot = 1").select(
+    # only the keys of the crawled pages are kept; their HTML is read from its table again
+    kept = pages.crawled_pages(inputs.pages.select("merchant_id", "page_id").join(live.select("merchant_id"), "merchant_id", "left_semi"), max_pages).drop("page_no").checkpoint()
+    live_pages = inputs.pages.join(kept, ["merchant_id", "page_id"], "left_semi")
+    facts = pages.crawl_facts(live_pages, max_pages).drop("crawl_status").checkpoint()
+    selected = selected_images(live_pages, inputs.fetched, facts.select("merchant_id", "merchant_name", "domain"), selected_images_per_merchant).checkpoint()
+
+    # candidates for the searched images (F10-F13)
+    searched = selected.filter("slot = 1") if primary_only else selected
+    primary = searched.select(
         F.col("merchant_id").alias("asset_id"), "asset_hash", F.col("domain").alias("merchant_domain"), F.col("embedding").alias("asset_embedding")
     )
     pairs = inputs.web.filter(F.col("embedding").isNotNull()).join(primary, "asset_hash")

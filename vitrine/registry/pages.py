@@ -153,18 +153,24 @@ def _(t):
     return pages.site_category(docs).select("doc_id", "site_category", F.array_join("indicators", "; ").alias("indicators"))
 
 
+def _TWO(words):
+    return f"len(list_filter({_FOUND(words)}, lambda x: x IS NOT NULL)) >= 2"
+
+
 @query("merchant_crawl_facts", "C13", f"""WITH {_NAME}, {_PRODUCTS}, k AS (SELECT *, row_number() OVER (PARTITION BY merchant_id ORDER BY page_id) AS no FROM v_html), kept AS (SELECT * FROM k WHERE no <= 5),
 tx AS (SELECT k.merchant_id, k.page_id, k.no, {_TEXT} AS text, n.title, n.page_name FROM kept k JOIN named n USING (page_id)),
-g AS (SELECT merchant_id, string_agg(text, ' ' ORDER BY no) AS text, arg_min(struct_pack(t := title, n := page_name), CASE WHEN title = '' THEN 1000 - no ELSE no END) AS h FROM tx GROUP BY 1),
+g AS (SELECT merchant_id, string_agg(text, ' ' ORDER BY no) AS text, concat('shop', merchant_id, '.example.com') AS domain, arg_min(struct_pack(t := title, n := page_name), CASE WHEN title = '' THEN 1000 - no ELSE no END) AS h FROM tx GROUP BY 1),
 np AS (SELECT pr.merchant_id, CAST(count(DISTINCT name) AS INT) AS n_products FROM pr JOIN kept USING (page_id) GROUP BY 1), j AS (SELECT g.*, coalesce(n_products, 0) AS np, lower(text) AS low FROM g LEFT JOIN np USING (merchant_id))
 SELECT merchant_id, h.n AS merchant_name, h.t AS title, np AS n_products, CAST(length(text) AS INT) AS text_length, md5(text) AS text_md5, {_HAS(pages.CONTACT_WORDS)} AS has_contact, {_HAS(pages.POLICY_WORDS)} AS has_policy, np > 0 OR {_HAS(pages.PRICING_WORDS)} AS has_pricing, {_HAS(pages.ABOUT_WORDS)} AS has_about,
- CASE WHEN np > 0 OR len(list_filter({_FOUND(pages.ECOMMERCE_WORDS)}, lambda x: x IS NOT NULL)) >= 2 THEN 'ECOMMERCE' ELSE 'OTHER' END AS site_category FROM j""")
+ CASE WHEN text = '' AND np = 0 THEN 'UNKNOWN' WHEN np > 0 OR {_TWO(pages.ECOMMERCE_WORDS)} THEN 'ECOMMERCE' WHEN {_TWO(pages.FINTECH_WORDS)} OR {_HAS(pages.FINTECH_DOMAINS, 'domain')} THEN 'FINTECH_PAYMENTS' WHEN {_TWO(pages.SAAS_WORDS)} THEN 'SAAS_SOFTWARE'
+  WHEN {_TWO(pages.INSTITUTION_WORDS)} OR {_HAS(pages.INSTITUTION_DOMAINS, 'domain')} THEN 'INFORMATIONAL_INSTITUTION' ELSE 'GENERAL_WEBSITE' END AS site_category,
+ (SELECT string_agg(url, ' ' ORDER BY no) FROM kept WHERE kept.merchant_id = j.merchant_id) AS pages_crawled FROM j""")
 def _(t):
     f = pages.crawl_facts(t.view("v_html"))
     return f.select(
         "merchant_id", "merchant_name", "title", "n_products", F.length("text").alias("text_length"),
         F.md5(F.col("text").cast("binary")).alias("text_md5"), "has_contact", "has_policy", "has_pricing", "has_about",
-        F.when(F.col("site_category") == "ECOMMERCE", "ECOMMERCE").otherwise("OTHER").alias("site_category"),
+        "site_category", F.array_join("pages_crawled", " ").alias("pages_crawled"),
     )
 
 

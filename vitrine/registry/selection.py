@@ -81,14 +81,14 @@ def _(t):
     )
 
 
-_CLUSTER = """dist AS (SELECT merchant_id, dhash, min(asset_ord) AS o FROM v_hash GROUP BY 1, 2), ordered AS (SELECT *, row_number() OVER (PARTITION BY merchant_id ORDER BY o) AS i FROM dist),
+_CLUSTER = """dist AS (SELECT merchant_id, dhash, min(asset_ord) AS o FROM {source} GROUP BY 1, 2), ordered AS (SELECT *, row_number() OVER (PARTITION BY merchant_id ORDER BY o) AS i FROM dist),
 walk AS (SELECT merchant_id, CAST(1 AS BIGINT) AS i, dhash, o, o AS leader, [struct_pack(h := dhash, o := o)] AS reps FROM ordered WHERE i = 1
  UNION ALL SELECT q.merchant_id, q.i, q.dhash, q.o, coalesce(list_filter(w.reps, lambda r: bit_count(xor(r.h, q.dhash)) <= 4)[1].o, q.o),
   CASE WHEN len(list_filter(w.reps, lambda r: bit_count(xor(r.h, q.dhash)) <= 4)) = 0 THEN list_append(w.reps, struct_pack(h := q.dhash, o := q.o)) ELSE w.reps END
   FROM walk w JOIN ordered q ON q.merchant_id = w.merchant_id AND q.i = w.i + 1)"""
 
 
-@query("perceptual_clusters", "E9", f"WITH RECURSIVE {_CLUSTER} SELECT v.merchant_id, asset_ord, leader AS leader_ord, asset_ord = leader AS is_leader FROM v_hash v JOIN walk USING (merchant_id, dhash)")
+@query("perceptual_clusters", "E9", f"WITH RECURSIVE {_CLUSTER.replace("{source}", "v_hash")} SELECT v.merchant_id, asset_ord, leader AS leader_ord, asset_ord = leader AS is_leader FROM v_hash v JOIN walk USING (merchant_id, dhash)")
 def _(t):
     return assets.perceptual_clusters(t.view("v_hash")).select("merchant_id", "asset_ord", "leader_ord", "is_leader")
 
@@ -124,17 +124,16 @@ def _(t):
     return assets.select_representatives(downloaded(t)).select("merchant_id", "img_ord", "role", "slot")
 
 
-@query("selection_counts", "E10", f"""WITH RECURSIVE {_CLUSTER}, {_selection(5)}, c AS (SELECT s.merchant_id, count(DISTINCT leader) AS clusters FROM sized s JOIN v_hash h ON h.asset_ord = s.img_ord JOIN walk w ON w.merchant_id = h.merchant_id AND w.dhash = h.dhash GROUP BY 1),
+@query("selection_counts", "E10", f"""WITH RECURSIVE {_selection(5)}, hashed AS (SELECT s.merchant_id, h.dhash, s.fetch_no AS asset_ord FROM sized s JOIN v_hash h ON h.asset_ord = s.img_ord), {_CLUSTER.replace("{source}", "hashed")},
+c AS (SELECT merchant_id, count(DISTINCT leader) AS clusters FROM walk GROUP BY 1),
 a AS (SELECT merchant_id, count(*) AS raw FROM v_image GROUP BY 1), d AS (SELECT merchant_id, count(*) AS dl FROM sized GROUP BY 1), e AS (SELECT merchant_id, count(*) AS sel FROM picked GROUP BY 1)
-SELECT a.merchant_id, CAST(raw AS INT) AS raw_count, CAST(raw - coalesce(dl, 0) AS INT) AS filtered_count, CAST(coalesce(sel, 0) AS INT) AS selected_count FROM a LEFT JOIN d USING (merchant_id) LEFT JOIN e USING (merchant_id)""")
+SELECT a.merchant_id, CAST(raw AS INT) AS raw_count, CAST(raw - coalesce(dl, 0) AS INT) AS filtered_count, CAST(coalesce(dl, 0) - coalesce(clusters, 0) AS INT) AS deduplicated_count, CAST(coalesce(clusters, 0) AS INT) AS clusters_count, CAST(coalesce(sel, 0) AS INT) AS selected_count FROM a LEFT JOIN d USING (merchant_id) LEFT JOIN e USING (merchant_id) LEFT JOIN c USING (merchant_id)""")
 def _(t):
     down = downloaded(t)
     hashed = down.join(t.view("v_hash").select(F.col("asset_ord").alias("img_ord"), "dhash"), "img_ord")
     clustered = assets.perceptual_clusters(hashed.withColumn("asset_ord", F.col("fetch_no").cast("long")))
     picked = assets.select_representatives(down, limit=5)
-    return assets.selection_counts(t.view("v_image"), down, clustered, picked).select(
-        "merchant_id", "raw_count", "filtered_count", "selected_count"
-    )
+    return assets.selection_counts(t.view("v_image"), down, clustered, picked)
 
 
 @query("download_gate", "A10", """WITH g AS (SELECT img_ord, src, width * 9 AS w, height * 8 AS h, n_bytes FROM v_image WHERE n_bytes BETWEEN 150 AND 10485760),
