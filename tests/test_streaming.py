@@ -76,6 +76,30 @@ def test_incremental_index(spark, tables, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/index").count() == assets.count()
 
 
+def test_snapshots_give_the_rows_of_all_batches(spark, tables, tmp_path, monkeypatch):
+    from vitrine.sources.index import build_index
+    from vitrine.streaming import tables as stored
+    from vitrine.streaming.jobs import job_state
+
+    monkeypatch.setattr(stored, "COMPACT_EVERY", 2)
+    events = tables.view("v_event").withColumn("part", F.pmod("event_id", F.lit(5)))
+    states = stored.JobStateTable(f"{tmp_path}/state")
+    for b in (0, 1, 2, 2, 3, 4, 4):  # repeated batches after a failure
+        states.process(events.filter(F.col("part") == b).drop("part"), b)
+    order = ["job_id", "status", "progress_message", "created_at", "updated_at", "error", "n_events"]
+    assert sorted(map(tuple, states.current(spark).select(order).collect())) == sorted(map(tuple, job_state(events.drop("part")).select(order).collect()))
+    assert stored._newest_snapshot(spark, f"{tmp_path}/state", None) == 4
+
+    assets = tables.view("v_asset").filter("asset_id % 1000000 < 20").withColumn("ts", F.col("asset_id") % 7)
+    index = stored.IncrementalIndex(f"{tmp_path}/index", f"{tmp_path}/matches")
+    for b in range(5):
+        index.process(assets.filter(F.pmod("asset_id", F.lit(5)) == b), b)
+    cols = ["asset_hash", "merchant_id", "ts"]
+    for b in (2, 3, 4, 5):
+        want = build_index(assets.filter(F.pmod("asset_id", F.lit(5)) < b))
+        assert sorted(map(tuple, index.index_before(spark, b).select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
+
+
 def test_windows_and_sessions_run_as_streams(spark, tables, tmp_path):
     events = tables.view("v_event")
     events.coalesce(1).write.parquet(f"{tmp_path}/in")

@@ -6,6 +6,8 @@ replaces its earlier output and changes nothing else.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -33,6 +35,40 @@ def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("append").partitionBy("batch_id").parquet(path)
 
 
+#: Every so many batches, all earlier ones are merged into a snapshot, so that a read never goes back further.
+COMPACT_EVERY = 32
+
+
+def _snapshots(path: str) -> str:
+    return f"{path.rstrip('/')}-snapshots"
+
+
+def _newest_snapshot(spark: SparkSession, path: str, before: int | None) -> int:
+    """The newest finished snapshot of batches before ``before`` (None: of any); 0 where there is none."""
+    files, finished = _place(spark, f"{_snapshots(path)}/before=*/_SUCCESS")
+    found = [int(f.getPath().getParent().getName().split("=")[1]) for f in files.globStatus(finished) or []]
+    return max((n for n in found if before is None or n <= before), default=0)
+
+
+def _merged(spark: SparkSession, path: str, before: int | None, merge: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+    """The merged rows of all batches before ``before``: a snapshot and the batches since then."""
+    stored = _read(spark, path)
+    if stored is None:
+        return None
+    at = _newest_snapshot(spark, path, before)
+    since = F.col("batch_id") >= at
+    rows = stored.filter(since if before is None else since & (F.col("batch_id") < before)).drop("batch_id")
+    return merge(rows.unionByName(spark.read.parquet(f"{_snapshots(path)}/before={at}")) if at else rows)
+
+
+def _compact(spark: SparkSession, path: str, batch_id: int, merge: Callable[[DataFrame], DataFrame]) -> None:
+    """Merge the batches before ``batch_id`` into a snapshot when it is due; a repeated batch finds it written."""
+    if batch_id and batch_id % COMPACT_EVERY == 0 and _newest_snapshot(spark, path, batch_id) < batch_id:
+        rows = _merged(spark, path, batch_id, merge)
+        if rows is not None:
+            rows.write.mode("overwrite").parquet(f"{_snapshots(path)}/before={batch_id}")
+
+
 def with_asset_key(assets: DataFrame) -> DataFrame:
     """``asset_key`` names an asset where several merchants show one content hash."""
     return assets.withColumn("asset_key", F.concat_ws("|", "asset_hash", F.col("merchant_id").cast("string"), "domain"))
@@ -54,11 +90,11 @@ class IncrementalIndex:
         self.index_path, self.matches_path = index_path, matches_path
 
     def index_before(self, spark: SparkSession, batch_id: int) -> DataFrame | None:
-        stored = _read(spark, self.index_path)
-        return None if stored is None else build_index(stored.filter(F.col("batch_id") < batch_id))
+        return _merged(spark, self.index_path, batch_id, build_index)
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        _compact(spark, self.index_path, batch_id, build_index)
         index = self.index_before(spark, batch_id)
         if index is not None:
             found = _keyed_matches(batch, index)
@@ -80,11 +116,11 @@ class JobStateTable:
         self.path = path
 
     def process(self, events: DataFrame, batch_id: int) -> None:
+        _compact(events.sparkSession, self.path, batch_id, merge_states)
         _write_batch(job_state(events), self.path, batch_id)
 
     def current(self, spark: SparkSession) -> DataFrame | None:
-        stored = _read(spark, self.path)
-        return None if stored is None else merge_states(stored.drop("batch_id"))
+        return _merged(spark, self.path, None, merge_states)
 
     def start(self, events: DataFrame, checkpoint: str) -> DataStreamWriter:
         return events.writeStream.foreachBatch(self.process).option("checkpointLocation", checkpoint)
