@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import urls
 from ..operators import assets, candidates, crawl, evidence, explain, forensics, logos, pages, scoring, similarity
@@ -49,11 +49,21 @@ class ReportInputs:
 
 @dataclass(frozen=True)
 class MerchantReport:
+    """candidates, provenance, fingerprints, signals, tier_explanations: H10, I15-I17 of the same run;
+    analysed_assets: what the cross-merchant index takes up once the report stands (A5).
+    """
+
     decisions: DataFrame
     evidence: DataFrame
     claims: DataFrame
     conclusions: DataFrame
     selected: DataFrame
+    candidates: DataFrame
+    provenance: DataFrame
+    fingerprints: DataFrame
+    signals: DataFrame
+    tier_explanations: DataFrame
+    analysed_assets: DataFrame
 
 
 def crawl_outcomes(inputs: ReportInputs) -> DataFrame:
@@ -97,11 +107,25 @@ def _forensics(targets: DataFrame, inputs: ReportInputs) -> DataFrame:
     )
 
 
-def _index_part(selected: DataFrame, index: DataFrame) -> DataFrame:
-    """Best cross-merchant match per merchant over its selected images."""
+def _index_verdicts(selected: DataFrame, index: DataFrame) -> DataFrame:
+    """Cross-merchant verdict of every selected image, with the domain of its best match."""
     keyed = selected.select("asset_key", "asset_hash", "merchant_id", "domain", "embedding", "slot", "src")
     matches = similarity.index_matches(keyed, index, key="asset_key")
-    verdicts = similarity.index_verdicts(keyed, matches, key="asset_key")
+    first = matches.filter("match_no = 1").select("asset_key", F.col("member_domain").alias("match_domain"))
+    return similarity.index_verdicts(keyed, matches, key="asset_key").join(first, "asset_key", "left")
+
+
+def _platform_rows(verdicts: DataFrame) -> DataFrame:
+    """The images with a cross-merchant match, numbered per merchant in their order, for the list of candidates."""
+    order = Window.partitionBy("merchant_id").orderBy("slot")  # a merchant has its few selected images only
+    return verdicts.filter(F.col("local_similarity") >= candidates.MODERATE).select(
+        F.col("merchant_id").alias("asset_id"), F.row_number().over(order).alias("seq"), F.col("local_similarity").alias("similarity"),
+        "masked_ids", F.col("match_domain").alias("domain"), F.col("src").alias("asset_url"),
+    )
+
+
+def _index_part(verdicts: DataFrame) -> DataFrame:
+    """Best cross-merchant match per merchant over its selected images."""
     best = F.struct("local_similarity", (-F.col("slot")).alias("o"))
     return verdicts.groupBy("merchant_id").agg(
         F.max("local_similarity").alias("local_similarity"),
@@ -135,7 +159,10 @@ def build_report(
     verified = candidates.verify_candidates(pairs)
     web = candidates.match_status(live.select(F.col("merchant_id").alias("asset_id")), verified).withColumnRenamed("asset_id", "merchant_id")
 
-    local = _index_part(selected, inputs.index)
+    verdicts = _index_verdicts(selected, inputs.index).checkpoint()
+    local = _index_part(verdicts)
+    listed = candidates.candidate_list(verified, _platform_rows(verdicts)).withColumnRenamed("asset_id", "merchant_id").checkpoint()
+    n_listed = listed.groupBy("merchant_id").agg(F.count("*").cast("int").alias("n_candidates"))
     coherence = similarity.identity_coherence(selected.select("merchant_id", "embedding"), live)
     logo_images = selected.filter("role = 'logo'").groupBy("merchant_id").agg(F.min_by("embedding", "slot").alias("embedding"))
     brands = live.select("merchant_id", "claimed_brand").join(facts.select("merchant_id", "merchant_name"), "merchant_id", "left")
@@ -150,13 +177,14 @@ def build_report(
     fact_columns = ["merchant_id", "merchant_name", "n_products", "n_social", "site_category", "has_contact", "has_policy",
                     "has_pricing", "has_about"]
     wide = live.select("merchant_id", "domain", "crawl_status").withColumn("crawl_error", F.lit(None).cast("string"))
-    for part in (facts.select(fact_columns), web, local, coherence.select("merchant_id", "coherence_score"), logo, forensic, counts):
+    for part in (facts.select(fact_columns), web, local, coherence.select("merchant_id", "coherence_score"), logo, forensic, counts, n_listed):
         wide = wide.join(part, "merchant_id", "left")
     wide = wide.withColumns(
         {
             "manipulation_score": F.coalesce("manipulation_score", F.lit(5.0)),
             "synthetic_score": F.coalesce("synthetic_score", F.lit(5.0)),
             "image_count": F.coalesce("image_count", F.lit(0)),
+            "n_candidates": F.coalesce("n_candidates", F.lit(0)),
             "source_type": F.col("top_source_type"),
         }
     ).checkpoint()  # one narrow row per merchant; what follows is row-local
@@ -202,10 +230,23 @@ def build_report(
     decisions = scored.select(columns + extra).unionByName(failed.select(columns), allowMissingColumns=True)
     claim_rows = crawl.claim_texts(decisions.withColumn("n_products", F.least("n_products", F.lit(CLAIMED_PRODUCTS))))
     claims = explain.claim_matrix(claim_rows, found)
+    states = scored.unionByName(failed, allowMissingColumns=True)
+    # a failed crawl has looked at nothing
+    looked_at = decided.select("merchant_id", F.col("image_count").alias("n_products"), "has_logo", "n_candidates")
+    looked_at = looked_at.unionByName(failed.select("merchant_id"), allowMissingColumns=True).select(
+        "merchant_id", F.coalesce("n_products", F.lit(0)).alias("n_products"), "has_logo",
+        F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"), F.lit(False).alias("has_document"), F.lit(False).alias("is_fallback_extractor"),
+    )
     return MerchantReport(
         decisions=decisions,
         evidence=found,
         claims=claims,
         conclusions=explain.conclusions(decisions, found),
         selected=selected,
+        candidates=listed,
+        provenance=explain.provenance(looked_at, found),
+        fingerprints=explain.fingerprint(states),
+        signals=explain.decision_signals(decided),
+        tier_explanations=explain.tier_explanation(states),
+        analysed_assets=selected.select("asset_hash", "merchant_id", "domain", "embedding", "src"),
     )
