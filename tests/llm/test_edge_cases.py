@@ -270,6 +270,37 @@ def test_exchange_separates_two_languages():
     assert len(set(of[::2])) == 1 and len(set(of[1::2])) == 1 and of[0] != of[1]
 
 
+def test_best_classes_against_brute_force():
+    rng = np.random.default_rng(4)
+    bigrams = np.maximum(rng.poisson(0.6, (30, 30)) + np.diag(rng.integers(0, 4, 30)), 0).astype(float)
+    bigrams += bigrams.T  # each word is as often before as after
+    of, classes = rng.integers(0, 5, 30), 5
+
+    def table(of):
+        member = np.eye(classes)[of]
+        return member.T @ bigrams @ member
+
+    member = np.eye(classes)[of]
+    got = class_model.best_classes(table(of), bigrams @ member, bigrams.T @ member, bigrams.diagonal(), of)
+    xlogx = lambda x: x * np.log(np.maximum(x, 1.0))
+    for w in range(30):
+        value = []
+        for k in range(classes):
+            t = table(np.where(np.arange(30) == w, k, of))
+            value.append(xlogx(t).sum() - 2 * xlogx(bigrams.sum(0) @ np.eye(classes)[np.where(np.arange(30) == w, k, of)]).sum())
+        assert value[got[w]] > max(value) - 1e-6
+
+
+def test_words_beyond_the_most_frequent_have_classes_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(class_model, "FREQUENT", 1)  # the end alone
+    rng = np.random.default_rng(5)
+    words = [[f"{'ab'[side]}{i}{chr(97 + i % 16)}{chr(97 + i // 16 % 16)}" for i in range(700)] for side in (0, 1)]
+    rows = [(i, " ".join(rng.choice(words[i % 2], 120))) for i in range(1400)]
+    got = class_model.score_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).where("held_out").collect()
+    gained = sum(r.score - r.base_score for r in got) / sum(r.n_tokens for r in got)
+    assert len(got) > 100 and gained > 0.25  # two languages of equal size: log10(2) at most but for the ends
+
+
 def brute_removed(texts):
     first, out = {}, {}
     for i, t in sorted(texts):

@@ -2,16 +2,21 @@
 
 Documents are coded once, part by part, against a dictionary of each part's own words; the words' corpus counts come
 back to the parts through a shuffle by word hash. Words and their counts are never gathered in one place: the driver
-sees the most frequent words' counts and a table of class-type bigrams, both of fixed size.
+sees the most frequent words' counts, a table of their bigrams, and class tables, all of fixed size.
 
-The types that are clustered are the most frequent words, one by one, and all other words by their ending; a word
-outside the training documents thus has a class, too.
+Every word of MIN_COUNT training occurrences is clustered by its own contexts. The most frequent words and the endings
+of the others are exchanged on the driver, which gives each word a class to start from. Then passes over the parts
+count each other word's neighbour classes, and tasks of word buckets move the words against the class table of the
+pass: half of the words a pass, so that neighbours do not swap past each other, and a pass that lowers the likelihood
+is dropped. Rarer words, and words outside the training documents, have the class of their ending.
 """
 
 from __future__ import annotations
 
+import logging
 import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +25,15 @@ from pyspark.sql import functions as F
 
 from .near_duplicates import _groups
 from .shingles import mix, row_chunks, text_bytes, word_hashes
-from .staging import crc_of_id, ready, staged
+from .staging import bucketed, crc_of_id, ready, staged
 
-#: Words that are types of their own, endings that stand for the rest, classes, and passes of the exchange.
+_log = logging.getLogger(__name__)
+#: Words whose exchange starts on the driver, endings that stand for the rest, classes, and passes of that exchange.
 FREQUENT, ENDINGS, CLASSES, PASSES = 1024, 256, 64, 12
-#: Dictionary entries that one counting task takes at a time.
-BUCKET_ENTRIES = 1 << 20
+#: Training occurrences from which a word is clustered by its own contexts, and the most passes over the parts for that.
+MIN_COUNT, WORD_PASSES = 5, 6
+#: Dictionary entries that one counting task takes at a time, and one exchanging task; context entries of one block of it.
+BUCKET_ENTRIES, CONTEXT_ENTRIES, BLOCK = 1 << 20, 1 << 18, 1 << 15
 END_WORD = np.uint64(0x656E64206F662074)
 _PRIOR = 0.1  # added to each class transition
 
@@ -52,7 +60,7 @@ def _words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.insert(hashes, first[1:], END_WORD), np.insert(ends, first[1:], 0), first + np.arange(len(first))
 
 
-_PART = "part long, kind int, bucket int, doc_id array<long>, held_out array<boolean>, first array<long>, tokens binary, hashes binary, counts binary, endings binary"
+_PART = "part long, doc_id array<long>, held_out array<boolean>, first array<long>, tokens binary, hashes binary, counts binary, endings binary"
 
 
 def _code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,8 +80,7 @@ def _code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order), dtype=np.uint32)
         yield pa.RecordBatch.from_pydict({
-            "part": pa.array([uuid.uuid4().int >> 65], pa.int64()), "kind": pa.array([0], pa.int32()), "bucket": pa.array([0], pa.int32()),
-            "doc_id": pa.array([batch.column(0).to_pylist()], pa.list_(pa.int64())), "held_out": pa.array([held.tolist()], pa.list_(pa.bool_())),
+            "part": pa.array([uuid.uuid4().int >> 65], pa.int64()), "doc_id": pa.array([batch.column(0).to_pylist()], pa.list_(pa.int64())), "held_out": pa.array([held.tolist()], pa.list_(pa.bool_())),
             "first": pa.array([first.tolist()], pa.list_(pa.int64())), "tokens": [np.concatenate([rank, rank[place]]).tobytes()],
             "hashes": [known.tobytes()], "counts": [counts.tobytes()], "endings": [endings[at].tobytes()],
         })
@@ -113,7 +120,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             answers = total[place]
             sizes = np.cumsum([0] + [len(h) // 8 for h in blobs[0]])
             top = np.argsort(-total.astype(np.int64), kind="stable")[: FREQUENT + 1]
-            words = np.bincount(endings[at][total > 0], minlength=ENDINGS).astype(np.int64)
+            words = np.concatenate([np.bincount(endings[at][pick], minlength=ENDINGS) for pick in (total > 0, (total > 0) & (total < MIN_COUNT))])
+            words = np.append(words, [total[total >= MIN_COUNT].sum(), total.sum()]).astype(np.int64)
             parts = rows.column("part").to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [pa.array([*parts, -1], pa.int64()), pa.array([int(bucket[lo])] * (len(parts) + 1), pa.int32()),
@@ -170,7 +178,223 @@ def exchange_classes(bigrams: np.ndarray, classes: int = CLASSES, passes: int =
     return of
 
 
-def score_texts(docs: DataFrame, held_out_modulus: int = 7, held_out_rest: int = 2, classes: int = CLASSES) -> DataFrame:
+class _Part:
+    """A part's dictionary and tokens with the answers for its words."""
+
+    def __init__(self, row: dict, top_hashes: np.ndarray):
+        self.part, self.doc_id, self.held_out, self.first = row["part"], row["doc_id"], np.array(row["held_out"], bool), np.array(row["first"], np.int64)
+        self.hashes, self.endings = np.frombuffer(row["hashes"], np.uint64), np.frombuffer(row["endings"], np.uint16).astype(np.int64)
+        self.counts = np.frombuffer(_joined(row["replies"], "counts"), np.uint64)
+        raw = np.frombuffer(row["tokens"], np.uint32)
+        word = np.empty(len(self.hashes), np.int64)
+        word[raw[: len(word)]] = np.arange(len(word))
+        self.tokens = word[raw[len(word) :]]
+        at = np.minimum(np.searchsorted(top_hashes, self.hashes), max(len(top_hashes) - 1, 0))
+        self.top = np.where(top_hashes[at] == self.hashes, at, -1) if len(top_hashes) else np.full(len(self.hashes), -1)
+        self.movable = np.flatnonzero((self.top < 0) & (self.counts >= MIN_COUNT))
+        self.chosen = np.frombuffer(_joined(row["chosen"], "classes"), np.uint8)[ENDINGS:] if row.get("chosen") else None
+
+    @classmethod
+    def of(cls, batches: Iterator[pa.RecordBatch], top_hashes: np.ndarray) -> Iterator[_Part]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield cls(batch.slice(i, 1).to_pylist()[0], top_hashes)
+
+    def bigrams(self) -> tuple[np.ndarray, np.ndarray]:
+        """Dictionary places of the neighbours in training documents; a document's first word follows an end."""
+        after = self.tokens[np.repeat(~self.held_out, np.diff(self.first))]
+        return np.roll(after, 1), after
+
+    def classes(self, top_class: np.ndarray, of_ending: np.ndarray) -> np.ndarray:
+        """Class of each dictionary word."""
+        of = of_ending[self.endings]
+        is_top = self.top >= 0
+        of[is_top] = top_class[self.top[is_top]]
+        if self.chosen is not None:
+            of[self.movable] = self.chosen
+        return of
+
+
+def _joined(answers: list[dict], name: str) -> bytes:
+    return b"".join(a[name] for a in sorted(answers, key=lambda a: a["bucket"]))
+
+
+class _State(NamedTuple):
+    """Classes of the words of each part (None: those of their endings), classes of endings, words of each class."""
+
+    classes: DataFrame | None
+    endings: np.ndarray
+    words: np.ndarray
+
+
+def _square(pairs: DataFrame, n: int) -> np.ndarray:
+    found = pairs.groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # at most n * n rows
+    out = np.zeros(n * n)
+    out[found.column("pair").to_numpy()] = found.column("n").to_numpy()
+    return out.reshape(n, n)
+
+
+def _class_pairs(top_hashes: np.ndarray, top_class: np.ndarray, of_ending: np.ndarray, classes: int):
+    """Bigrams of classes in the training documents."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(classes * classes, np.int64)
+        for part in _Part.of(batches, top_hashes):
+            of = part.classes(top_class, of_ending)
+            before, after = part.bigrams()
+            total += np.bincount(of[before] * classes + of[after], minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["pair", "n"])
+
+    return count
+
+
+def _contexts(top_hashes: np.ndarray, top_class: np.ndarray, of_ending: np.ndarray, classes: int, bits: int):
+    """Sparse counts of the classes right (codes from 0) and left (from ``classes``) of each word that may move, and of itself.
+
+    The endings of the rarer words count as words, too; they stand before the first bucket's.
+    """
+    n_codes = 2 * classes + 1
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _Part.of(batches, top_hashes):
+            of = part.classes(top_class, of_ending)
+            target = np.where(part.top >= 0, -1, part.endings)
+            target[part.movable] = ENDINGS + np.arange(len(part.movable))
+            before, after = part.bigrams()
+            x, y = target[before], target[after]
+            right, left, own = x >= 0, y >= 0, (x == y) & (x >= 0)
+            keys = np.concatenate([x[right] * n_codes + of[after[right]], y[left] * n_codes + classes + of[before[left]], y[own] * n_codes + 2 * classes])
+            keys, n = np.unique(keys, return_counts=True)
+            codes, n = (keys % n_codes).astype(np.uint16), n.astype(np.uint32)
+            lengths = np.bincount(keys // n_codes, minlength=ENDINGS + len(part.movable)).astype(np.uint32)
+            hashes = np.concatenate([np.arange(ENDINGS, dtype=np.uint64), part.hashes[part.movable]])
+            old = np.concatenate([of_ending, of[part.movable]]).astype(np.uint8)
+            edges = np.searchsorted(hashes[ENDINGS:] >> np.uint64(64 - bits), np.arange(2**bits + 1)) if bits else np.array([0, len(part.movable)])
+            edges = edges + ENDINGS
+            edges[0] = 0
+            ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+            rows = [(b, lo, hi, ends[lo], ends[hi]) for b, (lo, hi) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())) if hi > lo]
+            blobs = [[x[lo:hi].tobytes() for _, lo, hi, _, _ in rows] for x in (hashes, old, lengths)] + [[x[p:q].tobytes() for _, _, _, p, q in rows] for x in (codes, n)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in rows], pa.int32()), pa.array([part.part] * len(rows), pa.int64()), *(pa.array(b, pa.binary()) for b in blobs)],
+                names=["bucket", "part", "hashes", "old", "lengths", "codes", "counts"],
+            )
+
+    return count
+
+
+def _reassign(table: np.ndarray, classes: int, turn: int):
+    """New classes for each part's words of a bucket, and (part -1) how many words each class has and the endings' classes."""
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, ["bucket"]):
+            bucket = rows.column("bucket").to_numpy()
+            edge = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
+            for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                yield from one(rows.slice(lo, hi - lo), int(bucket[lo]))
+
+    def one(rows: pa.Table, bucket: int) -> Iterator[pa.RecordBatch]:
+        blobs = {c: rows.column(c).to_pylist() for c in ("hashes", "old", "lengths", "codes", "counts")}
+        hashes, old, lengths, codes, counts = (np.frombuffer(b"".join(blobs[c]), t) for c, t in zip(blobs, (np.uint64, np.uint8, np.uint32, np.uint16, np.uint32)))
+        known, at, place = np.unique(hashes, return_index=True, return_inverse=True)
+        of = old[at].astype(np.int64)
+        n_codes = 2 * classes + 1
+        keys = np.repeat(place, lengths) * n_codes + codes
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], counts[order]
+        edge = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+        keys, counts = keys[edge], np.add.reduceat(counts, edge, dtype=np.float64) if len(edge) else np.zeros(0)
+        begin = np.searchsorted(keys, np.arange(len(known) + 1) * n_codes)
+        lo = 0
+        while lo < len(known):  # blocks of words of a bounded number of context entries
+            hi = max(lo + 1, int(np.searchsorted(begin, begin[lo] + BLOCK, "right")) - 1)
+            dense = np.zeros((hi - lo) * n_codes)
+            dense[keys[begin[lo] : begin[hi]] - lo * n_codes] = counts[begin[lo] : begin[hi]]
+            dense = dense.reshape(-1, n_codes)
+            best = best_classes(table, dense[:, :classes], dense[:, classes:-1], dense[:, -1], of[lo:hi])
+            turns = (mix(known[lo:hi]) & np.uint64(1)) == np.uint64(turn % 2)
+            of[lo:hi] = np.where(turns, best, of[lo:hi])
+            lo = hi
+        new = of.astype(np.uint8)
+        sizes = np.cumsum([0] + [len(h) // 8 for h in blobs["hashes"]])
+        answers = new[place]
+        is_ending = known < ENDINGS
+        words = np.bincount(of[~is_ending], minlength=classes).astype(np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([*rows.column("part").to_pylist(), -1], pa.int64()), pa.array([bucket] * (rows.num_rows + 1), pa.int32()),
+             pa.array([*(answers[a:b].tobytes() for a, b in zip(sizes[:-1], sizes[1:])), new[is_ending].tobytes()], pa.binary()),
+             pa.array([*[b""] * rows.num_rows, words.tobytes()], pa.binary())],
+            names=["part", "bucket", "classes", "words"],
+        )
+
+    return choose
+
+
+def best_classes(table: np.ndarray, right: np.ndarray, left: np.ndarray, own: np.ndarray, old: np.ndarray) -> np.ndarray:
+    """The class where the likelihood is highest for each word alone, all others staying.
+
+    ``right[w, c]`` counts class c after word w, ``left[w, c]`` before it, ``own[w]`` the word after itself (which
+    the class counts hold, too); ``table`` the class bigrams.
+    """
+    words, classes = right.shape
+    every = np.arange(words)
+    freq = left.sum(1)
+    right, left = right.copy(), left.copy()
+    right[every, old] -= own
+    left[every, old] -= own
+
+    def side(table: np.ndarray, near: np.ndarray, far: np.ndarray) -> np.ndarray:
+        """What the entries of ``near`` gain in each class; table[k, j] of class k and neighbour class j."""
+        w, j = np.nonzero(near)
+        n, o = near[w, j], old[w]
+        held = table.T[j]
+        held[np.arange(len(w)), o] -= n
+        loop = np.flatnonzero(j == o)  # neighbours in the word's own class: the other side has gone from there
+        held[loop] -= far[w[loop]]
+        held[loop, o[loop]] -= own[w[loop]]
+        rise = _xlogx(held + n[:, None]) - _xlogx(held)
+        out = np.zeros((words, classes))
+        has = np.flatnonzero(np.append(True, w[1:] != w[:-1])) if len(w) else np.zeros(0, np.int64)
+        if len(has):
+            out[w[has]] = np.add.reduceat(rise, has)
+        return out
+
+    gain = side(table, right, left) + side(table.T, left, right)
+    held = np.repeat(table.diagonal()[None, :], words, 0)
+    held[every, old] -= right[every, old] + left[every, old] + own
+    gain += _xlogx(held + right + left + own[:, None]) - _xlogx(held + right) - _xlogx(held + left) + _xlogx(held)
+    size = np.repeat(table.sum(0)[None, :], words, 0)
+    size[every, old] -= freq
+    gain -= 2.0 * (_xlogx(size + freq[:, None]) - _xlogx(size))
+    best = gain.argmax(1)
+    return np.where(gain[every, best] > gain[every, old] + 1e-9, best, old)
+
+
+def _likelihood(table: np.ndarray) -> float:
+    """Log-likelihood of the class bigram model, but for what does not depend on the classes."""
+    return float(_xlogx(table).sum() - _xlogx(table.sum(0)).sum() - _xlogx(table.sum(1)).sum())
+
+
+def _next_state(chosen: DataFrame, rare: np.ndarray, top_class: np.ndarray, classes: int) -> _State:
+    figures = chosen.where("part = -1")
+    of_ending = np.frombuffer(figures.where("bucket = 0").first()["classes"], np.uint8).astype(np.int64)
+    counted = figures.mapInArrow(_class_words, "class int, n long").groupBy("class").agg(F.sum("n").alias("n")).collect()
+    words = np.bincount(of_ending, rare, classes) + np.bincount(top_class, minlength=classes)
+    for of, n in counted:
+        words[of] += n
+    dealt = chosen.where("part <> -1").groupBy("part").agg(F.collect_list(F.struct("bucket", "classes")).alias("chosen"))
+    return _State(bucketed(dealt, "classes", "part"), of_ending, words)
+
+
+def _class_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for blob in batch.column(batch.schema.get_field_index("words")).to_pylist():
+            n = np.frombuffer(blob, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(n)), pa.int32()), pa.array(n)], names=["class", "n"])
+
+
+def score_texts(docs: DataFrame, held_out_modulus: int = 7, held_out_rest: int = 2, classes: int = CLASSES, word_passes: int = WORD_PASSES) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs``.
 
     Tokens are the words of the whole text (null: none), A-Z lower-cased, then one end. Training documents are those
@@ -182,7 +406,7 @@ def score_texts(docs: DataFrame, held_out_modulus: int = 7, held_out_rest: int =
     spark = ready(docs.sparkSession)
     held = crc_of_id("doc_id", held_out_modulus) == held_out_rest
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held"))
-    parts = staged(rows.mapInArrow(_code, _PART), "coded")
+    parts = bucketed(rows.mapInArrow(_code, _PART), "coded", "part")
 
     entries = parts.agg(F.sum(F.octet_length("hashes") / 8)).first()[0] or 0
     bits = max(0, int(np.ceil(np.log2(max(entries / BUCKET_ENTRIES, 1)))))
@@ -195,90 +419,84 @@ def score_texts(docs: DataFrame, held_out_modulus: int = 7, held_out_rest: int =
     frequent = sorted((int(np.int64(r[0]).view(np.uint64)), r[1], r[2]) for r in tops if r[1] > 0)
     top_hashes = np.array([f[0] for f in frequent], np.uint64)
     by_ending = figures.mapInArrow(_ending_counts, "ending int, n long").groupBy("ending").agg(F.sum("n").alias("n")).collect()
-    words = np.zeros(ENDINGS, np.int64)
+    words = np.zeros(2 * ENDINGS + 2, np.int64)
     for ending, n in by_ending:
         words[ending] = n
+    words, rare, (covered, tokens) = words[:ENDINGS], words[ENDINGS:-2], words[-2:].tolist()
+    clustered = covered > 0
+    _log.info("words of %d occurrences and more cover %.4f of %d training tokens", MIN_COUNT, covered / max(tokens, 1), tokens)
+    for _, n, ending in frequent:  # the most frequent words are clustered whatever their count
+        rare[ending] -= n < MIN_COUNT
     words_of_type = np.concatenate([words, np.ones(len(frequent), np.int64)])
     for _, _, ending in frequent:
         words_of_type[ending] -= 1
     n_types, vocabulary = len(words_of_type), int(words.sum())
 
-    blank = lambda kind: F.lit(None).cast(kind)
-    replies = answers.where("part <> -1").select(
-        "part", F.lit(1).alias("kind"), "bucket", blank("array<long>").alias("doc_id"), blank("array<boolean>").alias("held_out"), blank("array<long>").alias("first"),
-        blank("binary").alias("tokens"), blank("binary").alias("hashes"), "counts", blank("binary").alias("endings"),
-    )
-    met = parts.withColumn("counts", blank("binary")).unionByName(replies).repartition("part").sortWithinPartitions("part", "kind", "bucket")
-
-    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _groups(batches, ["part"]):
-            part = table.column("part").to_numpy()
-            edge = np.append(np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])), len(part))
-            for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
-                row = {c: table.column(c)[lo].as_py() for c in ("doc_id", "held_out", "first", "tokens", "hashes", "endings")}
-                hashes, endings = np.frombuffer(row["hashes"], np.uint64), np.frombuffer(row["endings"], np.uint16)
-                count = np.frombuffer(b"".join(table.column("counts").slice(lo + 1, hi - lo - 1).to_pylist()), np.uint64)
-                raw, first = np.frombuffer(row["tokens"], np.uint32), np.array(row["first"])
-                rank, tokens = raw[: len(hashes)], raw[len(hashes) :]
-                at = np.minimum(np.searchsorted(top_hashes, hashes), max(len(top_hashes) - 1, 0))
-                is_top = top_hashes[at] == hashes if len(top_hashes) else np.zeros(len(hashes), bool)
-                types, log, seen = np.empty(len(hashes), np.uint16), np.empty(len(hashes)), np.empty(len(hashes), bool)
-                types[rank] = np.where(is_top, ENDINGS + at, endings)
-                log[rank] = np.log10(count + 1.0)
-                seen[rank] = count > 0
-                of = types[tokens]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(row["doc_id"], pa.int64()), pa.array(row["held_out"], pa.bool_()), pa.array(np.diff(first), pa.int64()),
-                     pa.array(np.add.reduceat(seen[tokens], first[:-1], dtype=np.int64)), pa.array(np.add.reduceat(log[tokens], first[:-1])),
-                     pa.array([of[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist())], pa.binary())],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "log_counts", "types"],
-                )
-
-    typed = staged(met.mapInArrow(resolve, "doc_id long, held_out boolean, n_tokens long, n_known long, log_counts double, types binary"), "typed")
+    replies = bucketed(answers.where("part <> -1").groupBy("part").agg(F.collect_list(F.struct("bucket", "counts")).alias("replies")), "replies", "part")
+    coded = parts.join(replies.hint("shuffle_hash"), "part")
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(n_types * n_types, np.int64)
-        end = ENDINGS + int(np.searchsorted(top_hashes, END_WORD)) if END_WORD in top_hashes else 0
-        for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                of = np.frombuffer(blob, np.uint16).astype(np.int64)
-                np.add.at(total, np.concatenate([[end], of[:-1]]) * n_types + of, 1)
+        for part in _Part.of(batches, top_hashes):
+            types = np.where(part.top >= 0, ENDINGS + part.top, part.endings)
+            before, after = part.bigrams()
+            total += np.bincount(types[before] * n_types + types[after], minlength=len(total))
         for lo in range(0, len(total), 64 * n_types):  # rows of the table in pieces
             at = np.flatnonzero(total[lo : lo + 64 * n_types])
             if len(at):
                 yield pa.RecordBatch.from_arrays([pa.array(at + lo), pa.array(total[at + lo])], names=["pair", "n"])
 
-    counted = typed.where("not held_out").select("types").mapInArrow(pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    found = counted.toArrow()  # at most the square of the number of types
-    bigrams = np.zeros(n_types * n_types)
-    bigrams[found.column("pair").to_numpy()] = found.column("n").to_numpy()
-    bigrams = bigrams.reshape(n_types, n_types)
+    bigrams = _square(coded.mapInArrow(pairs, "pair long, n long"), n_types)
     train_tokens = int(bigrams.sum())
     of_type = exchange_classes(bigrams, classes)
-
-    member = np.zeros((n_types, classes))
-    member[np.arange(n_types), of_type] = 1.0
-    moves = member.T @ bigrams @ member + _PRIOR
-    moves = np.log10(moves / moves.sum(1, keepdims=True))
-    spread = np.log10(member.T @ bigrams.sum(0) + member.T @ words_of_type + 1.0)
-    start = int(of_type[ENDINGS + int(np.searchsorted(top_hashes, END_WORD))]) if END_WORD in top_hashes else 0
+    top_class = of_type[ENDINGS:]
+    state = _State(None, of_type[:ENDINGS], np.bincount(of_type, words_of_type, classes))
+
+    # every other word of MIN_COUNT occurrences, and the endings of what is left, change classes in passes over the parts
+    context_bits = max(0, int(np.ceil(np.log2(max(entries / CONTEXT_ENTRIES, 1)))))
+    met, table = coded, None
+    for n in range(word_passes + 1):
+        met = coded if state.classes is None else coded.join(state.classes.hint("shuffle_hash"), "part", "left")
+        moved = _square(met.mapInArrow(_class_pairs(top_hashes, top_class, state.endings, classes), "pair long, n long"), classes)
+        _log.info("word pass %d: log-likelihood %.6f a training token", n, _likelihood(moved) / max(train_tokens, 1))
+        if table is not None and _likelihood(moved) <= _likelihood(table):
+            state, met = before_last
+            break
+        table = moved
+        if n == word_passes or not clustered:
+            break
+        sent = met.mapInArrow(_contexts(top_hashes, top_class, state.endings, classes, context_bits), "bucket int, part long, hashes binary, old binary, lengths binary, codes binary, counts binary")
+        sent = sent.repartition(min(2**context_bits, 4096), "bucket").sortWithinPartitions("bucket", "part")
+        chosen = staged(sent.mapInArrow(_reassign(table, classes, n), "part long, bucket int, classes binary, words binary"), "chosen")
+        before_last = state, met
+        state = _next_state(chosen, rare, top_class, classes)
+
+    member_words, table = state.words, table + _PRIOR
+    moves = np.log10(table / table.sum(1, keepdims=True))
+    spread = np.log10((table - _PRIOR).sum(0) + member_words + 1.0)
     step = (moves - spread[None, :]).ravel()  # a token's transition and the denominator of its emission
     base = float(np.log10(train_tokens + vocabulary + 1.0))
+    endings = state.endings
+    at_end = np.searchsorted(top_hashes, END_WORD)
+    start = int(top_class[at_end]) if END_WORD in top_hashes else int(endings[0])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            logs = batch.column(4).to_numpy(zero_copy_only=False)
-            gained = np.empty(batch.num_rows)
-            for i, blob in enumerate(batch.column(5).to_pylist()):
-                of = of_type[np.frombuffer(blob, np.uint16)]
-                gained[i] = step[np.concatenate([[start], of[:-1]]) * classes + of].sum()
-            n = batch.column(2).to_numpy(zero_copy_only=False)
+        for part in _Part.of(batches, top_hashes):
+            of = part.classes(top_class, endings)[part.tokens]
+            begin = part.first[:-1]
+            before = np.roll(of, 1)
+            before[begin] = start
+            n = np.diff(part.first)
+            logs = np.add.reduceat(np.log10(part.counts + 1.0)[part.tokens], begin)
+            gained = np.add.reduceat(step[before * classes + of], begin)
+            known = np.add.reduceat((part.counts > 0)[part.tokens], begin, dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:4], pa.array(np.full(batch.num_rows, train_tokens, np.int64)), pa.array(logs - n * base), pa.array(logs + gained)],
+                [pa.array(part.doc_id, pa.int64()), pa.array(part.held_out), pa.array(n), pa.array(known),
+                 pa.array(np.full(len(n), train_tokens, np.int64)), pa.array(logs - n * base), pa.array(logs + gained)],
                 names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 
-    return typed.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return met.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,8 +509,8 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _ending_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(ENDINGS, np.int64)
+    total = np.zeros(2 * ENDINGS + 2, np.int64)
     for batch in batches:
         for w in batch.column(batch.schema.get_field_index("words")).to_pylist():
             total += np.frombuffer(w, np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(range(ENDINGS), pa.int32()), pa.array(total)], names=["ending", "n"])
+    yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total)], names=["ending", "n"])
