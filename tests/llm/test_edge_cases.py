@@ -332,6 +332,26 @@ def test_repeats(spark, docs, empty):
     assert groups and all(len(texts) == 1 for texts in by_group.values())
 
 
+def test_repeats_of_a_hot_key(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    letters = list("abcdefghijkl mnop é")
+    passage = "".join(rng.choice(letters, 90))
+    texts = [(int(i), "".join(rng.choice(letters, 40)) + passage + "".join(rng.choice(letters, 40))) for i in rng.permutation(120)]
+    texts += [(500, texts[0][1]), (501, passage[:60]), (502, "z" * 400), (503, "z" * 300)]
+    monkeypatch.setattr(repeats, "HOT", 20)
+    monkeypatch.setattr(repeats, "BUCKET_WINDOWS", 1 << 12)
+    plain = repeats._suffix_groups
+    seen = spark.sparkContext.accumulator(0)
+
+    def watched(body, begin, size, keys, low_doc, high_doc):
+        seen.add(int((np.unique(keys, return_counts=True)[1] > 20).sum()))
+        return plain(body, begin, size, keys, low_doc, high_doc)
+
+    monkeypatch.setattr(repeats, "_suffix_groups", watched)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_repeats(spark.createDataFrame(texts, "doc_id long, text string").repartition(5)).collect()}
+    assert got == brute_removed(texts) and seen.value == 0
+
+
 def test_interval_groups_against_brute_force():
     rng = np.random.default_rng(4)
     for _ in range(50):

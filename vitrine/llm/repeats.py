@@ -7,6 +7,10 @@ that can share MIN_LENGTH bytes with another one of the task. There suffixes are
 measured, and a stack scan walks the tree of common-prefix intervals. An interval of two documents or more is a
 group if the bytes before its occurrences differ or a stretch begins there; its occurrences are all its suffixes.
 Long repeats come out as overlapping groups, one for each stretch that they cross.
+
+Removal needs no groups, only the first document of each window. A key of more than HOT stretches is therefore not
+sorted for it: each part sends the fingerprints of the key's distinct windows, dealt by fingerprint, with their
+smallest document, and gets back which of them start in an earlier document elsewhere.
 """
 
 from __future__ import annotations
@@ -33,10 +37,12 @@ CUT = 1 << 20
 #: Suffixes that are sorted at a time (more only for one key); minimizers, and stretches, of one bucket.
 SUFFIXES = 1 << 18
 BUCKET_KEYS, BUCKET_STRETCHES = 1 << 21, 1 << 18
+#: Stretches of one key from which remove_repeats deals its windows by their own hash; windows of one bucket.
+HOT, BUCKET_WINDOWS = SUFFIXES // SPAN, 1 << 20
 _PLACE = np.uint64(24)
 _KEY = np.uint64((1 << 40) - 1)
 _LETTER = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-_ROW = "part long, doc_id array<long>, length array<long>, text binary, keys binary, flags binary"
+_ROW = "part long, doc_id array<long>, length array<long>, text binary, keys binary, flags binary, times binary"
 
 
 def stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -111,6 +117,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             "part": pa.array([uuid.uuid4().int >> 65], pa.int64()),
             "doc_id": pa.array([ids.tolist()], pa.list_(pa.int64())), "length": pa.array([np.diff(offsets).tolist()], pa.list_(pa.int64())),
             "text": [zstandard.ZstdCompressor(1).compress(data.tobytes())], "keys": [_five_bytes(keys[edge])], "flags": [np.packbits(several).tobytes()],
+            "times": [_squeeze(np.diff(np.append(edge, len(keys))).astype(np.uint32))],
         })
 
 
@@ -143,36 +150,44 @@ def _edges(column: np.ndarray) -> np.ndarray:
 def _ask(bits: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, blob, flags in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for part, blob, flags, times in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 keys = _keys_of(blob)
+                times = _unsqueeze(times, (np.uint32, len(keys)))[0]
                 flags = np.unpackbits(np.frombuffer(flags, np.uint8), count=len(keys))
                 at = np.searchsorted(keys >> np.uint64(40 - bits), np.arange(2**bits + 1))
                 rows = [(b, lo, hi) for b, (lo, hi) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())) if hi > lo]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[0] for r in rows], pa.int32()), pa.array([part] * len(rows), pa.int64()), pa.array([_five_bytes(keys[lo:hi]) for _, lo, hi in rows], pa.binary()),
-                     pa.array([np.packbits(flags[lo:hi]).tobytes() for _, lo, hi in rows], pa.binary())],
-                    names=["bucket", "part", "keys", "flags"],
+                     pa.array([np.packbits(flags[lo:hi]).tobytes() for _, lo, hi in rows], pa.binary()), pa.array([_squeeze(times[lo:hi]) for _, lo, hi in rows], pa.binary())],
+                    names=["bucket", "part", "keys", "flags", "times"],
                 )
 
     return cut
 
 
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each part's keys of a bucket whether two documents of the corpus have them."""
-    for table in _groups(batches, ["bucket"]):
-        edge = _edges(table.column("bucket").to_numpy())
-        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
-            rows = table.slice(lo, hi - lo)
-            keys = [_keys_of(b) for b in rows.column("keys").to_pylist()]
-            flags = [np.unpackbits(np.frombuffer(f, np.uint8), count=len(k)) for f, k in zip(rows.column("flags").to_pylist(), keys)]
-            _, place, n = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-            shared = (n > 1) | (np.bincount(place, np.concatenate(flags), len(n)) > 0)
-            cuts = np.cumsum([0] + [len(k) for k in keys])
-            shared = shared[place]
-            yield pa.RecordBatch.from_arrays(
-                [rows.column("part").combine_chunks(), rows.column("bucket").combine_chunks(), pa.array([np.packbits(shared[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())],
-                names=["part", "bucket", "flags"],
-            )
+def _answer(hot: int | None):
+    """For each part's keys of a bucket whether two documents of the corpus have them, and the keys of more than ``hot`` stretches."""
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches, ["bucket"]):
+            edge = _edges(table.column("bucket").to_numpy())
+            for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                rows = table.slice(lo, hi - lo)
+                keys = [_keys_of(b) for b in rows.column("keys").to_pylist()]
+                flags = [np.unpackbits(np.frombuffer(f, np.uint8), count=len(k)) for f, k in zip(rows.column("flags").to_pylist(), keys)]
+                times = [_unsqueeze(t, (np.uint32, len(k)))[0] for t, k in zip(rows.column("times").to_pylist(), keys)]
+                known, place, n = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+                shared = (n > 1) | (np.bincount(place, np.concatenate(flags), len(n)) > 0)
+                many = shared & (np.bincount(place, np.concatenate(times), len(n)) > (np.inf if hot is None else hot))
+                cuts = np.cumsum([0] + [len(k) for k in keys])
+                shared, many = (shared & ~many)[place], many[place]
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column("part").combine_chunks(), rows.column("bucket").combine_chunks(), pa.array([np.packbits(shared[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary()),
+                     pa.array([_five_bytes(k[many[a:b]]) for k, a, b in zip(keys, cuts[:-1], cuts[1:])], pa.binary())],
+                    names=["part", "bucket", "flags", "hot"],
+                )
+
+    return answer
 
 
 def _prints(data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -423,25 +438,96 @@ def _parts(docs: DataFrame) -> DataFrame:
     return bucketed(rows.mapInArrow(_pack, _ROW), "packed", "part")
 
 
-def _occurrences(parts: DataFrame) -> DataFrame:
-    """Blobs of occurrences by part and bucket."""
+def _hot_windows(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, hot: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of the given keys' stretches: (distinct fingerprints, smallest id of each; start and number of each window)."""
+    keys, starts, windows, _ = _distinct(data, offsets, ids)
+    pick = np.isin(keys, _keys_of(hot))
+    starts, windows = starts[pick], windows[pick]
+    at = np.repeat(starts - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum())
+    at.sort()
+    prints, place = np.unique(_prints(data, at, np.full(len(at), MIN_LENGTH)), return_inverse=True)
+    least = np.full(len(prints), np.iinfo(np.int64).max)
+    np.minimum.at(least, place, ids[np.searchsorted(offsets, at, "right") - 1])
+    return prints, least, at, place
+
+
+def _ask_windows(bits: int):
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                prints, least, _, _ = _hot_windows(*_texts(row), row["hot"])
+                cuts = np.searchsorted(prints >> np.uint64(64 - bits), np.arange(2**bits + 1)) if bits else np.array([0, len(prints)])
+                rows = [(b, lo, hi) for b, (lo, hi) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if hi > lo]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r[0] for r in rows], pa.int32()), pa.array([row["part"]] * len(rows), pa.int64()), *(pa.array([x[lo:hi].tobytes() for _, lo, hi in rows], pa.binary()) for x in (prints, least))],
+                    names=["bucket", "part", "prints", "least"],
+                )
+
+    return ask
+
+
+def _answer_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each part's windows of a bucket whether another part has them in a document of a smaller id."""
+    for table in _groups(batches, ["bucket"]):
+        edge = _edges(table.column("bucket").to_numpy())
+        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            rows = table.slice(lo, hi - lo)
+            blobs = [rows.column(c).to_pylist() for c in ("prints", "least")]
+            prints, least = (np.frombuffer(b"".join(b), k) for b, k in zip(blobs, (np.uint64, np.int64)))
+            known, place = np.unique(prints, return_inverse=True)
+            first = np.full(len(known), np.iinfo(np.int64).max)
+            np.minimum.at(first, place, least)
+            earlier = first[place] < least
+            cuts = np.cumsum([0] + [len(b) // 8 for b in blobs[0]])
+            yield pa.RecordBatch.from_arrays(
+                [rows.column("part").combine_chunks(), rows.column("bucket").combine_chunks(), pa.array([earlier[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())],
+                names=["part", "bucket", "earlier"],
+            )
+
+
+def _hot_marks(parts: DataFrame, answers: DataFrame) -> DataFrame | None:
+    """For each part with hot keys: these, and for its windows whether they start in an earlier document of another part."""
+    hot = answers.where("octet_length(hot) > 0")
+    n_parts = hot.select("part").distinct().count()
+    if not n_parts:
+        return None
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b"".join(k) for k in batch.column(1).to_pylist()], pa.binary())], names=["part", "hot"])
+
+    keys = staged(hot.groupBy("part").agg(F.collect_list("hot").alias("hot")).mapInArrow(join, "part long, hot binary"), "hot")
+    met = parts.select("part", "doc_id", "length", "text").join(keys.hint("shuffle_hash"), "part")
+    # a part has at most one window for each byte
+    n_windows = parts.join(keys, "part", "left_semi").agg(F.sum(F.aggregate("length", F.lit(0).cast("long"), lambda x, y: x + y))).first()[0]
+    bits = min(12, max(0, int(np.ceil(np.log2(max(n_windows / BUCKET_WINDOWS, 1))))))
+    asked = met.mapInArrow(_ask_windows(bits), "bucket int, part long, prints binary, least binary")
+    asked = asked.repartition(2**bits, "bucket").sortWithinPartitions("bucket", "part")
+    said = staged(asked.mapInArrow(_answer_windows, "part long, bucket int, earlier binary"), "windows")
+    said = said.groupBy("part").agg(F.collect_list(F.struct("bucket", "earlier")).alias("marks"))
+    return keys.join(said.hint("shuffle_hash"), "part")
+
+
+def _occurrences(parts: DataFrame, hot: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Blobs of occurrences by part and bucket, and the answers for the keys; keys of more than ``hot`` stretches are left to :func:`_hot_marks`."""
     total = parts.agg(F.sum(F.octet_length("keys") / 5)).first()[0] or 0
     bits = min(16, max(0, int(np.ceil(np.log2(max(total / BUCKET_KEYS, 1))))))
-    asked = parts.select("part", "keys", "flags").mapInArrow(_ask(bits), "bucket int, part long, keys binary, flags binary")
+    asked = parts.select("part", "keys", "flags", "times").mapInArrow(_ask(bits), "bucket int, part long, keys binary, flags binary, times binary")
     asked = asked.repartition(2**bits, "bucket").sortWithinPartitions("bucket", "part")
-    answers = staged(asked.mapInArrow(_answer, "part long, bucket int, flags binary"), "shared")
-    answers = answers.groupBy("part").agg(F.collect_list(F.struct("bucket", "flags")).alias("answers"))
+    said = staged(asked.mapInArrow(_answer(hot), "part long, bucket int, flags binary, hot binary"), "shared")
+    answers = said.groupBy("part").agg(F.collect_list(F.struct("bucket", "flags")).alias("answers"))
     out_bits = min(16, max(2, int(np.ceil(np.log2(max(total / BUCKET_STRETCHES / 4, 1))))))
     met = parts.select("part", "doc_id", "length", "text").join(answers.hint("shuffle_hash"), "part", "left")
     sent = met.mapInArrow(_send(bits, out_bits), _SENT).repartition(2**out_bits, "bucket").sortWithinPartitions("bucket", "part")
-    return staged(sent.mapInArrow(_match, _FOUND), "repeats")
+    return staged(sent.mapInArrow(_match, _FOUND), "repeats"), said
 
 
 def maximal_repeats(docs: DataFrame) -> DataFrame:
     """(group_id, doc_id, start, length, first_doc, n_docs): every occurrence of every repeat group of two documents.
 
     ``start`` and ``length`` are bytes of the UTF-8 text; ``first_doc`` is the smallest doc_id of the group. Exact copies
-    inside a part of the table are represented by the one of the smallest id. Null texts are empty, rows without
+    inside a part of the table are represented by the one of the smallest id. All stretches of one minimizer meet in one
+    task here, without a bound. Null texts are empty, rows without
     a doc_id are left out, an empty table gives no rows; other columns are not read.
     """
     ready(docs.sparkSession)
@@ -453,7 +539,7 @@ def maximal_repeats(docs: DataFrame) -> DataFrame:
                 group, doc, start, length, first, n = (np.frombuffer(b, k).astype(np.int64) for b, k in zip(blobs, kinds))
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in ((bucket << 32) + group, doc, start, length, first, n)], names=["group_id", "doc_id", "start", "length", "first_doc", "n_docs"])
 
-    return _occurrences(_parts(docs)).mapInArrow(rows, "group_id long, doc_id long, start long, length long, first_doc long, n_docs long")
+    return _occurrences(_parts(docs))[0].mapInArrow(rows, "group_id long, doc_id long, start long, length long, first_doc long, n_docs long")
 
 
 def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
@@ -466,10 +552,13 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """
     ready(docs.sparkSession)
     parts = _parts(docs)
-    spans = _occurrences(parts)
+    spans, answers = _occurrences(parts, HOT)
+    marks = _hot_marks(parts, answers)
     names = ["row", "start", "length", "first_doc", "doc"]
     spans = spans.groupBy("part").agg(F.collect_list(F.struct(*names)).alias("spans"))
     met = parts.select("part", "doc_id", "length", "text").join(spans.hint("shuffle_hash"), "part", "left")
+    if marks is not None:
+        met = met.join(marks.hint("shuffle_hash"), "part", "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -482,6 +571,12 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
                     at = offsets[row[earlier]] + start[earlier]
                     np.add.at(delta, at, 1)
                     np.add.at(delta, at + length[earlier], -1)
+                if part.get("marks"):
+                    _, least, at, place = _hot_windows(data, offsets, ids, part["hot"])
+                    earlier = np.frombuffer(b"".join(m["earlier"] for m in sorted(part["marks"], key=lambda m: m["bucket"])), bool)
+                    at = at[earlier[place] | (least[place] < ids[np.searchsorted(offsets, at, "right") - 1])]
+                    np.add.at(delta, at, 1)
+                    np.add.at(delta, at + MIN_LENGTH, -1)
                 gone = np.cumsum(delta[:-1]) > 0
                 copies = _first_copies(data, offsets, ids)
                 out = []
