@@ -100,10 +100,40 @@ n AS (SELECT a AS id, count(*) AS n FROM link GROUP BY a)
 SELECT vec_id, coalesce(n.n, 0) AS n_links, least(vec_id, coalesce(low.low, vec_id)) AS component_id, vec_id <= coalesce(low.low, vec_id) AS kept
 FROM e LEFT JOIN n ON n.id = vec_id LEFT JOIN low ON low.id = vec_id"""
 
+#: crc32 of decimal ids by its polynomial, a table entry at a time.
+_CRC = """
+crc_t AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda a, _: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, i)) AS t),
+crc AS (
+  SELECT id, xor(list_reduce(list_transform(range(1, length(id) + 1), lambda k: ord(id[k])), lambda a, b: xor(a >> 8, t[xor(a, b) % 256 + 1]), 4294967295), 4294967295) AS crc
+  FROM (SELECT DISTINCT CAST(conv_id AS VARCHAR) AS id FROM conversations WHERE conv_id IS NOT NULL), crc_t)"""
+
+PREFIX_TRIE = f"""
+WITH {_CRC},
+own AS (
+  SELECT conv_id, list(struct_pack(id := octet_length(encode(role)) || ':' || role || text, w := len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'))) ORDER BY turn NULLS FIRST, sha256(octet_length(encode(role)) || ':' || role || text)) AS t
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL) GROUP BY conv_id),
+rebuilt AS (
+  SELECT c.conv_id, CASE WHEN h = 0 THEN c.t ELSE coalesce(b.t[1:h], []) || c.t[h + 1:] END AS t
+  FROM (SELECT o.*, crc % 4 AS h FROM own o JOIN crc ON id = CAST(conv_id AS VARCHAR)) c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 20),
+member AS (SELECT conv_id, len(t) AS n, unnest(range(len(t) + 1)) AS depth, t FROM rebuilt),
+node AS (
+  SELECT list_transform(t[1:depth], lambda x: x.id) AS path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(CASE WHEN depth = 0 THEN 0 ELSE t[depth].w END) AS w,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE n = depth), '')) AS ends_sha256
+  FROM member GROUP BY ALL),
+kids AS (SELECT path[1:depth - 1] AS path, count(*) AS n FROM node WHERE depth > 0 GROUP BY 1),
+below AS (
+  SELECT path[1:d] AS path, sum(leaf) AS n_leaves, sum(saved) AS saved_tokens
+  FROM (SELECT node.path, unnest(range(depth + 1)) AS d, (n_convs - 1) * w AS saved, (kids.path IS NULL)::INT AS leaf FROM node LEFT JOIN kids ON kids.path = node.path)
+  GROUP BY 1)
+SELECT node.conv_id, node.depth, up.conv_id AS parent_conv_id, node.n_convs, coalesce(kids.n, 0) AS n_children, below.n_leaves::BIGINT AS n_leaves,
+  below.saved_tokens::BIGINT AS saved_tokens, node.ends_sha256
+FROM node JOIN below ON below.path = node.path LEFT JOIN kids ON kids.path = node.path LEFT JOIN node up ON node.depth > 0 AND up.path = node.path[1:node.depth - 1]"""
+
 ORACLES = {
     "op2_decontamination": DECONTAMINATION,
     "op3_web_archives": WEB_ARCHIVES,
     "op5_near_duplicates": NEAR_DUPLICATES,
     "op7_mixing": MIXING,
     "op10_similar_vectors": SIMILAR_VECTORS,
+    "op12_prefix_trie": PREFIX_TRIE,
 }

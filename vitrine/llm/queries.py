@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import class_model, decontamination, grid_join, language_id, mixing, near_duplicates, pseudonyms, repeats, toxicity, web_archives
+from . import (
+    class_model,
+    decontamination,
+    grid_join,
+    language_id,
+    mixing,
+    near_duplicates,
+    prefix_trie,
+    pseudonyms,
+    repeats,
+    toxicity,
+    web_archives,
+)
 from .oracles import ORACLES
 from .staging import crc_of_id, ready
 
@@ -97,3 +109,10 @@ def op9_class_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without the 50-byte strings that an earlier one has."""
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@register
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every common beginning of the rebuilt conversations with what sharing it saves."""
+    nodes = prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
