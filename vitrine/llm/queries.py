@@ -12,11 +12,13 @@ from . import (
     decontamination,
     grid_join,
     language_id,
+    licences,
     mixing,
     near_duplicates,
     prefix_trie,
     pseudonyms,
     repeats,
+    structure_repair,
     toxicity,
     web_archives,
 )
@@ -116,3 +118,15 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every common beginning of the rebuilt conversations with what sharing it saves."""
     nodes = prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
     return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+@register
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cheapest repair of every damaged conversation, with its audit."""
+    return structure_repair.repair_digest(table(spark, sf_dir, "conversations"))
+
+
+@register
+def op11_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and covered templates of every document."""
+    return licences.licence_digest(table(spark, sf_dir, "documents"))
