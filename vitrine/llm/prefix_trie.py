@@ -22,6 +22,8 @@ from .staging import ready, staged, words
 BLOCK = 8
 #: Conversations share the head of the first one of their group of so many ids; at most HEAD - 1 turns.
 GROUP, HEAD = 20, 4
+#: A parent of more than one HOT_SHARE-th of the rows of a join is broadcast, so at most HOT_SHARE rows are.
+HOT_SHARE = 1000
 TURNS = [f"t{i}" for i in range(1, BLOCK + 1)]
 NODE = ["depth", "hi", "lo"]
 
@@ -105,6 +107,21 @@ def _rolled(blocks: DataFrame, aggregates: str) -> DataFrame:
     return out.select("depth", "hi", "lo", *parent, F.coalesce("_last.words", F.lit(0).cast("long")).alias("words"), *names)
 
 
+def _parents(nodes: DataFrame, parent: list[Column]) -> DataFrame:
+    """(depth, hi, lo, _owner) of the nodes that start a conversation's own part, with the owner of their parent.
+
+    Parents with a HOT_SHARE-th of all such nodes and more, of which there are HOT_SHARE at most, are broadcast; no other
+    parent has more of the rows that are shuffled.
+    """
+    tops = nodes.where("top").select(F.col("depth").alias("_d"), F.col("hi").alias("_h"), F.col("lo").alias("_l"), *parent)
+    owners = staged(nodes.where("n_tops > 0").select(*NODE, F.col("conv_id").alias("_owner"), "n_tops"), "trie-parents")
+    least = (owners.agg(F.sum("n_tops")).first()[0] or 0) / HOT_SHARE
+    hot, cold = owners.where(F.col("n_tops") >= least).drop("n_tops"), owners.where(F.col("n_tops") < least).drop("n_tops")
+    met = tops.join(F.broadcast(hot), NODE, "left")
+    rest = met.where("_owner is null").drop("_owner").join(cold, NODE)
+    return met.where("_owner is not null").unionByName(rest).select(F.col("_d").alias("depth"), F.col("_h").alias("hi"), F.col("_l").alias("lo"), "_owner")
+
+
 def prefix_trie(members: DataFrame, turns: DataFrame) -> DataFrame:
     """One row for each node of the trie of ``turns`` (conv_id, pos from 1 without gaps, turn_id, words).
 
@@ -127,13 +144,12 @@ def prefix_trie(members: DataFrame, turns: DataFrame) -> DataFrame:
     )
     parent = [(F.col("depth") - 1).alias("depth"), F.col("p_hi").alias("hi"), F.col("p_lo").alias("lo")]
     kids = chained.where("top").groupBy(*parent).agg(F.count("*").alias("tops"))
-    counted = staged(chained.join(kids, NODE, "left").withColumn("n_children", F.col("more") + F.coalesce("tops", F.lit(0))).drop("tops", "more"), "trie-counted")
+    counted = chained.join(kids, NODE, "left").withColumn("n_tops", F.coalesce("tops", F.lit(0)))
+    counted = staged(counted.withColumn("n_children", F.col("more") + F.col("n_tops")).drop("tops", "more"), "trie-counted")
 
     own = counted.groupBy("conv_id").agg(F.sum("saved").alias("own_saved"), (F.max_by("n_children", "depth") == 0).cast("long").alias("own_leaf"))
     below = _rolled(blocks.join(own, "conv_id"), "sum(own_saved) AS all_saved, sum(own_leaf) AS n_leaves").select(*NODE, "all_saved", "n_leaves")
-    tops = counted.where("top").select(F.col("depth").alias("_d"), F.col("hi").alias("_h"), F.col("lo").alias("_l"), *parent)
-    owners = counted.select(*NODE, F.col("conv_id").alias("_owner"))
-    outer = tops.join(owners, NODE).select(F.col("_d").alias("depth"), F.col("_h").alias("hi"), F.col("_l").alias("lo"), "_owner")
+    outer = _parents(counted, parent)
 
     ends = blocks.where("last").select(
         F.when(F.col("t1").isNull(), 0).otherwise(F.col("block") * BLOCK + sum(F.col(t).isNotNull().cast("int") for t in TURNS)).cast("long").alias("depth"),
