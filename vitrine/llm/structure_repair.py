@@ -233,20 +233,24 @@ def edits(audits: DataFrame) -> DataFrame:
 
     def unroll(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for conv_id, audit in zip(batch.column(0), batch.column(1).to_pylist()):
-                letters = np.frombuffer(audit.encode(), np.uint8)
-                source, left = np.cumsum(letters != ord("I")), letters != ord("D")
-                position = np.cumsum(left)
-                odd = int(left.sum()) % 2
-                for at in range(0, len(letters), 1 << 16):
-                    part = np.flatnonzero(left[at : at + (1 << 16)]) + at
-                    role = np.where((position[part] + odd) % 2 == 1, "user", "assistant")
-                    if odd and len(part) and position[part[0]] == 1:
-                        role = np.concatenate([["system"], role[1:]])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([conv_id.as_py()] * len(part), batch.schema.field(0).type), pa.array(position[part], pa.int64()), pa.array(source[part], pa.int64(), mask=letters[part] == ord("I")), pa.array([chr(c) for c in letters[part]], pa.string()), pa.array(role.tolist(), pa.string())],
-                        names=["conv_id", "position", "source", "edit", "made"],
-                    )
+            audits = batch.column(1).to_pylist()
+            letters, sizes = np.frombuffer("".join(audits).encode(), np.uint8), np.array([len(a) for a in audits])
+            row, start = np.repeat(np.arange(len(audits)), sizes), np.cumsum(sizes) - sizes
+            used, left = np.cumsum(letters != ord("I")), letters != ord("D")
+            kept = np.cumsum(left)
+            source = used - (used[start] - (letters[start] != ord("I")))[row]
+            position = kept - (kept[start] - left[start])[row]
+            odd = (position[start + sizes - 1] % 2)[row]
+            role = np.where((position + odd) % 2 == 1, "user", "assistant")
+            role = np.where((odd == 1) & (position == 1), "system", role)
+            every = np.flatnonzero(left)
+            for at in range(0, len(every), 1 << 16):
+                part = every[at : at + (1 << 16)]
+                edit = pa.array([chr(c) for c in letters[part]], pa.string())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(row[part])), pa.array(position[part], pa.int64()), pa.array(source[part], pa.int64(), mask=letters[part] == ord("I")), edit, pa.array(role[part].tolist(), pa.string())],
+                    names=["conv_id", "position", "source", "edit", "made"],
+                )
 
     return audits.select("conv_id", "audit").where("audit <> ''").mapInArrow(unroll, f"conv_id {kind}, position long, source long, edit string, made string")
 
@@ -257,7 +261,8 @@ def repaired_rows(rows: DataFrame, audits: DataFrame) -> DataFrame:
     Kept rows have their own role, others that of their place; inserted rows have an empty text.
     """
     todo = edits(audits)
-    old = todo.where("edit <> 'I'").join(rows.select("conv_id", "source", "role", "text"), ["conv_id", "source"])
+    # audits are small beside the rows that they unroll to, so their file size is no reason to broadcast them
+    old = todo.where("edit <> 'I'").hint("merge").join(rows.select("conv_id", "source", "role", "text"), ["conv_id", "source"])
     own: Column = F.when(F.col("edit") == "K", F.col("role")).otherwise(F.col("made"))
     new = todo.where("edit = 'I'").select("conv_id", "position", F.col("made").alias("role"), F.lit("").alias("text"), "edit", "source")
     return old.select("conv_id", "position", own.alias("role"), "text", "edit", "source").unionByName(new)
