@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vitrine.functions.vectors import cosine
-from vitrine.operators import assets, forensics, logos, similarity
+from vitrine.operators import assets, forensics, logos, similarity, vector_tree
 from vitrine.operators.quantiles import group_percentile
 
 
@@ -18,7 +18,7 @@ def brute(a, b):
 
 @pytest.fixture
 def small_blocks(monkeypatch):
-    monkeypatch.setattr(similarity, "BLOCK", 24)
+    monkeypatch.setattr(vector_tree, "LEAF", 24)
     monkeypatch.setattr(similarity, "FRONT", 3)
 
 
@@ -58,7 +58,7 @@ def expected_matches(rows, limit=5):
     return out
 
 
-def test_index_matches_with_cut_groups_and_cells(spark, vectors, small_blocks):
+def test_index_matches_with_cut_groups_and_leaves(spark, vectors, small_blocks):
     df = spark.createDataFrame([tuple(r) for r in vectors], SCHEMA)
     got = {}
     for r in similarity.index_matches(df, df).orderBy("asset_hash", "match_no").collect():
@@ -67,7 +67,7 @@ def test_index_matches_with_cut_groups_and_cells(spark, vectors, small_blocks):
     assert got == want
 
 
-def test_index_matches_one_length_uses_pivots(spark, vectors, small_blocks):
+def test_index_matches_of_one_length(spark, vectors, small_blocks):
     rows = [r for r in vectors if len(r[3]) == 12]
     df = spark.createDataFrame([tuple(r) for r in rows], SCHEMA)
     got = {}
@@ -192,3 +192,32 @@ def test_brand_references_are_complete(spark):
             if b and (squash(b) in c or c.replace(".png", "").replace(".jpg", "") in squash(b) or any(w in c for w in b.lower().split() if len(w) > 3)):
                 want.add((b, f))
     assert got == want
+
+
+@pytest.mark.parametrize("bucket", [8, 4096])
+def test_nearly_equal_hashes_in_blocks(spark, bucket, monkeypatch):
+    """A merchant of nearly equal hashes: blocks of bounded size, no pair list, the same clusters as in sequence."""
+    monkeypatch.setattr(assets, "BUCKET", bucket)
+    rng = np.random.default_rng(12)
+    base = int(rng.integers(0, 2**62))
+    hashes = set()
+    while len(hashes) < 160:
+        h = base
+        for b in rng.integers(0, 64, rng.integers(0, 5)):
+            h ^= 1 << int(b)
+        hashes.add(h)
+    rows = [(7, o, h - 2**64 if h >= 2**63 else h) for o, h in enumerate(rng.permutation(np.array(sorted(hashes), dtype=object)).tolist())]
+    df = spark.createDataFrame(rows, "merchant_id long, asset_ord long, dhash long")
+    got = {r.asset_ord: r.leader_ord for r in assets.perceptual_clusters(df, group_limit=5).collect()}
+    assert got == dict(fold([(o, h & (2**64 - 1)) for _, o, h in rows]))
+
+
+def test_earliest_hashes_decide_a_large_bucket():
+    rng = np.random.default_rng(1)
+    h = np.uint64(0x0F0F) ^ (np.uint64(1) << rng.integers(0, 64, 60_000).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 60_000).astype(np.uint64))
+    found = assets._any_earlier(h, np.arange(len(h)), np.full(len(h), -1), 4)
+    assert not found[0] and found[1:].all()
+    few = h[:200] ^ (np.uint64(1) << rng.integers(0, 64, 200).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 200).astype(np.uint64))
+    side, ords = rng.integers(0, 2, 200), rng.permutation(200)
+    want = [any(ords[j] < ords[i] and side[i] != side[j] and int(few[i] ^ few[j]).bit_count() <= 4 for j in range(200)) for i in range(200)]
+    assert assets._any_earlier(few, ords, side, 4).tolist() == want

@@ -179,44 +179,116 @@ def _near_pairs(left: DataFrame, right: DataFrame, bits: int) -> DataFrame:
     agree in two whole bands, so an equi-join on (merchant, band pair, both values)
     misses nothing, and about 21 bits of the key keep the buckets small.
     """
-    n = bits + 2
-    edges = [64 * i // n for i in range(n + 1)]
-    part = lambda i: F.shiftrightunsigned(
-        F.shiftleft(F.col("dhash"), 64 - edges[i + 1]), 64 - edges[i + 1] + edges[i]
-    )
-
     def banded(df: DataFrame, prefix: str) -> DataFrame:
-        keys = [
-            F.struct(F.lit(i * n + j).alias("band"), (F.shiftleft(part(i), 32).bitwiseOR(part(j))).alias("part"))
-            for i in range(n)
-            for j in range(i + 1, n)
-        ]
         return df.select(
             "merchant_id", F.col("dhash").alias(f"{prefix}_hash"), F.col("first_ord").alias(f"{prefix}_ord"),
-            F.explode(F.array(*keys)).alias("b"),
+            F.explode(F.array(*_bands(bits))).alias("b"),
         ).select("*", "b.band", "b.part").drop("b")
 
     joined = banded(left, "l").join(banded(right, "r"), ["merchant_id", "band", "part"])
     return joined.filter(hamming(F.col("l_hash"), F.col("r_hash")) <= bits)
 
 
+# Rows of one block of a bucket; two blocks meet in a task.
+BUCKET = 4096
+_BLOCKED = "merchant_id long, dhash long"
+
+
+def _any_earlier(hashes: np.ndarray, ords: np.ndarray, side: np.ndarray, bits: int) -> np.ndarray:
+    """Which hashes have an earlier one within ``bits`` of them; of two blocks only across (sides 0 and 1; -1: one block).
+
+    Everything is compared with the earliest hashes first, and what has found one drops out, so a bucket of nearly equal
+    hashes costs little more than its length.
+    """
+    order = np.argsort(ords, kind="stable")
+    h, s = hashes[order], side[order]
+    found = np.zeros(len(h), bool)
+    left = np.arange(1, len(h))
+    for start in range(0, len(h), 256):
+        left = left[left > start]
+        if not len(left):
+            break
+        for part in np.array_split(left, max(1, len(left) // 2048)):
+            near = np.bitwise_count(h[part, None] ^ h[None, start : start + 256]) <= bits
+            near &= np.arange(start, min(start + 256, len(h)))[None, :] < part[:, None]
+            near &= (s[part, None] != s[None, start : start + 256]) | (s[part, None] < 0)
+            found[part] = near.any(axis=1)
+        left = left[~found[left]]
+    out = np.zeros(len(h), bool)
+    out[order] = found
+    return out
+
+
+def _bands(bits: int) -> list[Column]:
+    """Keys of a hash: the values of each two of ``bits + 2`` bands, of which near hashes share at least one."""
+    n = bits + 2
+    edges = [64 * i // n for i in range(n + 1)]
+    part = lambda i: F.shiftrightunsigned(F.shiftleft(F.col("dhash"), 64 - edges[i + 1]), 64 - edges[i + 1] + edges[i])
+    return [
+        F.struct(F.lit(i * n + j).alias("band"), (F.shiftleft(part(i), 32).bitwiseOR(part(j))).alias("part"))
+        for i in range(n)
+        for j in range(i + 1, n)
+    ]
+
+
+def _blocked(undecided: DataFrame, bits: int) -> DataFrame:
+    """(merchant_id, dhash) of the hashes with an earlier one of their merchant within ``bits``; no pair is listed.
+
+    A bucket of many hashes is cut into blocks; each two blocks meet in one task, which holds 2 * BUCKET rows at most and
+    emits each hash once.
+    """
+    keys = ["merchant_id", "band", "part"]
+    banded = undecided.select("merchant_id", "dhash", "first_ord", F.explode(F.array(*_bands(bits))).alias("b")).select("merchant_id", "dhash", "first_ord", "b.*")
+    shared = banded.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
+    blocks = F.ceil(F.col("n") / F.lit(float(BUCKET))).cast("long")
+    cut = (
+        banded.join(shared, keys)
+        .withColumn("block", F.pmod(F.xxhash64("dhash"), blocks))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+        .select(*keys, F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), F.when(F.col("other") == F.col("block"), -1).otherwise((F.col("block") > F.col("other")).cast("int")).alias("side"), "dhash", "first_ord")
+    )
+    group = [*keys, "p", "q"]
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+
+        def done(table: pa.Table):
+            found = _any_earlier(table["dhash"].to_numpy().view(np.uint64), table["first_ord"].to_numpy(), table["side"].to_numpy(), bits)
+            return pa.RecordBatch.from_arrays([table["merchant_id"].combine_chunks().filter(pa.array(found)), table["dhash"].combine_chunks().filter(pa.array(found))], ["merchant_id", "dhash"])
+
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = np.stack([batch[c].to_numpy() for c in group], axis=1)
+            edges = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
+            for a, b in zip(edges, edges[1:]):
+                if held and last != tuple(key[a]):
+                    yield done(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(a, b - a))
+                last = tuple(key[a])
+        if held:
+            yield done(pa.Table.from_batches(held))
+
+    return cut.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, _BLOCKED).distinct()
+
+
 def _cluster_rounds(distinct: DataFrame, bits: int) -> DataFrame:
     """Greedy leaders of groups too large for one task, by parallel rounds.
 
     The greedy leaders are those hashes with no earlier leader nearby. Each round
     promotes every undecided hash without an undecided earlier neighbour and retires
-    the neighbours of the new leaders; the result is the sequential one. Rounds are
-    cut with reliable checkpoints so a lost executor repeats at most one round.
+    the neighbours of the new leaders; the result is the sequential one. Leaders lie
+    more than ``bits`` apart, so few of them share a bucket, and only they are met as
+    pairs. Rounds are cut with reliable checkpoints so a lost executor repeats at most one round.
     """
     spark = distinct.sparkSession
     checkpoint_dir(spark)
     undecided = distinct.checkpoint()
     leaders: DataFrame | None = None
     while not undecided.isEmpty():
-        blocked = (
-            _near_pairs(undecided, undecided, bits).filter("r_ord < l_ord").select("merchant_id", F.col("l_hash").alias("dhash")).distinct()
-        )
-        fresh = undecided.join(blocked, ["merchant_id", "dhash"], "left_anti").checkpoint()
+        fresh = undecided.join(_blocked(undecided, bits), ["merchant_id", "dhash"], "left_anti").checkpoint()
         retired = _near_pairs(undecided, fresh, bits).select("merchant_id", F.col("l_hash").alias("dhash")).distinct()
         undecided = undecided.join(retired, ["merchant_id", "dhash"], "left_anti").checkpoint()
         leaders = fresh if leaders is None else leaders.unionByName(fresh)

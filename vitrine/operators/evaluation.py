@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.ladders import ladder
 from ..functions.rounding import round_columns
-from .similarity import _block_join, catalogue_matches
+from .similarity import best_matches, catalogue_matches, with_vectors
 
 LABELS = ["LOW", "MEDIUM", "HIGH"]
 
@@ -25,32 +23,23 @@ def tier_of(similarity: Column) -> Column:
     return ladder([(similarity >= 0.85, "HIGH"), (similarity >= 0.70, "MEDIUM")], "LOW")
 
 
-_NEAREST = "row_id string, distance int"
+def hash_vector(dhash: Column) -> Column:
+    """A 64-bit hash as a vector of 64 signs and one 8.0: the cosine of two of them is ``1 - distance / 64``."""
+    sign = lambda i: (F.call_function("shiftright", dhash, i).bitwiseAND(F.lit(1).cast("long")) * 2 - 1).cast("float")
+    return F.concat(F.transform(F.sequence(F.lit(0), F.lit(63)), sign), F.array(F.lit(8.0).cast("float")))
 
 
-def _nearest_block(q: pa.Table, g: pa.Table) -> pa.Table:
-    ids, out = q["row_id"].to_pylist(), []
-    if q.num_rows and g.num_rows:
-        a, b = (t["dhash"].to_numpy().view(np.uint64) for t in (q, g))
-        for start in range(0, len(a), 512):
-            out.append(np.bitwise_count(a[start : start + 512, None] ^ b[None, :]).min(axis=1))
-    best = np.concatenate(out).astype(np.int32) if out else np.zeros(0, np.int32)
-    return pa.table({"row_id": pa.array(ids[: len(best)], pa.string()), "distance": pa.array(best)})
+def nearest_hashes(images: DataFrame, references: DataFrame, leaf: int | None = None) -> DataFrame:
+    """Highest hash similarity of each distinct image hash to any reference hash, exact.
 
-
-def nearest_hashes(images: DataFrame, references: DataFrame) -> DataFrame:
-    """Highest hash similarity of each distinct image hash to any reference hash.
-
-    Distinct hashes of both sides meet block by block; each block reports one number
-    per image hash.
+    Distinct hashes meet as vectors, so an image meets only the references that may beat those near it.
     """
-    side = lambda df: df.filter(F.col("dhash").isNotNull()).select("dhash").distinct().withColumns(
-        {"row_id": F.col("dhash").cast("string"), "v1": F.xxhash64("dhash"), "v2": F.col("dhash"), "space": F.lit(0), "cell": F.lit(0)}
-    )
-    found = _block_join(side(images), side(references), _nearest_block, _NEAREST, ["row_id", "dhash"], ["dhash"])
-    return found.groupBy(F.col("row_id").cast("long").alias("dhash")).agg(
-        (F.lit(1.0) - F.min("distance") / F.lit(64.0)).alias("hash_similarity")
+    side = lambda df, name: with_vectors(
+        df.filter(F.col("dhash").isNotNull()).select("dhash").distinct().select(F.col("dhash").cast("string").alias(name), F.lit("").alias("owner"), F.lit("").alias("domain"), hash_vector(F.col("dhash")).alias("embedding"))
     )
+    found = best_matches(side(images, "row_id"), side(references, "member"), 1, None, False, leaf)
+    distance = F.round((F.lit(1.0) - F.col("raw_similarity")) * 64)
+    return found.select(F.col("row_id").cast("long").alias("dhash"), (F.lit(1.0) - distance / F.lit(64.0)).alias("hash_similarity"))
 
 
 def baseline_predictions(cases: DataFrame, images: DataFrame, references: DataFrame) -> DataFrame:

@@ -5,53 +5,101 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.ladders import ladder, text
-from ..functions.rounding import exact_round, percent, round_columns, whole
+from ..functions.rounding import percent, round_columns, whole
 from ..functions.vectors import cosine
+from .similarity import best_matches, with_vectors
 
 NEUTRAL = "No registered brand reference logo available for the claimed identity. Logo consistency cannot be evaluated without a verified reference. Neutral risk assigned."
 EMPTY_REGISTRY = "No verified reference logos registered in repository for brand comparison."
 NO_LOGO = "Brand visual identity appears standard and consistent."
 
 
-def substring_pairs(hay: DataFrame, needles: DataFrame) -> DataFrame:
-    """(hay_id, needle_id) wherever ``needle`` occurs in ``hay``: a hash join on substrings.
+#: Letters of a q-gram; shorter needles are looked up as a whole.
+GRAM = 3
 
-    ``hay``: hay_id, hay; ``needles``: needle_id, needle. The texts are names, so a hay
-    text yields at most its length times the number of different needle lengths. Those
-    lengths are a table, joined on the lengths that fit into the text.
+
+def _grams(value: Column) -> Column:
+    """Distinct q-grams of a text; none of a shorter one."""
+    last = F.length(value) - F.lit(GRAM - 1)
+    return F.when(last > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substr(value, i, F.lit(GRAM)))))
+
+
+def contained(hay: DataFrame, needles: DataFrame) -> DataFrame:
+    """(hay_id, needle): the distinct ``needle`` texts that each ``hay`` text holds, by the rarest q-gram of each needle.
+
+    The q-grams of all hay texts are counted; a needle is filed under that q-gram of its own which the fewest of them
+    have, a hay text looks its q-grams up, and what is found is verified. A needle that no text can hold has a q-gram
+    without any count and is dropped at once. Needles under GRAM letters are met as whole pieces; an empty needle is held
+    by every text. Rows per hay text are bounded by its pieces, never by the number of rows that have the needle.
     """
-    lengths = needles.select(F.length("needle").alias("n")).distinct()
-    fitting = hay.withColumn("n", F.explode(F.sequence(F.lit(0), F.length("hay")))).join(lengths, "n")
-    cut = F.transform(F.sequence(F.lit(1), F.length("hay") - F.col("n") + 1), lambda i: F.substr(F.col("hay"), i, F.col("n")))
-    parts = fitting.select("hay_id", F.explode(F.array_distinct(cut)).alias("needle"))
-    return parts.join(needles, "needle").select("hay_id", "needle_id").distinct()
+    texts = needles.select("needle").filter(F.col("needle").isNotNull()).distinct()
+    pieces = hay.filter(F.col("hay").isNotNull()).select("hay_id", "hay", F.explode(_grams(F.col("hay"))).alias("gram"))
+    counts = pieces.groupBy("gram").agg(F.count("*").alias("n"))
+    filed = texts.filter(F.length("needle") >= GRAM).select("needle", F.explode(_grams(F.col("needle"))).alias("gram")).join(counts, "gram", "left")
+    rarest = filed.groupBy("needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).filter(F.col("r.n") > 0)
+    found = pieces.join(rarest.select("needle", F.col("r.gram").alias("gram")), "gram").filter(F.contains("hay", "needle")).select("hay_id", "needle")
+    short = texts.filter(F.length("needle") < GRAM)
+    every = lambda n: F.transform(F.sequence(F.lit(1), F.length("hay") + 1), lambda i: F.substr(F.col("hay"), i, F.lit(n)))
+    ends = F.flatten(F.array(*[every(n) for n in range(GRAM)]))
+    whole = hay.filter(F.col("hay").isNotNull()).select("hay_id", F.explode(F.array_distinct(ends)).alias("needle")).join(short, "needle").select("hay_id", "needle")
+    return found.unionByName(whole)
 
 
 def _compact(value: Column) -> Column:
     return F.regexp_replace(F.lower(value), "[ _-]", "")
 
 
-def brand_references(brands: DataFrame, registry: DataFrame) -> DataFrame:
-    """F14. (claimed_brand, filename) pairs: compact brand inside the file name, file name
-    inside the brand, or a brand word of more than three letters inside the file name.
+def _reference_needles(brands: DataFrame, registry: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((claimed_brand, needle), (filename, needle)): a brand and a file that share a needle belong together.
 
-    Works on distinct brands, so a brand claimed by very many merchants is matched once.
+    Needles marked ``f`` are the compact brand or a word of it, held by the file name; needles marked ``b`` are the file
+    name without its ending, held by the compact brand. Distinct brands and files only, so a brand claimed by very many
+    merchants counts once, and nothing is listed per pair.
     """
     names = brands.filter(F.coalesce(F.col("claimed_brand"), F.lit("")) != "").select("claimed_brand").distinct()
     files = registry.select("filename").distinct()
-    hay = files.select(F.col("filename").alias("hay_id"), _compact(F.col("filename")).alias("hay"))
     words = F.filter(F.split(F.lower("claimed_brand"), r"\s+"), lambda w: F.length(w) > 3)
-    needles = names.select(
-        F.col("claimed_brand").alias("needle_id"),
-        F.explode(F.array_union(F.array(_compact(F.col("claimed_brand"))), words)).alias("needle"),
-    )
-    inside_file = substring_pairs(hay, needles).select(F.col("needle_id").alias("claimed_brand"), F.col("hay_id").alias("filename"))
+    asked = names.select("claimed_brand", F.explode(F.array_union(F.array(_compact(F.col("claimed_brand"))), words)).alias("needle"))
+    holding = contained(files.select(F.col("filename").alias("hay_id"), _compact(F.col("filename")).alias("hay")), asked)
     stem = F.replace(F.replace(_compact(F.col("filename")), F.lit(".png"), F.lit("")), F.lit(".jpg"), F.lit(""))
-    inside_brand = substring_pairs(
-        names.select(F.col("claimed_brand").alias("hay_id"), _compact(F.col("claimed_brand")).alias("hay")),
-        files.select(F.col("filename").alias("needle_id"), stem.alias("needle")),
-    ).select(F.col("hay_id").alias("claimed_brand"), F.col("needle_id").alias("filename"))
-    return inside_file.unionByName(inside_brand).distinct()
+    stems = files.select("filename", stem.alias("needle"))
+    around = contained(names.select(F.col("claimed_brand").alias("hay_id"), _compact(F.col("claimed_brand")).alias("hay")), stems)
+    mark = lambda m: F.concat(F.lit(m), "needle").alias("needle")
+    own = asked.select("claimed_brand", mark("f")).unionByName(around.select(F.col("hay_id").alias("claimed_brand"), mark("b")))
+    held = holding.select(F.col("hay_id").alias("filename"), mark("f")).unionByName(stems.select("filename", mark("b")))
+    return own, held
+
+
+def brand_references(brands: DataFrame, registry: DataFrame) -> DataFrame:
+    """F14. (claimed_brand, filename) pairs: compact brand inside the file name, file name
+    inside the brand, or a brand word of more than three letters inside the file name.
+
+    The list of all pairs, as asked; F15 and F16 work on needles instead and list none.
+    """
+    own, held = _reference_needles(brands, registry)
+    return own.join(held, "needle").select("claimed_brand", "filename").distinct()
+
+
+def best_references(logos: DataFrame, registry: DataFrame, leaf: int | None = None) -> DataFrame:
+    """(merchant_id, best, matched_logo): the most similar file among the references of a merchant's brand, the first of equals.
+
+    Every needle is a scope: the distinct logos that ask for it meet the files that hold it through the vector tree, so
+    one word in all file names costs one search among them, not a pair for each merchant and file.
+    """
+    filled = lambda df: df.withColumn("embedding", F.when(F.size("embedding") == 0, F.array(F.lit(0.0)).cast(df.schema["embedding"].dataType)).otherwise(F.col("embedding")))
+    own, held = _reference_needles(logos, registry)
+    shown = with_vectors(filled(logos.filter(F.col("embedding").isNotNull()).select("merchant_id", "claimed_brand", "embedding")))
+    asked = shown.join(own.select("claimed_brand", F.col("needle").alias("scope")), "claimed_brand")
+    vector = ["v1", "v2", "dim", "scope"]
+    none = {"owner": F.lit(""), "domain": F.lit("")}
+    queries = asked.groupBy(*vector).agg(F.any_value("embedding").alias("embedding")).withColumns({"row_id": F.concat_ws("|", "v1", "v2", "dim", "scope"), **none})
+    files = with_vectors(filled(registry.filter(F.col("embedding").isNotNull()).select("filename", "embedding")))
+    members = files.join(held.select("filename", F.col("needle").alias("scope")), "filename").withColumnRenamed("filename", "member").withColumns(none)
+    found = best_matches(queries, members, 1, None, False, leaf).select("row_id", "member", "similarity")
+    named = queries.select(*vector, "row_id").join(found, "row_id").select(*vector, "member", "similarity")
+    return asked.select("merchant_id", *vector).join(named, vector).groupBy("merchant_id").agg(
+        F.max("similarity").alias("best"), F.min_by("member", F.struct(-F.col("similarity"), F.col("member"))).alias("matched_logo")
+    )
 
 
 def logo_consistency(logos: DataFrame, registry: DataFrame) -> DataFrame:
@@ -61,16 +109,7 @@ def logo_consistency(logos: DataFrame, registry: DataFrame) -> DataFrame:
     ``registry``: filename, embedding. Without a logo or a reference the result is
     neutral (0.85 / 15); with an empty registry it is 1.0 / 0.
     """
-    pairs = brand_references(logos, registry).join(registry.withColumnRenamed("embedding", "reference"), "filename")
-    compared = (
-        logos.filter(F.col("embedding").isNotNull())
-        .join(pairs, "claimed_brand")
-        .withColumn("sim", cosine(F.col("embedding"), F.col("reference")))
-        .select("merchant_id", "filename", exact_round(F.col("sim"), 4).alias("sim"))
-    )
-    best = compared.groupBy("merchant_id").agg(
-        F.max("sim").alias("best"), F.min_by("filename", F.struct(-F.col("sim"), F.col("filename"))).alias("matched_logo")
-    )
+    best = best_references(logos, registry)
     empty = registry.isEmpty()
     has_logo = F.col("embedding").isNotNull()
     df = logos.join(best, "merchant_id", "left").withColumn(
@@ -114,15 +153,12 @@ def resolve_brands(brands: DataFrame, registry: DataFrame) -> DataFrame:
         "filename", F.regexp_replace("filename", r"\.[^.]*$", "").alias("stem")
     )
     stems = files.withColumn("clean", _spaced(F.col("stem")))
-    inside = substring_pairs(
-        stems.select(F.col("filename").alias("hay_id"), F.col("clean").alias("hay")),
-        usable.select(F.col("claimed_brand").alias("needle_id"), F.col("norm").alias("needle")),
-    ).select(F.col("needle_id").alias("claimed_brand"), F.col("hay_id").alias("filename"))
-    around = substring_pairs(
-        usable.select(F.col("claimed_brand").alias("hay_id"), F.col("norm").alias("hay")),
-        stems.select(F.col("filename").alias("needle_id"), F.col("clean").alias("needle")),
-    ).select(F.col("hay_id").alias("claimed_brand"), F.col("needle_id").alias("filename"))
-    first = inside.unionByName(around).groupBy("claimed_brand").agg(F.min("filename").alias("filename"))
+    # the first file of each needle, before any brand asks for it
+    holding = contained(stems.select(F.col("filename").alias("hay_id"), F.col("clean").alias("hay")), usable.select(F.col("norm").alias("needle")))
+    inside = usable.join(holding.groupBy(F.col("needle").alias("norm")).agg(F.min("hay_id").alias("filename")), "norm").select("claimed_brand", "filename")
+    names_of = stems.groupBy(F.col("clean").alias("needle")).agg(F.min("filename").alias("filename"))
+    around = contained(usable.select(F.col("claimed_brand").alias("hay_id"), F.col("norm").alias("hay")), names_of).join(names_of, "needle")
+    first = inside.unionByName(around.select(F.col("hay_id").alias("claimed_brand"), "filename")).groupBy("claimed_brand").agg(F.min("filename").alias("filename"))
     return names.join(first, "claimed_brand", "left").select(
         "claimed_brand",
         F.when(F.col("filename").isNull(), "UNAVAILABLE").otherwise("VERIFIED").alias("brand_status"),

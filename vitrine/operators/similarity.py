@@ -1,17 +1,14 @@
 """Vector joins: exact, blocked, and free of pair lists.
 
-One scheme serves all of them. Identical vectors collapse first, so copies cost no more
-than one vector. The remaining vectors are cut into cells around pivots; a query visits
-only the cells that the triangle inequality cannot rule out; a cell larger than a block
-is split, and query blocks meet index blocks in co-grouped Arrow tasks that multiply two
-bounded matrices and emit only results (pairs over a threshold, or the best few per
-query). Spark partitions and shuffles the blocks; numpy multiplies inside a task.
+One scheme serves all of them. Identical vectors collapse first, so copies cost no more than one vector. Both sides are
+cut into leaves of bounded size by a bisected tree (:mod:`.vector_tree`), and only pairs of leaves that can hold similar
+vectors meet, in co-grouped Arrow tasks that multiply two bounded matrices and emit only results (pairs over a
+threshold, or the best few per query). Best matches take two rounds: leaves near a query give it a similarity to beat,
+and then it meets only those leaves that can beat it. Spark partitions and shuffles the leaves; numpy multiplies.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -20,9 +17,9 @@ from ..functions.ladders import ladder, text
 from ..functions.rounding import clip, percent, round_columns
 from ..functions.urls import index_domain, mask_merchant
 from ..session import checkpoint_dir
+from . import vector_tree
+from .vector_tree import matrix as _matrix
 
-BLOCK = 4096  # index vectors per block; a query block holds twice as many
-MAX_CELLS = 256
 FRONT = 32  # members of a group of copies that travel with their vector
 MATCH_LIMIT = 5
 
@@ -33,18 +30,6 @@ INDEX_STRONG, INDEX_MODERATE = 0.92, 0.82
 # ---- numpy helpers used inside tasks -----------------------------------------------------
 
 
-def _matrix(column) -> np.ndarray:
-    """A list column of equal lengths as a matrix."""
-    arr = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    flat = arr.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
-    return flat.reshape(len(arr), -1) if len(arr) else np.zeros((0, 1))
-
-
-def _unit(m: np.ndarray) -> np.ndarray:
-    norm = np.linalg.norm(m, axis=1, keepdims=True)
-    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
-
-
 def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Cosine of every row of ``a`` with every row of ``b``, clipped to [0, 1]; zero rows give 0."""
     na, nb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
@@ -73,8 +58,8 @@ def vector_key(v: Column) -> dict[str, Column]:
 
 
 def with_vectors(df: DataFrame, column: str = "embedding") -> DataFrame:
-    """Rows that have a vector, as doubles, with its identity and length."""
-    wide = df.filter(F.col(column).isNotNull() & (F.size(column) > 0)).withColumn(column, F.col(column).cast("array<double>"))
+    """Rows that have a vector, with its identity and length; float vectors stay floats until they are multiplied."""
+    wide = df.filter(F.col(column).isNotNull() & (F.size(column) > 0))
     return wide.withColumns({**vector_key(F.col(column)), "dim": F.size(column)})
 
 
@@ -84,138 +69,43 @@ def _dims(df: DataFrame) -> list[int]:
 
 
 def _in_common_space(df: DataFrame, own_first: bool, dims: list[int], other: list[int]) -> DataFrame:
-    """One row per vector and opposite length, cut to the shorter of the two.
+    """One row per vector and opposite length, cut to the shorter of the two; ``space`` holds its scope and both lengths.
 
     With a single embedding model this only labels the rows.
     """
+    scope = F.col("scope") if "scope" in df.columns else F.lit("")
     if dims == other and len(dims) == 1:
-        return df.withColumn("space", F.lit(0).cast("long"))
+        return df.withColumn("space", scope)
     out = df.withColumn("other", F.explode(F.array(*[F.lit(d) for d in other])))
     first, second = ("dim", "other") if own_first else ("other", "dim")
-    pair = F.shiftleft(F.col(first).cast("long"), 32) + F.col(second)
     cut = F.slice("embedding", F.lit(1), F.least("dim", "other"))
-    return out.withColumns({"space": pair, "embedding": cut}).drop("other")
-
+    return out.withColumns({"space": F.concat_ws("|", F.col(first), F.col(second), scope), "embedding": cut}).drop("other")
 
-# ---- cells and blocks ------------------------------------------------------------------------
 
+# ---- trees of both sides -----------------------------------------------------------------------
 
-def _select_pivots(index: DataFrame, n_cells: int) -> np.ndarray | None:
-    """Pseudo-random index vectors as unit pivots: at most MAX_CELLS rows reach the driver."""
-    if n_cells <= 1:
-        return None
-    rows = index.orderBy(F.xxhash64("v1"), "v1", "v2").limit(n_cells).select("embedding").collect()
-    return _unit(np.array([r[0] for r in rows], dtype=np.float64))
-
-
-def _with_schema(df: DataFrame, extra: str) -> str:
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return f"{fields}, {extra}"
-
-
-def _assign(df: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Nearest pivot of every vector and the angle to it."""
-
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                angles = np.arccos(np.clip(_unit(_matrix(batch["embedding"])) @ pivots.T, -1.0, 1.0))
-                cell = angles.argmin(axis=1)
-                own = angles[np.arange(len(cell)), cell]
-                yield pa.RecordBatch.from_arrays(
-                    batch.columns + [pa.array(cell.astype(np.int32)), pa.array(own)], batch.schema.names + ["cell", "angle"]
-                )
-
-    return df.mapInArrow(run, _with_schema(df, "cell int, angle double"))
 
-
-def _route(df: DataFrame, pivots: np.ndarray, radii: np.ndarray, reach: float) -> DataFrame:
-    """Each query once per cell that may hold a vector within ``reach`` radians of it.
-
-    A cell is ruled out when its radius plus the reach does not get to the query, or
-    when the query is nearer to its own pivot by more than twice the reach.
-    """
-
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                angles = np.arccos(np.clip(_unit(_matrix(batch["embedding"])) @ pivots.T, -1.0, 1.0))
-                slack = reach + 1e-6
-                visit = (angles <= radii[None, :] + slack) & (angles - angles.min(axis=1, keepdims=True) <= 2 * slack)
-                row, cell = np.nonzero(visit)
-                taken = batch.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays(
-                    taken.columns + [pa.array(cell.astype(np.int32))], batch.schema.names + ["cell"]
-                )
-
-    return df.mapInArrow(run, _with_schema(df, "cell int"))
-
-
-def _sizes(df: DataFrame) -> dict[tuple[int, int], int]:
-    rows = df.groupBy("space", "cell").agg(F.count("*").alias("n")).collect()
-    return {(r["space"], r["cell"]): r["n"] for r in rows}
-
-
-def _block_join(queries: DataFrame, index: DataFrame, fn: Callable, schema: str, q_cols: list[str], i_cols: list[str]) -> DataFrame:
-    """Co-group query blocks with index blocks of the same space and cell.
-
-    The block counts per cell are a table of at most MAX_CELLS rows per space. Within a
-    cell, every query block meets every index block exactly once.
-    """
-    spark = queries.sparkSession
-    n_q, n_i = _sizes(queries), _sizes(index)
-    plan = [
-        (space, cell, max(1, -(-n_q[space, cell] // (2 * BLOCK))), max(1, -(-n // BLOCK)))
-        for (space, cell), n in n_i.items()
-        if (space, cell) in n_q
-    ]
-    blocks = F.broadcast(spark.createDataFrame(plan, "space long, cell int, na long, nb long"))
-    span = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
-    left = (
-        queries.join(blocks, ["space", "cell"])
-        .withColumn("a", F.pmod(F.xxhash64("v1", "v2", "row_id"), F.col("na")))
-        .withColumn("b", F.explode(span("nb")))
-        .select("space", "cell", "a", "b", *q_cols)
-    )
-    right = (
-        index.join(blocks, ["space", "cell"])
-        .withColumn("b", F.pmod(F.xxhash64("v1", "v2", "row_id"), F.col("nb")))
-        .withColumn("a", F.explode(span("na")))
-        .select("space", "cell", "a", "b", *i_cols)
-    )
-    # a self join reads one lineage twice: fresh column identities tell the sides apart
-    right = right.toDF(*right.columns)
-    keys = ["space", "cell", "a", "b"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(fn, schema)
-
-
-def _prepare(queries: DataFrame, index: DataFrame, threshold: float | None) -> tuple[DataFrame, DataFrame]:
-    """Put both sides into common spaces and cells.
-
-    Both inputs are read several times (sizes, pivots, radii, the join), so each is
-    written once to the reliable checkpoint folder first.
-    """
+def _common_spaces(queries: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides by pair of vector lengths; each is read several times, so it is written to the checkpoint folder first."""
     checkpoint_dir(queries.sparkSession)
     same = queries is index
     queries = queries.checkpoint()
     index = queries if same else index.checkpoint()
     q_dims, i_dims = _dims(queries), _dims(index)
     if not q_dims or not i_dims:
-        one = {"space": F.lit(0).cast("long"), "cell": F.lit(0)}
-        return queries.withColumns(one), index.withColumns(one)
-    queries = _in_common_space(queries, True, q_dims, i_dims)
-    index = _in_common_space(index, False, i_dims, q_dims)
-    n_cells = 1
-    if threshold is not None and len(q_dims) == len(i_dims) == 1:
-        n_cells = min(MAX_CELLS, -(-index.count() // (4 * BLOCK)))
-    pivots = _select_pivots(index, n_cells)
-    if pivots is None:
-        return queries.withColumn("cell", F.lit(0)), index.withColumn("cell", F.lit(0))
-    assigned = _assign(index, pivots)
-    radii = np.full(len(pivots), -np.inf)
-    for r in assigned.groupBy("cell").agg(F.max("angle").alias("r")).collect():
-        radii[r["cell"]] = r["r"]
-    return _route(queries, pivots, radii, float(np.arccos(threshold))), assigned.drop("angle")
+        return queries.withColumn("space", F.lit("")), index.withColumn("space", F.lit(""))
+    left = _in_common_space(queries, True, q_dims, i_dims)
+    return left, left if same and len(q_dims) == 1 else _in_common_space(index, False, i_dims, q_dims)
+
+
+def _grown(queries: DataFrame, index: DataFrame, leaf: int | None) -> tuple[vector_tree.Tree, vector_tree.Tree] | None:
+    """Trees of both sides, in the same axes; none where every space fits into one leaf of either side."""
+    leaf = leaf or vector_tree.LEAF
+    if vector_tree.is_small(index, leaf) and (queries is index or vector_tree.is_small(queries, leaf)):
+        return None
+    axes = vector_tree.principal_axes(index if queries is index else index.select("space", "row_id", "embedding").unionByName(queries.select("space", "row_id", "embedding")))
+    tree = vector_tree.grow(index, axes, leaf)
+    return (tree if queries is index else vector_tree.grow(queries, axes, leaf)), tree
 
 
 # ---- F4, F5: pairs over a threshold ----------------------------------------------------------
@@ -223,9 +113,16 @@ def _prepare(queries: DataFrame, index: DataFrame, threshold: float | None) -> t
 _PAIR_SCHEMA = "left_id string, right_id string, similarity double, left_copies long, right_copies long"
 
 
-def _pair_block(threshold: float):
-    def run(q: pa.Table, g: pa.Table) -> pa.Table:
+def _pair_block(threshold: float, ordered: bool = False):
+    """Pairs of two blocks, the smaller id on the left.
+
+    Where block pairs are ``ordered``, two blocks meet once and every pair counts; otherwise they meet in both orders, as
+    a block meets itself, and a pair counts where its smaller id asks.
+    """
+
+    def run(key: tuple, q: pa.Table, g: pa.Table) -> pa.Table:
         out = {"left_id": [], "right_id": [], "similarity": [], "left_copies": [], "right_copies": []}
+        once = not ordered or key[-2].as_py() == key[-1].as_py()
         if q.num_rows and g.num_rows:
             a, b = _matrix(q["embedding"]), _matrix(g["embedding"])
             qid, gid = (np.array(t["row_id"].to_pylist(), dtype=object) for t in (q, g))
@@ -233,13 +130,16 @@ def _pair_block(threshold: float):
             for start in range(0, len(a), 512):
                 sims = _cosines(a[start : start + 512], b)
                 i, j = np.nonzero(sims >= threshold)
-                keep = qid[start + i] < gid[j]
-                i, j = i[keep], j[keep]
-                out["left_id"] += list(qid[start + i])
-                out["right_id"] += list(gid[j])
-                out["similarity"] += list(exact_round4(sims[i, j]))
-                out["left_copies"] += list(qn[start + i])
-                out["right_copies"] += list(gn[j])
+                s, i = exact_round4(sims[i, j]), start + i
+                first = qid[i] < gid[j]
+                if once:
+                    i, j, s, first = i[first], j[first], s[first], first[first]
+                left, right, nl, nr = qid[i], gid[j], qn[i], gn[j]
+                out["left_id"] += list(np.where(first, left, right))
+                out["right_id"] += list(np.where(first, right, left))
+                out["similarity"] += list(s)
+                out["left_copies"] += list(np.where(first, nl, nr))
+                out["right_copies"] += list(np.where(first, nr, nl))
         types = [pa.string(), pa.string(), pa.float64(), pa.int64(), pa.int64()]
         return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), types)})
 
@@ -259,19 +159,35 @@ def vector_groups(assets: DataFrame, id_col: str = "asset_id") -> DataFrame:
     )
 
 
-def similar_pairs(assets: DataFrame, threshold: float = MEDIUM, id_col: str = "asset_id") -> DataFrame:
+def similar_pairs(assets: DataFrame, threshold: float = MEDIUM, id_col: str = "asset_id", leaf: int | None = None) -> DataFrame:
     """F4. All pairs of distinct vectors at least ``threshold`` similar, exact.
 
     A group of identical vectors is one row (left_id = right_id, similarity 1.0) with
-    its number of copies, never the list of its pairs.
+    its number of copies, never the list of its pairs. Only leaves of the vector tree that
+    can hold such a pair meet, each two of them once.
     """
     groups = vector_groups(assets, id_col)
-    queries, index = _prepare(groups, groups, threshold)
+    queries, index = _common_spaces(groups, groups)
+    trees = _grown(queries, index, leaf)
     cols = ["row_id", "embedding", "copies"]
-    pairs = _block_join(queries, index, _pair_block(threshold), _PAIR_SCHEMA, cols, cols)
+    if trees is None:
+        pairs = vector_tree.leaf_join(queries, index, None, _pair_block(threshold), _PAIR_SCHEMA, cols, cols)
+    else:
+        met = vector_tree.leaf_pairs(*trees, threshold=threshold, ordered=queries is index)
+        pairs = vector_tree.leaf_join(trees[0].rows, trees[1].rows, met, _pair_block(threshold, queries is index), _PAIR_SCHEMA, cols, cols)
     return pairs.unionByName(_copy_rows(groups))
 
 
+def leaf_shares(assets: DataFrame, threshold: float, leaf: int) -> tuple[int, int]:
+    """(leaf pairs that meet, all leaf pairs) of :func:`similar_pairs`: what the tree spares."""
+    queries, index = _common_spaces(*[vector_groups(assets)] * 2)
+    trees = _grown(queries, index, leaf)
+    if trees is None:
+        return 1, 1
+    leaves = trees[1].nodes.filter(F.col("level") == trees[1].depth).groupBy("space").count()
+    return vector_tree.leaf_pairs(*trees, threshold=threshold, ordered=True).count(), leaves.agg(F.sum(F.expr("count * (count + 1) div 2"))).first()[0]
+
+
 def _copy_rows(groups: DataFrame) -> DataFrame:
     norm = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)
     return groups.filter((F.col("copies") > 1) & (norm > 0)).select(
@@ -280,50 +196,83 @@ def _copy_rows(groups: DataFrame) -> DataFrame:
     )
 
 
-def approximate_pairs(assets: DataFrame, threshold: float = MEDIUM, bands: int = 24, bits: int = 6, seed: int = 11, id_col: str = "asset_id") -> DataFrame:
-    """F5. Like :func:`similar_pairs`, but only pairs that share a sign signature band.
+#: Bits of a tree's signature, of a first prefix at least, and by which a full bucket is deepened.
+SIGNATURE, FIRST, DEEPER = 48, 4, 4
+#: Chance that a pair at the threshold shares a bucket of the first prefixes; probes beside a row's own bucket.
+FOUND, PROBES = 0.98, 2
+
+
+def forest_shape(n: int, threshold: float, bucket: int) -> tuple[int, int]:
+    """(bits of the first prefixes, trees) for ``n`` vectors: longer prefixes and more trees as the table grows."""
+    bits = int(np.clip(np.ceil(np.log2(max(n, 1) / bucket)), FIRST, SIGNATURE - DEEPER))
+    same = (1.0 - np.arccos(np.clip(threshold, -1.0, 1.0)) / np.pi) ** bits
+    return bits, int(np.ceil(np.log(1.0 - FOUND) / np.log(1.0 - min(same, 1.0 - 1e-9))))
+
 
-    An explicitly approximate option: every pair reported is verified exactly, pairs
-    may be missed. Hot buckets are split into blocks, and a pair sharing several bands
-    is reported by the first of them, so nothing is deduplicated afterwards.
+def forest_buckets(groups: DataFrame, threshold: float, bucket: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, sizes) of an LSH forest: (row_id, tree, bits, code, near) and (tree, bits, code, n).
+
+    A tree's signature is the signs of SIGNATURE projections. Rows start in the bucket of a first prefix, whose length
+    and number follow the table; a bucket of more than ``bucket`` rows is deepened by DEEPER bits, round after round, so
+    what stays large agrees in the whole signature. ``near``: the bits of the first prefix nearest to a change of sign.
     """
-    if bits > 12:
-        raise ValueError("at most 12 bits per band, so that bucket counts stay a small table")
-    groups = vector_groups(assets, id_col)
-    dims = _dims(groups)
-    width = max(dims, default=1)
-    planes = np.random.default_rng(seed).standard_normal((width, bands * bits))
+    width = max(_dims(groups), default=1)
+    bits, trees = forest_shape(groups.count(), threshold, bucket)
 
     def sign(batches):
+        weight = 1 << np.arange(SIGNATURE - 1, -1, -1, dtype=np.int64)
         for batch in batches:
             if batch.num_rows:
-                m = _matrix_padded(batch["embedding"], width)
-                on = (m @ planes > 0).reshape(len(m), bands, bits)
-                codes = (on * (1 << np.arange(bits))).sum(axis=2).astype(np.int32)
-                sigs = pa.ListArray.from_arrays(pa.array(np.arange(0, codes.size + 1, bands, dtype=np.int32)), pa.array(codes.ravel()))
-                yield pa.RecordBatch.from_arrays(batch.columns + [sigs], batch.schema.names + ["signature"])
-
-    signed = groups.mapInArrow(sign, _with_schema(groups, "signature array<int>"))
-    celled = signed.select("*", F.posexplode("signature").alias("band", "code")).withColumns(
-        {"cell": F.col("band") * F.lit(1 << bits) + F.col("code"), "space": F.lit(0).cast("long")}
-    )
-
+                m, n = _matrix_padded(batch["embedding"], width), batch.num_rows
+                for tree in range(trees):
+                    planes = np.random.default_rng([seed, tree]).standard_normal((width, SIGNATURE))
+                    side = m @ planes
+                    near = np.argsort(np.abs(side[:, :bits]), axis=1, kind="stable")[:, :PROBES].astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, near.size + 1, near.shape[1], dtype=np.int32)), pa.array(near.ravel()))
+                    yield pa.RecordBatch.from_arrays([batch["row_id"], pa.array(np.full(n, tree, np.int32)), pa.array(((side > 0) * weight).sum(axis=1)), lists], ["row_id", "tree", "signature", "near"])
+
+    signed = groups.select("row_id", "embedding").mapInArrow(sign, "row_id string, tree int, signature long, near array<int>")
+    placed = signed.withColumn("bits", F.lit(bits)).checkpoint()
+    prefix = F.expr(f"shiftright(signature, {SIGNATURE} - bits)").alias("code")
+    while True:
+        sizes = placed.groupBy("tree", "bits", prefix).agg(F.count("*").alias("n")).checkpoint()
+        full = sizes.filter((F.col("n") > bucket) & (F.col("bits") < SIGNATURE)).select("tree", "bits", "code", F.lit(True).alias("full"))
+        if full.isEmpty():
+            return placed.select("row_id", "tree", "bits", prefix, "near"), sizes
+        deeper = placed.withColumn("code", prefix).join(full, ["tree", "bits", "code"], "left")
+        placed = deeper.select("row_id", "tree", "signature", "near", F.when(F.col("full"), F.least(F.col("bits") + DEEPER, F.lit(SIGNATURE))).otherwise(F.col("bits")).alias("bits")).checkpoint()
+
+
+def approximate_pairs(assets: DataFrame, threshold: float = MEDIUM, bucket: int = 1024, seed: int = 11, id_col: str = "asset_id") -> DataFrame:
+    """F5. Like :func:`similar_pairs`, but only pairs that meet in a bucket of an LSH forest.
+
+    An explicitly approximate option: every pair reported is verified exactly, pairs may be missed. A row asks its own
+    bucket of each tree and, by PROBES, those across the planes it lies closest to. No task has more than ``bucket``
+    rows of a bucket; buckets of one whole signature that are larger are cut into blocks that all meet.
+    """
+    checkpoint_dir(assets.sparkSession)
+    groups = vector_groups(assets, id_col).checkpoint()
+    placed, sizes = forest_buckets(groups, threshold, bucket, seed)
+    where = ["tree", "bits", "code"]
+    flipped = F.transform("near", lambda i: F.col("code").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bits") - 1 - i)))
+    asks = placed.select("row_id", "tree", "bits", F.explode(F.concat(F.array("code"), flipped)).alias("code"))
+    blocks = sizes.filter("n > 1").select(*where, F.expr(f"(n + {bucket} - 1) div {bucket}").alias("blocks"))
+    vectors = groups.select("row_id", "embedding", "copies")
+    part = F.pmod(F.xxhash64("row_id"), F.col("blocks"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    left = asks.join(blocks, where).withColumn("a", part).withColumn("b", every).join(vectors, "row_id")
+    right = placed.drop("near").join(blocks, where).withColumn("b", part).withColumn("a", every).join(vectors, "row_id")
+    keys, cols = [*where, "a", "b"], ["row_id", "embedding", "copies"]
+    left, right = left.select(*keys, *cols), right.select(*keys, *cols)
+    right = right.toDF(*right.columns)
     verify = _pair_block(threshold)
 
-    def run(q: pa.Table, g: pa.Table) -> pa.Table:
-        found = verify(q, g)
-        if not found.num_rows:
-            return found
-        band = q["band"][0].as_py()
-        sig = {r: s for t in (q, g) for r, s in zip(t["row_id"].to_pylist(), t["signature"].to_pylist())}
-        first = [
-            next(b for b, (x, y) in enumerate(zip(sig[i], sig[j])) if x == y) == band
-            for i, j in zip(found["left_id"].to_pylist(), found["right_id"].to_pylist())
-        ]
-        return found.filter(pa.array(first))
+    def both(key: tuple, q: pa.Table, g: pa.Table) -> pa.Table:
+        """A probe need not find its way back, so pairs count from either side."""
+        return pa.concat_tables([verify(key, q, g), verify(key, g, q)])
 
-    cols = ["row_id", "embedding", "copies", "signature", "band"]
-    return _block_join(celled, celled, run, _PAIR_SCHEMA, cols, cols).unionByName(_copy_rows(groups))
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(both, _PAIR_SCHEMA)
+    return found.dropDuplicates(["left_id", "right_id"]).unionByName(_copy_rows(groups))
 
 
 def _matrix_padded(column, width: int) -> np.ndarray:
@@ -339,7 +288,7 @@ _MATCH_SCHEMA = "row_id string, member string, owner string, member_domain strin
 
 
 def _best_block(limit: int, threshold: float | None, exclude: bool):
-    """Best ``limit`` members per query of one block, by (similarity to 4 dp, member)."""
+    """Best ``limit`` members per query of one block, by (similarity to 4 dp, member), from each query's ``floor`` up."""
 
     def allowed(m, merchant, domain) -> bool:
         if not exclude:
@@ -347,23 +296,24 @@ def _best_block(limit: int, threshold: float | None, exclude: bool):
         own = domain != "" and (m["domain"] == domain or m["domain"].endswith("." + domain))
         return m["owner"] != merchant and not own
 
-    def run(q: pa.Table, g: pa.Table) -> pa.Table:
+    def run(key: tuple, q: pa.Table, g: pa.Table) -> pa.Table:
         rows: list[tuple] = []
         if q.num_rows and g.num_rows:
             a, b = _matrix(q["embedding"]), _matrix(g["embedding"])
             qid, merchants, domains = (q[c].to_pylist() for c in ("row_id", "owner", "domain"))
             gid, fronts, cut = (g[c].to_pylist() for c in ("row_id", "front", "is_cut"))
+            floor = q["floor"].to_numpy() if threshold is None else np.maximum(q["floor"].to_numpy(), threshold)
             # groups owned by one merchant alone are excluded as a whole for that merchant
             sole = np.array(
                 [f[0]["owner"] if not c and len({m["owner"] for m in f}) == 1 else None for f, c in zip(fronts, cut)], dtype=object
             )
             for start in range(0, len(a), 256):
                 sims = _cosines(a[start : start + 256], b)
-                hits = np.ones(len(sims), dtype=bool) if threshold is None else (sims >= threshold).any(axis=1)
+                hits = (sims >= floor[start : start + 256, None]).any(axis=1)
                 for r in np.flatnonzero(hits):
                     merchant, domain = merchants[start + r], domains[start + r]
                     raw = sims[r]
-                    ok = np.ones(len(b), dtype=bool) if threshold is None else raw >= threshold
+                    ok = raw >= floor[start + r]
                     if exclude:
                         ok &= sole != merchant
                     cand = np.flatnonzero(ok)
@@ -372,8 +322,8 @@ def _best_block(limit: int, threshold: float | None, exclude: bool):
                     score = raw[cand]
                     if len(cand) > 4 * limit:
                         # the best few groups first, with all that may round to the same similarity
-                        floor = np.partition(score, len(score) - 4 * limit)[len(score) - 4 * limit] - 1e-4
-                        steps = [cand[score >= floor], cand[score < floor]]
+                        least = np.partition(score, len(score) - 4 * limit)[len(score) - 4 * limit] - 1e-4
+                        steps = [cand[score >= least], cand[score < least]]
                     else:
                         steps = [cand]
                     found: list[tuple] = []
@@ -402,45 +352,84 @@ def _best_block(limit: int, threshold: float | None, exclude: bool):
 
 
 def _index_groups(members: DataFrame, per_owner: int) -> DataFrame:
-    """Distinct index vectors with their first members.
+    """Distinct index vectors of a scope with their first members.
 
-    ``members``: member, owner, domain and vector columns. Members of one owner and
+    ``members``: scope, member, owner, domain and vector columns. Members of one owner and
     domain are interchangeable for every query, so ``per_owner`` of them suffice; of
     the rest, the first FRONT travel with the vector and ``is_cut`` says if more
     exist. Both limits run inside the map tasks, so a group of copies of any size
     never meets in one task.
     """
-    alike = Window.partitionBy("v1", "v2", "dim", "owner", "domain").orderBy("member")
-    group = Window.partitionBy("v1", "v2", "dim").orderBy("member")
+    one = ["scope", "v1", "v2", "dim"]
+    alike = Window.partitionBy(*one, "owner", "domain").orderBy("member")
+    group = Window.partitionBy(*one).orderBy("member")
     few = members.withColumn("n_alike", F.row_number().over(alike)).filter(F.col("n_alike") <= per_owner)
     front = few.withColumn("n_group", F.row_number().over(group)).filter(F.col("n_group") <= FRONT + 1)
-    return front.groupBy("v1", "v2", "dim").agg(
+    return front.groupBy(*one).agg(
         F.any_value("embedding").alias("embedding"),
-        F.min("member").alias("row_id"),
+        F.concat_ws("\n", "scope", F.min("member")).alias("row_id"),
         F.slice(F.array_sort(F.collect_list(F.struct("member", "owner", "domain"))), 1, FRONT).alias("front"),
         (F.count("*") > FRONT).alias("is_cut"),
     )
 
 
-def best_matches(queries: DataFrame, members: DataFrame, limit: int, threshold: float | None, exclude: bool) -> DataFrame:
+#: Leaves of the index that each leaf of queries meets first, and what two similarities alike to four decimals differ by.
+NEAR_LEAVES, ALIKE = 2, 1e-4
+
+
+def _floors(q: vector_tree.Tree, found: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """(row_id, floor), the similarity that a further match of a query has to reach, and its minimum for each node."""
+    best = F.sort_array(F.collect_list("similarity"), False)  # at most ``limit`` from each near leaf
+    kth = found.filter(F.col("open_group").isNull()).groupBy("row_id").agg(F.get(best, F.lit(limit - 1)).alias("kth"))
+    floor = F.coalesce(F.col("kth") - F.lit(ALIKE), F.lit(-2.0))
+    asked = q.rows.select("space", "node", "row_id").join(kth, "row_id", "left").select("space", "node", "row_id", floor.alias("floor")).checkpoint()
+    levels = [
+        asked.groupBy(F.lit(d).alias("level"), "space", F.shiftright("node", vector_tree.HALVINGS * (q.depth - d)).alias("node")).agg(F.min("floor").alias("floor"))
+        for d in range(q.depth + 1)
+    ]
+    every = levels[0]
+    for level in levels[1:]:
+        every = every.unionByName(level)
+    return asked.select("space", "row_id", "floor"), every
+
+
+def _near_and_far(q: vector_tree.Tree, g: vector_tree.Tree, limit: int, threshold: float | None, block) -> DataFrame:
+    """Matches from the leaves near each query, and from those that can hold better ones than these."""
+    cols = ["row_id", "embedding", "owner", "domain", "floor"], ["row_id", "embedding", "front", "is_cut"]
+    near = vector_tree.leaf_pairs(q, g, nearest=NEAR_LEAVES)
+    start = F.lit(-2.0 if threshold is None else threshold)
+    first = vector_tree.leaf_join(q.rows.withColumn("floor", start), g.rows, near, block, _MATCH_SCHEMA, *cols).checkpoint()
+    floors, by_node = _floors(q, first, limit)
+    by_node = by_node.withColumn("floor", F.greatest("floor", start))
+    far = vector_tree.leaf_pairs(q, g, floors=by_node).join(near, ["space", "a", "b"], "left_anti")
+    rest = vector_tree.leaf_join(q.rows.join(floors, ["space", "row_id"]), g.rows, far, block, _MATCH_SCHEMA, *cols)
+    return first.unionByName(rest)
+
+
+def best_matches(queries: DataFrame, members: DataFrame, limit: int, threshold: float | None, exclude: bool, leaf: int | None = None) -> DataFrame:
     """Best ``limit`` members per query (row_id, owner, domain, vector columns), exact.
 
-    Where the members that travel with a cut group did not answer a query, that query
+    Where both sides have a ``scope``, a query meets the members of its scope only; row_id is its name in all scopes. Where the members that travel with a cut group did not answer a query, that query
     and group alone are joined with all members of the group.
     """
-    checkpoint_dir(queries.sparkSession)
+    if "scope" not in members.columns:
+        members, queries = members.withColumn("scope", F.lit("")), queries.withColumn("scope", F.lit(""))
     groups = _index_groups(members, limit)
-    q, g = _prepare(queries, groups, threshold)
-    found = _block_join(
-        q, g, _best_block(limit, threshold, exclude), _MATCH_SCHEMA,
-        ["row_id", "embedding", "owner", "domain"], ["row_id", "embedding", "front", "is_cut"],
-    ).checkpoint()
+    q, g = _common_spaces(queries, groups)
+    trees, block = _grown(q, g, leaf), _best_block(limit, threshold, exclude)
+    if trees is None:
+        start = F.lit(-2.0 if threshold is None else threshold)
+        cols = ["row_id", "embedding", "owner", "domain", "floor"], ["row_id", "embedding", "front", "is_cut"]
+        found = vector_tree.leaf_join(q.withColumn("floor", start), g, None, block, _MATCH_SCHEMA, *cols).checkpoint()
+    else:
+        found = _near_and_far(*trees, limit, threshold, block).checkpoint()
     hits = found.filter(F.col("open_group").isNull()).drop("open_group")
     open_groups = found.filter(F.col("open_group").isNotNull()).select("row_id", "open_group", "similarity", "raw_similarity")
     if not open_groups.isEmpty():
-        keys = groups.select("v1", "v2", "dim", F.col("row_id").alias("open_group"))
+        one = ["scope", "v1", "v2", "dim"]
+        keys = groups.select(*one, F.col("row_id").alias("open_group"))
         asked = open_groups.join(queries.select("row_id", F.col("owner").alias("q_owner"), F.col("domain").alias("q_domain")), "row_id").join(keys, "open_group")
-        wide = asked.join(members.select("v1", "v2", "dim", "member", "owner", F.col("domain").alias("member_domain")), ["v1", "v2", "dim"])
+        wide = asked.join(members.select(*one, "member", "owner", F.col("domain").alias("member_domain")), one)
         if exclude:
             own = (F.col("q_domain") != "") & (
                 (F.col("member_domain") == F.col("q_domain")) | F.col("member_domain").endswith(F.concat(F.lit("."), "q_domain"))

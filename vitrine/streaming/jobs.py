@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.ladders import ladder, text
 
@@ -92,37 +92,55 @@ def evict_stale(state: DataFrame, now: Column, ttl_seconds: int = TTL_SECONDS) -
     return state.filter(~((age > ttl_seconds) & F.col("status").isin(TERMINAL)))
 
 
-def evictions(events: DataFrame, ttl_seconds: int = TTL_SECONDS, delay: str = "10 minutes") -> DataFrame:
-    """K3 (stream). One row per job when its retention ends: a state timer per finished job."""
-
-    def expire(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            created, status, _, _ = state.get
-            state.remove()
+class Retention(StatefulProcessor):
+    """State of one job: creation, latest status, and a timer for the end of its retention."""
+
+    STATE = "created long, status string, last_ms long, last_event long, due long"
+
+    def __init__(self, ttl_seconds: int):
+        self.ttl = ttl_seconds * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.job = handle, handle.getValueState("job", self.STATE)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        created, status, last, due = None, None, None, None
+        if self.job.exists():
+            created, status, *last, due = self.job.get()
+            last = tuple(last)
+        for batch in rows:
+            for ts, event, step in zip(batch["ts_ms"].tolist(), batch["event_id"].tolist(), batch["status"].tolist()):
+                created = ts if created is None else min(created, ts)
+                if last is None or (ts, event) >= last:
+                    last, status = (ts, event), step
+        wanted = max(created + self.ttl, timerValues.getCurrentWatermarkInMs()) + 1 if status in TERMINAL else None
+        if due is not None and due != wanted:
+            self.handle.deleteTimer(due)
+        if wanted is not None and due != wanted:
+            self.handle.registerTimer(wanted)
+        self.job.update((created, status, *last, wanted))
+        yield pd.DataFrame(columns=["job_id", "status", "created_ms"]).astype({"job_id": "int64", "status": "object", "created_ms": "int64"})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.job.exists():
+            created, status, *_ = self.job.get()
+            self.job.clear()
             yield pd.DataFrame({"job_id": [key[0]], "status": [status], "created_ms": [created]})
-            return
-        created, status, newest_known = None, None, None
-        if state.exists:
-            created, status, *newest_known = state.get
-            newest_known = tuple(newest_known)
-        for batch in batches:
-            if len(batch):
-                newest = batch.sort_values(["ts_ms", "event_id"]).iloc[-1]
-                first = int(batch["ts_ms"].min())
-                created = first if created is None else min(created, first)
-                order = (int(newest["ts_ms"]), int(newest["event_id"]))
-                if newest_known is None or order >= newest_known:
-                    newest_known, status = order, newest["status"]
-        state.update((created, status, *newest_known))
-        if status in TERMINAL:
-            due = created + ttl_seconds * 1000
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        yield from ()
 
+    def close(self) -> None:
+        pass
+
+
+def evictions(events: DataFrame, ttl_seconds: int = TTL_SECONDS, delay: str = "10 minutes") -> DataFrame:
+    """K3 (stream). One row per job when its retention ends: a state timer per finished job.
+
+    A job is due ``ttl_seconds`` after its creation, or at the next watermark where it finishes later; an earlier creation
+    or a new status moves or removes its timer. Events may come late, repeated or in any order within the watermark's
+    ``delay``: only the earliest time and the latest event count. Needs the RocksDB state store, which ``prepare`` sets.
+    """
     keyed = with_status(_watermarked(events, delay)).withColumn("ts_ms", F.unix_millis(F.col("ts").cast("timestamp")))
-    out = keyed.groupBy("job_id").applyInPandasWithState(
-        expire, "job_id long, status string, created_ms long", "created long, status string, last_ms long, last_event long", "append",
-        GroupStateTimeout.EventTimeTimeout,
+    out = keyed.select("job_id", "event_id", "status", "ts", "ts_ms").groupBy("job_id").transformWithStateInPandas(
+        Retention(ttl_seconds), "job_id long, status string, created_ms long", "Append", "EventTime"
     )
     return out.withColumn("created_at", F.timestamp_millis("created_ms")).drop("created_ms")
 
