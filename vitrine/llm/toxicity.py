@@ -44,42 +44,50 @@ class Lexicon:
     scale_rate: float = 0.0
 
     def automaton(self) -> ahocorasick.Automaton:
+        """One key for each text of an entry, with all that it means: (weight, kind) of a prefix, a word, an exception."""
+        meanings: dict[str, list[tuple[float, str]]] = {}
+        for kind, entries in (("p", self.prefixes), ("w", self.words), ("x", dict.fromkeys(self.exceptions, 0.0))):
+            for text, weight in entries.items():
+                meanings.setdefault(text, []).append((weight, kind))
         found = ahocorasick.Automaton()
-        for word, weight in self.prefixes.items():
-            found.add_word(word, (len(word), weight, "p"))
-        for word, weight in self.words.items():
-            found.add_word(word, (len(word), weight, "w"))
-        for phrase in self.exceptions:
-            found.add_word(phrase, (len(phrase), 0.0, "x"))
+        for text, own in meanings.items():
+            found.add_word(text, (len(text), own))
         if len(found):
             found.make_automaton()
         return found
 
 
 def fold(text: Column) -> Column:
-    """Lower-case with look-alikes, digits and signs inside words turned into letters."""
+    """Lower-case with look-alikes, and digits and signs turned into letters in words that have a letter beside them.
+
+    Folded word by word: other numbers of the text stay numbers, and ``!`` and ``|`` at the end of a word stay signs.
+    """
     plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), HOMOGLYPHS.lower(), HOMOGLYPHS_TO)
-    # substitutes count only next to a letter, so that plain numbers stay numbers
-    return F.when(
-        plain.rlike(r"\p{L}[0134578@$!|€]+\p{L}|(?<![\p{L}\p{N}])[0134578@$]\p{L}"),
-        F.translate(plain, SUBSTITUTES, SUBSTITUTES_TO),
-    ).otherwise(plain)
+    beside = r"\p{L}[0134578@$€]|[0134578@$!|€]\p{L}"
+
+    def word(w: Column) -> Column:
+        core = F.regexp_replace(w, r"[!|]+$", "")
+        return F.when(w.rlike(beside), F.concat(F.translate(core, SUBSTITUTES, SUBSTITUTES_TO), F.substr(w, F.length(core) + 1))).otherwise(w)
+
+    words = F.transform(F.regexp_extract_all(plain, F.lit(r"\s+|\S+"), F.lit(0)), word)
+    return F.when(plain.rlike(beside), F.array_join(words, "")).otherwise(plain)
 
 
 def _matches(automaton: ahocorasick.Automaton, text: str) -> tuple[int, float]:
     """(entries found, sum of their weights): the heaviest entry at each word start, exceptions cancelling."""
     best: dict[int, float] = {}
     spared: list[tuple[int, int]] = []
-    for end, (n, weight, kind) in automaton.iter(text):
+    for end, (n, meanings) in automaton.iter(text):
         start, stop = end - n + 1, end + 1
         if start and text[start - 1].isalnum():
             continue
-        if kind != "p" and stop < len(text) and text[stop].isalnum():
-            continue
-        if kind == "x":
-            spared.append((start, stop))
-        elif weight > best.get(start, 0.0):
-            best[start] = weight
+        for weight, kind in meanings:
+            if kind != "p" and stop < len(text) and text[stop].isalnum():
+                continue
+            if kind == "x":
+                spared.append((start, stop))
+            elif weight > best.get(start, 0.0):
+                best[start] = weight
     if spared and best:
         spared.sort()
         for start in list(best):
