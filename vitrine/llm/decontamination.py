@@ -1,6 +1,7 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, confirmed on exact shingle sets.
 
-Test items are partitioned by the size of their shingle sets. For a class of items of up to Q shingles a document is
+Test items are partitioned by the size of their shingle sets. Items of up to SMALLEST shingles are looked up by each of
+their shingles, which misses none. For a larger class, of items of up to Q shingles, a document is
 seen as windows of 2Q shingles, Q apart, so that a short item is compared with a set of its own order however long the
 document is. A window and an item become candidates when one of the MinHash values agrees; candidates are confirmed
 by the exact share of the item's shingles that the whole document has.
@@ -38,10 +39,17 @@ class Items:
         self.ids = np.array(ids, np.int64)
         self.sets = [values[a:b] for a, b in zip(begin[:-1], begin[1:])]
         self.size = np.diff(begin)
-        order = np.where(self.size > SMALLEST, np.ceil(np.log2(np.maximum(self.size, 1))), np.log2(SMALLEST)).astype(int)
+        few = np.flatnonzero((self.size > 0) & (self.size <= SMALLEST))
+        held = np.concatenate([self.sets[m] for m in few]) if len(few) else np.zeros(0, np.uint64)
+        by = np.argsort(held, kind="stable")
+        seen = np.zeros(1 << _FILTER_BITS, bool)
+        seen[(held & np.uint64((1 << _FILTER_BITS) - 1)).astype(np.int64)] = True
+        #: Shingles of the small items in order, the item of each, and a filter.
+        self.small = held[by], np.repeat(few, self.size[few])[by], seen
+        order = np.ceil(np.log2(np.maximum(self.size, 1))).astype(int)
         self.classes: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
-        for c in sorted(set(order[self.size > 0].tolist())):
-            members = np.flatnonzero((order == c) & (self.size > 0))
+        for c in sorted(set(order[self.size > SMALLEST].tolist())):
+            members = np.flatnonzero((order == c) & (self.size > SMALLEST))
             tables = []
             for k in range(SAMPLE):
                 low = np.array([(_hashed(self.sets[m], k)).min() for m in members], np.uint32)
@@ -58,9 +66,9 @@ class Items:
         first = np.concatenate([[0], np.cumsum(blocks)])
         row0 = np.repeat(np.arange(len(counts)), blocks)
         starts = begin[:-1][row0] + (np.arange(first[-1]) - first[:-1][row0]) * SMALLEST
-        found = [np.zeros((0, 2), np.int64)]
+        found = [np.zeros((0, 2), np.int64), self._small_candidates(values, begin)]
         if not len(starts) or not self.classes:
-            return found[0]
+            return np.unique(np.concatenate(found), axis=0)
         short = (values >> np.uint64(32)).astype(np.uint32)
         # how pieces pair up to the next size, row by row; the same for every hash function
         plans, row = [], row0
@@ -93,6 +101,16 @@ class Items:
                 found.append(np.unique(np.column_stack([np.repeat(row[hit], n), members[which]]), axis=0))
         return np.unique(np.concatenate(found), axis=0)
 
+    def _small_candidates(self, values: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """(row, item) wherever a row has a shingle of an item of up to SMALLEST shingles."""
+        held, owner, seen = self.small
+        at = np.flatnonzero(seen[(values & np.uint64((1 << _FILTER_BITS) - 1)).astype(np.int64)]) if len(held) else np.zeros(0, np.int64)
+        a, b = np.searchsorted(held, values[at], "left"), np.searchsorted(held, values[at], "right")
+        n = b - a
+        which = np.repeat(a - np.concatenate([[0], np.cumsum(n)])[: len(n)], n) + np.arange(n.sum())
+        row = np.searchsorted(begin, np.repeat(at, n), "right") - 1
+        return np.unique(np.column_stack([row, owner[which]]), axis=0).astype(np.int64).reshape(-1, 2)
+
     def leaks(self, values: np.ndarray, begin: np.ndarray, threshold: float) -> list[tuple[int, int, int]]:
         """(row, item, shared shingles) of the confirmed candidates."""
         out, last, known = [], -1, None
@@ -132,8 +150,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> Dat
     Shingles are five words, A-Z lower-cased; an item or document of fewer words has one, its whole sequence. Null or
     empty texts and null item ids match nothing; repeated documents each get their rows, repeated items one; empty
     tables give no rows; other columns are not read. Documents are never shuffled; items are broadcast in blocks
-    of BLOCK_SHINGLES. A window shares one of 64 MinHash values with an item at the threshold with a chance of at
-    least 0.9999.
+    of BLOCK_SHINGLES. Items of up to SMALLEST shingles are found without exception; a window shares one of 64 MinHash
+    values with a larger item at the threshold with a chance of at least 0.9999.
     """
     spark = ready(docs.sparkSession)
     schema = "doc_id long, item_id long, item_shingles long, shared_shingles long"
