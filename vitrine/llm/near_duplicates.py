@@ -226,18 +226,22 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.85) -> DataFrame:
 
     Links documents whose sets of five-word shingles have a Jaccard similarity of at least ``threshold`` and gives the
     smallest doc_id reachable. Documents without words (null, empty) link with nothing; documents of one to four words
-    have one shingle, their whole sequence. Repeated rows and exact copies are one class and each get a row; an empty
+    have one shingle, their whole sequence. Repeated rows and exact copies are one class and each get a row, as do rows that
+    repeat a doc_id with another text, which are documents of their own in one component_id where linked; an empty
     table gives none; other input columns are not read. A pair at the threshold escapes all bands with a chance of
     about 1e-7 (2e-5 at a threshold of 0.8); nothing found is dropped.
     """
     spark = ready(docs.sparkSession)
     schema = "doc_id long, n_shingles long, set_sum long, set_xor long, bands array<long>, sketch binary"
-    signed = staged(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sketches, schema), "sketches")
+    signed = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sketches, schema)
+    signed = staged(signed.withColumn("row", F.monotonically_increasing_id()), "sketches")
+    # a class is named by one row of its smallest doc_id; a doc_id may repeat with other texts, a row does not
     shared = ["set_sum", "set_xor", "n_shingles"]
-    classes = signed.where("n_shingles > 0").groupBy(*shared).agg(F.min("doc_id").alias("rep"))
+    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row"))).alias("first")
+    classes = signed.where("n_shingles > 0").groupBy(*shared).agg(first).select(*shared, F.col("first.doc_id").alias("low"), F.col("first.row").alias("rep"))
     classes = staged(classes, "classes")
-    reps = signed.where("n_shingles > 0").join(classes, shared).where("doc_id = rep").dropDuplicates(["rep", *shared])
-    reps = staged(reps.select("rep", "n_shingles", "bands", "sketch"), "representatives")
+    reps = signed.where("n_shingles > 0").join(classes, shared).where("row = rep")
+    reps = staged(reps.select("rep", "low", *shared, "bands", "sketch"), "representatives")
 
     keyed = reps.select("rep", F.explode("bands").alias("key"))
     crowded = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int"))
@@ -247,14 +251,16 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.85) -> DataFrame:
 
     sizes = close.join(reps.select(F.col("rep").alias("id"), "n_shingles"), "id")
     parts = sizes.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("parts"))
-    wanted = close.join(parts, "component").withColumnRenamed("id", "rep")
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted.hint("shuffle_hash"), "rep").dropDuplicates(["rep"])
-    sets = texts.select("rep", "component", "parts", "text").mapInArrow(_sets, "rep long, component long, parts int, shingles binary")
-    sets = sets.join(reps.select("rep", "n_shingles", "sketch"), "rep")
+    wanted = close.join(parts, "component").withColumnRenamed("id", "rep").join(reps.select("rep", "low", "set_sum", "set_xor"), "rep")
+    texts = docs.select(F.col("doc_id").cast("long").alias("low"), "text").join(wanted.hint("shuffle_hash"), "low")
+    sets = texts.select("rep", "component", "parts", "set_sum", "set_xor", "text").mapInArrow(_sets, "rep long, component long, parts int, shingles binary")
+    sets = sets.dropDuplicates(["rep"]).join(reps.select("rep", "n_shingles", "sketch"), "rep")
     links = _meetings(sets, ["component"], "parts").mapInArrow(_blocks(["component"], threshold, True), "a long, b long")
     joined = connected_components(staged(links, "confirmed")).withColumnRenamed("id", "rep")
 
-    named = classes.join(joined, "rep", "left").select(*shared, F.coalesce("component", "rep").alias("component_id"))
+    member = classes.join(joined, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    lowest = member.groupBy("component").agg(F.min("low").alias("component_id"))
+    named = member.join(lowest, "component").select(*shared, "component_id")
     out = signed.select("doc_id", *shared).join(named, shared, "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
@@ -262,13 +268,18 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.85) -> DataFrame:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data, offsets = text_bytes(batch.column(3))
+        data, offsets = text_bytes(batch.column(5))
+        sums, others = (batch.column(c).to_numpy() for c in (3, 4))
         for lo, hi in row_chunks(offsets):
             words, first = word_hashes(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
             values, begin = distinct_per_row(*shingle_hashes(words, first))
-            rows = [values[a:b].tobytes() for a, b in zip(begin[:-1], begin[1:])]
-            part = batch.slice(lo, hi - lo)
-            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(rows, pa.binary())], names=["rep", "component", "parts", "shingles"])
+            own = [values[a:b] for a, b in zip(begin[:-1], begin[1:])]
+            same = [  # of several texts of one doc_id, that of the class
+                i for i, v in enumerate(own)
+                if v.sum(dtype=np.uint64).view(np.int64) == sums[lo + i] and np.bitwise_xor.reduce(mix(v + np.uint64(1))).view(np.int64) == others[lo + i]
+            ]
+            part = batch.slice(lo, hi - lo).take(pa.array(same, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([own[i].tobytes() for i in same], pa.binary())], names=["rep", "component", "parts", "shingles"])
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
