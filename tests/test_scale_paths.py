@@ -5,8 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vitrine.functions.vectors import cosine
-from vitrine.operators import assets, forensics, logos, similarity, vector_tree
-from vitrine.operators.quantiles import group_percentile
+from vitrine.operators import assets, logos, quantiles, similarity, vector_tree
 
 
 def brute(a, b):
@@ -151,22 +150,26 @@ def test_clusters_equal_sequential_fold(spark, limit):
             assert got[m, o] == lead
 
 
-def test_percentile_by_refinement(spark):
+@pytest.mark.parametrize("sketch", [8, 4096])
+def test_percentile_by_bracket(spark, sketch, monkeypatch):
     rng = np.random.default_rng(2)
-    data = {1: rng.lognormal(0, 2, 900), 2: np.repeat([1.0, 2.0], [500, 30]), 3: rng.random(4), 4: np.concatenate([rng.random(300), [1e12]])}
-    df = spark.createDataFrame([(g, float(v)) for g, vs in data.items() for v in vs], "g long, v double")
-    for q in (0.5, 0.95):
-        got = {r.g: (r.n, r.percentile) for r in group_percentile(df, "g", "v", q, heavy=5).collect()}
-        for g, vs in data.items():
-            assert got[g][0] == len(vs)
-            assert got[g][1] == pytest.approx(np.percentile(vs, q * 100), rel=1e-12)
-
-
-def test_gradient_score_same_on_both_paths(spark):
-    df = spark.createDataFrame([(i % 3, float((i * 37) % 101) * (4 if i % 50 == 0 else 1)) for i in range(900)], "asset_id long, local_std double")
-    light = {r.asset_id: r.gradient_score for r in forensics.gradient_scores(df).collect()}
-    heavy = {r.asset_id: r.gradient_score for r in forensics.gradient_scores(df, heavy=4).collect()}
-    assert light == pytest.approx(heavy)
+    data = {1: rng.lognormal(0, 2, 9000), 2: np.repeat([1.0, 2.0], [500, 30]), 3: rng.random(4), 4: np.concatenate([rng.random(3000), [1e12]]), 5: np.array([7.0])}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in data.items() for v in vs] + [(3, None), (6, None)], "g long, v double").repartition(5)
+    for margin in (quantiles._margin, lambda size: 1e-3):  # with a small margin a small sketch misses, and the exact way answers
+        monkeypatch.setattr(quantiles, "_margin", margin)
+        for q in (0.0, 0.5, 0.95, 1.0):
+            got = {r.g: (r.n, r.percentile) for r in quantiles.group_percentile(df, "g", "v", q, sketch).collect()}
+            assert set(got) == set(data)
+            for g, vs in data.items():
+                assert got[g][0] == len(vs)
+                assert got[g][1] == pytest.approx(np.percentile(vs, q * 100), rel=1e-12)
+
+
+def test_bracket_keeps_a_small_share(spark):
+    df = spark.range(200_000).selectExpr("id % 2 AS g", "cast(hash(id) AS double) AS v")
+    plan = quantiles._bracketed(df, "g", 0.95, 4096)
+    assert plan.filter("hit").count() == 2
+    assert quantiles._margin(4096) < 0.005
 
 
 def test_cosine_of_different_lengths(spark):

@@ -153,3 +153,23 @@ def test_best_reference_where_one_word_is_in_every_file_name(spark, leaf):
         if found:
             want[m] = (-min(found)[0] + 0.0, min(found)[1])
     assert got == want and len({k for k, v in got.items() if v[0] > 0}) > 30
+
+
+@pytest.mark.parametrize("noise", [0.05, 1.0])
+def test_coherence_by_sums(spark, noise):
+    rng = np.random.default_rng(11)
+    rows, want = [], {}
+    for m in range(2):
+        centre = rng.standard_normal(12)
+        vs = [v for v in centre + noise * rng.standard_normal((90, 12))]
+        vs += [vs[0]] * 5 + [np.zeros(12)] * 2 + [v[:7] for v in vs[:20]] + [-vs[3]]
+        rows += [(m, v.tolist()) for v in vs]
+        pairs = []
+        for i, a in enumerate(vs):
+            for b in vs[i + 1 :]:
+                n = min(len(a), len(b))
+                pairs.append(cosines(a[None, :n], b[None, :n])[0, 0])
+        want[m] = np.mean(pairs)
+    df = spark.createDataFrame(rows, "merchant_id long, embedding array<double>")
+    got = {r.merchant_id: r.mean_similarity for r in similarity.identity_coherence(df, block=8).collect()}
+    assert got == pytest.approx(want, abs=1e-9)

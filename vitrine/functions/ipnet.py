@@ -86,3 +86,50 @@ def add_ip_blocked(df: DataFrame, ip: str, flag: str) -> DataFrame:
     v6 = _v6_in(F.col("_hex"), BLOCKED_V6) | (_v6_in(F.col("_hex"), RESERVED_V6) & ~_v6_in(F.col("_hex"), GLOBAL_V6))
     verdict = F.when(F.col("_num").isNotNull(), _v4_blocked(F.col("_num"))).otherwise(v6)
     return numbered.withColumn(flag, F.coalesce(verdict, F.lit(True))).drop("_v4", "_hex", "_num")
+
+
+# ---- lists of networks of any length ----------------------------------------------------
+
+
+def _prefix(version: Column, number: Column, hex32: Column, bits: Column) -> Column:
+    """The first ``bits`` bits of an address as text: a number of IPv4, hex digits and a rest of IPv6."""
+    nibbles, rest = F.floor(bits / 4).cast("int"), (bits % 4).cast("int")
+    last = F.conv(F.substr(hex32, nibbles + 1, F.lit(1)), 16, 10).cast("int")
+    tail = F.when(rest > 0, F.concat(F.lit("."), F.floor(last / F.pow(F.lit(2), F.lit(4) - rest)).cast("string"))).otherwise("")
+    v4 = F.floor(number / F.pow(F.lit(2.0), F.lit(32) - bits)).cast("long").cast("string")
+    return F.when(version == 4, v4).otherwise(F.concat(F.substr(hex32, F.lit(1), nibbles), tail))
+
+
+def _parsed(df: DataFrame, ip: Column) -> DataFrame:
+    """``_version``, ``_num`` and ``_hex`` of address texts; IPv4 inside IPv6 counts as IPv4, no address has no version."""
+    out = df.withColumn("_v4", ipv4_number(ip)).withColumn("_hex", F.when(ip.contains(":"), ipv6_hex(ip)))
+    mapped = F.when(F.col("_hex").startswith("0" * 20 + "ffff"), F.conv(F.substring("_hex", 25, 8), 16, 10).cast("long"))
+    out = out.withColumn("_num", F.coalesce("_v4", mapped)).drop("_v4")
+    return out.withColumn("_version", F.when(F.col("_num").isNotNull(), 4).when(F.col("_hex").isNotNull(), 6))
+
+
+def add_ip_listed(df: DataFrame, ip: str, flag: str, networks: DataFrame) -> DataFrame:
+    """B14 for a table of networks (``cidr``, ``is_blocked``) of any length: the longest network that holds an address decides.
+
+    Each distinct address is cut to the prefix lengths that occur in the list, of which there are 162 at most, and joined
+    with the networks on equal prefixes, so no address is compared with every network. An address in no network is not
+    blocked, text that is no address is; networks that are malformed are left out, of equal ones a blocking one counts.
+    """
+    base, bits = F.substring_index("cidr", "/", 1), F.substring_index("cidr", "/", -1).try_cast("int")
+    nets = _parsed(networks.withColumn("_base", base), F.col("_base")).withColumn("_bits", bits)
+    nets = nets.withColumn("_version", F.when(F.col("_base").contains(":"), F.when(F.col("_hex").isNotNull(), 6)).otherwise(F.col("_version")))
+    limit = F.when(F.col("_version") == 4, 32).otherwise(128)
+    nets = nets.filter(F.col("_version").isNotNull() & F.col("_bits").between(0, limit) & F.col("cidr").contains("/"))
+    nets = nets.groupBy("_version", "_bits", _prefix(F.col("_version"), F.col("_num"), F.col("_hex"), F.col("_bits")).alias("_key")).agg(F.bool_or("is_blocked").alias("_listed"))
+    lengths = {4: [], 6: []}
+    for r in nets.select("_version", "_bits").distinct().collect():  # 33 + 129 at most
+        lengths[r[0]].append(r[1])
+    array = lambda v: F.array(*[F.lit(b) for b in sorted(lengths[v])]).cast("array<int>")
+    asked = _parsed(df.select(ip).filter(F.col(ip).isNotNull()).distinct(), F.col(ip))
+    cut = asked.withColumn("_bits", F.explode_outer(F.when(F.col("_version") == 4, array(4)).when(F.col("_version") == 6, array(6))))
+    keyed = cut.withColumn("_key", _prefix(F.col("_version"), F.col("_num"), F.col("_hex"), F.col("_bits")))
+    met = keyed.join(nets, ["_version", "_bits", "_key"], "left")
+    verdict = met.groupBy(ip).agg(
+        F.when(F.any_value("_version").isNull(), True).otherwise(F.coalesce(F.max_by("_listed", F.when(F.col("_listed").isNotNull(), F.col("_bits"))), F.lit(False))).alias(flag)
+    )
+    return df.join(verdict, ip, "left").withColumn(flag, F.coalesce(flag, F.lit(True)))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.ladders import ladder, text
 from ..functions.rounding import clip, round_columns, whole
-from .quantiles import HEAVY, group_percentile
+from .quantiles import group_percentile
 
 SYNTH_HIGH = "Elevated synthetic/AI-generation visual markers detected (spectral and chromatic smoothness)."
 SYNTH_SOME = "Moderate synthetic characteristics observed; within natural variance."
@@ -45,13 +45,13 @@ def ela_scores(energies: DataFrame) -> DataFrame:
     return stats.select("asset_id", clip(F.col("base") * uniform * faint, 0.0, 100.0).alias("ela_score"))
 
 
-def gradient_scores(stds: DataFrame, heavy: int = HEAVY) -> DataFrame:
+def gradient_scores(stds: DataFrame) -> DataFrame:
     """G3. Share of cells whose local deviation exceeds 1.5 times the 95th percentile.
 
     ``stds``: asset_id, local_std. The percentile is exact also for an asset with very
     many cells; the share is a map-side aggregate.
     """
-    p95 = group_percentile(stds, "asset_id", "local_std", 0.95, heavy).select("asset_id", "percentile")
+    p95 = group_percentile(stds, "asset_id", "local_std", 0.95).select("asset_id", "percentile")
     joined = stds.join(p95, "asset_id")
     return (
         joined.groupBy("asset_id")

@@ -567,25 +567,62 @@ def _coherence_block(table: pa.Table) -> pa.Table:
     return pa.table({"merchant_id": pa.array([merchant], pa.int64()), "total": pa.array([total])})
 
 
+def _sum_block(ordered: bool):
+    """Sum of the weighted, clipped cosines of two leaves; of a leaf with itself each pair once, copies included."""
+
+    def run(key: tuple, q: pa.Table, g: pa.Table) -> pa.Table:
+        total = 0.0
+        if q.num_rows and g.num_rows:
+            a, b = _matrix(q["embedding"]), _matrix(g["embedding"])
+            w, x = (t["copies"].to_numpy().astype(np.float64) for t in (q, g))
+            for start in range(0, len(a), 512):
+                total += float(w[start : start + 512] @ _cosines(a[start : start + 512], b) @ x)
+            if ordered and key[-2].as_py() == key[-1].as_py():
+                total = (total - float(w @ (np.linalg.norm(a, axis=1) > 0))) / 2.0
+        return pa.table({"space": pa.array([key[0].as_py()], pa.string()), "part": pa.array([total])})
+
+    return run
+
+
+def _tree_sums(rows: DataFrame, leaf: int) -> DataFrame:
+    """(merchant_id, total) of merchants of many distinct vectors, by bounds on whole nodes of a vector tree."""
+    checkpoint_dir(rows.sparkSession)
+    named = rows.withColumn("row_id", F.concat_ws("|", "merchant_id", "v1", "v2", "dim")).checkpoint()
+    axes = vector_tree.principal_axes(named.withColumn("space", F.lit("")))
+    keyed = named.withColumn("space", F.concat_ws("|", "merchant_id", "dim"))
+    tree = vector_tree.grow(keyed.select("space", "row_id", "embedding", "copies"), axes, leaf)
+    parts = vector_tree.similarity_sums(tree, tree, _sum_block(True), True)
+    dims = _dims(named)
+    if len(dims) > 1:  # vectors of two lengths meet, the longer cut to the shorter
+        longer = lambda sign: F.filter(F.array(*[F.lit(d) for d in dims]), lambda d: (d > F.col("dim")) if sign else (d < F.col("dim")))
+        short = named.withColumn("other", F.explode(longer(True))).withColumn("space", F.concat_ws("|", "merchant_id", "dim", "other"))
+        long = named.withColumn("other", F.explode(longer(False))).withColumn("space", F.concat_ws("|", "merchant_id", "other", "dim"))
+        long = long.withColumn("embedding", F.slice("embedding", F.lit(1), F.col("other")))
+        grown = [vector_tree.grow(df.select("space", "row_id", "embedding", "copies"), axes, leaf) for df in (short, long)]
+        parts = parts.unionByName(vector_tree.similarity_sums(*grown, _sum_block(False)))
+    merchant = F.substring_index("space", "|", 1).cast(rows.schema["merchant_id"].dataType)
+    return parts.groupBy(merchant.alias("merchant_id")).agg(F.sum("part").alias("total"))
+
+
 def identity_coherence(assets: DataFrame, merchants: DataFrame | None = None, block: int = 2048) -> DataFrame:
     """F8. Mean pairwise similarity of a merchant's own images as a 20-100 score.
 
-    Copies are weighted instead of repeated. A merchant with more distinct vectors
-    than ``block`` is cut into blocks, and each pair of blocks yields one partial sum,
-    never its pairs. Fewer than two images give the neutral 70.0.
+    Copies are weighted instead of repeated. A merchant of up to ``block`` distinct vectors is summed in one task. For
+    a larger one the sum of its vectors gives the sum over all its pairs wherever bounds exclude negative similarities,
+    and only what they leave open is multiplied, leaf by leaf. Fewer than two images give the neutral 70.0.
     """
     distinct = with_vectors(assets).groupBy("merchant_id", "v1", "v2", "dim").agg(
         F.any_value("embedding").alias("embedding"), F.count("*").alias("copies")
     )
     sizes = distinct.groupBy("merchant_id").agg(F.count("*").alias("n_distinct"), F.sum("copies").alias("n_images"))
-    n_blocks = F.ceil(F.col("n_distinct") / F.lit(float(block))).cast("long")
-    cut = (
-        distinct.join(sizes.withColumn("n_blocks", n_blocks), "merchant_id")
-        .withColumn("block", F.pmod(F.xxhash64("v1", "v2"), F.col("n_blocks")))
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)))
-        .select("merchant_id", "embedding", "copies", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
-    )
-    sums = cut.groupBy("merchant_id", "p", "q").applyInArrow(_coherence_block, _SUM_SCHEMA).groupBy("merchant_id").agg(F.sum("total").alias("total"))
+    large = sizes.filter(F.col("n_distinct") > block).select("merchant_id")
+    many = not large.isEmpty()
+    few = distinct.join(large, "merchant_id", "left_anti") if many else distinct
+    zero = F.lit(0).cast("long")
+    whole = few.select("merchant_id", "embedding", "copies", zero.alias("block"), zero.alias("p"), zero.alias("q"))
+    sums = whole.groupBy("merchant_id", "p", "q").applyInArrow(_coherence_block, _SUM_SCHEMA).select("merchant_id", "total")
+    if many:
+        sums = sums.unionByName(_tree_sums(distinct.join(large, "merchant_id"), block).withColumn("merchant_id", F.col("merchant_id").cast("long")))
     joined = sizes.join(sums, "merchant_id")
     if merchants is not None:
         joined = merchants.select("merchant_id").join(joined, "merchant_id", "left")

@@ -215,6 +215,12 @@ def bounds(q: pa.RecordBatch, g: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray
     return np.minimum(np.cos(np.clip(angle, 0.0, np.pi)), 1.0 - (gap**2).sum(axis=1) / 2.0 + SLACK), middle
 
 
+def side(nodes: DataFrame, depth: int, level: int, name: str, columns: list) -> DataFrame:
+    """Nodes of a level with the node of the level before that they belong to; leaves stand for themselves further down."""
+    up = F.shiftright("node", HALVINGS) if 0 < level <= depth else F.col("node")
+    return nodes.filter(F.col("level") == min(level, depth)).select("space", up.alias(f"up_{name}"), F.col("node").alias(name), *columns)
+
+
 def leaf_pairs(q: Tree, g: Tree, floors: DataFrame | None = None, threshold: float | None = None, nearest: int | None = None, ordered: bool = False) -> DataFrame:
     """(space, a, b): leaves of ``q`` and ``g`` that may hold a pair of ``threshold`` and more.
 
@@ -227,13 +233,6 @@ def leaf_pairs(q: Tree, g: Tree, floors: DataFrame | None = None, threshold: flo
         asked = asked.withColumn("floor", F.lit(-2.0 if threshold is None else threshold))
     summary = F.struct("centre", "spread", "low", "high")
 
-    def side(nodes: DataFrame, depth: int, level: int, name: str) -> DataFrame:
-        """Nodes of a level with the node of the level before that they belong to."""
-        own = min(level, depth)
-        up = F.shiftright("node", HALVINGS) if 0 < level <= depth else F.col("node")
-        extra = ["floor"] if name == "a" else []
-        return nodes.filter(F.col("level") == own).select("space", up.alias(f"up_{name}"), F.col("node").alias(name), summary.alias(f"s_{name}"), *extra)
-
     def test(batches):
         for batch in batches:
             if batch.num_rows:
@@ -245,7 +244,7 @@ def leaf_pairs(q: Tree, g: Tree, floors: DataFrame | None = None, threshold: flo
 
     pairs = None
     for level in range(max(q.depth, g.depth) + 1):
-        a, b = side(asked, q.depth, level, "a"), side(g.nodes, g.depth, level, "b")
+        a, b = side(asked, q.depth, level, "a", [summary.alias("s_a"), "floor"]), side(g.nodes, g.depth, level, "b", [summary.alias("s_b")])
         both = a.join(b, "space") if pairs is None else pairs.join(a.withColumnRenamed("up_a", "pa"), ["space", "pa"]).join(b.withColumnRenamed("up_b", "pb"), ["space", "pb"])
         if ordered:
             both = both.filter("a <= b")
@@ -269,3 +268,72 @@ def leaf_join(q: DataFrame, g: DataFrame, pairs: DataFrame | None, fn: Callable,
     # a self join reads one lineage twice: fresh column identities tell the sides apart
     right = right.toDF(*right.columns)
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(fn, schema)
+
+
+# ---- sums of similarities ----------------------------------------------------------------
+
+_SUMS = "level int, space string, node long, total array<double>, own double"
+
+
+def _sum_rows(level: int, space, node, total: np.ndarray, own: float) -> pa.Table:
+    return pa.table({"level": pa.array([level], pa.int32()), "space": pa.array([space], pa.string()), "node": pa.array([node], pa.int64()), "total": pa.array([total.tolist()], pa.list_(pa.float64())), "own": pa.array([own])})
+
+
+def _leaf_sums(table: pa.Table, level: int) -> pa.Table:
+    u, w = unit(matrix(table["embedding"])), table["copies"].to_numpy().astype(np.float64)
+    return _sum_rows(level, table["space"][0].as_py(), table["node"][0].as_py(), w @ u, float(w @ (u**2).sum(axis=1)))
+
+
+def _merged_sums(table: pa.Table, level: int) -> pa.Table:
+    return _sum_rows(level, table["space"][0].as_py(), table["parent"][0].as_py(), matrix(table["total"]).sum(axis=0), float(table["own"].to_numpy().sum()))
+
+
+def with_sums(tree: Tree) -> DataFrame:
+    """Nodes with ``total``, the sum of their unit vectors times ``copies``, and ``own``, that of the squared lengths."""
+    level = tree.rows.select("space", "node", "embedding", "copies").groupBy("space", "node").applyInArrow(_at_level(_leaf_sums, tree.depth), _SUMS).checkpoint()
+    every = level
+    for d in range(tree.depth - 1, -1, -1):
+        up = level.withColumn("parent", F.shiftright("node", HALVINGS))
+        level = up.groupBy("space", "parent").applyInArrow(_at_level(_merged_sums, d), _SUMS).checkpoint()
+        every = every.unionByName(level)
+    return tree.nodes.join(every, ["level", "space", "node"]).checkpoint()
+
+
+def similarity_sums(q: Tree, g: Tree, block: Callable, ordered: bool = False) -> DataFrame:
+    """(space, part): partial sums over the pairs of rows, times their ``copies``, of the similarities above zero.
+
+    Pairs of nodes between which no similarity is negative count by the product of their sums, those without a positive
+    one not at all; the others are taken apart, down to the leaves, whose rows ``block`` multiplies. ``ordered``: the
+    tree meets itself, each pair of rows once, and copies of a row are pairs as well.
+    """
+    of_q, of_g = with_sums(q), None
+    of_g = of_q if ordered else with_sums(g)
+    columns = lambda name: [F.struct("centre", "spread", "low", "high", "total", "own").alias(f"s_{name}")]
+
+    def test(batches):
+        for batch in batches:
+            if batch.num_rows:
+                left, right = (pa.RecordBatch.from_struct_array(batch[s]) for s in ("s_a", "s_b"))
+                same = ordered & (batch["a"].to_numpy() == batch["b"].to_numpy())
+                middle = np.arccos(np.clip((padded(left["centre"]) * padded(right["centre"])).sum(axis=1), -1.0, 1.0))
+                reach = left["spread"].to_numpy() + right["spread"].to_numpy() + SLACK
+                middle = np.where(same, 0.0, middle)
+                product = (padded(left["total"]) * padded(right["total"])).sum(axis=1)
+                value = np.where(same, (product - left["own"].to_numpy()) / 2.0, product)
+                positive, negative = middle + reach <= np.pi / 2, middle - reach >= np.pi / 2
+                part = np.where(positive, value, 0.0)
+                yield pa.RecordBatch.from_arrays([*[batch[c] for c in ("space", "a", "b")], pa.array(part), pa.array(~(positive | negative))], ["space", "a", "b", "part", "is_open"])
+
+    pairs, settled = None, None
+    for level in range(max(q.depth, g.depth) + 1):
+        a, b = side(of_q, q.depth, level, "a", columns("a")), side(of_g, g.depth, level, "b", columns("b"))
+        both = a.join(b, "space") if pairs is None else pairs.join(a.withColumnRenamed("up_a", "pa"), ["space", "pa"]).join(b.withColumnRenamed("up_b", "pb"), ["space", "pb"])
+        if ordered:
+            both = both.filter("a <= b")
+        tested = both.select("space", "a", "b", "s_a", "s_b").mapInArrow(test, "space string, a long, b long, part double, is_open boolean").checkpoint()
+        closed = tested.filter("NOT is_open AND part <> 0").select("space", "part")
+        settled = closed if settled is None else settled.unionByName(closed)
+        pairs = tested.filter("is_open").select("space", F.col("a").alias("pa"), F.col("b").alias("pb"))
+    left = pairs.select("space", F.col("pa").alias("a"), F.col("pb").alias("b"))
+    cols = ["embedding", "copies"]
+    return settled.unionByName(leaf_join(q.rows, g.rows, left, block, "space string, part double", cols, cols))

@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import urls
 from ..operators import assets, candidates, crawl, evidence, explain, forensics, logos, pages, scoring, similarity
+from ..sources.index import build_index
 
 SELECTED = 5
 #: Products that a claim speaks of at most, as the list in a report is cut to so many.
@@ -31,6 +32,8 @@ class ReportInputs:
     registry: filename, embedding; blocks: asset_hash, energy; stds: asset_hash,
     local_std; regions: asset_hash, x, y, w, h, area, width, height;
     photos: asset_hash, image_std, gray_std, high_sat_ratio; rings: asset_hash, ring, magnitude.
+    Where given, catalogue: filename, embedding of reference images whose reuse replaces a weaker match (H7), and
+    documents: merchant_id, asset_id of documents handed in, which are examined instead of the first image (G7).
     """
 
     merchants: DataFrame
@@ -45,12 +48,15 @@ class ReportInputs:
     regions: DataFrame
     photos: DataFrame
     rings: DataFrame
+    catalogue: DataFrame | None = None
+    documents: DataFrame | None = None
 
 
 @dataclass(frozen=True)
 class MerchantReport:
     """candidates, provenance, fingerprints, signals, tier_explanations: H10, I15-I17 of the same run;
-    analysed_assets: what the cross-merchant index takes up once the report stands (A5).
+    analysed_assets: what the cross-merchant index takes up once the report stands (A5);
+    image_sources: the images (merchant_id, src) that the crawled pages show, for a later refresh.
     """
 
     decisions: DataFrame
@@ -64,6 +70,7 @@ class MerchantReport:
     signals: DataFrame
     tier_explanations: DataFrame
     analysed_assets: DataFrame
+    image_sources: DataFrame
 
 
 def crawl_outcomes(inputs: ReportInputs) -> DataFrame:
@@ -134,6 +141,23 @@ def _index_part(verdicts: DataFrame) -> DataFrame:
     ).select("merchant_id", "local_similarity", "top.masked_ids", "top.local_url", "n_platform")
 
 
+def _catalogue_reuse(selected: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """Batch reuse (F7) of the selected images of each merchant against the catalogue."""
+    images = selected.select(F.col("asset_key").alias("asset_id"), "merchant_id", "embedding")
+    matches = similarity.catalogue_matches(images, catalogue, 1)
+    return similarity.batch_reuse(similarity.catalogue_reuse(images, matches))
+
+
+def updated_index(index: DataFrame, report: MerchantReport, at: Column) -> DataFrame:
+    """The cross-merchant index after the report: its analysed assets written at time ``at``, the last write of a hash wins.
+
+    ``index``: asset_hash, merchant_id, domain, embedding, ts. A merchant's own assets are matched against the index as it
+    was before the report, so this comes last.
+    """
+    fresh = report.analysed_assets.select("asset_hash", F.col("merchant_id").cast(index.schema["merchant_id"].dataType), "domain", "embedding", at.cast(index.schema["ts"].dataType).alias("ts"))
+    return build_index(index.select("asset_hash", "merchant_id", "domain", "embedding", "ts").unionByName(fresh))
+
+
 def build_report(
     inputs: ReportInputs, *, primary_only: bool = True, selected_images_per_merchant: int = SELECTED, max_pages: int = pages.MAX_PAGES
 ) -> MerchantReport:
@@ -170,14 +194,16 @@ def build_report(
     logo = logos.logo_consistency(brands.select("merchant_id", "claimed_brand", "embedding"), inputs.registry).select(
         "merchant_id", "logo_similarity", "logo_risk", "matched_logo", "logo_level"
     )
-    targets = forensics.forensic_targets(selected.withColumn("asset_id", F.col("asset_hash"))).select("merchant_id", "target_asset")
+    documents = None if inputs.documents is None else inputs.documents.join(live.select("merchant_id"), "merchant_id", "left_semi")
+    targets = forensics.forensic_targets(selected.withColumn("asset_id", F.col("asset_hash")), documents).select("merchant_id", "target_asset")
     forensic = _forensics(targets, inputs)
     counts = selected.groupBy("merchant_id").agg(F.count("*").cast("int").alias("image_count"), F.bool_or(F.col("role") == "logo").alias("has_logo"))
 
     fact_columns = ["merchant_id", "merchant_name", "n_products", "n_social", "site_category", "has_contact", "has_policy",
                     "has_pricing", "has_about"]
     wide = live.select("merchant_id", "domain", "crawl_status").withColumn("crawl_error", F.lit(None).cast("string"))
-    for part in (facts.select(fact_columns), web, local, coherence.select("merchant_id", "coherence_score"), logo, forensic, counts, n_listed):
+    with_document = live.select("merchant_id").limit(0) if documents is None else documents.select("merchant_id").distinct()
+    for part in (with_document.withColumn("has_document", F.lit(True)), facts.select(fact_columns), web, local, coherence.select("merchant_id", "coherence_score"), logo, forensic, counts, n_listed):
         wide = wide.join(part, "merchant_id", "left")
     wide = wide.withColumns(
         {
@@ -185,10 +211,14 @@ def build_report(
             "synthetic_score": F.coalesce("synthetic_score", F.lit(5.0)),
             "image_count": F.coalesce("image_count", F.lit(0)),
             "n_candidates": F.coalesce("n_candidates", F.lit(0)),
+            "has_document": F.coalesce("has_document", F.lit(False)),
             "source_type": F.col("top_source_type"),
         }
     ).checkpoint()  # one narrow row per merchant; what follows is row-local
-    unified = evidence.calibrate_reuse(evidence.unify_similarity(wide)).withColumns(
+    calibrated = evidence.calibrate_reuse(evidence.unify_similarity(wide))
+    if inputs.catalogue is not None:
+        calibrated = evidence.override_with_batch(calibrated, _catalogue_reuse(selected, inputs.catalogue))
+    unified = calibrated.withColumns(
         {
             "local_domain": F.lit("platform-merchants"),
             "top_explanation": F.col("match_explanation"),
@@ -200,6 +230,7 @@ def build_report(
             "source_type": F.col("flag_source_type"),
             "source_domain": F.col("flag_source_domain"),
             "reference_filename": F.col("top_filename"),
+            # a report's reuse result carries no mean and no top-k similarity; their default counts (also after H7)
             "average_similarity": F.lit(0.0),
             "top_k_similarity": F.lit(0.0),
         }
@@ -232,10 +263,10 @@ def build_report(
     claims = explain.claim_matrix(claim_rows, found)
     states = scored.unionByName(failed, allowMissingColumns=True)
     # a failed crawl has looked at nothing
-    looked_at = decided.select("merchant_id", F.col("image_count").alias("n_products"), "has_logo", "n_candidates")
+    looked_at = decided.select("merchant_id", F.col("image_count").alias("n_products"), "has_logo", "n_candidates", "has_document")
     looked_at = looked_at.unionByName(failed.select("merchant_id"), allowMissingColumns=True).select(
         "merchant_id", F.coalesce("n_products", F.lit(0)).alias("n_products"), "has_logo",
-        F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"), F.lit(False).alias("has_document"), F.lit(False).alias("is_fallback_extractor"),
+        F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"), F.coalesce("has_document", F.lit(False)).alias("has_document"), F.lit(False).alias("is_fallback_extractor"),
     )
     return MerchantReport(
         decisions=decisions,
@@ -249,4 +280,5 @@ def build_report(
         signals=explain.decision_signals(decided),
         tier_explanations=explain.tier_explanation(states),
         analysed_assets=selected.select("asset_hash", "merchant_id", "domain", "embedding", "src"),
+        image_sources=pages.page_images(live_pages).select("merchant_id", "src").distinct(),
     )

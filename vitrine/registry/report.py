@@ -48,7 +48,12 @@ def report_inputs(t: Tables) -> ReportInputs:
     grouped = fetched.select("asset_hash", F.pmod(F.xxhash64("asset_hash"), n_assets).alias("g"))
     textured = grouped.join(cells, "g")
     photos = fetched.select("asset_hash", F.lit(40.0).alias("image_std"), F.lit(30.0).alias("gray_std"), (F.pmod(F.xxhash64("asset_hash"), F.lit(10)) / 10).alias("high_sat_ratio"))
+    catalogue = t.view("v_asset").filter("batch_no = 0").select(F.concat(F.lit("ref_"), F.col("asset_id").cast("string"), F.lit(".jpg")).alias("filename"), "embedding")
+    # every fifth merchant hands in documents
+    handed = hashes.select(F.pmod(F.xxhash64("asset_hash"), F.lit(1000)).alias("merchant_id"), F.col("asset_hash").alias("asset_id")).filter("merchant_id % 5 = 0")
     return ReportInputs(
+        catalogue=catalogue,
+        documents=handed,
         merchants=merchants,
         attempts=t.view("v_attempt"),
         pages=html,

@@ -1,11 +1,16 @@
-"""Queries of the streaming family in batch form (SURVEY K); streams run the same functions."""
+"""Queries of the streaming family (SURVEY K), in batch form and as streams over the files of the events table."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import re
+import uuid
 
+from pyspark.sql import DataFrame, functions as F
+
+from ..session import checkpoint_dir
 from ..streaming import jobs, tables
-from .core import query
+from .core import Tables, query
+from .views import SPARK_VIEWS
 from .similarity import _COS
 
 _STATUS = "CASE step " + " ".join(f"WHEN '{s}' THEN '{v}'" for s, v in jobs.STEP_STATUS.items()) + " ELSE upper(step) END"
@@ -78,3 +83,48 @@ def _(t):
 SELECT job_id, min(ts) AS session_start, max(ts) + INTERVAL '2 hours' AS session_end, count(*) AS n FROM s GROUP BY job_id, sid""")
 def _(t):
     return jobs.job_sessions(t.view("v_event"), "2 hours", delay=None)
+
+
+# ---- the same as streams ------------------------------------------------------------------
+
+
+def event_stream(t: Tables) -> DataFrame:
+    """``v_event`` over a stream of the files of the events table, which may be one file or a folder (hence the pattern)."""
+    name = f"events_{uuid.uuid4().hex}"
+    t.spark.readStream.schema(t.table("events").schema).parquet(f"{t.directory}/events.parque[t]").createOrReplaceTempView(name)
+    return t.spark.sql(re.sub(r"\bFROM events\b", f"FROM {name}", SPARK_VIEWS["v_event"]))
+
+
+def _run(writer) -> None:
+    """All that there is to read, then stop."""
+    stream = writer.trigger(availableNow=True).start()
+    stream.awaitTermination()
+
+
+def _folder(t: Tables) -> str:
+    return f"{checkpoint_dir(t.spark).rstrip('/')}/vitrine-stream-{uuid.uuid4().hex}"
+
+
+@query("job_states_streamed", "K2", f"WITH {_ST} SELECT * FROM st")
+def _(t):
+    folder = _folder(t)
+    states = tables.JobStateTable(f"{folder}/states")
+    _run(states.start(event_stream(t), f"{folder}/checkpoint"))
+    return states.current(t.spark).drop("error_at", "last_event")
+
+
+@query("job_retention_streamed", "K3", f"WITH {_FST}, now AS (SELECT max(ts) - INTERVAL '10 minutes' AS now FROM v_event) SELECT job_id, status, created_at FROM st, now WHERE epoch_ms(now) - epoch_ms(created_at) > 3600000 AND status IN ('COMPLETED', 'FAILED')")
+def _(t):
+    folder = _folder(t)
+    fine = event_stream(t).withColumn("job_id", F.col("event_id") % 4000)
+    gone = jobs.evictions(fine).select("job_id", "status", "created_at")
+    _run(gone.writeStream.format("parquet").option("path", f"{folder}/gone").option("checkpointLocation", f"{folder}/checkpoint"))
+    return t.spark.read.schema(gone.schema).parquet(f"{folder}/gone")
+
+
+@query("job_windows_streamed", "K7", f"""WITH {_EV}, m AS (SELECT max(ts) - INTERVAL '10 minutes' AS now FROM v_event), w AS (SELECT time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '1970-01-01') AS window_start, time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '1970-01-01') + INTERVAL '1 hour' AS window_end, status, count(*) AS n FROM ev GROUP BY 1, 2, 3) SELECT w.* FROM w, m WHERE window_end <= now""")
+def _(t):
+    folder = _folder(t)
+    closed = jobs.status_counts(event_stream(t), "1 hour")
+    _run(closed.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/windows").option("checkpointLocation", f"{folder}/checkpoint"))
+    return t.spark.read.schema(closed.schema).parquet(f"{folder}/windows")

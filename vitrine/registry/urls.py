@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ipaddress
+
 from pyspark.sql import functions as F
 
 from ..functions import domains, ipnet, urls
@@ -148,7 +150,6 @@ _IPS = """SELECT concat('h', CAST(l_orderkey AS VARCHAR(20)), '.example.com') AS
 
 
 def _v4_sql(n: str) -> str:
-    import ipaddress
 
     nets = map(ipaddress.ip_network, ipnet.BLOCKED_V4)
     return "(" + " OR ".join(f"{n} BETWEEN {int(x.network_address)} AND {int(x.broadcast_address)}" for x in nets) + ")"
@@ -166,17 +167,47 @@ def _(t):
     return crawl.host_safety(t.spark.sql(_bind_tables(_IPS, t.directory)))
 
 
-_V6 = """SELECT c_custkey, CASE c_custkey % 7 WHEN 0 THEN concat('fe80::', lower(hex(c_custkey))) WHEN 1 THEN concat('2606:4700::', lower(hex(c_custkey % 60000))) WHEN 2 THEN concat('::ffff:10.0.0.', CAST(c_custkey % 256 AS VARCHAR(20)))
-  WHEN 3 THEN concat('::ffff:8.8.8.', CAST(c_custkey % 256 AS VARCHAR(20))) WHEN 4 THEN concat('fd00:', lower(hex(c_custkey % 60000)), '::1') WHEN 5 THEN concat('2001:db8::', lower(hex(c_custkey % 60000))) ELSE '2001:4860:4860:0:0:0:0:8888' END AS ip FROM customer"""
+_V6 = """SELECT c_custkey, CASE c_custkey % 7 WHEN 0 THEN concat('fe80::', lower(hex(c_nationkey * 97 + c_custkey))) WHEN 1 THEN concat('2606:4700::', lower(hex((c_custkey * 31 + c_nationkey) % 60000))) WHEN 2 THEN concat('::ffff:', CAST(c_nationkey * 9 AS VARCHAR(20)), '.', CAST(c_custkey % 40 AS VARCHAR(20)), '.0.', CAST(c_custkey % 256 AS VARCHAR(20)))
+  WHEN 3 THEN concat(lower(hex(c_nationkey * 2500)), ':', lower(hex(c_custkey % 9000)), '::7') WHEN 4 THEN concat('2001:', lower(hex(c_custkey % 64)), ':', lower(hex(c_nationkey)), '::1') WHEN 5 THEN concat('2001:db8::', lower(hex(c_custkey % 60000)), ':', lower(hex(c_nationkey)))
+  ELSE concat(lower(hex(c_custkey * 13 % 65536)), ':0:', lower(hex(c_nationkey)), ':0:0:0:0:8888') END AS ip FROM customer"""
+_HEX6 = f"""v6 AS ({_V6}), t6 AS (SELECT *, CASE WHEN contains(ip, '.') THEN regexp_extract(ip, '^(.*:)[^:]*$', 1) || lower(printf('%x', regexp_extract(ip, '([0-9]+)\\.[0-9]+\\.[0-9]+\\.[0-9]+$', 1)::BIGINT * 256 + regexp_extract(ip, '\\.([0-9]+)\\.[0-9]+\\.[0-9]+$', 1)::BIGINT)) || ':' || lower(printf('%x', regexp_extract(ip, '\\.([0-9]+)\\.[0-9]+$', 1)::BIGINT * 256 + regexp_extract(ip, '\\.([0-9]+)$', 1)::BIGINT)) ELSE ip END AS flat FROM v6),
+s6 AS (SELECT *, list_filter(string_split(split_part(flat, '::', 1), ':'), lambda x: x <> '') AS l, list_filter(string_split(CASE WHEN contains(flat, '::') THEN split_part(flat, '::', 2) ELSE '' END, ':'), lambda x: x <> '') AS r FROM t6),
+h6 AS (SELECT *, array_to_string(list_transform(l || list_transform(range(8 - len(l) - len(r)), lambda i: '0') || r, lambda g: lpad(g, 4, '0')), '') AS h FROM s6)"""
+
+
+def _hex_ranges(networks):
+    """SQL test of the 32 hex digits ``h`` against networks."""
+    nets = map(ipaddress.ip_network, networks)
+    return "(" + " OR ".join(f"h BETWEEN '{int(n.network_address):032x}' AND '{int(n.broadcast_address):032x}'" for n in nets) + ")"
+
 
+_MAPPED_V4 = [f"::ffff:{n.split('/')[0]}/{96 + int(n.split('/')[1])}" for n in ipnet.BLOCKED_V4]
 
-@query("ipv6_network_safety", "B14", """SELECT c_custkey, c_custkey % 7 IN (0, 2, 4, 5) AS is_blocked FROM customer""")
+
+@query("ipv6_network_safety", "B14", f"""WITH {_HEX6} SELECT c_custkey, CASE WHEN starts_with(h, '{'0' * 20}ffff') THEN {_hex_ranges(_MAPPED_V4)} ELSE {_hex_ranges(ipnet.BLOCKED_V6)} OR ({_hex_ranges(ipnet.RESERVED_V6)} AND NOT {_hex_ranges(ipnet.GLOBAL_V6)}) END AS is_blocked FROM h6""")
 def _(t):
     from .core import _bind_tables
 
     return ipnet.add_ip_blocked(t.spark.sql(_bind_tables(_V6, t.directory)), "ip", "is_blocked").select("c_custkey", "is_blocked")
 
 
+# a list of networks that grows with the tables: one of 8 to 28 bits for each part, every fifth of them open
+_NETS = """SELECT concat(CAST(p_partkey % 223 + 1 AS VARCHAR(20)), '.', CAST(p_partkey * 7 % 256 AS VARCHAR(20)), '.', CAST(p_size AS VARCHAR(20)), '.0/', CAST(8 + p_partkey % 21 AS VARCHAR(20))) AS cidr, p_partkey % 5 <> 0 AS is_blocked FROM part"""
+_ASKED = """SELECT o_orderkey, CASE WHEN o_orderkey % 97 = 0 THEN 'no address' ELSE concat(CAST(o_orderkey % 223 + 1 AS VARCHAR(20)), '.', CAST(o_custkey * 7 % 256 AS VARCHAR(20)), '.', CAST(o_custkey % 50 AS VARCHAR(20)), '.', CAST(o_orderkey % 256 AS VARCHAR(20))) END AS ip FROM orders"""
+_NUM4 = lambda x: f"(split_part({x}, '.', 1)::BIGINT * 16777216 + split_part({x}, '.', 2)::BIGINT * 65536 + split_part({x}, '.', 3)::BIGINT * 256 + split_part({x}, '.', 4)::BIGINT)"
+
+
+@query("listed_network_safety", "B14", f"""WITH n0 AS ({_NETS}), n AS (SELECT {_NUM4("split_part(cidr, '/', 1)")} >> (32 - split_part(cidr, '/', 2)::INT) AS head, split_part(cidr, '/', 2)::INT AS bits, bool_or(is_blocked) AS blocked FROM n0 GROUP BY 1, 2),
+a AS ({_ASKED}), d AS (SELECT DISTINCT ip, {_NUM4('ip')} AS num FROM a WHERE contains(ip, '.')), w AS (SELECT ip, num, unnest(range(8, 29))::INT AS bits FROM d),
+v AS (SELECT w.ip, arg_max(n.blocked, n.bits) AS blocked FROM w JOIN n ON n.bits = w.bits AND n.head = w.num >> (32 - w.bits) GROUP BY 1)
+SELECT o_orderkey, CASE WHEN contains(a.ip, '.') THEN coalesce(v.blocked, false) ELSE true END AS is_blocked FROM a LEFT JOIN v ON v.ip = a.ip""")
+def _(t):
+    from .core import _bind_tables
+
+    sql = lambda s: t.spark.sql(_bind_tables(s, t.directory))
+    return ipnet.add_ip_listed(sql(_ASKED), "ip", "is_blocked", sql(_NETS)).select("o_orderkey", "is_blocked")
+
+
 # rules per host from suppliers and nations, fetched paths from orders
 _RULES = """SELECT concat('h', CAST(s_suppkey % 23 AS VARCHAR(20))) AS host, s_suppkey AS rule_order,
   CASE s_suppkey % 7 WHEN 0 THEN '/' WHEN 1 THEN '/cart' WHEN 2 THEN '/about' WHEN 3 THEN '' WHEN 4 THEN '/products' WHEN 5 THEN '*' ELSE '/c' END AS path, s_suppkey % 5 = 0 AS allow FROM supplier"""

@@ -95,7 +95,7 @@ def evict_stale(state: DataFrame, now: Column, ttl_seconds: int = TTL_SECONDS) -
 class Retention(StatefulProcessor):
     """State of one job: creation, latest status, and a timer for the end of its retention."""
 
-    STATE = "created long, status string, last_ms long, last_event long, due long"
+    STATE = "created long, status string, last_us long, last_event long, due long"  # due in milliseconds, as timers are
 
     def __init__(self, ttl_seconds: int):
         self.ttl = ttl_seconds * 1000
@@ -109,23 +109,23 @@ class Retention(StatefulProcessor):
             created, status, *last, due = self.job.get()
             last = tuple(last)
         for batch in rows:
-            for ts, event, step in zip(batch["ts_ms"].tolist(), batch["event_id"].tolist(), batch["status"].tolist()):
+            for ts, event, step in zip(batch["ts_us"].tolist(), batch["event_id"].tolist(), batch["status"].tolist()):
                 created = ts if created is None else min(created, ts)
                 if last is None or (ts, event) >= last:
                     last, status = (ts, event), step
-        wanted = max(created + self.ttl, timerValues.getCurrentWatermarkInMs()) + 1 if status in TERMINAL else None
+        wanted = max(created // 1000 + self.ttl, timerValues.getCurrentWatermarkInMs()) + 1 if status in TERMINAL else None
         if due is not None and due != wanted:
             self.handle.deleteTimer(due)
         if wanted is not None and due != wanted:
             self.handle.registerTimer(wanted)
         self.job.update((created, status, *last, wanted))
-        yield pd.DataFrame(columns=["job_id", "status", "created_ms"]).astype({"job_id": "int64", "status": "object", "created_ms": "int64"})
+        yield pd.DataFrame(columns=["job_id", "status", "created_us"]).astype({"job_id": "int64", "status": "object", "created_us": "int64"})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.job.exists():
             created, status, *_ = self.job.get()
             self.job.clear()
-            yield pd.DataFrame({"job_id": [key[0]], "status": [status], "created_ms": [created]})
+            yield pd.DataFrame({"job_id": [key[0]], "status": [status], "created_us": [created]})
 
     def close(self) -> None:
         pass
@@ -138,11 +138,11 @@ def evictions(events: DataFrame, ttl_seconds: int = TTL_SECONDS, delay: str = "1
     or a new status moves or removes its timer. Events may come late, repeated or in any order within the watermark's
     ``delay``: only the earliest time and the latest event count. Needs the RocksDB state store, which ``prepare`` sets.
     """
-    keyed = with_status(_watermarked(events, delay)).withColumn("ts_ms", F.unix_millis(F.col("ts").cast("timestamp")))
-    out = keyed.select("job_id", "event_id", "status", "ts", "ts_ms").groupBy("job_id").transformWithStateInPandas(
-        Retention(ttl_seconds), "job_id long, status string, created_ms long", "Append", "EventTime"
+    keyed = with_status(_watermarked(events, delay)).withColumn("ts_us", F.unix_micros(F.col("ts").cast("timestamp")))
+    out = keyed.select("job_id", "event_id", "status", "ts", "ts_us").groupBy("job_id").transformWithStateInPandas(
+        Retention(ttl_seconds), "job_id long, status string, created_us long", "Append", "EventTime"
     )
-    return out.withColumn("created_at", F.timestamp_millis("created_ms")).drop("created_ms")
+    return out.withColumn("created_at", F.timestamp_micros("created_us")).drop("created_us")
 
 
 def report_responses(state: DataFrame) -> DataFrame:
