@@ -30,6 +30,8 @@ TRAIN_ROWS = 12_000
 LEXICON_SIZE = 4_000
 PREFIX_LENGTHS = range(3, 9)
 MIN_DOCS, MIN_WEIGHT = 3, 1.0
+#: An entry of this share of the toxic documents explains those that have it.
+STRONG_SHARE = 0.02
 
 
 @dataclass(frozen=True)
@@ -121,8 +123,9 @@ def _signals(weight: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.ndar
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, size: int = LEXICON_SIZE) -> Lexicon:
     """Learn entries, weights and exceptions from labelled documents (``doc_id``, ``toxic``).
 
-    Uses at most ``train_rows`` labelled documents, those with the smallest hashes of their ids; null labels, and ids
-    labelled 0 and 1 alike, teach nothing. Entries are words and word beginnings; an entry's weight is the logarithm
+    Uses at most ``train_rows`` labelled documents, those with the smallest hashes of their ids, and each different text
+    once; null labels, null texts, and ids or texts labelled 0 and 1 alike, teach nothing. An entry that STRONG_SHARE of the
+    toxic documents have explains these; others have to earn their place in the remaining ones. Entries are words and word beginnings; an entry's weight is the logarithm
     of how many times more often toxic documents have it, less its standard error, and at least MIN_WEIGHT. An entry
     under a shorter one stays if it weighs more; words under an entry are exceptions if they are no sign of toxicity.
     """
@@ -130,26 +133,38 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, size:
     marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.min("toxic").alias("_low"), F.max("toxic").alias("_toxic")).where("_low = _toxic")
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows).select("doc_id", "_toxic")
     sample = docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id")  # at most train_rows ids
+    # copies of a text teach once: the words of one text in many copies are no entries
+    sample = sample.where("text is not null").groupBy("text").agg(F.min("_toxic").alias("_low"), F.max("_toxic").alias("_toxic")).where("_low = _toxic")
     sample = staged(sample.select("_toxic", "text"), "labelled")
     tokens = F.array_distinct(F.filter(F.regexp_extract_all(fold(F.col("text")), F.lit(r"[\p{L}\p{N}]+"), 0), lambda w: F.length(w).between(3, 40)))
-    per_doc = sample.select("_toxic", tokens.alias("words"))
+    per_doc = sample.select("_toxic", tokens.alias("words"), "text")
 
     def beginnings(n: int) -> Column:
         longer = F.filter("words", lambda w: F.length(w) > n)
         return F.array_distinct(F.transform(longer, lambda w: F.substr(w, F.lit(1), F.lit(n))))
 
     count = [F.sum("_toxic").alias("pos"), F.sum(1 - F.col("_toxic")).alias("neg")]
-    words = staged(per_doc.select("_toxic", F.explode("words").alias("word")).groupBy("word").agg(*count), "words")
-    starts = per_doc.select("_toxic", F.explode(F.flatten(F.array(*map(beginnings, PREFIX_LENGTHS)))).alias("start")).groupBy("start").agg(*count)
     n_pos, n_neg = sample.agg(F.coalesce(F.sum("_toxic"), F.lit(0)), F.coalesce(F.sum(1 - F.col("_toxic")), F.lit(0))).first()
     ratio = F.log(((F.col("pos") + 0.5) / (n_pos + 1.0)) / ((F.col("neg") + 0.5) / (n_neg + 1.0)))
     weight = F.round(ratio - F.sqrt(1.0 / (F.col("pos") + 0.5) + 1.0 / (F.col("neg") + 0.5)), 6)
 
-    def top(counts: DataFrame, name: str) -> dict[str, float]:
-        picked = counts.withColumn("weight", weight).where((F.col("pos") >= MIN_DOCS) & (F.col("weight") >= MIN_WEIGHT))
-        return {r[0]: r[1] for r in picked.orderBy(F.desc(F.col("pos") * F.col("weight")), name).limit(size).select(name, "weight").collect()}
+    def counted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        words = rows.select("_toxic", F.explode("words").alias("entry")).groupBy("entry").agg(*count)
+        starts = rows.select("_toxic", F.explode(F.flatten(F.array(*map(beginnings, PREFIX_LENGTHS)))).alias("entry")).groupBy("entry").agg(*count)
+        return words, starts
 
-    words_found, starts_found = top(words, "word"), top(starts, "start")
+    def top(counts: DataFrame, least: float) -> dict[str, float]:
+        picked = counts.withColumn("weight", weight).where((F.col("pos") >= max(MIN_DOCS, least)) & (F.col("weight") >= MIN_WEIGHT))
+        return {r[0]: r[1] for r in picked.orderBy(F.desc(F.col("pos") * F.col("weight")), "entry").limit(size).select("entry", "weight").collect()}
+
+    every, all_starts = counted(per_doc)
+    words = staged(every, "words")
+    words_found, starts_found = top(words, n_pos * STRONG_SHARE), top(all_starts, n_pos * STRONG_SHARE)
+    # what stands beside a frequent entry is not toxic for that: further entries count where there is none
+    strong = Lexicon(words_found, starts_found)
+    alone = _features(per_doc, strong, ["_toxic", "words"]).where("_toxic = 0 or __v_hits = 0").select("_toxic", "words")
+    more_words, more_starts = map(lambda counts: top(counts, 0), counted(staged(alone, "unexplained")))
+    words_found, starts_found = {**more_words, **words_found}, {**more_starts, **starts_found}
 
     def heavier(entry: str, value: float) -> bool:
         return all(starts_found.get(entry[:n], 0.0) < value for n in range(1, len(entry)))
@@ -160,9 +175,9 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, size:
     if prefixes:
         under = F.lit(False)
         for n in sorted({len(p) for p in prefixes}):
-            under |= F.substr("word", F.lit(1), F.lit(n)).isin([p for p in prefixes if len(p) == n])
+            under |= F.substr("entry", F.lit(1), F.lit(n)).isin([p for p in prefixes if len(p) == n])
         spared = words.where(under & (F.col("neg") >= 2) & (F.col("neg") * (n_pos + 1.0) >= F.col("pos") * (n_neg + 1.0)))
-        exceptions = tuple(r[0] for r in spared.orderBy(F.desc("neg"), "word").limit(size).collect())
+        exceptions = tuple(r[0] for r in spared.orderBy(F.desc("neg"), "entry").limit(size).collect())
     lexicon = Lexicon(entries, prefixes, exceptions)
     seen = _features(sample, lexicon, ["_toxic"])
     rows = np.array([tuple(r) for r in seen.select("_toxic", "__v_weight", "__v_folded").collect()], float).reshape(-1, 3)
@@ -175,11 +190,18 @@ def _calibrated(lexicon: Lexicon, rows: np.ndarray) -> Lexicon:
         return lexicon
     total, rate = _signals(rows[:, 1], rows[:, 2])
     x = np.column_stack([np.ones(len(rows)), total, rate])
-    theta = np.array([-2.0, 1.0, 0.0])
-    for _ in range(50):  # Newton steps with a small ridge
+    theta, y = np.array([-2.0, 1.0, 0.0]), rows[:, 0]
+
+    def loss(theta: np.ndarray) -> float:
+        z = x @ theta
+        return float(np.logaddexp(0.0, z).sum() - y @ z + 0.025 * theta @ theta)
+
+    for _ in range(100):  # Newton steps with a small ridge, halved until they lower the loss
         p = 1.0 / (1.0 + np.exp(-np.clip(x @ theta, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(3), x.T @ (rows[:, 0] - p) - 0.05 * theta)
-        theta = theta + np.clip(step, -2, 2)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(3), x.T @ (y - p) - 0.05 * theta)
+        while np.abs(step).max() > 1e-9 and loss(theta + step) > loss(theta):
+            step = step / 2
+        theta = theta + step
         if np.abs(step).max() < 1e-9:
             break
     theta = np.round(theta, 9)
