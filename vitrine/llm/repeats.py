@@ -40,9 +40,12 @@ BUCKET_KEYS, BUCKET_STRETCHES = 1 << 21, 1 << 18
 #: Stretches of one key from which remove_repeats deals its windows by their own hash; windows of one bucket.
 HOT, BUCKET_WINDOWS = SUFFIXES // SPAN, 1 << 20
 _PLACE = np.uint64(24)
-_KEY = np.uint64((1 << 40) - 1)
+_IN_CUT = np.uint64((1 << 24) - 1)
+#: Most partitions of a shuffle by bucket; a task takes its buckets one after another.
+TASKS = 1 << 15
 _LETTER = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-_ROW = "part long, doc_id array<long>, length array<long>, text binary, keys binary, flags binary, times binary"
+_ROW = "part long, doc_id array<long>, length array<long>, text binary, copies binary, n_keys long, n_stretches long, keys binary, flags binary, times binary, places binary"
+_STRETCHES = ["n_keys", "n_stretches", "keys", "times", "places"]
 
 
 def stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -69,20 +72,33 @@ def stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
         at = np.flatnonzero(change & inside)
         edge = np.flatnonzero(np.append(change | ~inside, True))
         n_windows = edge[np.searchsorted(edge, at, "right")] - at
-        found.append((mix(low[at] >> _PLACE) & _KEY, starts[at], n_windows))
+        found.append((mix(grams[low[at] & _IN_CUT]), starts[at], n_windows))
     if not found:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
-def _five_bytes(keys: np.ndarray) -> bytes:
-    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys, packed by their differences."""
+    return _squeeze(np.diff(keys, prepend=np.uint64(0)), level=1)
 
 
-def _keys_of(blob: bytes) -> np.ndarray:
-    wide = np.zeros((len(blob) // 5, 8), np.uint8)
-    wide[:, :5] = np.frombuffer(blob, np.uint8).reshape(-1, 5)
-    return wide.view("<u8").ravel().astype(np.uint64)
+def _keys_of(blob: bytes, n: int) -> np.ndarray:
+    return np.cumsum(_unsqueeze(blob, (np.uint64, n))[0], dtype=np.uint64)
+
+
+def _cuts(hashes: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
+    """(bucket, begin, end) of the buckets, by leading bits, that ascending hashes fall into."""
+    if not len(hashes):
+        return []
+    bucket = hashes >> np.uint64(64 - bits) if bits else np.zeros(len(hashes), np.uint64)
+    edge = _edges(bucket)
+    return list(zip(bucket[edge[:-1]].tolist(), edge[:-1].tolist(), edge[1:].tolist()))
+
+
+def _bits(entries: float, least: int = 0) -> int:
+    """Leading bits that part this many entries into buckets of one."""
+    return max(least, int(np.ceil(np.log2(max(entries, 1)))))
 
 
 def _first_copies(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -93,44 +109,54 @@ def _first_copies(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray) -> np.
     return np.array([first[hashlib.sha256(data[offsets[r] : offsets[r + 1]]).digest()] for r in range(len(ids))], np.int64)
 
 
-def _distinct(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Stretches of the part's first copies, with the row of each."""
-    keys, starts, windows = stretches(data, offsets)
-    row = np.searchsorted(offsets, starts, "right") - 1
-    keep = _first_copies(data, offsets, ids)[row] == row
-    return keys[keep], starts[keep], windows[keep], row[keep]
-
-
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each batch of documents: packed texts, and the distinct keys with a mark for those of two documents."""
+    """One row for each batch of documents: packed texts, the row of the first copy of each, and the first copies' stretches.
+
+    These are the distinct keys with a mark for those of two documents and how many stretches each has, and the start and
+    number of windows of each stretch, by key.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
         data, offsets = text_bytes(batch.column(1))
         ids = batch.column(0).to_numpy(zero_copy_only=False)
-        keys, _, _, row = _distinct(data, offsets, ids)
-        order = np.lexsort((row, keys))
+        keys, starts, windows = stretches(data, offsets)
+        copies = _first_copies(data, offsets, ids)
+        row = np.searchsorted(offsets, starts, "right") - 1
+        keep = copies[row] == row
+        keys, starts, windows, row = keys[keep], starts[keep], windows[keep], row[keep]
+        order = np.argsort(keys, kind="stable")
         keys, row = keys[order], row[order]
         edge = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
         several = np.minimum.reduceat(row, edge) != np.maximum.reduceat(row, edge) if len(edge) else np.zeros(0, bool)
         yield pa.RecordBatch.from_pydict({
             "part": pa.array([uuid.uuid4().int >> 65], pa.int64()),
             "doc_id": pa.array([ids.tolist()], pa.list_(pa.int64())), "length": pa.array([np.diff(offsets).tolist()], pa.list_(pa.int64())),
-            "text": [zstandard.ZstdCompressor(1).compress(data.tobytes())], "keys": [_five_bytes(keys[edge])], "flags": [np.packbits(several).tobytes()],
-            "times": [_squeeze(np.diff(np.append(edge, len(keys))).astype(np.uint32))],
+            "text": [zstandard.ZstdCompressor(1).compress(data.tobytes())], "copies": [copies.tobytes()],
+            "n_keys": pa.array([len(edge)], pa.int64()), "n_stretches": pa.array([len(keys)], pa.int64()),
+            "keys": [_pack_keys(keys[edge])], "flags": [np.packbits(several).tobytes()],
+            "times": [_squeeze(np.diff(np.append(edge, len(keys))).astype(np.uint32))], "places": [_squeeze(starts[order].astype(np.uint32), windows[order].astype(np.uint8), level=1)],
         })
 
 
+def _stretches_of(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys of a packed row, how many stretches each has, and start and number of windows of each stretch."""
+    n, m = row["n_keys"], row["n_stretches"]
+    times = _unsqueeze(row["times"], (np.uint32, n))[0]
+    starts, windows = _unsqueeze(row["places"], (np.uint32, m), (np.uint8, m))
+    return _keys_of(row["keys"], n), times, starts.astype(np.int64), windows.astype(np.int64)
+
+
 def _texts(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     offsets = np.concatenate([[0], np.cumsum(row["length"])]).astype(np.int64)
     data = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["text"]), np.uint8)
     return data, offsets, np.array(row["doc_id"], np.int64)
 
 
-def _squeeze(*arrays: np.ndarray) -> bytes:
+def _squeeze(*arrays: np.ndarray, level: int = 3) -> bytes:
     """Arrays of numbers, like bytes of all numbers side by side, packed."""
     planes = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() for a in arrays]
-    return zstandard.ZstdCompressor(3).compress(b"".join(planes))
+    return zstandard.ZstdCompressor(level).compress(b"".join(planes))
 
 
 def _unsqueeze(blob: bytes, *kinds: tuple[type, int]) -> list[np.ndarray]:
@@ -150,16 +176,16 @@ def _edges(column: np.ndarray) -> np.ndarray:
 def _ask(bits: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, blob, flags, times in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                keys = _keys_of(blob)
-                times = _unsqueeze(times, (np.uint32, len(keys)))[0]
-                flags = np.unpackbits(np.frombuffer(flags, np.uint8), count=len(keys))
-                at = np.searchsorted(keys >> np.uint64(40 - bits), np.arange(2**bits + 1))
-                rows = [(b, lo, hi) for b, (lo, hi) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())) if hi > lo]
+            for part, n, blob, flags, times in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                keys = _keys_of(blob, n)
+                times = _unsqueeze(times, (np.uint32, n))[0]
+                flags = np.unpackbits(np.frombuffer(flags, np.uint8), count=n)
+                rows = _cuts(keys, bits)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in rows], pa.int32()), pa.array([part] * len(rows), pa.int64()), pa.array([_five_bytes(keys[lo:hi]) for _, lo, hi in rows], pa.binary()),
+                    [pa.array([r[0] for r in rows], pa.int32()), pa.array([part] * len(rows), pa.int64()), pa.array([hi - lo for _, lo, hi in rows], pa.int64()),
+                     pa.array([_pack_keys(keys[lo:hi]) for _, lo, hi in rows], pa.binary()),
                      pa.array([np.packbits(flags[lo:hi]).tobytes() for _, lo, hi in rows], pa.binary()), pa.array([_squeeze(times[lo:hi]) for _, lo, hi in rows], pa.binary())],
-                    names=["bucket", "part", "keys", "flags", "times"],
+                    names=["bucket", "part", "n_keys", "keys", "flags", "times"],
                 )
 
     return cut
@@ -173,7 +199,7 @@ def _answer(hot: int | None):
             edge = _edges(table.column("bucket").to_numpy())
             for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
                 rows = table.slice(lo, hi - lo)
-                keys = [_keys_of(b) for b in rows.column("keys").to_pylist()]
+                keys = [_keys_of(b, n) for b, n in zip(rows.column("keys").to_pylist(), rows.column("n_keys").to_pylist())]
                 flags = [np.unpackbits(np.frombuffer(f, np.uint8), count=len(k)) for f, k in zip(rows.column("flags").to_pylist(), keys)]
                 times = [_unsqueeze(t, (np.uint32, len(k)))[0] for t, k in zip(rows.column("times").to_pylist(), keys)]
                 known, place, n = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
@@ -183,7 +209,7 @@ def _answer(hot: int | None):
                 shared, many = (shared & ~many)[place], many[place]
                 yield pa.RecordBatch.from_arrays(
                     [rows.column("part").combine_chunks(), rows.column("bucket").combine_chunks(), pa.array([np.packbits(shared[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary()),
-                     pa.array([_five_bytes(k[many[a:b]]) for k, a, b in zip(keys, cuts[:-1], cuts[1:])], pa.binary())],
+                     pa.array([k[many[a:b]].tobytes() for k, a, b in zip(keys, cuts[:-1], cuts[1:])], pa.binary())],
                     names=["part", "bucket", "flags", "hot"],
                 )
 
@@ -210,27 +236,26 @@ def _send(bits: int, out_bits: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                data, offsets, ids = _texts(row)
-                keys, starts, windows, doc = _distinct(data, offsets, ids)
-                known = np.unique(keys)
-                at = np.searchsorted(known >> np.uint64(40 - bits), np.arange(2**bits + 1))
+                known, times, starts, windows = _stretches_of(row)
+                place = {b: (lo, hi) for b, lo, hi in _cuts(known, bits)}
                 shared = np.zeros(len(known), bool)
                 for answer in row["answers"] or []:
-                    b = answer["bucket"]
-                    shared[at[b] : at[b + 1]] = np.unpackbits(np.frombuffer(answer["flags"], np.uint8), count=at[b + 1] - at[b])
-                pick = shared[np.searchsorted(known, keys)] if len(known) else np.zeros(0, bool)
-                keys, starts, windows, doc = keys[pick], starts[pick], windows[pick], doc[pick]
-                if not len(keys):
+                    lo, hi = place[answer["bucket"]]
+                    shared[lo:hi] = np.unpackbits(np.frombuffer(answer["flags"], np.uint8), count=hi - lo)
+                if not shared.any():
                     continue
+                pick = np.repeat(shared, times)
+                keys, starts, windows = np.repeat(known[shared], times[shared]), starts[pick], windows[pick]
+                data, offsets, ids = _texts(row)
+                doc = np.searchsorted(offsets, starts, "right") - 1
                 size = windows + MIN_LENGTH - 1
-                prints = _prints(data, starts, size)
+                ascending = np.argsort(starts)
+                prints = np.empty(len(starts), np.uint64)
+                prints[ascending] = _prints(data, starts[ascending], size[ascending])
                 order = np.lexsort((ids[doc], prints, keys))
                 keys, starts, size, doc, prints = keys[order], starts[order], size[order], doc[order], prints[order]
                 new = np.append(True, (keys[1:] != keys[:-1]) | (prints[1:] != prints[:-1]))
-                cuts = np.searchsorted(keys >> np.uint64(40 - out_bits), np.arange(2**out_bits + 1))
-                for b, (p, q) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
-                    if q <= p:
-                        continue
+                for b, p, q in _cuts(keys, out_bits):
                     texts = np.flatnonzero(new[p:q]) + p
                     lengths = size[texts]
                     begin = np.cumsum(lengths) - lengths
@@ -438,10 +463,10 @@ def _parts(docs: DataFrame) -> DataFrame:
     return bucketed(rows.mapInArrow(_pack, _ROW), "packed", "part")
 
 
-def _hot_windows(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, hot: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of the given keys' stretches: (distinct fingerprints, smallest id of each; start and number of each window)."""
-    keys, starts, windows, _ = _distinct(data, offsets, ids)
-    pick = np.isin(keys, _keys_of(hot))
+def _hot_windows(row: dict, data: np.ndarray, offsets: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of the stretches of a row's hot keys: (distinct fingerprints, smallest id of each; start and number of each window)."""
+    keys, times, starts, windows = _stretches_of(row)
+    pick = np.repeat(np.isin(keys, np.frombuffer(row["hot"], np.uint64)), times)
     starts, windows = starts[pick], windows[pick]
     at = np.repeat(starts - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum())
     at.sort()
@@ -455,9 +480,8 @@ def _ask_windows(bits: int):
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                prints, least, _, _ = _hot_windows(*_texts(row), row["hot"])
-                cuts = np.searchsorted(prints >> np.uint64(64 - bits), np.arange(2**bits + 1)) if bits else np.array([0, len(prints)])
-                rows = [(b, lo, hi) for b, (lo, hi) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if hi > lo]
+                prints, least, _, _ = _hot_windows(row, *_texts(row))
+                rows = _cuts(prints, bits)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[0] for r in rows], pa.int32()), pa.array([row["part"]] * len(rows), pa.int64()), *(pa.array([x[lo:hi].tobytes() for _, lo, hi in rows], pa.binary()) for x in (prints, least))],
                     names=["bucket", "part", "prints", "least"],
@@ -497,12 +521,12 @@ def _hot_marks(parts: DataFrame, answers: DataFrame) -> DataFrame | None:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b"".join(k) for k in batch.column(1).to_pylist()], pa.binary())], names=["part", "hot"])
 
     keys = staged(hot.groupBy("part").agg(F.collect_list("hot").alias("hot")).mapInArrow(join, "part long, hot binary"), "hot")
-    met = parts.select("part", "doc_id", "length", "text").join(keys.hint("shuffle_hash"), "part")
+    met = parts.select("part", "doc_id", "length", "text", *_STRETCHES).join(keys.hint("shuffle_hash"), "part")
     # a part has at most one window for each byte
     n_windows = parts.join(keys, "part", "left_semi").agg(F.sum(F.aggregate("length", F.lit(0).cast("long"), lambda x, y: x + y))).first()[0]
-    bits = min(12, max(0, int(np.ceil(np.log2(max(n_windows / BUCKET_WINDOWS, 1))))))
+    bits = _bits(n_windows / BUCKET_WINDOWS)
     asked = met.mapInArrow(_ask_windows(bits), "bucket int, part long, prints binary, least binary")
-    asked = asked.repartition(2**bits, "bucket").sortWithinPartitions("bucket", "part")
+    asked = asked.repartition(min(2**bits, TASKS), "bucket").sortWithinPartitions("bucket", "part")
     said = staged(asked.mapInArrow(_answer_windows, "part long, bucket int, earlier binary"), "windows")
     said = said.groupBy("part").agg(F.collect_list(F.struct("bucket", "earlier")).alias("marks"))
     return keys.join(said.hint("shuffle_hash"), "part")
@@ -510,15 +534,15 @@ def _hot_marks(parts: DataFrame, answers: DataFrame) -> DataFrame | None:
 
 def _occurrences(parts: DataFrame, hot: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Blobs of occurrences by part and bucket, and the answers for the keys; keys of more than ``hot`` stretches are left to :func:`_hot_marks`."""
-    total = parts.agg(F.sum(F.octet_length("keys") / 5)).first()[0] or 0
-    bits = min(16, max(0, int(np.ceil(np.log2(max(total / BUCKET_KEYS, 1))))))
-    asked = parts.select("part", "keys", "flags", "times").mapInArrow(_ask(bits), "bucket int, part long, keys binary, flags binary, times binary")
-    asked = asked.repartition(2**bits, "bucket").sortWithinPartitions("bucket", "part")
+    total = parts.agg(F.sum("n_keys")).first()[0] or 0
+    bits = _bits(total / BUCKET_KEYS)
+    asked = parts.select("part", "n_keys", "keys", "flags", "times").mapInArrow(_ask(bits), "bucket int, part long, n_keys long, keys binary, flags binary, times binary")
+    asked = asked.repartition(min(2**bits, TASKS), "bucket").sortWithinPartitions("bucket", "part")
     said = staged(asked.mapInArrow(_answer(hot), "part long, bucket int, flags binary, hot binary"), "shared")
     answers = said.groupBy("part").agg(F.collect_list(F.struct("bucket", "flags")).alias("answers"))
-    out_bits = min(16, max(2, int(np.ceil(np.log2(max(total / BUCKET_STRETCHES / 4, 1))))))
-    met = parts.select("part", "doc_id", "length", "text").join(answers.hint("shuffle_hash"), "part", "left")
-    sent = met.mapInArrow(_send(bits, out_bits), _SENT).repartition(2**out_bits, "bucket").sortWithinPartitions("bucket", "part")
+    out_bits = _bits(total / BUCKET_STRETCHES / 4, 2)
+    met = parts.select("part", "doc_id", "length", "text", *_STRETCHES).join(answers.hint("shuffle_hash"), "part", "left")
+    sent = met.mapInArrow(_send(bits, out_bits), _SENT).repartition(min(2**out_bits, TASKS), "bucket").sortWithinPartitions("bucket", "part")
     return staged(sent.mapInArrow(_match, _FOUND), "repeats"), said
 
 
@@ -556,7 +580,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     marks = _hot_marks(parts, answers)
     names = ["row", "start", "length", "first_doc", "doc"]
     spans = spans.groupBy("part").agg(F.collect_list(F.struct(*names)).alias("spans"))
-    met = parts.select("part", "doc_id", "length", "text").join(spans.hint("shuffle_hash"), "part", "left")
+    met = parts.select("part", "doc_id", "length", "text", "copies", *([] if marks is None else _STRETCHES)).join(spans.hint("shuffle_hash"), "part", "left")
     if marks is not None:
         met = met.join(marks.hint("shuffle_hash"), "part", "left")
 
@@ -572,13 +596,13 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
                     np.add.at(delta, at, 1)
                     np.add.at(delta, at + length[earlier], -1)
                 if part.get("marks"):
-                    _, least, at, place = _hot_windows(data, offsets, ids, part["hot"])
+                    _, least, at, place = _hot_windows(part, data, offsets, ids)
                     earlier = np.frombuffer(b"".join(m["earlier"] for m in sorted(part["marks"], key=lambda m: m["bucket"])), bool)
                     at = at[earlier[place] | (least[place] < ids[np.searchsorted(offsets, at, "right") - 1])]
                     np.add.at(delta, at, 1)
                     np.add.at(delta, at + MIN_LENGTH, -1)
                 gone = np.cumsum(delta[:-1]) > 0
-                copies = _first_copies(data, offsets, ids)
+                copies = np.frombuffer(part["copies"], np.int64)
                 out = []
                 for r, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
                     if b - a >= MIN_LENGTH and ids[copies[r]] < ids[r]:
