@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from vitrine.llm import decontamination, near_duplicates, toxicity
+from vitrine.llm import decontamination, language_id, near_duplicates, toxicity
 
 
 def scored(spark, lexicon, texts):
@@ -48,3 +48,15 @@ def test_recall_by_item_size(spark):
     found = {r.item_id for r in decontamination.find_leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
     missed = [sizes[i] for i in sizes if i not in found]
     assert all(n > decontamination.SMALLEST for n in missed) and len(missed) <= 1
+
+
+def test_language_sample_takes_each_text_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(language_id, "train", lambda texts, langs: seen.extend(zip(langs, texts)))
+    rows = [("en", "the same text again")] * 300 + [("en", f"text number {i} of many") for i in range(5)] + [("de", None), (None, "x"), ("de", "123"), ("fr", "un")]
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(4)
+    language_id.fit(docs, train_docs=4)
+    assert len(seen) == len(set(seen)) == 5 and ("fr", b"un") in seen
+    seen.clear()
+    language_id.fit(docs, train_docs=100)
+    assert len(seen) == len(set(seen)) == 7 and ("en", b"the same text again") in seen

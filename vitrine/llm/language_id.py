@@ -190,20 +190,22 @@ def position_labels(model: Model, text: str) -> list[str]:
 
 
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES) -> Model:
-    """A network from ``text`` and ``lang`` of at most ``train_docs`` documents per language.
+    """A network from ``text`` and ``lang`` of at most ``train_docs`` different texts per language.
 
-    The documents with the smallest hashes of their texts are taken, and of each a piece of ``train_bytes`` characters
-    at a place that the hash decides. Rows without language or letters teach nothing.
+    The texts with the smallest hashes are taken, each once however often it occurs, and of each a piece of
+    ``train_bytes`` characters at a place that the hash decides. Rows without language or letters teach nothing, nor
+    does an empty table; other columns are not read.
     """
     ready(docs.sparkSession)
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     hashed = labelled.select("lang", "text", F.xxhash64("text").alias("h"))
-    rank = lambda *keys: F.row_number().over(Window.partitionBy("lang", *keys).orderBy("h"))
     at = F.pmod(F.col("h"), F.greatest(F.length("text") - train_bytes, F.lit(1))) + 1
     pieces = hashed.select("lang", "h", F.substr("text", at.cast("int"), F.lit(train_bytes)).alias("piece"))
-    # first in 64 parts, so that the rows of a common language never meet in one task
-    pieces = pieces.withColumn("part", F.pmod("h", F.lit(64))).withColumn("rank", rank("part")).where(F.col("rank") <= train_docs)
-    sample = pieces.withColumn("rank", rank()).where(F.col("rank") <= train_docs)
+    # ranked first in 64 parts, so that the hashes of a common language never meet in one task
+    rank = lambda *keys: F.row_number().over(Window.partitionBy("lang", *keys).orderBy("h"))
+    texts = hashed.select("lang", "h").distinct().withColumn("part", F.pmod("h", F.lit(64)))
+    texts = texts.withColumn("rank", rank("part")).where(F.col("rank") <= train_docs).withColumn("rank", rank()).where(F.col("rank") <= train_docs)
+    sample = pieces.join(texts.select("lang", "h", "rank"), ["lang", "h"]).groupBy("lang", "rank").agg(F.min("piece").alias("piece"))
     rows = sample.orderBy("lang", "rank").select("lang", "piece").collect()
     return train([r[1].encode() for r in rows], [r[0] for r in rows])
 
