@@ -172,6 +172,30 @@ def test_loser_tree(k):
     assert [r[0] for r in web_archives.LoserTree([iter(r) for r in runs])] == sorted(x[0] for r in runs for x in r)
 
 
+def test_merged_index_of_nulls_ties_and_repeats(spark, monkeypatch):
+    monkeypatch.setattr(web_archives, "RANGE_ROWS", 16)
+    draw = np.random.default_rng(5)
+    pick = lambda kinds: kinds[int(draw.integers(len(kinds)))]
+    rows = [(pick([None, "", "com,a)/", "com,b)/x"]), pick([None, "2020", "2021"]), pick([None, 0, 1, 7]), "mine", -1) for _ in range(400)]
+    schema = "urlkey string, timestamp string, page_id long, place string, range_no int"
+    captures = spark.createDataFrame(rows, schema).repartition(5)
+    merged = web_archives.merge_index(web_archives.capture_runs(captures))
+    got = [tuple(r) for r in merged.orderBy("range_no", "place").select("urlkey", "timestamp", "page_id").collect()]
+    last = lambda r: tuple((x is None, x or ("" if i < 2 else 0)) for i, x in enumerate(r))
+    assert got == sorted((r[:3] for r in rows), key=last)
+    assert merged.select("range_no").distinct().count() > 8 and merged.groupBy("range_no").count().agg({"count": "max"}).first()[0] < 200
+    assert web_archives.merge_index(web_archives.capture_runs(spark.createDataFrame([], schema))).count() == 0
+
+
+def test_archives_of_repeated_and_null_pages(spark, tmp_path):
+    pages = [(1, "a", "x"), (1, "a", "x"), (2, "b", "x"), (None, "c", "x"), (3, None, None), (4, "d", None), (2, "b", "y"), (5, "e", "y")]
+    web_archives.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3), str(tmp_path / "w"))
+    got = web_archives.read_archives(spark, str(tmp_path / "w")).select("page_id", "record_type", "refers_to", "payload_bytes").collect()
+    kinds = sorted((r[0] or 0, *r[1:3], r[3]) for r in got)
+    assert [k[:2] + (k[3],) for k in kinds] == [(0, "response", 1), (1, "response", 1), (1, "response", 1), (2, "response", 1), (2, "revisit", 1), (3, "response", 0), (4, "revisit", 0), (5, "revisit", 1)]
+    assert {(k[0], k[2]) for k in kinds if k[1] == "revisit"} == {(2, 1), (4, 3), (5, 2)}
+
+
 def test_similar_vectors(spark):
     rng = np.random.default_rng(3)
     centre = rng.normal(size=6)

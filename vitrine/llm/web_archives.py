@@ -23,6 +23,8 @@ from .staging import ready, shared_path, staged
 END = "\r\n\r\n"
 RECORDS_PER_FILE = 2000
 RUN_ROWS = 50_000
+#: Captures of one range of the merged index, about; a range is merged in memory.
+RANGE_ROWS = 1 << 17
 #: Time of the capture of page 0 where pages have no time of their own; each page is a second later.
 FIRST_CAPTURE = 1_577_836_800
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -45,14 +47,17 @@ def write_archives(pages: DataFrame, path: str, revisit_from: int = 0) -> None:
 
     Of rows with equal payloads of at least ``revisit_from`` bytes those with the smallest page_id are responses, the
     others revisits without a payload that name it. A null html is an empty payload, a null url or page_id an empty
-    header; line ends inside a url are escaped. Repeated rows are separate records. Pages are shuffled once, by digest.
+    header; line ends inside a url are escaped. Repeated rows are separate records. Digests find the first page of a
+    payload without it; pages are shuffled once, by page and digest, so that copies of one payload do not meet.
     """
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("bytes", F.octet_length("payload").cast("long")).withColumn("hash", F.sha1("payload"))
-    repeated = rows.where(F.col("bytes") >= revisit_from).groupBy("hash").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    rows = rows.join(repeated.select("hash", "first").hint("shuffle_hash"), "hash", "left").withColumn("digest", _base32(F.col("hash")))
-    revisit = F.coalesce((F.col("first") != F.col("page_id")) & (F.col("bytes") >= revisit_from), F.lit(False))
+    named = rows.where((F.col("bytes") >= revisit_from) & F.col("page_id").isNotNull()).select("page_id", "hash").distinct()
+    repeated = named.groupBy("hash").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("hash", "first")
+    revisits = named.join(repeated.hint("shuffle_hash"), "hash").where("page_id <> first")
+    rows = rows.join(revisits.hint("shuffle_hash"), ["page_id", "hash"], "left").withColumn("digest", _base32(F.col("hash")))
+    revisit = F.col("first").isNotNull()
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit(END))
     block = F.when(revisit, http).otherwise(F.concat(http, F.col("payload")))
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
@@ -205,11 +210,15 @@ def merge_index(runs: DataFrame) -> DataFrame:
     """All captures in global order of (urlkey, timestamp, page_id), with ``range_no`` and ``place`` in the range.
 
     Each range of the order gets its piece of every run, still sorted, and merges the pieces with a loser tree. Ranges
-    are cut within a URL's history too, so one URL of any share of the captures is dealt over several tasks.
+    are cut within a URL's history too, so one URL of any share of the captures is dealt over several tasks. There are
+    more of them as the captures grow, so that a range stays at about RANGE_ROWS. Captures without a URL key, time or
+    page come last among their like; repeated captures stay; an empty table gives no rows; ``place`` and ``range_no`` of the
+    input are replaced.
     """
-    parts = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = runs.drop("place", "range_no")
+    parts = max(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // RANGE_ROWS))
     order = ["urlkey", "timestamp", "page_id"]
-    dealt = runs.repartitionByRange(parts, *order, "run").sortWithinPartitions("run", "seq").withColumn("range_no", F.spark_partition_id())
+    dealt = runs.repartitionByRange(parts, *(F.asc_nulls_last(c) for c in order), "run").sortWithinPartitions("run", "seq").withColumn("range_no", F.spark_partition_id())
     columns = [c for c in dealt.columns if c not in ("run", "seq")]
     schema = StructType([*(dealt.schema[c] for c in columns), StructField("place", LongType())])
 
@@ -223,8 +232,8 @@ def merge_index(runs: DataFrame) -> DataFrame:
 
         def stream(lo: int, hi: int) -> Iterator[tuple]:
             for i in range(lo, hi):
-                page = keys[2][i]
-                yield keys[0][i], keys[1][i], page is not None, page or 0, i
+                key, when, page = (k[i] for k in keys)
+                yield key is None, key or "", when is None, when or "", page is None, page or 0, i
 
         taken = pa.array([row[-1] for row in LoserTree([stream(a, b) for a, b in zip(cuts, cuts[1:])])], pa.int64())
         merged = table.select(columns).take(taken)
