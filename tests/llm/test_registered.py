@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
+from vitrine.llm import class_model
 from vitrine.llm.queries import QUERIES
 
 SMALL, MEDIUM = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -81,3 +82,33 @@ def test_class_model(spark, folder):
         if r.held_out:
             score, base = score + r.score, base + r.base_score
     assert score > base
+
+
+def test_class_scores_from_the_reported_classes(spark):
+    tokens = {i: re.findall(r"[^\x20\x09-\x0D]+", t.translate(LOWER)) + [None] for i, t in texts(spark, SMALL).items()}
+    got = {r.doc_id: r for r in class_model.score_texts(spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text"), with_classes=True).collect()}
+    counts = collections.Counter(w for i, ws in tokens.items() if rest(i, 7) != 2 for w in ws)
+    of, moves, size = {}, collections.Counter(), collections.Counter()
+    for i, ws in tokens.items():
+        assert len(got[i].classes) == len(ws)
+        for w, k in zip(ws, got[i].classes):
+            assert of.setdefault(w, k) == k  # a word has one class
+    end = of[None]
+    for i, ws in tokens.items():
+        if rest(i, 7) != 2:
+            own = [of[w] for w in ws]
+            moves.update(zip([end, *own], own))
+            size.update(own)
+    words = collections.Counter(of[w] for w in counts)
+    leaving = collections.Counter()
+    for (a, _), n in moves.items():
+        leaving[a] += n
+    n_classes = class_model.CLASSES
+    assert len(set(of.values())) > n_classes / 2
+    for i, ws in tokens.items():
+        own = [of[w] for w in ws]
+        steps = sum(math.log10((moves[a, b] + 0.1) / (leaving[a] + 0.1 * n_classes)) for a, b in zip([end, *own], own))
+        emitted = sum(math.log10((counts[w] + 1) / (size[k] + words[k] + 1)) for w, k in zip(ws, own))
+        assert abs(got[i].score - steps - emitted) < 1e-8 * len(ws) + 1e-8
+    with pytest.raises(ValueError):
+        class_model.score_texts(spark.createDataFrame([], "doc_id long, text string"), classes=300)

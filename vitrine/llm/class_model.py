@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .near_duplicates import _groups
 from .shingles import mix, row_chunks, text_bytes, word_hashes
-from .staging import bucketed, crc_of_id, ready, staged
+from .staging import bucketed, crc_of_id, drop_staged, ready, shared_path, staged, staged_at
 
 _log = logging.getLogger(__name__)
 #: Words whose exchange starts on the driver, endings that stand for the rest, classes, and passes of that exchange.
@@ -234,8 +234,14 @@ def _square(pairs: DataFrame, n: int) -> np.ndarray:
     return out.reshape(n, n)
 
 
-def _class_pairs(top_hashes: np.ndarray, top_class: np.ndarray, of_ending: np.ndarray, classes: int):
-    """Bigrams of classes in the training documents."""
+def _pass(top_hashes: np.ndarray, top_class: np.ndarray, of_ending: np.ndarray, classes: int, bits: int | None):
+    """What a pass over the parts counts: bigrams of classes in the training documents (bucket -1, ``pair`` and ``n``), and contexts.
+
+    Contexts are sparse counts of the classes right (codes from 0) and left (from ``classes``) of each word that may move,
+    and of itself, by bucket; the endings of the rarer words count as words, too, and stand before the first bucket's.
+    Without ``bits`` bigrams alone are counted.
+    """
+    n_codes = 2 * classes + 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(classes * classes, np.int64)
@@ -243,45 +249,39 @@ def _class_pairs(top_hashes: np.ndarray, top_class: np.ndarray, of_ending: np.nd
             of = part.classes(top_class, of_ending)
             before, after = part.bigrams()
             total += np.bincount(of[before] * classes + of[after], minlength=len(total))
+            if bits is not None:
+                yield contexts(part, of, before, after)
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["pair", "n"])
+        yield _counted(np.full(len(at), -1), np.full(len(at), -1), at, total[at], [[b""] * len(at)] * 5)
+
+    def contexts(part: _Part, of: np.ndarray, before: np.ndarray, after: np.ndarray) -> pa.RecordBatch:
+        target = np.where(part.top >= 0, -1, part.endings)
+        target[part.movable] = ENDINGS + np.arange(len(part.movable))
+        x, y = target[before], target[after]
+        right, left, own = x >= 0, y >= 0, (x == y) & (x >= 0)
+        keys = np.concatenate([x[right] * n_codes + of[after[right]], y[left] * n_codes + classes + of[before[left]], y[own] * n_codes + 2 * classes])
+        keys, n = np.unique(keys, return_counts=True)
+        codes, n = (keys % n_codes).astype(np.uint16), n.astype(np.uint32)
+        lengths = np.bincount(keys // n_codes, minlength=ENDINGS + len(part.movable)).astype(np.uint32)
+        hashes = np.concatenate([np.arange(ENDINGS, dtype=np.uint64), part.hashes[part.movable]])
+        old = np.concatenate([of_ending, of[part.movable]]).astype(np.uint8)
+        edges = np.searchsorted(hashes[ENDINGS:] >> np.uint64(64 - bits), np.arange(2**bits + 1)) if bits else np.array([0, len(part.movable)])
+        edges = edges + ENDINGS
+        edges[0] = 0
+        ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+        rows = [(b, lo, hi, ends[lo], ends[hi]) for b, (lo, hi) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())) if hi > lo]
+        blobs = [[x[lo:hi].tobytes() for _, lo, hi, _, _ in rows] for x in (hashes, old, lengths)] + [[x[p:q].tobytes() for _, _, _, p, q in rows] for x in (codes, n)]
+        return _counted([r[0] for r in rows], [part.part] * len(rows), [None] * len(rows), [None] * len(rows), blobs)
 
     return count
 
 
-def _contexts(top_hashes: np.ndarray, top_class: np.ndarray, of_ending: np.ndarray, classes: int, bits: int):
-    """Sparse counts of the classes right (codes from 0) and left (from ``classes``) of each word that may move, and of itself.
-
-    The endings of the rarer words count as words, too; they stand before the first bucket's.
-    """
-    n_codes = 2 * classes + 1
+_COUNTED = "bucket int, part long, pair long, n long, hashes binary, old binary, lengths binary, codes binary, counts binary"
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _Part.of(batches, top_hashes):
-            of = part.classes(top_class, of_ending)
-            target = np.where(part.top >= 0, -1, part.endings)
-            target[part.movable] = ENDINGS + np.arange(len(part.movable))
-            before, after = part.bigrams()
-            x, y = target[before], target[after]
-            right, left, own = x >= 0, y >= 0, (x == y) & (x >= 0)
-            keys = np.concatenate([x[right] * n_codes + of[after[right]], y[left] * n_codes + classes + of[before[left]], y[own] * n_codes + 2 * classes])
-            keys, n = np.unique(keys, return_counts=True)
-            codes, n = (keys % n_codes).astype(np.uint16), n.astype(np.uint32)
-            lengths = np.bincount(keys // n_codes, minlength=ENDINGS + len(part.movable)).astype(np.uint32)
-            hashes = np.concatenate([np.arange(ENDINGS, dtype=np.uint64), part.hashes[part.movable]])
-            old = np.concatenate([of_ending, of[part.movable]]).astype(np.uint8)
-            edges = np.searchsorted(hashes[ENDINGS:] >> np.uint64(64 - bits), np.arange(2**bits + 1)) if bits else np.array([0, len(part.movable)])
-            edges = edges + ENDINGS
-            edges[0] = 0
-            ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
-            rows = [(b, lo, hi, ends[lo], ends[hi]) for b, (lo, hi) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())) if hi > lo]
-            blobs = [[x[lo:hi].tobytes() for _, lo, hi, _, _ in rows] for x in (hashes, old, lengths)] + [[x[p:q].tobytes() for _, _, _, p, q in rows] for x in (codes, n)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int32()), pa.array([part.part] * len(rows), pa.int64()), *(pa.array(b, pa.binary()) for b in blobs)],
-                names=["bucket", "part", "hashes", "old", "lengths", "codes", "counts"],
-            )
 
-    return count
+def _counted(bucket: list, part: list, pair: list, n: list, blobs: list[list[bytes]]) -> pa.RecordBatch:
+    arrays = [pa.array(bucket, pa.int32()), *(pa.array(x, pa.int64()) for x in (part, pair, n)), *(pa.array(b, pa.binary()) for b in blobs)]
+    return pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in _COUNTED.split(", ")])
 
 
 def _reassign(table: np.ndarray, classes: int, turn: int):
@@ -340,27 +340,30 @@ def best_classes(table: np.ndarray, right: np.ndarray, left: np.ndarray, own: np
     words, classes = right.shape
     every = np.arange(words)
     freq = left.sum(1)
+    logs = _xlogx(table)
     right, left = right.copy(), left.copy()
     right[every, old] -= own
     left[every, old] -= own
 
-    def side(table: np.ndarray, near: np.ndarray, far: np.ndarray) -> np.ndarray:
-        """What the entries of ``near`` gain in each class; table[k, j] of class k and neighbour class j."""
+    def side(table: np.ndarray, logs: np.ndarray, near: np.ndarray, far: np.ndarray) -> np.ndarray:
+        """What the entries of ``near`` gain in each class; table[k, j] of class k and neighbour class j, ``logs`` its x log x."""
         w, j = np.nonzero(near)
-        n, o = near[w, j], old[w]
-        held = table.T[j]
-        held[np.arange(len(w)), o] -= n
+        n, o, entry = near[w, j], old[w], np.arange(len(w))
+        held, before = table.T[j], logs.T[j]
+        held[entry, o] -= n
+        before[entry, o] = _xlogx(held[entry, o])
         loop = np.flatnonzero(j == o)  # neighbours in the word's own class: the other side has gone from there
         held[loop] -= far[w[loop]]
         held[loop, o[loop]] -= own[w[loop]]
-        rise = _xlogx(held + n[:, None]) - _xlogx(held)
+        before[loop] = _xlogx(held[loop])
+        rise = _xlogx(held + n[:, None]) - before
         out = np.zeros((words, classes))
         has = np.flatnonzero(np.append(True, w[1:] != w[:-1])) if len(w) else np.zeros(0, np.int64)
         if len(has):
             out[w[has]] = np.add.reduceat(rise, has)
         return out
 
-    gain = side(table, right, left) + side(table.T, left, right)
+    gain = side(table, logs, right, left) + side(table.T, logs.T, left, right)
     held = np.repeat(table.diagonal()[None, :], words, 0)
     held[every, old] -= right[every, old] + left[every, old] + own
     gain += _xlogx(held + right + left + own[:, None]) - _xlogx(held + right) - _xlogx(held + left) + _xlogx(held)
@@ -394,15 +397,18 @@ def _class_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(range(len(n)), pa.int32()), pa.array(n)], names=["class", "n"])
 
 
-def score_texts(docs: DataFrame, held_out_modulus: int = 7, held_out_rest: int = 2, classes: int = CLASSES, word_passes: int = WORD_PASSES) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs``.
+def score_texts(docs: DataFrame, held_out_modulus: int = 7, held_out_rest: int = 2, classes: int = CLASSES, word_passes: int = WORD_PASSES, with_classes: bool = False) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score[, classes]) for every row of ``docs``.
 
     Tokens are the words of the whole text (null: none), A-Z lower-cased, then one end. Training documents are those
     whose crc32(doc_id as text) modulo ``held_out_modulus`` is not ``held_out_rest`` (a null id: trained on).
     ``base_score`` is the add-one unigram log10 probability; ``score`` that of the class model, the product over tokens
-    of P(class | class before) and (c + 1) / (tokens + words of the class + 1). Repeated rows each get a row (and count
+    of P(class | class before) and (c + 1) / (tokens + words of the class + 1). The column ``classes`` has the class of
+    each token; there are at most 256. Repeated rows each get a row (and count
     twice in training), an empty table gives none; other columns are not read. Words are told apart by 64-bit hashes.
     """
+    if not 0 < classes <= 256:
+        raise ValueError("classes must be from 1 to 256")
     spark = ready(docs.sparkSession)
     held = crc_of_id("doc_id", held_out_modulus) == held_out_rest
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held"))
@@ -457,19 +463,23 @@ def score_texts(docs: DataFrame, held_out_modulus: int = 7, held_out_rest: int =
     met, table = coded, None
     for n in range(word_passes + 1):
         met = coded if state.classes is None else coded.join(state.classes.hint("shuffle_hash"), "part", "left")
-        moved = _square(met.mapInArrow(_class_pairs(top_hashes, top_class, state.endings, classes), "pair long, n long"), classes)
+        last = n == word_passes or not clustered
+        counted = met.mapInArrow(_pass(top_hashes, top_class, state.endings, classes, None if last else context_bits), _COUNTED)
+        paths = [shared_path(spark, "contexts"), shared_path(spark, "chosen")]
+        counted = counted if last else staged_at(counted, paths[0])  # read twice: bigrams by the driver, contexts by the buckets
+        moved = _square(counted.where("bucket = -1").select("pair", "n"), classes)
         _log.info("word pass %d: log-likelihood %.6f a training token", n, _likelihood(moved) / max(train_tokens, 1))
         if table is not None and _likelihood(moved) <= _likelihood(table):
             state, met = before_last
             break
         table = moved
-        if n == word_passes or not clustered:
+        if last:
             break
-        sent = met.mapInArrow(_contexts(top_hashes, top_class, state.endings, classes, context_bits), "bucket int, part long, hashes binary, old binary, lengths binary, codes binary, counts binary")
-        sent = sent.repartition(min(2**context_bits, 4096), "bucket").sortWithinPartitions("bucket", "part")
-        chosen = staged(sent.mapInArrow(_reassign(table, classes, n), "part long, bucket int, classes binary, words binary"), "chosen")
+        sent = counted.where("bucket >= 0").drop("pair", "n").repartition(min(2**context_bits, 4096), "bucket").sortWithinPartitions("bucket", "part")
+        chosen = staged_at(sent.mapInArrow(_reassign(table, classes, n), "part long, bucket int, classes binary, words binary"), paths[1])
         before_last = state, met
         state = _next_state(chosen, rare, top_class, classes)
+        drop_staged(spark, *paths)  # the state is written; a pass leaves nothing else
 
     member_words, table = state.words, table + _PRIOR
     moves = np.log10(table / table.sum(1, keepdims=True))
@@ -490,13 +500,14 @@ def score_texts(docs: DataFrame, held_out_modulus: int = 7, held_out_rest: int =
             logs = np.add.reduceat(np.log10(part.counts + 1.0)[part.tokens], begin)
             gained = np.add.reduceat(step[before * classes + of], begin)
             known = np.add.reduceat((part.counts > 0)[part.tokens], begin, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part.doc_id, pa.int64()), pa.array(part.held_out), pa.array(n), pa.array(known),
-                 pa.array(np.full(len(n), train_tokens, np.int64)), pa.array(logs - n * base), pa.array(logs + gained)],
-                names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-            )
-
-    return met.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+            arrays = [pa.array(part.doc_id, pa.int64()), pa.array(part.held_out), pa.array(n), pa.array(known),
+                      pa.array(np.full(len(n), train_tokens, np.int64)), pa.array(logs - n * base), pa.array(logs + gained)]
+            if with_classes:
+                arrays.append(pa.ListArray.from_arrays(pa.array(part.first, pa.int32()), pa.array(of, pa.int32())))
+            yield pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in schema.split(", ")])
+
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double" + (", classes array<int>" if with_classes else "")
+    return met.mapInArrow(score, schema)
 
 
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -33,11 +33,27 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later steps survive lost executors."""
-    path = shared_path(df.sparkSession, name)
+    return staged_at(df, shared_path(df.sparkSession, name))
+
+
+def staged_at(df: DataFrame, path: str) -> DataFrame:
+    """Like :func:`staged`, at a path of :func:`shared_path`, for tables that are dropped before the session's others."""
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_staged(spark: SparkSession, *paths: str) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for path in paths:
+        _written.remove(path)
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
     """Like :func:`staged`, in buckets of ``column``, so that joins on it later leave the table where it is."""
     spark = df.sparkSession
@@ -53,8 +69,7 @@ def release(spark: SparkSession) -> None:
     while _tables:
         spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
     while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _written.pop())
 
 
 def words(text: Column) -> Column:
