@@ -2,6 +2,8 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from vitrine.llm import toxicity
 
@@ -41,3 +43,25 @@ def test_stages_keep_the_columns(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs.limit(0), SF).schema.names == docs.columns
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), SF).count() == 0
+
+
+def test_stages_on_odd_rows(spark):
+    plain = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(3).collect()
+    long = " ".join(f"word{i}" for i in range(200_000))
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in plain]
+    rows += [(9001, None, None, None, None), (None, None, None, None, None), (None, "nothing here", "en", None, 12), (9002, "", "en", "s", 0)]
+    rows += [(9003, long, "en", "s", len(long)), (9004, "the same row twice", "en", "s", 18), (9004, "the same row twice", "en", "s", 18)]
+    names = ["kept", "component_id", "score", "n_shingles", "hash", "part", "word", "label", "held_out"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    docs = spark.createDataFrame([(*r, *("mine" for _ in names)) for r in rows], schema).repartition(3)
+    want = sorted((r[0] or -1, r[1] or "", r[4] or 0) for r in rows)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert sorted((r.doc_id or -1, r.text or "", r.n_chars or 0) for r in got) == want, name
+        assert all(r[n] == "mine" for r in got for n in names), name
+    mixed = corpus_pipeline.STAGES[-1][1](spark, docs.withColumn("size", F.lit("mine")), SF)
+    got = mixed.collect()
+    assert sorted((r.doc_id or -1, r.text or "") for r in got) == [w[:2] for w in want] and all(r[n] == "mine" for r in got for n in names)
+    assert all(r.taken == 0 for r in got if not r.text) and {r.size for r in got if r.doc_id == 9003} == {200_000}
