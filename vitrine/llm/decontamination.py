@@ -179,7 +179,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> Dat
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` that hold no item of the benchmark; all columns stay, nothing is shuffled."""
+    """The rows of ``docs`` that hold no item of the benchmark; all columns stay, nothing is shuffled.
+
+    Null and empty texts stay, as does every row if the benchmark is empty; whole texts are searched whatever their length,
+    repeated rows go or stay alike, an empty table gives no rows.
+    """
     spark = ready(docs.sparkSession)
     for block in _item_blocks(items):
         shared = spark.sparkContext.broadcast(block)

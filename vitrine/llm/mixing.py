@@ -76,8 +76,9 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, share: fl
     times in [0, 1] at which the first and the second use begin (null: not used). Rows come range-sorted by
     position. Repeated rows are separate documents, null sources one source, empty texts take nothing, an
     empty table gives no rows; columns of the names above are
-    replaced, others stay (names that begin with ``__v_`` are reserved). No text is shuffled but that of the
-    final sort, and a source of any share of the rows is summed in ``buckets`` parts.
+    replaced, others stay (names that begin with ``__v_`` are reserved). Texts are shuffled by source and
+    bucket and by the final sort; a source of any share of the rows is summed in ``buckets`` parts. Texts of any length are
+    counted whole.
     """
     made = ("size", "source_size", "target", "taken", "position", "repeat_position")
     ready(docs.sparkSession)

@@ -225,6 +225,10 @@ def _score(lexicon: Lexicon) -> Column:
 
 
 def drop_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose texts score below ``threshold``; all columns stay, nothing is shuffled."""
+    """The rows of ``docs`` whose texts score below ``threshold``; all columns stay, nothing is shuffled.
+
+    Null and empty texts have no hit and stay, whole texts are scored whatever their length, repeated rows go or stay alike,
+    an empty table gives no rows.
+    """
     ready(docs.sparkSession)
     return _features(docs, lexicon, docs.columns).where(_score(lexicon) < threshold).select(*docs.columns)

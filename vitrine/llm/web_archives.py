@@ -105,7 +105,8 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
     """One row for each record below ``path``: CAPTURE's columns, and ``payload`` (null for revisits) if asked for.
 
     ``offset`` and ``length`` are the record's place in its unpacked file; ``intact`` tells whether the payload has the
-    recorded length and digest. Files are read as streams, a record at a time.
+    recorded length and digest. Files are read as streams, a record at a time; a record of any length is held whole. An empty
+    header gives a null page and an empty url, repeated records are separate rows, a path without records gives none.
     """
     ready(spark)
     schema = CAPTURE + (", payload binary" if payloads else "")
@@ -182,7 +183,11 @@ class LoserTree:
 
 
 def capture_runs(captures: DataFrame) -> DataFrame:
-    """The rows with ``run`` and ``seq``: pieces of up to RUN_ROWS rows, each sorted by URL key, timestamp and page."""
+    """The rows with ``run`` and ``seq``: pieces of up to RUN_ROWS rows, each sorted by URL key, timestamp and page, nulls last.
+
+    Repeated rows stay, an empty table gives no rows; columns named ``run`` or ``seq`` are replaced, others stay.
+    """
+    captures = captures.drop("run", "seq")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
@@ -245,7 +250,8 @@ def merge_index(runs: DataFrame) -> DataFrame:
 def archive_pages(pages: DataFrame, revisit_from: int = 0) -> DataFrame:
     """Write archives of ``pages`` in the shared folder, read them back and return the merged index (CAPTURE's columns).
 
-    An empty table gives no rows; extra columns are not read.
+    A null html is an empty payload, a null url an empty one, rows without a page_id are responses, repeated rows separate
+    captures. An empty table gives no rows; extra columns are not read.
     """
     spark = ready(pages.sparkSession)
     path = shared_path(spark, "archives")
