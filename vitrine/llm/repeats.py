@@ -33,7 +33,7 @@ MIN_LENGTH = 50
 GRAM = 20
 SPAN = MIN_LENGTH - GRAM + 1  # k-grams of a window
 #: Bytes that are hashed at a time; longer texts are cut, with an overlap that leaves every window in one cut.
-CUT = 1 << 20
+CUT = 1 << 18
 #: Suffixes that are sorted at a time (more only for one key); minimizers, and stretches, of one bucket.
 SUFFIXES = 1 << 18
 BUCKET_KEYS, BUCKET_STRETCHES = 1 << 21, 1 << 18
